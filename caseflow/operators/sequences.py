@@ -20,7 +20,9 @@ def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str]) -> DataFrame:
     columns = list(columns)
     ev = F.struct(*[F.col(c) for c in spec.order_by], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
     g = df.groupBy(spec.case).agg(F.sort_array(F.collect_list(ev)).alias("__ev"))
-    return g.select(spec.case, *[F.transform("__ev", lambda e, i=i: e[f"__v{i}"]).alias(c)
+    def field(name):
+        return lambda e: e[name]
+    return g.select(spec.case, *[F.transform("__ev", field(f"__v{i}")).alias(c)
                                  for i, c in enumerate(columns)])
 
 

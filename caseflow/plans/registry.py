@@ -296,3 +296,225 @@ def scaled_features_events_day(spark, sf_dir):
     both = tr.select("split", "case_id", "seq", *_SCALE).unionByName(te.select("split", "case_id", "seq", *_SCALE))
     out = apply_scaler(both, params, _SCALE)
     return out.select("split", "case_id", "seq", *[F.round(c, 6).alias(c) for c in _SCALE])
+
+
+# ---------------------------------------------------------------------------
+# Prefix statistics (X1-X12) on the prepared events-by-user-day log
+# ---------------------------------------------------------------------------
+
+def pairs_ctes(adapter: str) -> str:
+    return prep_ctes(adapter) + """,
+seqs AS (SELECT case_id, list(activity ORDER BY ts, seq) AS acts FROM prep GROUP BY case_id),
+pairs AS (SELECT list_slice(acts, 1, i) AS prefix, coalesce(acts[i + 1], '<EOS>') AS next_activity
+          FROM (SELECT acts, unnest(range(1, len(acts) + 1)) AS i FROM seqs)),
+pc AS (SELECT prefix, count(*) AS count FROM pairs GROUP BY prefix),
+ranked AS (SELECT *, row_number() OVER (ORDER BY count DESC, prefix ASC) AS prefix_id FROM pc),
+pnc AS (SELECT prefix, next_activity, count(*) AS next_count FROM pairs GROUP BY prefix, next_activity),
+probs AS (SELECT pnc.*, next_count / sum(next_count) OVER (PARTITION BY prefix) AS next_prob FROM pnc),
+ent AS (SELECT prefix, sum(-next_prob * log2(next_prob)) AS h, count(DISTINCT next_activity) AS opts
+        FROM probs GROUP BY prefix),
+stats AS (SELECT prefix_id, count, CAST(len(prefix) AS INTEGER) AS prefix_length, coalesce(opts, 0) AS next_options,
+                 coalesce(h, 0.0) AS next_entropy_bits, prefix, array_to_string(prefix, ' > ') AS prefix_str
+          FROM ranked LEFT JOIN ent USING (prefix))"""
+
+
+PREFIX_LOGS = ("events_by_user_day", "conversations")
+
+
+def _prefix_frames(spark, sf_dir, adapter):
+    df, spec = _prepared(spark, sf_dir, adapter)
+    pairs = X.pairs_of_log(df, spec).persist()
+    stats, nd = X.prefix_outputs(pairs)
+    return pairs, stats, nd
+
+
+def _prefix_stats_q(adapter):
+    def q(spark, sf_dir):
+        _, stats, _ = _prefix_frames(spark, sf_dir, adapter)
+        return stats.select("prefix_id", "count", "prefix_length", "next_options",
+                            r("next_entropy_bits").alias("next_entropy_bits"), "prefix_str")
+    q.__doc__ = f"X1-X5: prefix frequencies, ids, lengths, next options and entropy on {adapter}."
+    return q
+
+
+def _next_dist_q(adapter):
+    def q(spark, sf_dir):
+        _, _, nd = _prefix_frames(spark, sf_dir, adapter)
+        return nd.select("prefix_id", "prefix_str", "next_activity", "next_count", r("next_prob").alias("next_prob"))
+    q.__doc__ = f"X6: next-activity distribution per prefix on {adapter}."
+    return q
+
+
+def _prefix_summary_q(adapter):
+    def q(spark, sf_dir):
+        pairs, stats, _ = _prefix_frames(spark, sf_dir, adapter)
+        s = X.prefix_summary(pairs, stats)
+        return s.select("prefix_instances", "unique_prefixes",
+                        *[r(c).alias(c) for c in ("top5_share", "top10_share", "gini",
+                                                   "cond_entropy_bits", "marginal_entropy_bits")])
+    q.__doc__ = f"X7-X12: prefix summary (shares, Gini, conditional and marginal entropy) on {adapter}."
+    return q
+
+
+for _a in PREFIX_LOGS:
+    register(f"prefix_stats_{_a}", "WITH " + pairs_ctes(_a) + f"""
+SELECT prefix_id, count, prefix_length, next_options, round(next_entropy_bits, {DIGITS}) AS next_entropy_bits,
+       prefix_str FROM stats""")(_prefix_stats_q(_a))
+    register(f"next_distribution_{_a}", "WITH " + pairs_ctes(_a) + f"""
+SELECT prefix_id, array_to_string(prefix, ' > ') AS prefix_str, next_activity, next_count,
+       round(next_prob, {DIGITS}) AS next_prob FROM probs JOIN ranked USING (prefix)""")(_next_dist_q(_a))
+    register(f"prefix_summary_{_a}", "WITH " + pairs_ctes(_a) + f""",
+g AS (SELECT sum(rn * v) AS six, count(*) AS n, sum(v) AS tot
+      FROM (SELECT count AS v, row_number() OVER (ORDER BY count) AS rn FROM stats)),
+marg AS (SELECT sum(-p * log2(p)) AS hm FROM (SELECT count(*) / (SELECT count(*) FROM pairs) AS p
+                                               FROM pairs GROUP BY next_activity))
+SELECT CAST((SELECT sum(count) FROM stats) AS BIGINT) AS prefix_instances, (SELECT count(*) FROM stats) AS unique_prefixes,
+  round((SELECT sum(count) FROM (SELECT count FROM stats ORDER BY count DESC LIMIT 5)) / (SELECT sum(count) FROM stats), {DIGITS}) AS top5_share,
+  round((SELECT sum(count) FROM (SELECT count FROM stats ORDER BY count DESC LIMIT 10)) / (SELECT sum(count) FROM stats), {DIGITS}) AS top10_share,
+  round((SELECT CASE WHEN n = 0 OR tot = 0 THEN 0.0 ELSE 2.0 * six / (n * tot) - (n + 1.0) / n END FROM g), {DIGITS}) AS gini,
+  round((SELECT sum(count * next_entropy_bits) / sum(count) FROM stats), {DIGITS}) AS cond_entropy_bits,
+  round((SELECT hm FROM marg), {DIGITS}) AS marginal_entropy_bits""")(_prefix_summary_q(_a))
+
+
+@register("class_counts_orders_by_customer", "WITH " + prep_ctes("orders_by_customer") + """,
+lc AS (SELECT count(DISTINCT o_orderpriority || '_' || o_orderstatus) AS n_lc FROM orders
+       WHERE CAST(o_custkey AS VARCHAR) IN (SELECT case_id FROM okc))
+SELECT count(DISTINCT case_id) AS n_cases, count(DISTINCT activity) AS n_activities,
+       count(DISTINCT activity) + 1 AS n_classes_with_eos,
+       (SELECT n_lc FROM lc) AS n_activities_lifecycle, (SELECT n_lc FROM lc) + 1 AS n_classes_with_eos_lifecycle
+FROM prep""")
+def class_counts_orders(spark, sf_dir):
+    """X11: cases, activities and classes incl. <EOS>, without and with lifecycle."""
+    plain, spec = _prepared(spark, sf_dir, "orders_by_customer")
+    lc, spec_lc = _prepared(spark, sf_dir, "orders_by_customer", lifecycle=True)
+    a = X.class_counts(plain, spec)
+    b = lc.agg(F.countDistinct(spec_lc.activity).alias("n_activities_lifecycle")) \
+          .withColumn("n_classes_with_eos_lifecycle", F.col("n_activities_lifecycle") + 1)
+    return a.crossJoin(b)  # two one-row frames
+
+
+# ---------------------------------------------------------------------------
+# Decoded baseline tables (B8 / S11) and transition analytics
+# ---------------------------------------------------------------------------
+
+_DEC_CTES = split_ctes("events_by_user_day") + """,
+voc AS (SELECT value, id FROM vocab UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1 UNION ALL SELECT '<EOS>', 2),
+counts AS (SELECT cur, tgt AS nxt, count(*) AS cnt FROM train WHERE tgt <> -1 GROUP BY cur, tgt),
+tt AS (SELECT coalesce(a.value, CAST(c.cur AS VARCHAR)) AS current_activity,
+              coalesce(b.value, CAST(c.nxt AS VARCHAR)) AS next_activity, c.cnt AS count
+       FROM counts c LEFT JOIN voc a ON a.id = c.cur LEFT JOIN voc b ON b.id = c.nxt),
+preds AS (SELECT c.cur, min(c.nxt) AS pred FROM counts c
+          WHERE c.cnt = (SELECT max(c2.cnt) FROM counts c2 WHERE c2.cur = c.cur) GROUP BY c.cur)"""
+
+
+def _decoded_tables(spark, sf_dir):
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    res = baseline_run(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    voc = res["vocab"]
+    t = decode(decode(res["counts"], voc, "activity", "cur", "current_activity"), voc, "activity", "nxt",
+               "next_activity").select("current_activity", "next_activity", "count")
+    p = decode(decode(res["predictions"], voc, "activity", "cur", "activity"), voc, "activity", "pred",
+               "predicted_next").select("activity", "predicted_next")
+    return t, p
+
+
+@register("transition_table_events_by_user_day", "WITH " + _DEC_CTES + "\nSELECT * FROM tt")
+def transition_table_events_day(spark, sf_dir):
+    """Decoded transition table (current_activity, next_activity, count)."""
+    return _decoded_tables(spark, sf_dir)[0]
+
+
+@register("prediction_table_events_by_user_day", "WITH " + _DEC_CTES + """
+SELECT coalesce(a.value, CAST(p.cur AS VARCHAR)) AS activity, coalesce(b.value, CAST(p.pred AS VARCHAR)) AS predicted_next
+FROM preds p LEFT JOIN voc a ON a.id = p.cur LEFT JOIN voc b ON b.id = p.pred""")
+def prediction_table_events_day(spark, sf_dir):
+    """Decoded argmax prediction table (activity, predicted_next)."""
+    return _decoded_tables(spark, sf_dir)[1]
+
+
+@register("transition_summary_events_by_user_day", "WITH " + _DEC_CTES + f"""
+SELECT count(*) AS unique_transitions, CAST(sum(count) AS BIGINT) AS total_transitions,
+       round(count(*) / count(DISTINCT current_activity), {DIGITS}) AS branching_factor,
+       round(100.0 * sum(CASE WHEN current_activity = next_activity THEN count ELSE 0 END) / sum(count), {DIGITS})
+         AS self_transition_pct
+FROM tt""")
+def transition_summary_events_day(spark, sf_dir):
+    """Unique / total transitions, branching factor, self-transition share."""
+    t = D.transition_summary(_decoded_tables(spark, sf_dir)[0])
+    return t.select("unique_transitions", "total_transitions", r("branching_factor").alias("branching_factor"),
+                    r("self_transition_pct").alias("self_transition_pct"))
+
+
+@register("transition_coverage_events_by_user_day", "WITH " + _DEC_CTES + f"""
+SELECT current_activity, next_activity, count, rank,
+       round(100.0 * cum / (SELECT sum(count) FROM tt), {DIGITS}) AS cumulative_pct,
+       round(100.0 * rank / (SELECT count(*) FROM tt), {DIGITS}) AS rank_pct
+FROM (SELECT *, CAST(row_number() OVER o AS INTEGER) AS rank, sum(count) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+      FROM tt WINDOW o AS (ORDER BY count DESC, current_activity, next_activity))""")
+def transition_coverage_events_day(spark, sf_dir):
+    """D4 + D5: cumulative coverage of transitions by rank."""
+    c = D.cumulative_coverage(_decoded_tables(spark, sf_dir)[0])
+    return c.select("current_activity", "next_activity", "count", "rank",
+                    r("cumulative_pct").alias("cumulative_pct"), r("rank_pct").alias("rank_pct"))
+
+
+# ---------------------------------------------------------------------------
+# Dataset statistics
+# ---------------------------------------------------------------------------
+
+@register("dataset_statistics_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + """,
+orig AS (SELECT case_id, ts FROM log WHERE case_id IN (SELECT case_id FROM summ WHERE n >= 3)),
+trunc AS (SELECT case_id, ts FROM fr, sep WHERE cs <= sep AND ce > sep),
+parts AS (SELECT 'orig' AS split, case_id, ts FROM orig
+          UNION ALL SELECT 'filtered', case_id, ts FROM prep
+          UNION ALL SELECT 'train', case_id, ts FROM train WHERE NOT masked
+          UNION ALL SELECT 'test', case_id, ts FROM test WHERE NOT masked
+          UNION ALL SELECT 'train_test_intersect', case_id, ts FROM trunc),
+pc AS (SELECT split, case_id, count(*) AS n, min(epoch_us(ts)) AS s, max(epoch_us(ts)) AS e FROM parts GROUP BY split, case_id)
+SELECT split, count(*) AS cases, CASE WHEN split = 'train_test_intersect' THEN NULL ELSE sum(n) END AS events,
+       strftime(make_timestamp(min(s)), '%Y-%m-%d') AS start_day, strftime(make_timestamp(max(e)), '%Y-%m-%d') AS end_day,
+       CAST(max(floor((e - s) / 86400000000)) AS BIGINT) AS max_duration_days,
+       (SELECT strftime(make_timestamp(sep), '%Y-%m-%d') FROM sep) AS separation_day
+FROM pc GROUP BY split""")
+def dataset_statistics_events_day(spark, sf_dir):
+    """T11 + T12: cases, events, first/last day and max duration per part of the split protocol."""
+    from caseflow.operators.prepare import select_log_columns, to_utc
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    params = ADAPTER_PARAMS["events_by_user_day"]
+    filtered, spec2 = prepare_log(log, spec, params)
+    base = to_utc(select_log_columns(log, spec), spec)
+    big = base.groupBy(spec.case).count().filter(F.col("count") >= 3)
+    orig = base.join(big.select(spec.case), spec.case, "left_semi")
+    sp = prefix_split(filtered, spec2, params["test_size"])
+    return dataset_statistics(spec2, orig, filtered, sp.train, sp.test, sp.trunc, sp.sep_us)
+
+
+# ---------------------------------------------------------------------------
+# Sequences (Q1, Q6) on conversations
+# ---------------------------------------------------------------------------
+
+@register("traces_conversations", "WITH " + prep_ctes("conversations") + """
+SELECT case_id, CAST(count(*) AS INTEGER) AS n_events, string_agg(activity, ',' ORDER BY ts, seq) AS trace
+FROM prep GROUP BY case_id""")
+def traces_conversations(spark, sf_dir):
+    """Q1 + Q2: one row per case with its ordered activities."""
+    df, spec = _prepared(spark, sf_dir, "conversations")
+    t = activity_sequences(df, spec)
+    return t.select("case_id", F.size("acts").alias("n_events"), F.array_join("acts", ",").alias("trace"))
+
+
+@register("prefix_windows_conversations", "WITH " + prep_ctes("conversations") + """,
+seqs AS (SELECT case_id, list(activity ORDER BY ts, seq) AS acts FROM prep GROUP BY case_id),
+w AS (SELECT case_id, acts, len(acts) AS n FROM seqs),
+short AS (SELECT case_id, i AS e, list_resize(list_slice(acts, 1, i), 4, '-1') AS win
+          FROM (SELECT *, unnest(range(1, least(n, 3) + 1)) AS i FROM w)),
+full_ AS (SELECT case_id, 3 + s AS e, list_slice(acts, s, s + 3) AS win
+          FROM (SELECT *, unnest(range(1, n - 4 + 2)) AS s FROM w WHERE n >= 4))
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY e) - 1 AS INTEGER) AS win_idx,
+       array_to_string(win, ',') AS window_str FROM (SELECT * FROM short UNION ALL SELECT * FROM full_)""")
+def prefix_windows_conversations(spark, sf_dir):
+    """Q6: padded short prefixes and length-4 sliding windows per case (pad '-1')."""
+    df, spec = _prepared(spark, sf_dir, "conversations")
+    t = activity_sequences(df, spec)
+    w = prefix_windows(t, "acts", 4, pad="-1")
+    return w.select("case_id", "win_idx", F.array_join("window", ",").alias("window_str"))

@@ -57,6 +57,12 @@ def compare(spark_df, sql: str, con) -> dict:
         res["spark_cols"], res["oracle_cols"] = sorted(sp.columns), sorted(dk.columns)
         res["match"] = False
         return res
+    kinds = lambda df: {c: ("int" if str(t).startswith(("int", "Int", "uint")) else
+                            "float" if str(t).startswith("float") else str(t)) for c, t in df.dtypes.items()}
+    ks, kd = kinds(sp), kinds(dk)
+    res["dtype_diffs"] = {c: (str(sp.dtypes[c]), str(dk.dtypes[c])) for c in sp.columns
+                          if c in dk.columns and str(sp.dtypes[c]) != str(dk.dtypes[c])
+                          and len(sp) and len(dk)}
     a, b = rows_of(sp), rows_of(dk)
     res["match"] = a == b
     if not res["match"]:
