@@ -518,3 +518,89 @@ def prefix_windows_conversations(spark, sf_dir):
     t = activity_sequences(df, spec)
     w = prefix_windows(t, "acts", 4, pad="-1")
     return w.select("case_id", "win_idx", F.array_join("window", ",").alias("window_str"))
+
+
+# ---------------------------------------------------------------------------
+# Evaluation over scored positions (V1-V12), derived from `embeddings`:
+# logits = first 10 components, teacher logits = next 10, target = label,
+# batch = vec_id / 32.
+# ---------------------------------------------------------------------------
+
+from caseflow.operators import evaluate as V  # noqa: E402
+from caseflow.sources.logs import table  # noqa: E402
+
+_SCORED_SQL = """e AS (SELECT vec_id, label AS target, vec_id // 32 AS batch,
+              CAST(embedding AS DOUBLE[])[1:10] AS l, CAST(embedding AS DOUBLE[])[11:20] AS t FROM embeddings),
+u AS (SELECT vec_id, unnest(l) AS x, unnest(t) AS y, unnest(range(10)) AS c FROM e),
+mx AS (SELECT vec_id, max(x) AS mx, max(x / 2.0) AS mxs, max(y / 2.0) AS myt FROM u GROUP BY vec_id),
+lse AS (SELECT u.vec_id, max(mx.mx) + ln(sum(exp(x - mx.mx))) AS lse,
+               max(mx.mxs) + ln(sum(exp(x / 2.0 - mx.mxs))) AS lse_s,
+               max(mx.myt) + ln(sum(exp(y / 2.0 - mx.myt))) AS lse_t
+        FROM u JOIN mx USING (vec_id) GROUP BY u.vec_id),
+kl AS (SELECT u.vec_id, sum(exp(y / 2.0 - lse_t) * ((y / 2.0 - lse_t) - (x / 2.0 - lse_s))) AS kl
+       FROM u JOIN lse USING (vec_id) GROUP BY u.vec_id),
+rows_ AS (SELECT e.vec_id, e.target, e.batch, lse.lse - e.l[e.target + 1] AS ce,
+                 list_position(e.l, list_max(e.l)) - 1 AS pred, exp(list_max(e.l) - lse.lse) AS conf, kl.kl
+          FROM e JOIN lse USING (vec_id) JOIN kl USING (vec_id))"""
+
+
+def _scored(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    emb = F.col("embedding").cast("array<double>")
+    return e.select("vec_id", F.lit("test").alias("phase"), F.lit("next_activity").alias("target_name"),
+                    F.floor(F.col("vec_id") / 32).alias("batch"), F.col("label").alias("target"),
+                    F.lit(True).alias("valid"), F.slice(emb, 1, 10).alias("logits"),
+                    F.slice(emb, 11, 10).alias("teacher_logits"))
+
+
+@register("logit_metrics_embeddings", "WITH " + _SCORED_SQL + f""",
+f1l AS (SELECT l, (SELECT count(*) FROM rows_ WHERE target = l AND pred = l) AS tp,
+               (SELECT count(*) FROM rows_ WHERE target = l) AS nt, (SELECT count(*) FROM rows_ WHERE pred = l) AS np
+        FROM (SELECT target AS l FROM rows_ UNION SELECT pred FROM rows_))
+SELECT round(avg(ce), {DIGITS}) AS ce_loss, round(avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END), {DIGITS}) AS acc,
+       round((SELECT avg(2.0 * tp / (nt + np)) FROM f1l), {DIGITS}) AS f1,
+       round(4.0 * avg(kl), {DIGITS}) AS kl_loss,
+       round(0.25 * 4.0 * avg(kl) + 0.75 * avg(ce), {DIGITS}) AS distill_loss,
+       round((SELECT avg(b) FROM (SELECT avg(ce) AS b FROM rows_ GROUP BY batch)), {DIGITS}) AS mean_batch_loss
+FROM rows_""")
+def logit_metrics_embeddings(spark, sf_dir):
+    """Cross-entropy, accuracy, macro-F1, KL (T=2), distillation loss, batch-mean loss."""
+    s = _scored(spark, sf_dir)
+    v = V.with_prediction(V.flatten_valid(s), "logits").withColumn("ce", V.cross_entropy())
+    ce = V.masked_cross_entropy(s)
+    acc = V.micro_accuracy(v)
+    f1 = V.macro_f1(v)
+    kl = V.masked_kl(s, temperature=2.0)
+    mb = V.mean_of_batch_losses(v)
+    alpha = V.distill_alpha(1, 4, 0.0, 1.0)   # 0.25
+    out = ce.crossJoin(acc).crossJoin(f1).crossJoin(kl).crossJoin(mb)  # one-row frames
+    out = out.withColumn("distill_loss", V.distill_loss("kl_loss", "ce_loss", alpha))
+    return out.select(*[r(c).alias(c) for c in ("ce_loss", "acc", "f1", "kl_loss", "distill_loss", "mean_batch_loss")])
+
+
+@register("confidence_by_class_embeddings", "WITH " + _SCORED_SQL + f""",
+bp AS (SELECT pred AS cls, avg(conf) AS avg_confidence, avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) AS avg_accuracy,
+              count(*) AS predicted_count FROM rows_ GROUP BY pred),
+bt AS (SELECT target AS cls, count(*) AS true_count FROM rows_ WHERE target >= 0 GROUP BY target)
+SELECT CAST(coalesce(bp.cls, bt.cls) AS INTEGER) AS cls, round(coalesce(avg_confidence, 0.0), {DIGITS}) AS avg_confidence,
+       round(coalesce(avg_accuracy, 0.0), {DIGITS}) AS avg_accuracy, coalesce(predicted_count, 0) AS predicted_count,
+       coalesce(true_count, 0) AS true_count
+FROM bp FULL OUTER JOIN bt ON bp.cls = bt.cls""")
+def confidence_by_class_embeddings(spark, sf_dir):
+    """Confidence, accuracy, predicted and true counts per class."""
+    c = V.confidence_by_class(_scored(spark, sf_dir))
+    return c.select("cls", r("avg_confidence").alias("avg_confidence"), r("avg_accuracy").alias("avg_accuracy"),
+                    "predicted_count", "true_count")
+
+
+@register("phase_metrics_embeddings", "WITH " + _SCORED_SQL + f""",
+f1l AS (SELECT l, (SELECT count(*) FROM rows_ WHERE target = l AND pred = l) AS tp,
+               (SELECT count(*) FROM rows_ WHERE target = l) AS nt, (SELECT count(*) FROM rows_ WHERE pred = l) AS np
+        FROM (SELECT target AS l FROM rows_ UNION SELECT pred FROM rows_))
+SELECT 'test_next_activity_loss' AS key, round((SELECT avg(b) FROM (SELECT avg(ce) AS b FROM rows_ GROUP BY batch)), {DIGITS}) AS value
+UNION ALL SELECT 'test_next_activity_acc', round((SELECT avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END) FROM rows_), {DIGITS})
+UNION ALL SELECT 'test_next_activity_f1', round((SELECT avg(2.0 * tp / (nt + np)) FROM f1l), {DIGITS})""")
+def phase_metrics_embeddings(spark, sf_dir):
+    """{phase}_{target}_{loss,acc,f1} as a long (key, value) table."""
+    m = V.phase_metrics(_scored(spark, sf_dir))
+    return m.select("key", r("value").alias("value"))
