@@ -604,3 +604,382 @@ def phase_metrics_embeddings(spark, sf_dir):
     """{phase}_{target}_{loss,acc,f1} as a long (key, value) table."""
     m = V.phase_metrics(_scored(spark, sf_dir))
     return m.select("key", r("value").alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# Experiment analytics (S6-S9, A*, V14) on runs derived from `orders` and
+# history derived from `lineitem` (see caseflow.sources.experiments).  The SQL
+# side computes the same values straight from the raw columns (no JSON).
+# ---------------------------------------------------------------------------
+
+from caseflow.operators import experiments as A  # noqa: E402
+from caseflow.sources.experiments import derived_experiment  # noqa: E402
+
+_EXP_CTES = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS log, o_orderstatus AS backbone,
+        CAST('1e-' || CAST(year(o_orderdate) - 1992 AS VARCHAR) AS DOUBLE) AS lr, CAST(month(o_orderdate) AS BIGINT) AS epochs,
+        'exp-' || o_orderstatus AS project, o_totalprice / 100.0 AS duration_sec, o_totalprice / 600000.0 AS acc,
+        (o_totalprice / 600000.0) * (o_totalprice / 600000.0) AS f1, o_orderdate AS created_at FROM orders),
+hist AS (SELECT run_id, step, val_loss, val_acc, val_f1 FROM (
+        SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS step, l_discount + l_tax AS val_loss,
+               1.0 - l_discount AS val_acc, l_quantity / 50.0 AS val_f1,
+               row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC,
+                 l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC) AS rn
+        FROM lineitem) WHERE rn = 1)"""
+
+ACC = "best_test_final_next_activity_acc"
+F1 = "best_test_final_next_activity_f1"
+
+
+def _exp(spark, sf_dir):
+    runs, hist = derived_experiment(spark, sf_dir)
+    runs = runs.withColumnRenamed(ACC, "acc").withColumnRenamed(F1, "f1")
+    return runs, hist
+
+
+@register("history_upsert_lineitem", "WITH " + _EXP_CTES + f"""
+SELECT run_id, step, round(val_loss, {DIGITS}) AS val_loss, round(val_acc, {DIGITS}) AS val_acc,
+       round(val_f1, {DIGITS}) AS val_f1 FROM hist""")
+def history_upsert_lineitem(spark, sf_dir):
+    """History rows flattened from JSON, key filter, last write per (run, step) wins."""
+    _, h = _exp(spark, sf_dir)
+    return h.select("run_id", "step", *[r(c).alias(c) for c in ("val_loss", "val_acc", "val_f1")])
+
+
+@register("runs_flattened_orders", "WITH " + _EXP_CTES + f"""
+SELECT id, log, backbone, lr, epochs, project, round(duration_sec, {DIGITS}) AS duration_sec,
+       round(acc, {DIGITS}) AS acc, round(f1, {DIGITS}) AS f1, epoch_us(created_at) AS created_at_us FROM runs""")
+def runs_flattened_orders(spark, sf_dir):
+    """S6 + S7: runs flattened from config / summary / metadata JSON (summary keys normalised)."""
+    runs, _ = _exp(spark, sf_dir)
+    return runs.select("id", "log", "backbone", "lr", "epochs", "project",
+                       *[r(c).alias(c) for c in ("duration_sec", "acc", "f1")],
+                       micros("created_at").alias("created_at_us"))
+
+
+@register("best_val_step_runs", "WITH " + _EXP_CTES + f""",
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_loss, step) AS rn
+                     FROM hist WHERE val_loss IS NOT NULL) WHERE rn = 1)
+SELECT id, log, b.step AS best_step, round(b.val_loss, {DIGITS}) AS best_val_loss,
+       round(b.val_acc, {DIGITS}) AS best_val_acc, round(b.val_f1, {DIGITS}) AS best_val_f1
+FROM runs LEFT JOIN b ON runs.id = b.run_id""")
+def best_val_step_runs(spark, sf_dir):
+    """A1: history row with the minimal validation loss per run, joined to the runs."""
+    runs, h = _exp(spark, sf_dir)
+    e = A.best_val_step(runs, h)
+    return e.select("id", "log", "best_step", *[r(c).alias(c) for c in ("best_val_loss", "best_val_acc", "best_val_f1")])
+
+
+@register("summary_stats_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, backbone, lr, count(*) AS n, round(avg(acc), {DIGITS}) AS mean, round(stddev_samp(acc), {DIGITS}) AS std,
+       round(min(acc), {DIGITS}) AS min, round(max(acc), {DIGITS}) AS max
+FROM runs WHERE acc IS NOT NULL GROUP BY log, backbone, lr""")
+def summary_stats_runs(spark, sf_dir):
+    """A10 + A33: count, mean, sample std, min, max of accuracy per (log, backbone, lr)."""
+    runs, _ = _exp(spark, sf_dir)
+    s = A.summary_stats(runs, ["log", "backbone", "lr"], "acc")
+    return s.select("log", "backbone", "lr", "n", *[r(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("best_run_per_config_runs", "WITH " + _EXP_CTES + """
+SELECT log, backbone, (SELECT id FROM runs r2 WHERE r2.log = r.log AND r2.backbone = r.backbone AND acc IS NOT NULL
+                       ORDER BY acc DESC, id LIMIT 1) AS best_run_id,
+       string_agg(DISTINCT project, ', ' ORDER BY project) AS projects
+FROM runs r GROUP BY log, backbone""")
+def best_run_per_config_runs(spark, sf_dir):
+    """A12 + A13: best run id (max accuracy, ties -> smallest id) and the sorted project list per config."""
+    runs, _ = _exp(spark, sf_dir)
+    return A.best_run_id(runs, ["log", "backbone"], "acc").join(
+        A.projects_list(runs, ["log", "backbone"]), ["log", "backbone"])
+
+
+@register("best_lr_runs", "WITH " + _EXP_CTES + f""",
+s AS (SELECT log, backbone, lr, count(*) AS n, avg(acc) AS acc_mean, stddev_samp(acc) AS acc_std,
+             avg(f1) AS f1_mean, stddev_samp(f1) AS f1_std
+      FROM runs WHERE acc IS NOT NULL OR f1 IS NOT NULL GROUP BY log, backbone, lr)
+SELECT log, backbone, lr, n, round(acc_mean, {DIGITS}) AS acc_mean, round(f1_mean, {DIGITS}) AS f1_mean FROM (
+  SELECT *, row_number() OVER (PARTITION BY log, backbone ORDER BY f1_mean DESC NULLS LAST, acc_mean DESC NULLS LAST,
+                               n DESC NULLS LAST, lr ASC NULLS LAST) AS rn FROM s) WHERE rn = 1""")
+def best_lr_runs(spark, sf_dir):
+    """A21 + A22: per (log, backbone) the learning rate with the best mean F1 (then acc, n, lr)."""
+    runs, _ = _exp(spark, sf_dir)
+    s = A.multi_metric_summary(runs, ["log", "backbone", "lr"], ["acc", "f1"])
+    b = A.best_lr(s)
+    return b.select("log", "backbone", "lr", "n", r("acc_mean").alias("acc_mean"), r("f1_mean").alias("f1_mean"))
+
+
+@register("paired_diff_runs", "WITH " + _EXP_CTES + f""",
+s AS (SELECT log, backbone, avg(acc) AS mean, stddev_samp(acc) AS std FROM runs WHERE acc IS NOT NULL GROUP BY log, backbone)
+SELECT a.log, round(a.mean - b.mean, {DIGITS}) AS diff,
+       round(sqrt(coalesce(a.std, 0.0) * coalesce(a.std, 0.0) + coalesce(b.std, 0.0) * coalesce(b.std, 0.0)), {DIGITS}) AS err
+FROM s a JOIN s b ON a.log = b.log AND a.backbone = 'F' AND b.backbone = 'O'""")
+def paired_diff_runs(spark, sf_dir):
+    """Per log mean accuracy of backbone F minus backbone O, with combined error."""
+    runs, _ = _exp(spark, sf_dir)
+    d = A.paired_diff(A.summary_stats(runs, ["log", "backbone"], "acc"), "log", "backbone", "F", "O")
+    return d.select("log", r("diff").alias("diff"), r("err").alias("err"))
+
+
+@register("learning_curve_history", "WITH " + _EXP_CTES + f"""
+SELECT h.step, r.log, round(avg(val_loss), {DIGITS}) AS mean, round(stddev_samp(val_loss), {DIGITS}) AS std,
+       count(*) AS n_runs
+FROM hist h JOIN runs r ON h.run_id = r.id GROUP BY h.step, r.log""")
+def learning_curve_history(spark, sf_dir):
+    """Mean and sd of the validation loss per step and log."""
+    runs, h = _exp(spark, sf_dir)
+    c = A.learning_curve(h, runs, "val_loss", group="log")
+    return c.select("step", "log", r("mean").alias("mean"), r("std").alias("std"), "n_runs")
+
+
+@register("early_stopping_history", "WITH " + _EXP_CTES + f""",
+b AS (SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb
+      FROM hist WHERE val_loss IS NOT NULL),
+i AS (SELECT *, (bb IS NULL OR val_loss < bb - 0.01) AS imp FROM b),
+g AS (SELECT *, sum(CAST(imp AS INTEGER)) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM i),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, grp ORDER BY step) - 1 AS streak FROM g),
+st AS (SELECT run_id, min(step) AS stop_step FROM k WHERE streak >= 2 GROUP BY run_id)
+SELECT k.run_id, max(CASE WHEN imp THEN step END) AS saved_step, max(st.stop_step) AS stop_step,
+       round(min(val_loss), {DIGITS}) AS best_loss
+FROM k LEFT JOIN st ON k.run_id = st.run_id WHERE st.stop_step IS NULL OR k.step <= st.stop_step GROUP BY k.run_id""")
+def early_stopping_history(spark, sf_dir):
+    """Early-stopping replay (patience 2, min_delta 0.01) over every run's validation loss."""
+    _, h = _exp(spark, sf_dir)
+    e = V.early_stop_replay(h, patience=2, min_delta=0.01)
+    return e.select("run_id", "saved_step", "stop_step", r("best_loss").alias("best_loss"))
+
+
+@register("correlation_runs", "WITH " + _EXP_CTES + f""",
+c AS (SELECT log, acc, duration_sec FROM runs WHERE acc IS NOT NULL AND duration_sec IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY log ORDER BY acc) + (count(*) OVER (PARTITION BY log, acc) - 1) / 2.0 AS rx,
+              rank() OVER (PARTITION BY log ORDER BY epochs) + (count(*) OVER (PARTITION BY log, epochs) - 1) / 2.0 AS ry
+       FROM (SELECT r.log, r.acc, r.epochs FROM runs r WHERE acc IS NOT NULL AND epochs IS NOT NULL))
+SELECT log, count(*) AS n, round(corr(acc, epochs), {DIGITS}) AS pearson_r,
+       round(CASE WHEN count(*) > 2 THEN corr(rx, ry) END, {DIGITS}) AS spearman_r
+FROM rk GROUP BY log""")
+def correlation_runs(spark, sf_dir):
+    """Per log Pearson and Spearman correlation of accuracy with epochs (p-values in the operator)."""
+    runs, _ = _exp(spark, sf_dir)
+    c = A.metric_correlation(runs, ["log"], "acc", "epochs")
+    return c.select("log", "n", r("pearson_r").alias("pearson_r"), r("spearman_r").alias("spearman_r"))
+
+
+@register("correlation_pvalues_runs")
+def correlation_pvalues_runs(spark, sf_dir):
+    """A35 + A36: correlation p-values from the t distribution and significance stars."""
+    runs, _ = _exp(spark, sf_dir)
+    c = A.metric_correlation(runs, ["log"], "acc", "epochs")
+    return c.select("log", "n", r("pearson_p").alias("pearson_p"), A.p_stars("pearson_p").alias("stars"))
+
+
+@register("wall_clock_runs", "WITH " + _EXP_CTES + f""",
+p AS (SELECT backbone, log, avg(duration_sec) AS d, avg(epochs) AS e, count(*) AS n FROM runs GROUP BY backbone, log)
+SELECT backbone, count(*) AS datasets, CAST(sum(n) AS BIGINT) AS runs, round(avg(d) / 60.0, {DIGITS}) AS avg_minutes,
+       round(min(d) / 60.0, {DIGITS}) AS min_minutes, round(max(d) / 60.0, {DIGITS}) AS max_minutes,
+       round(stddev_samp(d) / 60.0, {DIGITS}) AS sd_minutes, round(avg(e), {DIGITS}) AS avg_epochs
+FROM p GROUP BY backbone""")
+def wall_clock_runs(spark, sf_dir):
+    """Two-level wall-clock summary per backbone."""
+    runs, _ = _exp(spark, sf_dir)
+    w = A.wall_clock_summary(runs)
+    return w.select("backbone", "datasets", F.col("runs").cast("long").alias("runs"),
+                    *[r(c).alias(c) for c in ("avg_minutes", "min_minutes", "max_minutes", "sd_minutes", "avg_epochs")])
+
+
+@register("distribution_runs", "WITH " + _EXP_CTES + f"""
+SELECT backbone, round(min(acc), {DIGITS}) AS min, round(quantile_cont(acc, 0.25), {DIGITS}) AS q1,
+       round(quantile_cont(acc, 0.5), {DIGITS}) AS median, round(quantile_cont(acc, 0.75), {DIGITS}) AS q3,
+       round(max(acc), {DIGITS}) AS max FROM runs GROUP BY backbone""")
+def distribution_runs(spark, sf_dir):
+    """Accuracy quartiles per backbone."""
+    runs, _ = _exp(spark, sf_dir)
+    d = A.distribution_summary(runs, "backbone", "acc")
+    return d.select("backbone", *[r(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+
+
+_GRID_LOGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_GRID_BACKBONES = ["F", "O", "P", "baseline"]
+_GRID_LRS = [1e-3, 1e-4, 1e-5]
+
+
+def _grid_values_sql() -> str:
+    rows = [f"('{lg}', '{b}', {lr!r})" for lg in _GRID_LOGS for b in _GRID_BACKBONES if b != "baseline"
+            for lr in _GRID_LRS] + [f"('{lg}', 'baseline', NULL)" for lg in _GRID_LOGS]
+    return "grid(log, backbone, lr) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@register("missing_configs_runs", "WITH " + _EXP_CTES + ",\n" + _grid_values_sql() + """,
+c AS (SELECT log, backbone, lr, count(*) AS n_runs FROM runs GROUP BY log, backbone, lr)
+SELECT g.log, g.backbone, CAST(g.lr AS DOUBLE) AS lr, coalesce(c.n_runs, 0) AS n_runs,
+       greatest(CASE WHEN g.backbone = 'baseline' THEN 1 ELSE 5 END - coalesce(c.n_runs, 0), 0) AS missing
+FROM grid g LEFT JOIN c ON g.log = c.log AND g.backbone = c.backbone AND g.lr IS NOT DISTINCT FROM c.lr""")
+def missing_configs_runs(spark, sf_dir):
+    """Planned grid (parameter) against observed runs: run counts and missing runs."""
+    runs, _ = _exp(spark, sf_dir)
+    grid = A.experiment_grid(spark, _GRID_LOGS, _GRID_BACKBONES, _GRID_LRS, special="baseline")
+    m = A.missing_configs(grid, runs, special="baseline")
+    return m.select("log", "backbone", "lr", F.col("n_runs").cast("long").alias("n_runs"),
+                    F.col("missing").cast("long").alias("missing"))
+
+
+@register("latest_run_per_log", "WITH " + _EXP_CTES + """
+SELECT log, id, epoch_us(created_at) AS created_at_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY log ORDER BY created_at DESC, id DESC) AS rn FROM runs) WHERE rn = 1""")
+def latest_run_per_log(spark, sf_dir):
+    """Newest run per log (ties by id)."""
+    runs, _ = _exp(spark, sf_dir)
+    return D.latest_per_key(runs, "log").select("log", "id", micros("created_at").alias("created_at_us"))
+
+
+@register("split_curves_history", "WITH " + _EXP_CTES + f""",
+l AS (SELECT run_id, step, 'loss' AS split, val_loss AS value FROM hist UNION ALL
+      SELECT run_id, step, 'acc', val_acc FROM hist UNION ALL SELECT run_id, step, 'f1', val_f1 FROM hist)
+SELECT step, split, round(avg(value), {DIGITS}) AS mean, round(stddev_samp(value), {DIGITS}) AS std,
+       count(DISTINCT run_id) AS n_runs FROM l WHERE value IS NOT NULL GROUP BY step, split""")
+def split_curves_history(spark, sf_dir):
+    """Melted per-step curves of several history metrics."""
+    _, h = _exp(spark, sf_dir)
+    c = A.split_curves(h, {"loss": "val_loss", "acc": "val_acc", "f1": "val_f1"})
+    return c.select("step", "split", r("mean").alias("mean"), r("std").alias("std"), "n_runs")
+
+
+@register("common_horizon_history", "WITH " + _EXP_CTES + """,
+hz AS (SELECT min(last) AS hz FROM (SELECT run_id, max(step) AS last FROM hist GROUP BY run_id))
+SELECT step, count(*) AS rows_kept FROM hist, hz WHERE step <= hz GROUP BY step""")
+def common_horizon_history(spark, sf_dir):
+    """History restricted to the common horizon (steps every run reached)."""
+    _, h = _exp(spark, sf_dir)
+    return A.common_horizon(h).groupBy("step").agg(F.count(F.lit(1)).alias("rows_kept"))
+
+
+@register("pivot_mean_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, printf('%.0e', lr) AS lr_label, round(avg(duration_sec), {DIGITS}) AS mean_duration
+FROM runs GROUP BY log, printf('%.0e', lr)""")
+def pivot_mean_runs(spark, sf_dir):
+    """Log x learning-rate mean duration (long form; ``pivot_mean`` gives the wide table)."""
+    runs, _ = _exp(spark, sf_dir)
+    t = runs.withColumn("lr_label", A.lr_label("lr"))
+    return t.groupBy("log", "lr_label").agg(r(F.avg("duration_sec")).alias("mean_duration"))
+
+
+def _size_tables(runs):
+    s = A.summary_stats(runs, ["log", "backbone", "epochs"], "acc").withColumnRenamed("epochs", "size")
+    return s.filter(F.col("backbone") == "F"), s.filter(F.col("backbone") == "O")
+
+
+_SIZE_CTE = """s AS (SELECT log, backbone, epochs AS size, avg(acc) AS mean, stddev_samp(acc) AS std
+      FROM runs WHERE acc IS NOT NULL GROUP BY log, backbone, epochs),
+a AS (SELECT * FROM s WHERE backbone = 'F'), b AS (SELECT * FROM s WHERE backbone = 'O')"""
+
+
+@register("diff_by_dataset_runs", "WITH " + _EXP_CTES + ",\n" + _SIZE_CTE + f"""
+SELECT a.log, round(avg(a.mean - b.mean), {DIGITS}) AS diff_mean,
+       round(coalesce(stddev_samp(a.mean - b.mean), 0.0), {DIGITS}) AS diff_std, count(*) AS n
+FROM a JOIN b ON a.log = b.log AND a.size = b.size GROUP BY a.log""")
+def diff_by_dataset_runs(spark, sf_dir):
+    """Backbone F minus O per (log, size = epochs), mean and sd over sizes per log."""
+    runs, _ = _exp(spark, sf_dir)
+    a, b = _size_tables(runs)
+    d = A.diff_by_dataset(a, b)
+    return d.select("log", r("diff_mean").alias("diff_mean"), r("diff_std").alias("diff_std"), "n")
+
+
+@register("diff_by_size_runs", "WITH " + _EXP_CTES + ",\n" + _SIZE_CTE + f""",
+common AS (SELECT a.log, a.size FROM a JOIN b ON a.log = b.log AND a.size = b.size),
+sa AS (SELECT size, avg(mean) AS mean_a, stddev_samp(mean) AS std_a FROM a WHERE (log, size) IN (SELECT log, size FROM common) GROUP BY size),
+sb AS (SELECT size, avg(mean) AS mean_b, stddev_samp(mean) AS std_b FROM b WHERE (log, size) IN (SELECT log, size FROM common) GROUP BY size)
+SELECT size, round(mean_a - mean_b, {DIGITS}) AS diff,
+       round(sqrt(coalesce(std_a, 0.0) * coalesce(std_a, 0.0) + coalesce(std_b, 0.0) * coalesce(std_b, 0.0)), {DIGITS}) AS err
+FROM sa JOIN sb USING (size)""")
+def diff_by_size_runs(spark, sf_dir):
+    """Per size (epochs) over the common logs, mean difference F - O and combined error."""
+    runs, _ = _exp(spark, sf_dir)
+    a, b = _size_tables(runs)
+    d = A.diff_by_size(a, b)
+    return d.select("size", r("diff").alias("diff"), r("err").alias("err"))
+
+
+@register("diff_vs_reference_runs", "WITH " + _EXP_CTES + f""",
+g AS (SELECT log, avg(CASE WHEN backbone = 'F' THEN acc END) AS mt, stddev_samp(CASE WHEN backbone = 'F' THEN acc END) AS st,
+             avg(CASE WHEN backbone = 'P' THEN acc END) AS mr, stddev_samp(CASE WHEN backbone = 'P' THEN acc END) AS sr
+      FROM runs GROUP BY log)
+SELECT log, round(mt - mr, {DIGITS}) AS diff,
+       round(sqrt(coalesce(st, 0.0) * coalesce(st, 0.0) + coalesce(sr, 0.0) * coalesce(sr, 0.0)), {DIGITS}) AS err
+FROM g WHERE mt IS NOT NULL AND mr IS NOT NULL""")
+def diff_vs_reference_runs(spark, sf_dir):
+    """Backbone F against the reference backbone P per log (conditional aggregates in one pass)."""
+    runs, _ = _exp(spark, sf_dir)
+    d = A.diff_vs_reference(runs, "backbone", "acc", "F", "P")
+    return d.select("log", r("diff").alias("diff"), r("err").alias("err"))
+
+
+@register("recorded_runs_runs", "WITH " + _EXP_CTES + """
+SELECT log, backbone, count(*) AS total_runs, count(*) FILTER (WHERE trim(project) NOT IN ('exp-P')) AS recorded_runs,
+       string_agg(DISTINCT project, ', ' ORDER BY project) AS projects,
+       greatest(10 - count(*) FILTER (WHERE trim(project) NOT IN ('exp-P')), 0) AS missing_to_target
+FROM runs GROUP BY log, backbone""")
+def recorded_runs_runs(spark, sf_dir):
+    """Total and recorded runs per config (excluding a project list), missing to 10."""
+    runs, _ = _exp(spark, sf_dir)
+    t = A.recorded_runs(runs, ["log", "backbone"], [" exp-P "])
+    return t.select("log", "backbone", "total_runs", "recorded_runs", "projects",
+                    F.col("missing_to_target").cast("long").alias("missing_to_target"))
+
+
+@register("best_per_log_runs", "WITH " + _EXP_CTES + f""",
+s AS (SELECT log, backbone, count(*) AS n, avg(acc) AS mean FROM runs WHERE acc IS NOT NULL GROUP BY log, backbone)
+SELECT log, backbone, n, round(mean, {DIGITS}) AS mean,
+       (n >= 4 AND mean = min(CASE WHEN n >= 4 THEN mean END) OVER (PARTITION BY log)) AS is_best FROM s""")
+def best_per_log_runs(spark, sf_dir):
+    """Flag the lowest mean per log among configs with at least 4 runs."""
+    runs, _ = _exp(spark, sf_dir)
+    s = A.best_per_log(A.summary_stats(runs, ["log", "backbone"], "acc"))
+    return s.select("log", "backbone", "n", r("mean").alias("mean"), "is_best")
+
+
+@register("null_counts_history", "WITH " + _EXP_CTES + """
+SELECT 'val_loss' AS column, count(*) FILTER (WHERE val_loss IS NULL) AS nulls, count(val_loss) AS non_nulls FROM hist
+UNION ALL SELECT 'val_acc', count(*) FILTER (WHERE val_acc IS NULL), count(val_acc) FROM hist
+UNION ALL SELECT 'val_f1', count(*) FILTER (WHERE val_f1 IS NULL), count(val_f1) FROM hist""")
+def null_counts_history(spark, sf_dir):
+    """Null and non-null counts per history metric."""
+    _, h = _exp(spark, sf_dir)
+    return A.null_counts(h, ["val_loss", "val_acc", "val_f1"])
+
+
+@register("bar_summary_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, backbone, round(avg(f1), {DIGITS}) AS mean, round(stddev_samp(f1), {DIGITS}) AS std, count(*) AS n
+FROM runs GROUP BY log, backbone""")
+def bar_summary_runs(spark, sf_dir):
+    """Mean and sd of F1 per log and backbone."""
+    runs, _ = _exp(spark, sf_dir)
+    b = A.bar_summary(runs, "log", "backbone", "f1")
+    return b.select("log", "backbone", r("mean").alias("mean"), r("std").alias("std"), "n")
+
+
+_WILCOXON_CTES = """,
+pairs AS (SELECT log, epochs, avg(CASE WHEN backbone = 'F' THEN acc END) - avg(CASE WHEN backbone = 'O' THEN acc END) AS d
+          FROM runs GROUP BY log, epochs),
+nz AS (SELECT log, d, abs(d) AS a FROM pairs WHERE d IS NOT NULL AND abs(d) > 1e-12),
+rk AS (SELECT log, d, 2 * rank() OVER (PARTITION BY log ORDER BY a) + count(*) OVER (PARTITION BY log, a) - 1 AS r2,
+              row_number() OVER (PARTITION BY log ORDER BY a, d) AS i FROM nz),
+ws AS (SELECT log, count(*) AS n, sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) / 2.0 AS wp,
+              sum(CASE WHEN d < 0 THEN r2 ELSE 0 END) / 2.0 AS wm FROM rk GROUP BY log),
+subsets(log, i, s) AS (SELECT DISTINCT log, 0, 0 FROM rk
+          UNION ALL SELECT sb.log, sb.i + 1, sb.s + CASE WHEN t.bit = 1 THEN rk.r2 ELSE 0 END
+          FROM subsets sb JOIN rk ON rk.log = sb.log AND rk.i = sb.i + 1 CROSS JOIN (VALUES (0), (1)) t(bit)),
+cnt AS (SELECT ws.log, count(*) FILTER (WHERE sb.s <= 2 * least(ws.wp, ws.wm)) AS le FROM ws JOIN subsets sb
+        ON sb.log = ws.log AND sb.i = ws.n GROUP BY ws.log)"""
+
+
+@register("wilcoxon_runs", "WITH RECURSIVE " + _EXP_CTES + _WILCOXON_CTES + f"""
+SELECT g.log, coalesce(ws.n, 0) AS n, ws.wp AS w_plus, ws.wm AS w_minus, least(ws.wp, ws.wm) AS w,
+       round(least(1.0, 2.0 * cnt.le / power(2, ws.n)), {DIGITS}) AS p_value
+FROM (SELECT DISTINCT log FROM pairs WHERE d IS NOT NULL) g LEFT JOIN ws ON g.log = ws.log LEFT JOIN cnt ON g.log = cnt.log""")
+def wilcoxon_runs(spark, sf_dir):
+    """Wilcoxon signed-rank test per log of the paired (per epochs) accuracy
+    differences between backbones F and O; the oracle enumerates all sign patterns."""
+    runs, _ = _exp(spark, sf_dir)
+    s = runs.groupBy("log", "epochs").agg(
+        (F.avg(F.when(F.col("backbone") == "F", F.col("acc"))) -
+         F.avg(F.when(F.col("backbone") == "O", F.col("acc")))).alias("d"))
+    w = A.wilcoxon_signed_rank(s, ["log"], "d")
+    return w.select("log", "n", "w_plus", "w_minus", "w", r("p_value").alias("p_value"))

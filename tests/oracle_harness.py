@@ -26,11 +26,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None   # pandas turns nulls of nullable numeric columns into NaN
         return round(v, 6) + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
@@ -43,8 +43,7 @@ def rows_of(pdf: pd.DataFrame) -> list:
     cols = sorted(pdf.columns)
     out = []
     for rec in pdf[cols].itertuples(index=False, name=None):
-        out.append(tuple(_norm(x) if not (isinstance(x, float) and pd.isna(x) and not math.isnan(x)) else None
-                         for x in rec))
+        out.append(tuple(_norm(x) for x in rec))
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
