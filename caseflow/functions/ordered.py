@@ -102,14 +102,20 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                   .withColumn("case_n", F.count(F.lit(1)).over(wall)))
 
     if hot:
-        # first row of every hot chunk, then the first row of the *next* chunk
+        # per hot chunk: its first row, size and time range; per hot case the
+        # next chunk's first row and exact totals (one row per hot chunk)
         hot_rows = base.filter(F.col("__hk").isNotNull())
-        firsts = hot_rows.groupBy(spec.case, _CHUNK).agg(
+        chunks = hot_rows.groupBy(spec.case, _CHUNK).agg(
             F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(True).alias("_")]),
-                     F.struct(*[F.col(c) for c in spec.order_by])).alias("__first"))
+                     F.struct(*[F.col(c) for c in spec.order_by])).alias("__first"),
+            F.count(F.lit(1)).alias("__cn"), F.min(_US).alias("__clo"), F.max(_US).alias("__chi"))
         wc = Window.partitionBy(spec.case).orderBy(_CHUNK)
-        stitch = firsts.select(spec.case, _CHUNK,
-                               F.lead("__first").over(wc).alias("__next_first"))
+        wall_c = Window.partitionBy(spec.case)
+        stitch = chunks.select(spec.case, _CHUNK,
+                               F.lead("__first").over(wc).alias("__next_first"),
+                               F.sum("__cn").over(wall_c).alias("__case_n"),
+                               F.min("__clo").over(wall_c).alias("__case_lo"),
+                               F.max("__chi").over(wall_c).alias("__case_hi"))
         out = out.join(F.broadcast(stitch), [spec.case, _CHUNK], "left")
         at_end = F.col("__in_chunk_next").isNull()
         for c in next_cols:
@@ -117,10 +123,10 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                                  .otherwise(F.col(prefix + c)))
         is_last = at_end & F.col("__next_first").isNull()
         if bounds:
-            out = (out.withColumn("case_start_us", F.coalesce(F.col("__hlo"), F.col("case_start_us")))
-                      .withColumn("case_end_us", F.coalesce(F.col("__hhi"), F.col("case_end_us")))
-                      .withColumn("case_n", F.coalesce(F.col("__hn"), F.col("case_n"))))
-        drop = ["__next_first", "__hn", "__hlo", "__hhi", "__hk"]
+            out = (out.withColumn("case_start_us", F.coalesce(F.col("__case_lo"), F.col("case_start_us")))
+                      .withColumn("case_end_us", F.coalesce(F.col("__case_hi"), F.col("case_end_us")))
+                      .withColumn("case_n", F.coalesce(F.col("__case_n"), F.col("case_n"))))
+        drop = ["__next_first", "__case_n", "__case_lo", "__case_hi", "__hn", "__hlo", "__hhi", "__hk"]
     else:
         is_last = F.col("__in_chunk_next").isNull()
         drop = []

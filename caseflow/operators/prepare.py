@@ -159,37 +159,57 @@ def validate_columns(df: DataFrame, spec: LogSpec, features=(), targets=()) -> D
 
 
 def filter_cases(df: DataFrame, spec: LogSpec, start_date=None, end_date=None,
-                 max_days=None, min_events: int = 3):
+                 max_days=None, min_events: int = 3, hot_case_rows: Optional[int] = None):
     """P4, P6, P7, P9, P10 fused over one case summary.
 
-    Returns ``(surviving cases DataFrame, latest_start_us or None)``.
+    Returns ``(surviving cases DataFrame, latest_start_us or None, hot)``.
     P8 changes neither start nor end of a case, so it can run after this.
+
+    One job computes the P10 scalar and, when ``hot_case_rows`` is given, the
+    hot cases (more events than that) among the candidates: at most
+    ``rows / hot_case_rows`` of them, collected with the scalar.  Their event
+    counts are pre-deduplication, an upper bound, which is what the hot-case
+    split needs.
     """
     summ = case_summary(df, spec).filter(F.col("n") >= min_events)
     if start_date is not None:
         summ = summ.filter(_month("start_us") >= F.lit(start_date))
     if end_date is not None:
         summ = summ.filter(_month("end_us") <= F.lit(end_date))
-    ls = None
     if max_days:
         summ = summ.filter(duration_ok(max_days))
-        ls = latest_start_us(summ, max_days)
-        if ls is not None:
+    hot = None
+    ls = None
+    if max_days or hot_case_rows:
+        aggs = [F.max("end_us").alias("mx")]
+        if hot_case_rows:
+            aggs.append(F.collect_list(F.when(F.col("n") > F.lit(hot_case_rows),
+                                              F.struct(F.col(spec.case), F.col("n"),
+                                                       F.col("start_us").alias("lo"),
+                                                       F.col("end_us").alias("hi")))).alias("hot"))
+        row = summ.agg(*aggs).first()
+        if max_days and row["mx"] is not None:
+            ls = int(row["mx"]) - int(round(max_days * US_PER_DAY))
             summ = summ.filter(F.col("start_us") <= F.lit(ls))
-    return summ, ls
+        if hot_case_rows:
+            hot = [h for h in (row["hot"] or []) if ls is None or h["lo"] <= ls]
+    return summ, ls, hot
 
 
 def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
-                lifecycle: bool = False):
+                lifecycle: bool = False, hot_case_rows: Optional[int] = None):
     """P1 -> P2 -> P3 -> (P4, P6, P7 on the case summary) -> P8 ->.
 
-    Returns ``(filtered log, spec)``.
+    Returns ``(filtered log, spec)``, or ``(filtered log, spec, hot cases)``
+    when ``hot_case_rows`` is given (for the skew-safe case windows).
     """
     params = params or {}
     df, spec = combine_lifecycle(df, spec, lifecycle)
     df = to_utc(select_log_columns(df, spec), spec)
-    cases, _ = filter_cases(df, spec, params.get("start_date"), params.get("end_date"),
-                            params.get("max_days"))
+    cases, _, hot = filter_cases(df, spec, params.get("start_date"), params.get("end_date"),
+                                 params.get("max_days"), hot_case_rows=hot_case_rows)
     df = _keep_cases(df, spec, cases)
     df = drop_duplicate_events(df, spec)
+    if hot_case_rows:
+        return df, spec.with_(lifecycle=None), hot
     return df, spec.with_(lifecycle=None)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
-from caseflow.functions.ordered import case_frame
+from caseflow.functions.ordered import DEFAULT_HOT_CASE_ROWS, case_frame
 from caseflow.operators.encode import apply_mask, encode, fit_vocab, next_categorical
 from caseflow.operators.prepare import prepare_log
 from caseflow.operators.split import MASK, separation_time_us
@@ -43,7 +43,8 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     before sep.
     """
     params = params or {}
-    prepared, spec = prepare_log(log, spec, params, lifecycle)
+    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
+    prepared, spec, hot = prepare_log(log, spec, params, lifecycle, hot_case_rows=T)
     # reused by the separation time, the vocabulary and the encoding
     prepared = prepared.persist()
     test_size = params.get("test_size", 0.2) or 0.2
@@ -52,7 +53,7 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     vocab = fit_vocab(prepared.filter(us <= F.lit(sep)), [spec.activity]).checkpoint()
     enc = encode(prepared, vocab, spec.activity, out="cur").withColumn("__us", us)
     fr = case_frame(enc, spec, next_cols=["__us", "cur"], prefix="__n", bounds=True,
-                    hot_case_rows=hot_case_rows)
+                    hot_case_rows=T, hot=hot)
     s = F.lit(sep)
     nxt_us, nxt_id = F.col("__n__us"), F.col("__ncur")
     train = (fr.filter(F.col("__us") <= s)

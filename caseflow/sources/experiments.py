@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.sources.logs import table
+from caseflow.sources.logs import spread, table
 
 # Key prefixes removed from run summaries and history metrics,
 # and the summary key renamed to duration_sec.
@@ -51,41 +51,26 @@ def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
     return spark.read.json(strings).schema
 
 
-def _normalised_fields(schema: T.StructType, rename: bool) -> list:
-    out = []
-    for f in schema.fields:
-        name = "duration_sec" if (rename and f.name == RUNTIME_KEY) else f.name
-        if not name.startswith(DROP_PREFIXES):
-            out.append(T.StructField(name, f.dataType))
-    return out
-
-
-def _typed(m: F.Column, field: T.StructField) -> F.Column:
-    v = m[field.name]
-    if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
-        return F.from_json(v, field.dataType)
-    return v.try_cast(field.dataType)
-
-
 def flatten_runs(runs: DataFrame, schemas: Optional[dict] = None) -> DataFrame:
     """Stored runs -> wide rows ``id, name, <config keys>, <summary keys>, <metadata keys>``.
 
-    The summary is normalised first (S7); values are read from the normalised
-    map and cast to the types inferred for the raw JSON.  ``created_at``
-    becomes a timestamp.
+    Each JSON column is parsed once into a typed struct (schema inferred over
+    all records when not given); the summary's fields are normalised by name
+    (S7: ``_runtime`` -> ``duration_sec``; ``_``, ``gradients/``,
+    ``parameters/`` keys dropped).  ``created_at`` becomes a timestamp.
     """
     schemas = schemas or {c: infer_json_schema(runs, c) for c in ("config", "summary", "metadata")}
-    maps = {"config": F.from_json("config", "map<string,string>"),
-            "summary": normalise_summary(F.col("summary")),
-            "metadata": F.from_json("metadata", "map<string,string>")}
-    parsed = runs.select("id", "name", *[maps[c].alias(f"__{c}") for c in schemas])
+    parsed = runs.select("id", "name", *[F.from_json(c, schemas[c]).alias(f"__{c}") for c in schemas])
     cols, seen = [F.col("id"), F.col("name")], {"id", "name"}
     for c in schemas:
-        for f in _normalised_fields(schemas[c], rename=(c == "summary")):
-            if f.name in seen:
+        for f in schemas[c].fields:
+            name = "duration_sec" if (c == "summary" and f.name == RUNTIME_KEY) else f.name
+            if c == "summary" and name.startswith(DROP_PREFIXES):
+                continue
+            if name in seen:
                 continue
-            seen.add(f.name)
-            cols.append(_typed(F.col(f"__{c}"), f).alias(f.name))
+            seen.add(name)
+            cols.append(F.col(f"__{c}").getField(f.name).alias(name))
     out = parsed.select(*cols)
     if "created_at" in out.columns:
         out = out.withColumn("created_at", F.to_timestamp("created_at"))
@@ -108,11 +93,13 @@ def upsert_history(history: DataFrame, ingest: Iterable[str], run: str = "run_id
 
 
 def flatten_history(history: DataFrame, schema: Optional[T.StructType] = None) -> DataFrame:
-    """History rows -> ``run_id, step, <metric keys>``; rows with no metric left are dropped."""
+    """History rows -> ``run_id, step, <metric keys>``; prefixed keys dropped
+    and rows with no metric key left are dropped."""
     schema = schema or infer_json_schema(history, "metrics")
-    h = history.withColumn("__m", normalise_metrics(F.col("metrics"))).filter(F.size("__m") > 0)
-    fields = _normalised_fields(schema, rename=False)
-    return h.select("run_id", "step", *[_typed(F.col("__m"), f).alias(f.name) for f in fields])
+    keep = [f for f in schema.fields if not f.name.startswith(DROP_PREFIXES)]
+    has_metric = F.exists(F.json_object_keys("metrics"), lambda k: _keep_key(k))
+    p = history.filter(has_metric).withColumn("__p", F.from_json("metrics", schema))
+    return p.select("run_id", "step", *[F.col("__p").getField(f.name).alias(f.name) for f in keep])
 
 
 def load_multiple(frames: dict, skip_missing: bool = True) -> DataFrame:
@@ -152,7 +139,7 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lr = 1e-(year - 1992), epochs = month, accuracy = totalprice / 600000,
     f1 = accuracy², duration = totalprice / 100 s, created at the order date,
     project = 'exp-' + status."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     acc = F.col("o_totalprice") / F.lit(600000.0)
     lr = F.concat(F.lit("1e-"), (F.year("o_orderdate") - 1992).cast("string")).cast("double")
     config = F.to_json(F.struct(F.col("o_orderpriority").alias("log"), F.col("o_orderstatus").alias("backbone"),
@@ -191,7 +178,7 @@ def history_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     val_loss = discount + tax, val_acc = 1 - discount, val_f1 = quantity / 50;
     (order, line number) repeats, so the ingest order (ship date, then the
     remaining columns) decides which write is last."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     metrics = F.to_json(F.struct(
         F.col("l_linenumber").alias("_step"),
         (F.col("l_discount") + F.col("l_tax")).alias("val_loss"),
