@@ -59,26 +59,31 @@ def prefix_windows(seqs: DataFrame, arr: str, k: int, pad=-1) -> DataFrame:
     return seqs.select("*", F.posexplode(F.concat(short, full)).alias("win_idx", "window"))
 
 
-def prefix_suffix(seqs: DataFrame, arr: str, k: int, pad=-1, include_first: bool = False) -> DataFrame:
-    """Q7: (prefix window, suffix window of up to k targets starting at the
-    window's last event), both padded to k.  For n >= k the window [0, k) is not
-    emitted unless ``include_first`` (quirk K6)."""
-    a = F.col(arr)
-    n = F.size(a)
-    start = 0 if include_first else 1
-    # windows ending at position e (1-based) for e in [k + start, n] when n >= k,
-    # else prefixes ending at 1..n
-    def pair(e, width):
-        pre = pad_right(F.slice(a, F.greatest(e - width + 1, F.lit(1)), F.least(e, F.lit(width))), k, pad)
-        suf = pad_right(F.slice(a, e, k), k, pad)
+def prefix_suffix(seqs: DataFrame, feat: str, tgt: str, k: int, pad=0,
+                  include_first: bool = False) -> DataFrame:
+    """Q7: (prefix window of features, suffix window of up to k targets starting
+    at the window's last event), both right-padded to k with ``pad``.
+
+    Windows are identified by their last event e (1-based): e = 1..n when
+    n < k; otherwise the short prefixes e = 1..k-1 and the full windows
+    e = k+1..n — the first full window (e = k) is skipped as in the reference
+    (quirk K6) unless ``include_first``.  One output row per window:
+    ``(…, pair_idx, prefix, suffix)``.
+    """
+    f, t = F.col(feat), F.col(tgt)
+    n = F.size(f)
+    empty = F.array().cast("array<int>")
+    short_end = F.when(n < k, n).otherwise(F.lit(k - 1))
+    shorts = F.when(short_end >= 1, F.sequence(F.lit(1), short_end)).otherwise(empty)
+    first = F.when((n >= k) & F.lit(include_first), F.array(F.lit(k))).otherwise(empty)
+    longs = F.when(n >= k + 1, F.sequence(F.lit(k + 1), n)).otherwise(empty)
+    ends = F.concat(shorts, first, longs)
+
+    def pair(e):
+        pre = pad_right(F.slice(f, F.greatest(e - k + 1, F.lit(1)), F.least(e, F.lit(k))), k, pad)
+        suf = pad_right(F.slice(t, e, k), k, pad)
         return F.struct(pre.alias("prefix"), suf.alias("suffix"))
-    short = F.transform(F.sequence(F.lit(1), n), lambda e: pair(e, k))
-    long_ = F.transform(F.sequence(F.lit(k + start), F.greatest(n, F.lit(k + start))),
-                        lambda e: pair(e, k))
-    et = seqs.schema[arr].dataType.elementType.simpleString()
-    empty = F.array().cast(f"array<struct<prefix:array<{et}>,suffix:array<{et}>>>")
-    out = F.when(n < k, short).when(n >= k + start, long_).otherwise(empty)
-    return (seqs.select("*", F.posexplode(out).alias("pair_idx", "pair"))
+    return (seqs.select("*", F.posexplode(F.transform(ends, pair)).alias("pair_idx", "pair"))
                 .select("*", F.col("pair.prefix").alias("prefix"), F.col("pair.suffix").alias("suffix"))
                 .drop("pair"))
 

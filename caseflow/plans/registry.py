@@ -618,7 +618,14 @@ from caseflow.sources.experiments import derived_experiment  # noqa: E402
 _EXP_CTES = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS log, o_orderstatus AS backbone,
         CAST('1e-' || CAST(year(o_orderdate) - 1992 AS VARCHAR) AS DOUBLE) AS lr, CAST(month(o_orderdate) AS BIGINT) AS epochs,
         'exp-' || o_orderstatus AS project, o_totalprice / 100.0 AS duration_sec, o_totalprice / 600000.0 AS acc,
-        (o_totalprice / 600000.0) * (o_totalprice / 600000.0) AS f1, o_orderdate AS created_at FROM orders),
+        (o_totalprice / 600000.0) * (o_totalprice / 600000.0) AS f1, o_orderdate AS created_at,
+        CASE o_orderstatus WHEN 'F' THEN 'gpt2-small' WHEN 'O' THEN 'nano_64' ELSE 'lstm_64' END AS model,
+        CASE o_orderstatus WHEN 'F' THEN 'None' WHEN 'P' THEN 'last-2' END AS fine_tuning,
+        CAST(32 * month(o_orderdate) AS BIGINT) AS hidden_size, CAST(year(o_orderdate) - 1994 AS BIGINT) AS n_layers,
+        CAST(day(o_orderdate) AS BIGINT) AS n_heads,
+        CAST(32 * month(o_orderdate) AS BIGINT) * CAST(32 * month(o_orderdate) AS BIGINT) * CAST(year(o_orderdate) - 1994 AS BIGINT) * 12 AS total_params,
+        CAST(32 * month(o_orderdate) AS BIGINT) * CAST(year(o_orderdate) - 1994 AS BIGINT) * 1000 AS trainable_params,
+        CAST(32 * month(o_orderdate) AS BIGINT) AS embedding_size FROM orders),
 hist AS (SELECT run_id, step, val_loss, val_acc, val_f1 FROM (
         SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS step, l_discount + l_tax AS val_loss,
                1.0 - l_discount AS val_acc, l_quantity / 50.0 AS val_f1,
@@ -983,3 +990,219 @@ def wilcoxon_runs(spark, sf_dir):
          F.avg(F.when(F.col("backbone") == "O", F.col("acc")))).alias("d"))
     w = A.wilcoxon_signed_rank(s, ["log"], "d")
     return w.select("log", "n", "w_plus", "w_minus", "w", r("p_value").alias("p_value"))
+
+
+# ---------------------------------------------------------------------------
+# Trace tensors (Q1, Q3, Q7, Q8, Q10, Q11) on the encoded train split
+# ---------------------------------------------------------------------------
+
+from caseflow.operators import sequences as Q  # noqa: E402
+
+
+def _train_traces(spark, sf_dir):
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    return Q.traces(es.train, es.spec, ["cur", "tgt", "masked"])
+
+
+_TRACE_CTES = split_ctes("events_by_user_day") + """,
+tr AS (SELECT case_id, list(cur ORDER BY ts, seq) AS cur, list(tgt ORDER BY ts, seq) AS tgt,
+              list(masked ORDER BY ts, seq) AS masked FROM train GROUP BY case_id)"""
+
+
+@register("prefix_suffix_events_by_user_day", "WITH " + _TRACE_CTES + """,
+ends AS (SELECT case_id, cur, tgt, len(cur) AS n, unnest(CASE WHEN len(cur) < 4 THEN range(1, len(cur) + 1)
+               ELSE list_concat(range(1, 4), range(5, len(cur) + 1)) END) AS e FROM tr)
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY e) - 1 AS INTEGER) AS pair_idx,
+       array_to_string(list_resize(list_slice(cur, greatest(e - 3, 1), e), 4, 0), ',') AS prefix_str,
+       array_to_string(list_resize(list_slice(tgt, e, e + 3), 4, 0), ',') AS suffix_str
+FROM ends""")
+def prefix_suffix_events_day(spark, sf_dir):
+    """Q7: prefix windows of encoded activities with their target suffixes (k = 4, pad 0)."""
+    ps = Q.prefix_suffix(_train_traces(spark, sf_dir), "cur", "tgt", 4, pad=0)
+    return ps.select("case_id", "pair_idx", F.array_join("prefix", ",").alias("prefix_str"),
+                     F.array_join("suffix", ",").alias("suffix_str"))
+
+
+@register("trace_tensors_events_by_user_day", "WITH " + _TRACE_CTES + """,
+mx AS (SELECT max(len(cur)) AS T FROM tr)
+SELECT case_id, CAST(len(cur) AS INTEGER) AS n_events,
+       array_to_string(list_resize(cur, (SELECT T FROM mx), 0), ',') AS padded_cur,
+       list_filter(list_resize(tgt, (SELECT T FROM mx), 0), lambda x: x <> 0)[-1] AS last_valid_target,
+       array_to_string(list_slice(cur, len(cur) - least(5, len(cur)) + 1, len(cur)), ',') AS recent_cur,
+       CAST(greatest(len(list_filter(masked, lambda m: NOT m)), 1) AS INTEGER) AS trace_length
+FROM tr""")
+def trace_tensors_events_day(spark, sf_dir):
+    """Q1 + Q3 + Q8 + Q10 + Q11: per-case encoded traces padded to the longest,
+    last valid target, the last 5 steps, and the number of scored positions."""
+    tr = _train_traces(spark, sf_dir).withColumn("__b", F.lit(0))
+    padded = Q.pad_batch(tr.withColumn("__pc", F.col("cur")).withColumn("__pt", F.col("tgt")), "__pc", "__b")
+    padded = Q.pad_batch(padded, "__pt", "__b")
+    return padded.select(
+        "case_id", F.size("cur").alias("n_events"), F.array_join("__pc", ",").alias("padded_cur"),
+        Q.last_valid("__pt").alias("last_valid_target"),
+        F.array_join(Q.truncate_recent("cur", 5), ",").alias("recent_cur"),
+        Q.trace_lengths(F.transform("masked", lambda m: ~m)).alias("trace_length"))
+
+
+# ---------------------------------------------------------------------------
+# Run labels, architecture and parameter analytics
+# ---------------------------------------------------------------------------
+
+_FAMILY_SQL = """CASE WHEN lower(model) LIKE 'lstm%' THEN 'LSTM' WHEN lower(model) LIKE 'nano%' THEN 'From Scratch'
+     WHEN lower(model) LIKE 'distill%' THEN 'Distilled' WHEN lower(model) LIKE 'gpt2%' THEN 'Pre-trained GPT-2'
+     WHEN lower(model) LIKE 'qwen%' THEN 'Pre-trained Qwen-3' WHEN lower(model) = 'baseline' THEN 'Argmax'
+     ELSE 'Other' END"""
+
+_LOG_ALIAS = {"1-URGENT": "urgent", "5-LOW": "low"}
+
+
+@register("run_labels_orders", "WITH " + _EXP_CTES + f"""
+SELECT id,
+  CASE WHEN fine_tuning IS NULL OR fine_tuning IN ('None', 'nan', '') THEN 'all' ELSE fine_tuning END AS freeze,
+  CASE WHEN fine_tuning IS NULL OR fine_tuning IN ('None', 'nan', '') THEN 'no freezing' ELSE fine_tuning END AS fine_tune,
+  CASE log WHEN '1-URGENT' THEN 'urgent' WHEN '5-LOW' THEN 'low' ELSE log END AS log_label,
+  CAST(hidden_size AS VARCHAR) || '-' || CAST(n_layers AS VARCHAR) || '-' || CAST(n_heads AS VARCHAR) AS arch,
+  {_FAMILY_SQL} AS family,
+  round(coalesce(f1, acc), {DIGITS}) AS metric,
+  '["' || project || '"]' AS project_key
+FROM runs WHERE backbone <> 'X'""")
+def run_labels_orders(spark, sf_dir):
+    """A4-A8 + A20: fine-tuning labels, log aliases, architecture label, model family,
+    coalesced metric and a stable JSON key (backbones in an exclusion list dropped)."""
+    runs, _ = _exp(spark, sf_dir)
+    n = A.normalise_labels(runs, "fine_tuning", log_map=None, exclude_backbones=["X"])
+    return n.select("id", "freeze", "fine_tune", A.alias_values("log", _LOG_ALIAS).alias("log_label"),
+                    A.arch_label().alias("arch"), A.model_family("model").alias("family"),
+                    r(A.coalesce_metric("f1", "acc")).alias("metric"),
+                    A.hashable_key(F.array("project")).alias("project_key"))
+
+
+@register("best_by_log_scopes_runs", "WITH " + _EXP_CTES + f""",
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_loss, step) AS rn
+                     FROM hist WHERE val_loss IS NOT NULL) WHERE rn = 1),
+e AS (SELECT runs.*, b.val_loss AS best_val_loss FROM runs JOIN b ON runs.id = b.run_id),
+s AS (SELECT 'all' AS scope, * FROM e UNION ALL SELECT 'pretrained', * FROM e WHERE model LIKE 'gpt2%'
+      UNION ALL SELECT 'others', * FROM e WHERE model NOT LIKE 'gpt2%')
+SELECT scope, log, id, round(best_val_loss, {DIGITS}) AS best_val_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY scope, log ORDER BY best_val_loss, id) AS rn FROM s) WHERE rn = 1""")
+def best_by_log_scopes_runs(spark, sf_dir):
+    """A3: run with the lowest best validation loss per log, in three scopes, unioned and labelled."""
+    runs, h = _exp(spark, sf_dir)
+    e = A.best_val_step(runs, h).filter(F.col("best_val_loss").isNotNull())
+    scopes = {"all": F.lit(True), "pretrained": F.col("model").startswith("gpt2"),
+              "others": ~F.col("model").startswith("gpt2")}
+    out = None
+    for name, pred in scopes.items():
+        b = A.best_by_group(e.filter(pred), ["log"], "best_val_loss").select(
+            F.lit(name).alias("scope"), "log", "id", r("best_val_loss").alias("best_val_loss"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@register("test_at_best_val_runs", "WITH " + _EXP_CTES + """,
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_loss, step) AS rn
+                     FROM hist WHERE val_loss IS NOT NULL) WHERE rn = 1),
+j AS (SELECT runs.id, runs.log, h.val_f1 AS hist_f1, runs.f1 FROM runs JOIN b ON runs.id = b.run_id
+      LEFT JOIN hist h ON h.run_id = runs.id AND h.step = b.step)
+SELECT log, count(*) AS runs, count(*) FILTER (WHERE abs(hist_f1 - f1) <= 1e-8 + 1e-5 * abs(f1)) AS matches
+FROM j GROUP BY log""")
+def test_at_best_val_runs(spark, sf_dir):
+    """A2: metric at the best validation step against the logged final value (isclose), per log."""
+    runs, h = _exp(spark, sf_dir)
+    e = A.best_val_step(runs, h).filter(F.col("best_step").isNotNull())
+    j = A.test_at_best_val(e, h, {"val_f1": "f1"})
+    return j.groupBy("log").agg(F.count(F.lit(1)).alias("runs"),
+                                F.count_if(F.col("match_val_f1")).alias("matches"))
+
+
+@register("descriptors_runs", "WITH " + _EXP_CTES + """
+SELECT backbone, min(project) AS project, min(model) AS model,
+       (count(DISTINCT project) + max(CAST(project IS NULL AS INTEGER))) > 1 AS project__varies,
+       (count(DISTINCT model) + max(CAST(model IS NULL AS INTEGER))) > 1 AS model__varies,
+       (count(DISTINCT log) + max(CAST(log IS NULL AS INTEGER))) > 1 AS log__varies
+FROM runs GROUP BY backbone""")
+def descriptors_runs(spark, sf_dir):
+    """Per backbone the (constant) descriptors and which columns vary inside the group."""
+    runs, _ = _exp(spark, sf_dir)
+    d = A.descriptors(runs, ["backbone"], ["project", "model", "log"])
+    return d.select("backbone", "project", "model", "project__varies", "model__varies", "log__varies")
+
+
+@register("wall_clock_by_family_runs", "WITH " + _EXP_CTES + f""",
+l1 AS (SELECT {_FAMILY_SQL} AS family, backbone, log, avg(duration_sec) AS d FROM runs GROUP BY ALL),
+l2 AS (SELECT family, backbone, avg(d) AS d FROM l1 GROUP BY family, backbone)
+SELECT family, count(*) AS backbones, round(avg(d) / 60.0, {DIGITS}) AS avg_minutes,
+       round(stddev_samp(d) / 60.0, {DIGITS}) AS sd_minutes FROM l2 GROUP BY family""")
+def wall_clock_by_family_runs(spark, sf_dir):
+    """Three-level wall-clock summary by model family."""
+    runs, _ = _exp(spark, sf_dir)
+    w = A.wall_clock_by_family(runs.withColumn("family", A.model_family("model")))
+    return w.select("family", "backbones", r("avg_minutes").alias("avg_minutes"), r("sd_minutes").alias("sd_minutes"))
+
+
+@register("mean_per_backbone_runs", "WITH " + _EXP_CTES + f"""
+SELECT backbone, round(avg(acc), {DIGITS}) AS acc_mean, round(avg(f1), {DIGITS}) AS f1_mean,
+       round(median(total_params), {DIGITS}) AS median_params FROM runs GROUP BY backbone""")
+def mean_per_backbone_runs(spark, sf_dir):
+    """Accuracy and F1 means per backbone with the median parameter count."""
+    runs, _ = _exp(spark, sf_dir)
+    m = A.mean_per_backbone(runs, params="total_params")
+    return m.select("backbone", r("acc_mean").alias("acc_mean"), r("f1_mean").alias("f1_mean"),
+                    r(F.col("median_params").cast("double")).alias("median_params"))
+
+
+@register("metric_by_params_runs", "WITH " + _EXP_CTES + f"""
+SELECT backbone, total_params, round(avg(acc), {DIGITS}) AS mean, round(stddev_samp(acc), {DIGITS}) AS std, count(*) AS n
+FROM runs GROUP BY backbone, total_params
+UNION ALL SELECT 'baseline', NULL, round(avg(acc), {DIGITS}), round(stddev_samp(acc), {DIGITS}), count(*)
+FROM runs WHERE backbone = 'P'""")
+def metric_by_params_runs(spark, sf_dir):
+    """Accuracy mean / sd per (backbone, params) plus reference rows with null params."""
+    runs, _ = _exp(spark, sf_dir)
+    a = A.summary_stats(runs, ["backbone", "total_params"], "acc").select(
+        "backbone", "total_params", r("mean").alias("mean"), r("std").alias("std"), "n")
+    ref = runs.filter(F.col("backbone") == "P").agg(
+        r(F.avg("acc")).alias("mean"), r(F.stddev_samp("acc")).alias("std"), F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("baseline").alias("backbone"), F.lit(None).cast("long").alias("total_params"), "mean", "std", "n")
+    return a.unionByName(ref)
+
+
+@register("slot_order_runs", "WITH " + _EXP_CTES + """
+SELECT model, min_params AS total_params, CAST(row_number() OVER (ORDER BY min_params ASC NULLS LAST, model) - 1 AS INTEGER) AS slot
+FROM (SELECT model, min(total_params) AS min_params FROM runs GROUP BY model)""")
+def slot_order_runs(spark, sf_dir):
+    """One slot per model ordered by parameter count (0-based)."""
+    runs, _ = _exp(spark, sf_dir)
+    s = A.slot_order(runs, "model", "total_params")
+    return s.select("model", "total_params", F.col("slot").cast("int").alias("slot"))
+
+
+@register("params_per_dim_runs", "WITH " + _EXP_CTES + f"""
+SELECT backbone, log, n_layers AS size, round(min(trainable_params / embedding_size), {DIGITS}) AS params_per_dim
+FROM runs GROUP BY backbone, log, n_layers""")
+def params_per_dim_runs(spark, sf_dir):
+    """Trainable parameters per embedding dimension per (backbone, log, size = layers)."""
+    runs, _ = _exp(spark, sf_dir)
+    p = A.params_per_dim(runs.withColumnRenamed("n_layers", "size"))
+    return p.select("backbone", "log", "size", r("params_per_dim").alias("params_per_dim"))
+
+
+@register("lr_filtered_summary_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, count(*) AS n, round(avg(acc), {DIGITS}) AS mean FROM runs WHERE lr = 0.001 OR lr IS NULL GROUP BY log""")
+def lr_filtered_summary_runs(spark, sf_dir):
+    """Runs with lr 1e-3 (or none), summarised per log."""
+    runs, _ = _exp(spark, sf_dir)
+    return A.lr_filter(runs, 1e-3).groupBy("log").agg(F.count(F.lit(1)).alias("n"), r(F.avg("acc")).alias("mean"))
+
+
+@register("metric_melt_runs", "WITH " + _EXP_CTES + f""",
+s AS (SELECT log, avg(acc) AS acc, avg(f1) AS f1 FROM runs GROUP BY log)
+SELECT log, 'Accuracy' AS metric, round(acc, {DIGITS}) AS score FROM s
+UNION ALL SELECT log, 'Macro F1', round(f1, {DIGITS}) FROM s""")
+def metric_melt_runs(spark, sf_dir):
+    """Wide per-log metrics melted to (log, metric, score) with display labels."""
+    runs, _ = _exp(spark, sf_dir)
+    wide = runs.groupBy("log").agg(F.avg("acc").alias("acc"), F.avg("f1").alias("f1"))
+    m = D.metric_melt(wide, ["log"], ["acc", "f1"], {"acc": "Accuracy", "f1": "Macro F1"})
+    return m.select("log", "metric", r("score").alias("score"))

@@ -138,13 +138,28 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored run per order: log = priority, backbone = status,
     lr = 1e-(year - 1992), epochs = month, accuracy = totalprice / 600000,
     f1 = accuracy², duration = totalprice / 100 s, created at the order date,
-    project = 'exp-' + status."""
+    project = 'exp-' + status; model gpt2-small / nano_64 / lstm_64 and
+    fine_tuning 'None' / null / 'last-2' for status F / O / P; hidden size =
+    32 * month, layers = year - 1994, heads = day of month, total params =
+    12 * hidden² * layers, trainable = 1000 * hidden * layers."""
     o = spread(table(spark, sf_dir, "orders"))
     acc = F.col("o_totalprice") / F.lit(600000.0)
     lr = F.concat(F.lit("1e-"), (F.year("o_orderdate") - 1992).cast("string")).cast("double")
+    hidden = (F.lit(32) * F.month("o_orderdate")).cast("long")
+    layers = (F.year("o_orderdate") - 1994).cast("long")
+    model = (F.when(F.col("o_orderstatus") == "F", F.lit("gpt2-small"))
+              .when(F.col("o_orderstatus") == "O", F.lit("nano_64")).otherwise(F.lit("lstm_64")))
+    tuning = (F.when(F.col("o_orderstatus") == "F", F.lit("None"))
+               .when(F.col("o_orderstatus") == "P", F.lit("last-2")))
     config = F.to_json(F.struct(F.col("o_orderpriority").alias("log"), F.col("o_orderstatus").alias("backbone"),
                                 lr.alias("lr"), F.month("o_orderdate").alias("epochs"),
-                                F.concat(F.lit("exp-"), F.col("o_orderstatus")).alias("project")))
+                                F.concat(F.lit("exp-"), F.col("o_orderstatus")).alias("project"),
+                                model.alias("model"), tuning.alias("fine_tuning"),
+                                hidden.alias("hidden_size"), layers.alias("n_layers"),
+                                F.dayofmonth("o_orderdate").cast("long").alias("n_heads"),
+                                (hidden * hidden * layers * 12).alias("total_params"),
+                                (hidden * layers * 1000).alias("trainable_params"),
+                                hidden.alias("embedding_size")))
     summary = F.to_json(F.struct(
         (F.col("o_totalprice") / 100.0).alias("_runtime"),
         F.month("o_orderdate").alias("_step"),
@@ -161,7 +176,11 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_SCHEMAS = {
     "config": T.StructType([T.StructField("log", T.StringType()), T.StructField("backbone", T.StringType()),
                             T.StructField("lr", T.DoubleType()), T.StructField("epochs", T.LongType()),
-                            T.StructField("project", T.StringType())]),
+                            T.StructField("project", T.StringType()), T.StructField("model", T.StringType()),
+                            T.StructField("fine_tuning", T.StringType()), T.StructField("hidden_size", T.LongType()),
+                            T.StructField("n_layers", T.LongType()), T.StructField("n_heads", T.LongType()),
+                            T.StructField("total_params", T.LongType()), T.StructField("trainable_params", T.LongType()),
+                            T.StructField("embedding_size", T.LongType())]),
     "summary": T.StructType([T.StructField("_runtime", T.DoubleType()), T.StructField("_step", T.LongType()),
                              T.StructField("gradients/w", T.DoubleType()),
                              T.StructField("best_test_final_next_activity_acc", T.DoubleType()),
