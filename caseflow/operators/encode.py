@@ -91,3 +91,42 @@ def clamp_unknown(id_col, size) -> F.Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     s = F.lit(size) if isinstance(size, int) else (F.col(size) if isinstance(size, str) else size)
     return F.when((c < 0) | (c >= s), F.lit(UNK_ID)).otherwise(c).cast("int")
+
+
+def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], numerical: Iterable[str],
+                    cat_targets: Iterable[str] = (), num_targets: Iterable[str] = (),
+                    vocab: Optional[DataFrame] = None, mask: str = "masked",
+                    hot_case_rows: Optional[int] = None, hot: Optional[list] = None):
+    """P14 -> E1 -> E2 -> E6 -> E7/E8 -> E9 over named splits (``{'train': df, ...}``).
+
+    The vocabulary is fitted on ``splits['train']`` for features and targets
+    (K9) unless given (E5: test / val reuse it).  Categorical targets become
+    ``next_<t>`` = id of the next event in the case within the split (<EOS>
+    at its end), -1 where masked; numerical targets are copied unshifted
+    (K8).  Returns ``({name: encoded df}, vocab)``.
+    """
+    from caseflow.functions.ordered import case_frame
+    from caseflow.operators.prepare import validate_columns
+
+    categorical, numerical = list(categorical), list(numerical)
+    cat_targets, num_targets = list(cat_targets), list(num_targets)
+    if vocab is None:
+        vocab = fit_vocab(splits["train"], list(dict.fromkeys(categorical + cat_targets)))
+    out = {}
+    for name, df in splits.items():
+        df = validate_columns(df, spec, categorical + numerical, cat_targets + num_targets,
+                              extra=[mask] if mask in df.columns else [])
+        for c in dict.fromkeys(categorical + cat_targets):
+            df = encode(df, vocab, c)
+        df = ensure_dtypes(df, categorical + cat_targets, numerical)
+        if cat_targets:
+            df = case_frame(df, spec, next_cols=cat_targets, prefix="__next_", hot_case_rows=hot_case_rows,
+                            hot=hot)
+            for t in cat_targets:
+                tgt = next_categorical(f"__next_{t}")
+                df = df.withColumn(f"next_{t}", apply_mask(tgt, mask) if mask in df.columns else tgt) \
+                       .drop(f"__next_{t}")
+        for t in num_targets:
+            df = df.withColumn(f"next_{t}", F.col(t).cast("float"))   # copied, not shifted (K8)
+        out[name] = df
+    return out, vocab

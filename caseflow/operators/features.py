@@ -35,9 +35,9 @@ def calendar_features(ts) -> dict:
 
 
 def time_features(df: DataFrame, spec: LogSpec, remaining: bool = True,
-                  hot_case_rows: Optional[int] = None) -> DataFrame:
+                  hot_case_rows: Optional[int] = None, hot: Optional[list] = None) -> DataFrame:
     """accumulated_time, remaining_time (days, within this split) and calendar parts."""
-    fr = case_frame(df, spec, bounds=True, hot_case_rows=hot_case_rows)
+    fr = case_frame(df, spec, bounds=True, hot_case_rows=hot_case_rows, hot=hot)
     us = micros(spec.ts)
     out = fr.withColumn("accumulated_time", (us - F.col("case_start_us")) / F.lit(US_PER_DAY))
     if remaining:
@@ -54,6 +54,23 @@ def fit_scaler(train: DataFrame, columns: Iterable[str]) -> DataFrame:
     return train.agg(*aggs)
 
 
+def fit_scaler_values(train: DataFrame, columns: Iterable[str]) -> dict:
+    """F7 as driver values: {column: (mean, std)} — one aggregate row, 2 numbers per column."""
+    columns = list(columns)
+    row = fit_scaler(train, columns).first()
+    return {c: (row[f"{c}__mean"], row[f"{c}__std"]) for c in columns}
+
+
+def apply_scaler_values(df: DataFrame, values: dict) -> DataFrame:
+    """F8 with literal parameters (std 0 or null treated as 1)."""
+    for c, (m, sd) in values.items():
+        if m is None:
+            continue
+        d = 1.0 if (sd is None or sd == 0) else float(sd)
+        df = df.withColumn(c, (F.col(c) - F.lit(float(m))) / F.lit(d))
+    return df
+
+
 def apply_scaler(df: DataFrame, params: DataFrame, columns: Iterable[str]) -> DataFrame:
     """F8: (x - mean) / std, with std 0 treated as 1."""
     columns = list(columns)

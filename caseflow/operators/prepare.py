@@ -145,13 +145,14 @@ def coerce_amount(df: DataFrame, spec: LogSpec) -> DataFrame:
                                                  F.lit(0.0)))
 
 
-def validate_columns(df: DataFrame, spec: LogSpec, features=(), targets=()) -> DataFrame:
-    """Require case id, features and targets; at least one case; keep only those."""
+def validate_columns(df: DataFrame, spec: LogSpec, features=(), targets=(), extra=()) -> DataFrame:
+    """Require case id, features and targets; at least one case; keep only
+    those (plus the ordering columns and ``extra``)."""
     need = [spec.case, *features, *[t for t in targets if t not in features]]
     missing = [c for c in need if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    keep = list(dict.fromkeys([*need, spec.ts, *spec.order]))
+    keep = list(dict.fromkeys([*need, spec.ts, *spec.order, *extra]))
     out = df.select(*[c for c in keep if c in df.columns])
     if not out.limit(1).take(1):
         raise ValueError("the log has no cases")

@@ -48,10 +48,13 @@ def separation_time_us(df: DataFrame, spec: LogSpec, frac: float) -> int:
 
 
 def prefix_split(df: DataFrame, spec: LogSpec, frac: float, mask_in: Optional[str] = None,
-                 sep_us: Optional[int] = None, hot_case_rows: Optional[int] = None) -> Split:
+                 sep_us: Optional[int] = None, hot_case_rows: Optional[int] = None,
+                 hot: Optional[list] = None) -> Split:
     """T8 (with T2-T7): temporal prefix split of ``df`` at fraction ``frac``.
 
     ``mask_in``: name of an incoming boolean mask column to OR into both splits (T7).
+    ``hot``: hot cases already known (e.g. from ``prepare_log``); a split only
+    shrinks cases, so a list computed on a superset stays valid.
     """
     if frac <= 0.0:
         raise ValueError("split size must be > 0")  # K2
@@ -60,7 +63,7 @@ def prefix_split(df: DataFrame, spec: LogSpec, frac: float, mask_in: Optional[st
     sep = F.lit(sep_us)
     base = df.withColumn("__us", micros(spec.ts))
     fr = case_frame(base, spec, next_cols=["__us"], prefix="__next", bounds=True,
-                    hot_case_rows=hot_case_rows)
+                    hot_case_rows=hot_case_rows, hot=hot)
     nxt = F.col("__next__us")
     carry = (lambda m: m | F.coalesce(F.col(mask_in), F.lit(False))) if mask_in else (lambda m: m)
     helper = ["__us", "__next__us", "case_start_us", "case_end_us", "case_n"]

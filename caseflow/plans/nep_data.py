@@ -64,3 +64,38 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
               .withColumn("tgt", apply_mask(next_categorical("__ncur"), MASK)))
     helper = ["__us", "__n__us", "__ncur", "case_start_us", "case_end_us", "case_n"]
     return EncodedSplit(train.drop(*helper), test.drop(*helper), vocab, sep, spec, prepared)
+
+
+def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
+                      categorical=("activity",), numerical=("accumulated_time",),
+                      cat_targets=("activity",), num_targets=("remaining_time",),
+                      scale: bool = True, hot_case_rows: Optional[int] = None):
+    """The full preparation protocol of the sequence models: prepare -> split ->
+    P11/P12 per split -> time features per split (F1-F6) -> scaling fitted on
+    train (F7/F8) -> vocabulary, encoding, next targets, masks (E11).
+
+    Returns ``({'train': df, 'test': df}, vocab, sep_us)``.
+    """
+    from caseflow.operators.encode import build_event_log
+    from caseflow.operators.features import apply_scaler_values, fit_scaler_values, scale_columns, time_features
+    from caseflow.operators.prepare import coerce_amount, fill_resource
+    from caseflow.operators.split import prefix_split
+
+    params = params or {}
+    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
+    prepared, spec, hot = prepare_log(log, spec, params, hot_case_rows=T)
+    prepared = prepared.persist()      # read by the separation time and the split
+    sp = prefix_split(prepared, spec, params.get("test_size", 0.2) or 0.2, hot_case_rows=T, hot=hot)
+    parts = {}
+    for name, df in (("train", sp.train), ("test", sp.test)):
+        df = coerce_amount(fill_resource(df, spec), spec)
+        # reused by the scaler fit, the vocabulary and the encoding
+        parts[name] = time_features(df, spec, hot_case_rows=T, hot=hot).persist()
+    if scale:
+        cols = [c for c in scale_columns(parts["train"].columns) if c in parts["train"].columns]
+        values = fit_scaler_values(parts["train"], cols)          # one row of parameters
+        parts = {k: apply_scaler_values(v, values) for k, v in parts.items()}
+    vocab = fit_vocab(parts["train"], list(dict.fromkeys(list(categorical) + list(cat_targets)))).checkpoint()
+    enc, vocab = build_event_log(parts, spec, categorical, numerical, cat_targets, num_targets,
+                                 vocab=vocab, hot_case_rows=T, hot=hot)
+    return enc, vocab, sp.sep_us

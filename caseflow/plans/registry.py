@@ -54,6 +54,9 @@ ADAPTER_SQL = {
                           "event_type AS activity, ts, event_id AS seq, value AS amount FROM events",
     "orders_by_customer": "SELECT CAST(o_custkey AS VARCHAR) AS case_id, o_orderpriority AS activity, "
                           "o_orderdate AS ts, o_orderkey AS seq, o_totalprice AS amount FROM orders",
+    "lineitems_by_order": "SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l_returnflag AS activity, l_shipdate AS ts, "
+                          "CAST(l_suppkey AS VARCHAR) AS resource, l_extendedprice AS amount, l_linenumber, l_partkey, "
+                          "l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax FROM lineitem",
     "conversations": "SELECT CAST(conv_id AS VARCHAR) AS case_id, role AS activity, "
                      "make_timestamp(turn * 1000000) AS ts, turn AS seq, "
                      "CAST(length(text) AS DOUBLE) AS amount FROM conversations",
@@ -82,11 +85,19 @@ def prep_ctes(adapter: str) -> str:
                     f"(SELECT max(epoch_us(e)) FROM okc0) - {int(round(md * 86400e6))})")
     else:
         ctes.append("okc AS (SELECT case_id FROM okc0)")
-    ctes.append("prep AS (SELECT case_id, activity, ts, amount, min(seq) AS seq FROM log "
-                "WHERE case_id IN (SELECT case_id FROM okc) GROUP BY case_id, activity, ts, amount)")
+    if adapter == "lineitems_by_order":
+        ctes.append(f"prep AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY case_id, "
+                    f"activity, ts, resource, amount ORDER BY {LINEITEM_TIEBREAK}) AS rn FROM log "
+                    "WHERE case_id IN (SELECT case_id FROM okc)) WHERE rn = 1)")
+    else:
+        ctes.append("prep AS (SELECT case_id, activity, ts, amount, min(seq) AS seq FROM log "
+                    "WHERE case_id IN (SELECT case_id FROM okc) GROUP BY case_id, activity, ts, amount)")
     return ",\n".join(ctes)
 
 
+LINEITEM_TIEBREAK = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"
+
+
 def split_ctes(adapter: str) -> str:
     """prep + sep + vocab + enc + fr + train + test (encoded positions)."""
     frac = ADAPTER_PARAMS[adapter].get("test_size", 0.2)
@@ -1206,3 +1217,82 @@ def metric_melt_runs(spark, sf_dir):
     wide = runs.groupBy("log").agg(F.avg("acc").alias("acc"), F.avg("f1").alias("f1"))
     m = D.metric_melt(wide, ["log"], ["acc", "f1"], {"acc": "Accuracy", "f1": "Macro F1"})
     return m.select("log", "metric", r("score").alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# Full encoded event log (E11 with P11, P12, P14, F1-F8, E1-E9) on line items
+# ---------------------------------------------------------------------------
+
+from caseflow.plans.nep_data import event_log_dataset  # noqa: E402
+
+_ENC_NUM = ["accumulated_time", "hour_of_day", "amount"]
+
+
+def _scaled_sql(c):
+    return f"({c} - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END"
+
+
+def _f32(x):
+    return f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 4)"
+
+
+_ENC_SQL = "WITH " + prep_ctes("lineitems_by_order") + f""",
+sep AS (SELECT epoch_us(ts) AS sep FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n
+        FROM prep) WHERE rn = CAST(floor(n * CAST('0.8' AS DOUBLE)) AS BIGINT)),
+fr AS (SELECT prep.*, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY case_id ORDER BY ts, {LINEITEM_TIEBREAK}) AS nus,
+              max(epoch_us(ts)) OVER (PARTITION BY case_id) AS ce FROM prep),
+parts AS (SELECT 'train' AS split, fr.*, coalesce(nus > sep, false) AS masked FROM fr, sep WHERE us <= sep
+          UNION ALL SELECT 'test', fr.*, coalesce(nus <= sep, false) FROM fr, sep WHERE ce > sep),
+tf AS (SELECT parts.*, (us - min(us) OVER (PARTITION BY split, case_id)) / {US_DAY} AS accumulated_time,
+              (max(us) OVER (PARTITION BY split, case_id) - us) / {US_DAY} AS remaining_time,
+              CAST(hour(ts) AS DOUBLE) AS hour_of_day FROM parts),
+par AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _ENC_NUM + ['remaining_time'])}
+        FROM tf WHERE split = 'train'),
+va AS (SELECT activity AS value, row_number() OVER (ORDER BY activity) + 2 AS id
+       FROM (SELECT DISTINCT activity FROM tf WHERE split = 'train' AND activity IS NOT NULL)),
+vr AS (SELECT resource AS value, row_number() OVER (ORDER BY resource) + 2 AS id
+       FROM (SELECT DISTINCT resource FROM tf WHERE split = 'train' AND resource IS NOT NULL)),
+enc AS (SELECT tf.*, par.*, coalesce(va.id, 1) AS a_id, coalesce(vr.id, 1) AS r_id
+        FROM tf CROSS JOIN par LEFT JOIN va ON tf.activity = va.value LEFT JOIN vr ON tf.resource = vr.value),
+nx AS (SELECT enc.*, lead(a_id) OVER (PARTITION BY split, case_id ORDER BY ts, {LINEITEM_TIEBREAK}) AS na FROM enc)
+SELECT split, case_id, l_linenumber, l_partkey, l_suppkey, CAST(a_id AS INTEGER) AS activity, CAST(r_id AS INTEGER) AS resource,
+       {', '.join(f"{_f32(_scaled_sql(c))} AS {c}" for c in _ENC_NUM)},
+       CAST(CASE WHEN masked THEN -1 ELSE coalesce(na, 2) END AS INTEGER) AS next_activity,
+       {_f32(_scaled_sql('remaining_time'))} AS next_remaining_time
+FROM nx"""
+
+
+@register("encoded_log_lineitems_by_order", _ENC_SQL)
+def encoded_log_lineitems(spark, sf_dir):
+    """E11 end to end on line items: resource fill, amount coercion, per-split
+    time features, train-fitted scaling, train vocabulary for activity and
+    resource, int32 / float32 encoding, next-activity targets with masks,
+    unshifted numeric target."""
+    log, spec = load_log(spark, "lineitems_by_order", sf_dir)
+    enc, vocab, _ = event_log_dataset(log, spec, ADAPTER_PARAMS["lineitems_by_order"],
+                                      categorical=("activity", "resource"), numerical=tuple(_ENC_NUM),
+                                      cat_targets=("activity",), num_targets=("remaining_time",))
+    f32 = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    out = None
+    for name, df in enc.items():
+        part = df.select(F.lit(name).alias("split"), "case_id", "l_linenumber", "l_partkey", "l_suppkey",
+                         "activity", "resource", *[f32(c) for c in _ENC_NUM], "next_activity",
+                         f32("next_remaining_time"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("vocab_sizes_lineitems_by_order", "WITH " + prep_ctes("lineitems_by_order") + """,
+sep AS (SELECT epoch_us(ts) AS sep FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n
+        FROM prep) WHERE rn = CAST(floor(n * CAST('0.8' AS DOUBLE)) AS BIGINT)),
+tr AS (SELECT * FROM prep WHERE epoch_us(ts) <= (SELECT sep FROM sep))
+SELECT 'activity' AS feature, count(DISTINCT activity) + 3 AS size FROM tr
+UNION ALL SELECT 'resource', count(DISTINCT resource) + 3 FROM tr""")
+def vocab_sizes_lineitems(spark, sf_dir):
+    """E1 + E4: train vocabulary sizes (specials included) of activity and resource."""
+    from caseflow.operators.encode import fit_vocab, vocab_sizes
+    from caseflow.operators.split import separation_time_us
+    df, spec = _prepared(spark, sf_dir, "lineitems_by_order")
+    sep = separation_time_us(df, spec, 0.2)
+    v = fit_vocab(df.filter(micros("ts") <= F.lit(sep)), ["activity", "resource"])
+    return vocab_sizes(v)
