@@ -1296,3 +1296,152 @@ def vocab_sizes_lineitems(spark, sf_dir):
     sep = separation_time_us(df, spec, 0.2)
     v = fit_vocab(df.filter(micros("ts") <= F.lit(sep)), ["activity", "resource"])
     return vocab_sizes(v)
+
+
+# ---------------------------------------------------------------------------
+# Validation splits (T9, T10), overview
+# ---------------------------------------------------------------------------
+
+from caseflow.operators.split import case_split, train_test_val  # noqa: E402
+from caseflow.operators.stats import dataset_overview, split_statistics  # noqa: E402
+
+
+@register("train_val_test_events_by_user", "WITH " + prep_ctes("events_by_user") + """,
+sep AS (SELECT epoch_us(ts) AS sep FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n
+        FROM prep) WHERE rn = CAST(floor(n * CAST('0.8' AS DOUBLE)) AS BIGINT)),
+fr AS (SELECT prep.*, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY case_id ORDER BY ts, seq) AS nus,
+              max(epoch_us(ts)) OVER (PARTITION BY case_id) AS ce FROM prep),
+train0 AS (SELECT fr.case_id, fr.ts, fr.seq, fr.us, coalesce(nus > sep, false) AS m0 FROM fr, sep WHERE us <= sep),
+test AS (SELECT fr.case_id, fr.seq, coalesce(nus <= sep, false) AS masked FROM fr, sep WHERE ce > sep),
+sep2 AS (SELECT us AS sep2 FROM (SELECT us, row_number() OVER (ORDER BY us) - 1 AS rn, count(*) OVER () AS n
+         FROM train0) WHERE rn = CAST(floor(n * CAST('0.9' AS DOUBLE)) AS BIGINT)),
+fr2 AS (SELECT train0.*, lead(us) OVER (PARTITION BY case_id ORDER BY ts, seq) AS nus2,
+               max(us) OVER (PARTITION BY case_id) AS ce2 FROM train0),
+parts AS (SELECT 'train' AS split, case_id, seq, coalesce(nus2 > sep2, false) OR m0 AS masked FROM fr2, sep2 WHERE us <= sep2
+          UNION ALL SELECT 'val', case_id, seq, coalesce(nus2 <= sep2, false) OR m0 FROM fr2, sep2 WHERE ce2 > sep2
+          UNION ALL SELECT 'test', case_id, seq, masked FROM test)
+SELECT split, count(*) AS events, count(*) FILTER (WHERE masked) AS masked_events, count(DISTINCT case_id) AS cases
+FROM parts GROUP BY split""")
+def train_val_test_events_by_user(spark, sf_dir):
+    """T10 + T7: test split, then a prefix validation split of train with the masks carried (ORed)."""
+    df, spec = _prepared(spark, sf_dir, "events_by_user")
+    s = train_test_val(df, spec, 0.2, 0.1, "prefix")
+    out = None
+    for name in ("train", "val", "test"):
+        part = s[name].groupBy().agg(F.count(F.lit(1)).alias("events"), F.count_if("masked").alias("masked_events"),
+                                     F.countDistinct(spec.case).alias("cases")) \
+                      .select(F.lit(name).alias("split"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("case_split_events_by_user_day", "WITH " + prep_ctes("events_by_user_day") + """,
+st AS (SELECT case_id, min(ts) AS s FROM prep GROUP BY case_id),
+k AS (SELECT CAST(floor(0.2 * count(*)) AS BIGINT) AS k FROM st),
+v AS (SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY s DESC, case_id) AS rn FROM st), k WHERE rn <= k.k)
+SELECT CASE WHEN case_id IN (SELECT case_id FROM v) THEN 'val' ELSE 'train' END AS split,
+       count(DISTINCT case_id) AS cases, count(*) AS events FROM prep GROUP BY 1""")
+def case_split_events_by_user_day(spark, sf_dir):
+    """The newest 20 % of cases by first event form the validation part."""
+    df, spec = _prepared(spark, sf_dir, "events_by_user_day")
+    train, val, _ = case_split(df, spec, 0.2)
+    agg = lambda d, n: d.agg(F.countDistinct(spec.case).alias("cases"), F.count(F.lit(1)).alias("events")) \
+        .select(F.lit(n).alias("split"), "*")
+    return agg(train, "train").unionByName(agg(val, "val"))
+
+
+@register("dataset_overview_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + """,
+c AS (SELECT (SELECT count(DISTINCT case_id) FROM train WHERE NOT masked) AS train_cases,
+             (SELECT count(*) FROM train WHERE NOT masked) AS train_events,
+             (SELECT count(DISTINCT case_id) FROM test WHERE NOT masked) AS test_cases,
+             (SELECT count(*) FROM test WHERE NOT masked) AS test_events)
+SELECT *, train_cases + test_cases AS total_cases, train_events + test_events AS total_events,
+       round((train_events + test_events) / (train_cases + test_cases), 1) AS avg_events_per_case FROM c""")
+def dataset_overview_events_by_user_day(spark, sf_dir):
+    """Train / test cases and events, totals, mean events per case (1 decimal)."""
+    sp, spec = _split_frames(spark, sf_dir, "events_by_user_day")
+    st = split_statistics(sp.train, spec, "train", "masked").unionByName(split_statistics(sp.test, spec, "test", "masked"))
+    return dataset_overview(st)
+
+
+# ---------------------------------------------------------------------------
+# Sinusoid encodings
+# ---------------------------------------------------------------------------
+
+from caseflow.operators.features import position_encoding, time_encoding  # noqa: E402
+
+
+@register("time_encoding_conversations", "WITH " + prep_ctes("conversations") + f""",
+t AS (SELECT case_id, seq, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY case_id)) / {US_DAY} * 1000.0 AS t,
+             CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, seq) - 1 AS DOUBLE) AS pos FROM prep),
+d AS (SELECT unnest(range(4)) AS i)
+SELECT case_id, seq, CAST(2 * i AS INTEGER) AS dim,
+       round(sin(t * exp(-ln(10000.0) * 2 * i / 8.0)), {DIGITS}) AS time_enc,
+       round(sin(pos * exp(-ln(10000.0) * 2 * i / 8.0)), {DIGITS}) AS pos_enc FROM t, d
+UNION ALL
+SELECT case_id, seq, CAST(2 * i + 1 AS INTEGER), round(cos(t * exp(-ln(10000.0) * 2 * i / 8.0)), {DIGITS}),
+       round(cos(pos * exp(-ln(10000.0) * 2 * i / 8.0)), {DIGITS}) FROM t, d""")
+def time_encoding_conversations(spark, sf_dir):
+    """F9 + F10: 8-dimensional sinusoid encodings of accumulated time (x1000) and position."""
+    from pyspark.sql import Window
+    df, spec = _prepared(spark, sf_dir, "conversations")
+    w = Window.partitionBy(spec.case).orderBy(*spec.order_by)
+    tf = df.withColumn("__t", (micros("ts") - F.min(micros("ts")).over(Window.partitionBy(spec.case)))
+                       / F.lit(86400000000.0) * 1000.0) \
+           .withColumn("__pos", (F.row_number().over(w) - 1))
+    enc = tf.select("case_id", "seq", F.posexplode(F.arrays_zip(time_encoding(F.col("__t"), 8).alias("a"),
+                                                               position_encoding("__pos", 8).alias("b"))))
+    return enc.select("case_id", "seq", F.col("pos").cast("int").alias("dim"),
+                      r(F.col("col.a")).alias("time_enc"), r(F.col("col.b")).alias("pos_enc"))
+
+
+# ---------------------------------------------------------------------------
+# Numeric targets and user-model scoring (V5, V6, V13); top-k prefixes
+# ---------------------------------------------------------------------------
+
+@register("numeric_target_losses_embeddings", "WITH " + _SCORED_SQL + f""",
+num AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[21] AS p, CAST(embedding AS DOUBLE[])[22] AS y FROM embeddings)
+SELECT round((SELECT avg(ce) FROM rows_), {DIGITS}) AS ce_loss, round((SELECT avg((p - y) * (p - y)) FROM num), {DIGITS}) AS mse,
+       round((SELECT avg(ce) FROM rows_) + (SELECT avg((p - y) * (p - y)) FROM num), {DIGITS}) AS total_loss""")
+def numeric_target_losses_embeddings(spark, sf_dir):
+    """V5 + V6: masked MSE of a numeric target and the total loss over targets."""
+    s = _scored(spark, sf_dir)
+    emb = F.col("embedding").cast("array<double>")
+    e = table(spark, sf_dir, "embeddings").select(F.lit(True).alias("valid"), F.element_at(emb, 21).alias("pred_num"),
+                                                   F.element_at(emb, 22).alias("label_num"))
+    ce = V.masked_cross_entropy(s)
+    mse = V.masked_mse(e)
+    per_target = ce.select(F.col("ce_loss").alias("loss")).unionByName(mse.select(F.col("mse").alias("loss")))
+    tot = V.total_loss(per_target)
+    return ce.crossJoin(mse).crossJoin(tot).select(*[r(c).alias(c) for c in ("ce_loss", "mse", "total_loss")])
+
+
+def _frequency_model(pdf):
+    """A user model for V13: logits = counts of each role id seen so far in the trace."""
+    import numpy as np
+    import pandas as pd
+    rows = []
+    for case_id, acts in zip(pdf["case_id"], pdf["acts"]):
+        seen = np.zeros(4)
+        for pos, a in enumerate(acts):
+            seen[{"system": 0, "user": 1, "assistant": 2}.get(a, 3)] += 1.0
+            rows.append((case_id, pos, seen.tolist()))
+    return pd.DataFrame(rows, columns=["case_id", "pos", "logits"])
+
+
+@register("score_traces_conversations")
+def score_traces_conversations(spark, sf_dir):
+    """Batch scoring of every trace by a user-supplied pandas model (mapInPandas),
+    then argmax predictions per position."""
+    df, spec = _prepared(spark, sf_dir, "conversations")
+    seqs = activity_sequences(df, spec)
+    scored = V.score_traces(seqs, _frequency_model, "case_id string, pos int, logits array<double>")
+    return V.with_prediction(scored, "logits").select("case_id", "pos", "pred")
+
+
+@register("top_prefixes_events_by_user_day", "WITH " + pairs_ctes("events_by_user_day") + """
+SELECT prefix_id, count, prefix_str FROM stats WHERE prefix_id <= 10""")
+def top_prefixes_events_day(spark, sf_dir):
+    """The ten most frequent prefixes (the limit is the feature)."""
+    _, stats, _ = _prefix_frames(spark, sf_dir, "events_by_user_day")
+    return X.top_k_prefixes(stats, 10).select("prefix_id", "count", "prefix_str")
