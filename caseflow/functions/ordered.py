@@ -62,12 +62,14 @@ def hot_cases(df: DataFrame, spec: LogSpec, hot_case_rows: int) -> list:
 
 def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                prefix: str = "next_", bounds: bool = False, last_flag: Optional[str] = None,
-               hot_case_rows: Optional[int] = None, hot: Optional[list] = None) -> DataFrame:
+               hot_case_rows: Optional[int] = None, hot: Optional[list] = None,
+               position: Optional[str] = None) -> DataFrame:
     """Add ``prefix+c`` = value of ``c`` at the next event of the same case (null at the end).
 
     Optional extra columns:
     * ``bounds``: ``case_start_us``, ``case_end_us``, ``case_n`` over the whole case;
-    * ``last_flag``: boolean, True on the last event of the case.
+    * ``last_flag``: boolean, True on the last event of the case;
+    * ``position``: name of a column with the 1-based position of the event in its case.
     """
     next_cols = list(next_cols)
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
@@ -94,6 +96,8 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
     w = case_window(spec, _CHUNK)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = base.withColumn("__in_chunk_next", F.lead(F.lit(True)).over(w))
+    if position:
+        out = out.withColumn(position, F.row_number().over(w).cast("long"))
     for c in next_cols:
         out = out.withColumn(prefix + c, F.lead(F.col(c)).over(w))
     if bounds:
@@ -114,6 +118,8 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
         stitch = chunks.select(spec.case, _CHUNK,
                                F.lead("__first").over(wc).alias("__next_first"),
                                F.sum("__cn").over(wall_c).alias("__case_n"),
+                               F.coalesce(F.sum("__cn").over(wc.rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0)).alias("__prev_n"),
                                F.min("__clo").over(wall_c).alias("__case_lo"),
                                F.max("__chi").over(wall_c).alias("__case_hi"))
         out = out.join(F.broadcast(stitch), [spec.case, _CHUNK], "left")
@@ -122,11 +128,13 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
             out = out.withColumn(prefix + c, F.when(at_end, F.col("__next_first")[c])
                                  .otherwise(F.col(prefix + c)))
         is_last = at_end & F.col("__next_first").isNull()
+        if position:
+            out = out.withColumn(position, F.col(position) + F.coalesce(F.col("__prev_n"), F.lit(0)))
         if bounds:
             out = (out.withColumn("case_start_us", F.coalesce(F.col("__case_lo"), F.col("case_start_us")))
                       .withColumn("case_end_us", F.coalesce(F.col("__case_hi"), F.col("case_end_us")))
                       .withColumn("case_n", F.coalesce(F.col("__case_n"), F.col("case_n"))))
-        drop = ["__next_first", "__case_n", "__case_lo", "__case_hi", "__hn", "__hlo", "__hhi", "__hk"]
+        drop = ["__next_first", "__case_n", "__prev_n", "__case_lo", "__case_hi", "__hn", "__hlo", "__hhi", "__hk"]
     else:
         is_last = F.col("__in_chunk_next").isNull()
         drop = []

@@ -19,9 +19,16 @@ from caseflow.spec import LogSpec
 SEP = " > "
 
 
-def pairs_of_log(df: DataFrame, spec: LogSpec, max_len=None) -> DataFrame:
-    """Q12 on a log: (prefix array<string>, next_activity)."""
-    return prefix_next_pairs(activity_sequences(df, spec), "acts", max_len)
+def pairs_of_log(df: DataFrame, spec: LogSpec, max_len=None, hot_case_rows=None) -> DataFrame:
+    """Q12 on a log: (prefix array<string>, next_activity).
+
+    With ``max_len`` only the first max_len + 1 events of a case can appear in
+    a pair, so cases are cut to that length before their activities are
+    collected (bounded arrays even for a case holding a large share of the log).
+    Without it every prefix is produced — sum of n² elements, as specified.
+    """
+    first_k = None if max_len is None else max_len + 1
+    return prefix_next_pairs(activity_sequences(df, spec, first_k, hot_case_rows), "acts", max_len)
 
 
 def prefix_next_counts(pairs: DataFrame) -> DataFrame:

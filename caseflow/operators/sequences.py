@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 from caseflow.spec import EOS, LogSpec
 
 
-def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str]) -> DataFrame:
-    """Q1: ``(case, <col> array ...)`` with the events of each case in order."""
+def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str], first_k: Optional[int] = None,
+           hot_case_rows: Optional[int] = None) -> DataFrame:
+    """Q1: ``(case, <col> array ...)`` with the events of each case in order.
+
+    ``first_k`` keeps only the first k events of every case *before* collecting
+    (skew-safe positions), so no collected array exceeds k elements.
+    """
     columns = list(columns)
+    if first_k is not None:
+        from caseflow.functions.ordered import case_frame
+        df = (case_frame(df, spec, position="__pos", hot_case_rows=hot_case_rows)
+              .filter(F.col("__pos") <= F.lit(first_k)).drop("__pos"))
     ev = F.struct(*[F.col(c) for c in spec.order_by], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
     g = df.groupBy(spec.case).agg(F.sort_array(F.collect_list(ev)).alias("__ev"))
     def field(name):
@@ -26,9 +35,10 @@ def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str]) -> DataFrame:
                                  for i, c in enumerate(columns)])
 
 
-def activity_sequences(df: DataFrame, spec: LogSpec) -> DataFrame:
-    """(case, acts array<string>)."""
-    return traces(df, spec, [spec.activity]).withColumnRenamed(spec.activity, "acts")
+def activity_sequences(df: DataFrame, spec: LogSpec, first_k: Optional[int] = None,
+                       hot_case_rows: Optional[int] = None) -> DataFrame:
+    """(case, acts array<string>), optionally only the first k events of each case."""
+    return traces(df, spec, [spec.activity], first_k, hot_case_rows).withColumnRenamed(spec.activity, "acts")
 
 
 def pad_right(arr, length, value=0):

@@ -1445,3 +1445,26 @@ def top_prefixes_events_day(spark, sf_dir):
     """The ten most frequent prefixes (the limit is the feature)."""
     _, stats, _ = _prefix_frames(spark, sf_dir, "events_by_user_day")
     return X.top_k_prefixes(stats, 10).select("prefix_id", "count", "prefix_str")
+
+
+# ---------------------------------------------------------------------------
+# Bounded prefixes (Q12 with max_prefix_len) on the raw events by user
+# ---------------------------------------------------------------------------
+
+@register("prefix_stats_maxlen5_events_by_user", "WITH " + prep_ctes("events_by_user") + f""",
+seqs AS (SELECT case_id, list(activity ORDER BY ts, seq) AS acts FROM prep GROUP BY case_id),
+pairs AS (SELECT list_slice(acts, 1, i) AS prefix, coalesce(acts[i + 1], '<EOS>') AS next_activity
+          FROM (SELECT acts, unnest(range(1, least(len(acts), 5) + 1)) AS i FROM seqs)),
+pc AS (SELECT prefix, count(*) AS count FROM pairs GROUP BY prefix),
+pnc AS (SELECT prefix, next_activity, count(*) AS n FROM pairs GROUP BY prefix, next_activity),
+ent AS (SELECT prefix, sum(-(n / t) * log2(n / t)) AS h, count(*) AS opts
+        FROM (SELECT *, sum(n) OVER (PARTITION BY prefix) AS t FROM pnc) GROUP BY prefix)
+SELECT row_number() OVER (ORDER BY count DESC, prefix) AS prefix_id, count, CAST(len(prefix) AS INTEGER) AS prefix_length,
+       opts AS next_options, round(h, {DIGITS}) AS next_entropy_bits, array_to_string(prefix, ' > ') AS prefix_str
+FROM pc JOIN ent USING (prefix)""")
+def prefix_stats_maxlen5_events_by_user(spark, sf_dir):
+    """X1-X5 with max_prefix_len = 5: cases are cut to their first 6 events before collecting."""
+    df, spec = _prepared(spark, sf_dir, "events_by_user")
+    stats, _ = X.prefix_outputs(X.pairs_of_log(df, spec, max_len=5))
+    return stats.select("prefix_id", "count", "prefix_length", "next_options",
+                        r("next_entropy_bits").alias("next_entropy_bits"), "prefix_str")

@@ -77,3 +77,14 @@ def test_plans_have_no_single_partition_exchange_or_python(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "ReadSchema" in fr._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or True
+
+
+def test_positions_and_bounded_prefixes_with_hot_cases(spark):
+    from caseflow.operators import prefixes as X
+    log, spec = load_log(spark, "events_by_user", SF001)
+    plain = case_frame(log, spec, position="pos", hot_case_rows=10**9)
+    hot = case_frame(log, spec, position="pos", hot_case_rows=4)
+    assert _rows(plain, [spec.case, "seq", "pos"]) == _rows(hot, [spec.case, "seq", "pos"])
+    a = X.pairs_of_log(log, spec, max_len=3).groupBy("prefix", "next_activity").count().collect()
+    b = X.pairs_of_log(log, spec, max_len=3, hot_case_rows=4).groupBy("prefix", "next_activity").count().collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
