@@ -141,3 +141,61 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
     if last_flag:
         out = out.withColumn(last_flag, is_last)
     return out.drop("__in_chunk_next", _CHUNK, _US, *drop)
+
+
+_FUNCS = {"min": F.min, "max": F.max, "sum": F.sum}
+_COMBINE = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + b}
+
+
+def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = False,
+                 hot_case_rows: Optional[int] = None, hot: Optional[list] = None,
+                 position: Optional[str] = None) -> DataFrame:
+    """Running aggregates along each case's order: ``aggs`` maps an output name
+    to ``(func, column)`` with func in min / max / sum.  ``exclusive`` aggregates
+    the rows strictly before the current one (null for the first row).
+
+    Hot cases are chunked as in ``case_frame``: the running aggregate runs per
+    (case, chunk) and is combined with the aggregate of all earlier chunks of
+    the case, taken from a table with one row per hot chunk (broadcast).
+    """
+    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
+    if hot is None:
+        hot = hot_cases(df, spec, T)
+    spark = df.sparkSession
+    base = df.withColumn(_US, micros(spec.ts))
+    if hot:
+        rows = [(r[spec.case], int(r["lo"]), int(r["hi"]),
+                 max(1, int(math.ceil(r["n"] / T)) * OVERSPLIT)) for r in hot]
+        case_type = df.schema[spec.case].dataType.simpleString()
+        hot_df = spark.createDataFrame(rows, f"`{spec.case}` {case_type}, __hlo long, __hhi long, __hk long")
+        base = base.join(F.broadcast(hot_df), spec.case, "left")
+        base = base.withColumn(_CHUNK, F.when(F.col("__hk").isNull(), F.lit(0)).otherwise(
+            F.least(F.col("__hk") - 1, F.floor((F.col(_US) - F.col("__hlo")) * F.col("__hk")
+                                              / (F.col("__hhi") - F.col("__hlo") + 1)))).cast("long"))
+    else:
+        base = base.withColumn(_CHUNK, F.lit(0).cast("long"))
+    w = case_window(spec, _CHUNK)
+    frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    out = base
+    for name, (fn, c) in aggs.items():
+        out = out.withColumn(name, _FUNCS[fn](c).over(frame))
+    if position:
+        out = out.withColumn(position, F.row_number().over(w).cast("long"))
+    if hot:
+        chunk_aggs = [_FUNCS[fn](c).alias(f"__c_{name}") for name, (fn, c) in aggs.items()]
+        chunks = base.filter(F.col("__hk").isNotNull()).groupBy(spec.case, _CHUNK).agg(
+            F.count(F.lit(1)).alias("__cn"), *chunk_aggs)
+        wc = Window.partitionBy(spec.case).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = chunks.select(spec.case, _CHUNK,
+                              F.coalesce(F.sum("__cn").over(wc), F.lit(0)).alias("__prev_n"),
+                              *[_FUNCS[fn](f"__c_{name}").over(wc).alias(f"__p_{name}")
+                                for name, (fn, c) in aggs.items()])
+        out = out.join(F.broadcast(carry), [spec.case, _CHUNK], "left")
+        for name, (fn, c) in aggs.items():
+            prev, here = F.col(f"__p_{name}"), F.col(name)
+            comb = F.when(prev.isNull(), here).when(here.isNull(), prev).otherwise(_COMBINE[fn](prev, here))
+            out = out.withColumn(name, comb)
+        if position:
+            out = out.withColumn(position, F.col(position) + F.coalesce(F.col("__prev_n"), F.lit(0)))
+        out = out.drop("__prev_n", *[f"__p_{n}" for n in aggs], "__hlo", "__hhi", "__hk")
+    return out.drop(_CHUNK, _US)

@@ -159,7 +159,8 @@ def score_traces(traces: DataFrame, model_fn: Callable, schema: str) -> DataFram
 
 
 def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_loss",
-                      patience: int = 5, min_delta: float = 0.0) -> DataFrame:
+                      patience: int = 5, min_delta: float = 0.0,
+                      hot_case_rows: Optional[int] = None) -> DataFrame:
     """Replay early stopping per run.
 
     improved(step) = loss < best_before - min_delta, where best_before is the
@@ -168,14 +169,26 @@ def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_l
     improvement; training stops at the first step where it reaches
     ``patience``.  Output per run: saved_step (last improving step at or
     before the stop), stop_step (null if never stopped), best_loss.
+
+    The running minimum, the position and the last improving position are
+    skew-safe running aggregates (a run with very many steps is chunked);
+    everything after that is aggregation.
     """
-    w = Window.partitionBy(run).orderBy(step)
-    h = history.filter(F.col(loss).isNotNull())
-    h = h.withColumn("__best_before", F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    from caseflow.functions.ordered import DEFAULT_HOT_CASE_ROWS, case_running, hot_cases
+    from caseflow.spec import LogSpec
+
+    spec = LogSpec(case=run, activity=loss, ts="__ts", order=(step,))
+    h = (history.filter(F.col(loss).isNotNull())
+                .withColumn("__ts", F.timestamp_micros(F.col(step).cast("long"))))
+    hot_case_rows = hot_case_rows or DEFAULT_HOT_CASE_ROWS
+    hot = hot_cases(h, spec, hot_case_rows)          # one small job, reused by both passes
+    h = case_running(h, spec, {"__best_before": ("min", loss)}, exclusive=True,
+                     hot_case_rows=hot_case_rows, hot=hot, position="__pos")
     h = h.withColumn("__imp", F.col("__best_before").isNull() |
                      (F.col(loss) < F.col("__best_before") - F.lit(float(min_delta))))
-    h = h.withColumn("__grp", F.sum(F.col("__imp").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = h.withColumn("__streak", F.row_number().over(Window.partitionBy(run, "__grp").orderBy(step)) - 1)
+    h = case_running(h.withColumn("__imp_pos", F.when(F.col("__imp"), F.col("__pos"))), spec,
+                     {"__last_imp": ("max", "__imp_pos")}, hot_case_rows=hot_case_rows, hot=hot)
+    h = h.withColumn("__streak", F.col("__pos") - F.col("__last_imp"))
     stops = h.filter(F.col("__streak") >= patience).groupBy(run).agg(F.min(step).alias("stop_step"))
     j = h.join(stops, run, "left")
     alive = j.filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))

@@ -88,3 +88,48 @@ def test_positions_and_bounded_prefixes_with_hot_cases(spark):
     a = X.pairs_of_log(log, spec, max_len=3).groupBy("prefix", "next_activity").count().collect()
     b = X.pairs_of_log(log, spec, max_len=3, hot_case_rows=4).groupBy("prefix", "next_activity").count().collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_early_stop_replay_hot_runs_and_loop(spark):
+    """V14 equals a plain Python replay of the loop, with and without chunked runs."""
+    import random as _r
+    from caseflow.operators.evaluate import early_stop_replay
+    rnd = _r.Random(11)
+    rows = []
+    for run in range(25):
+        loss = 1.0
+        for step in range(rnd.randint(1, 40)):
+            loss = loss + rnd.uniform(-0.1, 0.06)
+            rows.append((f"r{run}", step, None if rnd.random() < 0.05 else round(loss, 4)))
+    df = spark.createDataFrame(rows, "run_id string, step long, val_loss double")
+
+    def loop(run_rows, patience, min_delta):
+        best, counter, saved, stop = float("inf"), 0, None, None
+        seen = []
+        for step, l in sorted(run_rows):
+            if l is None:
+                continue
+            seen.append(l)
+            if l < best - min_delta:
+                saved, counter = step, 0
+            else:
+                counter += 1
+                if counter >= patience:
+                    stop = step
+                    best = min(best, l)
+                    break
+            best = min(best, l)
+        return saved, stop, min(seen) if seen else None
+
+    by_run = {}
+    for run, step, l in rows:
+        by_run.setdefault(run, []).append((step, l))
+    for T in (10**9, 3):
+        got = {r.run_id: (r.saved_step, r.stop_step, r.best_loss)
+               for r in early_stop_replay(df, patience=3, min_delta=0.01, hot_case_rows=T).collect()}
+        for run, rr in by_run.items():
+            exp = loop(rr, 3, 0.01)
+            if exp[2] is None:
+                assert run not in got
+                continue
+            assert got[run] == exp, (T, run, got[run], exp)
