@@ -89,3 +89,44 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     return (tagged.join(F.broadcast(offs), "__pid", "left")
                   .withColumn(name, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local") + 1)
                   .drop("__pid", "__local", "__off"))
+
+
+def group_positions(df: DataFrame, group: list, col: str, name: str = "__gpos") -> DataFrame:
+    """0-based position of each row inside its group in ``col`` order (ties in any
+    order), plus ``__gn`` (group size): a global row number over (group, col)
+    minus the group's first number — no per-group window, so a group holding
+    a large share of the rows is still spread over range partitions."""
+    keys = [F.col(g) for g in group] + [F.col(col)]
+    rn = global_row_number(df, keys, "__grn")
+    first = rn.groupBy(*group).agg(F.min("__grn").alias("__gfirst"), F.count(F.lit(1)).alias("__gn"))
+    return (rn.join(first, group).withColumn(name, F.col("__grn") - F.col("__gfirst"))
+              .drop("__gfirst"))
+
+
+def group_average_rank(df: DataFrame, group: list, col: str, name: str) -> DataFrame:
+    """1-based rank of ``col`` inside each group with ties averaged (skew-safe)."""
+    p = group_positions(df, group, col, "__gpos")
+    ties = p.groupBy(*group, col).agg(F.min("__gpos").alias("__tmin"), F.max("__gpos").alias("__tmax"))
+    return (p.join(ties, [*group, col])
+             .withColumn(name, (F.col("__tmin") + F.col("__tmax")) / 2.0 + 1.0)
+             .drop("__grn", "__gpos", "__gn", "__tmin", "__tmax"))
+
+
+def group_quantiles(df: DataFrame, group: list, col: str, qs: list) -> DataFrame:
+    """Exact quantiles with linear interpolation (h = (n-1) q) per group:
+    one row per (group, q) with ``value``.  Only the two rows around each
+    requested position are joined back — no group's values are buffered."""
+    d = df.filter(F.col(col).isNotNull())
+    p = group_positions(d, group, col, "__gpos")
+    sizes = p.select(*group, "__gn").distinct()
+    targets = sizes.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("q"),
+                 F.floor((F.col("__gn") - 1) * F.lit(float(q))).cast("long").alias("lo"),
+                 F.ceil((F.col("__gn") - 1) * F.lit(float(q))).cast("long").alias("hi"),
+                 ((F.col("__gn") - 1) * F.lit(float(q)) - F.floor((F.col("__gn") - 1) * F.lit(float(q))))
+                 .alias("frac")) for q in qs])).alias("t")).select(*group, "t.*")
+    vals = p.select(*group, F.col("__gpos"), F.col(col).alias("__v"))
+    lo = vals.withColumnRenamed("__gpos", "lo").withColumnRenamed("__v", "__vlo")
+    hi = vals.withColumnRenamed("__gpos", "hi").withColumnRenamed("__v", "__vhi")
+    j = targets.join(lo, [*group, "lo"]).join(hi, [*group, "hi"])
+    return j.select(*group, "q", (F.col("__vlo") + F.col("frac") * (F.col("__vhi") - F.col("__vlo"))).alias("value"))

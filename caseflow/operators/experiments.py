@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-exported)
+from caseflow.functions.rank import group_average_rank, group_quantiles
 
 
 def _cols(xs):
@@ -334,11 +335,9 @@ def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, exact_m
     group = list(group)
     d = df.filter(F.col(diff).isNotNull())
     nz = d.filter(F.abs(F.col(diff)) > zero_tol).withColumn("__a", F.abs(F.col(diff)))
-    w = Window.partitionBy(*group).orderBy("__a")
-    wt = Window.partitionBy(*group, "__a")
-    ranked = (nz.withColumn("__rk", F.rank().over(w))
-                .withColumn("__cnt", F.count(F.lit(1)).over(wt))
-                .withColumn("__r2", 2 * F.col("__rk") + F.col("__cnt") - 1))    # doubled average rank
+    # tie-averaged ranks of |d| per group without a per-group window; doubled to stay integral
+    ranked = (group_average_rank(nz, group, "__a", "__avg")
+              .withColumn("__r2", (2 * F.col("__avg")).cast("long")))
     per = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         (F.sum(F.when(F.col(diff) > 0, F.col("__r2")).otherwise(0)) / 2.0).alias("w_plus"),
@@ -481,14 +480,9 @@ def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str) -> D
     averaged ranks, computed with Spark windows), and their p-values from the
     t distribution (n > 2; n = 2 -> Pearson only; fewer -> NaN)."""
     group = list(group)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def avg_rank(c):
-        w = Window.partitionBy(*group).orderBy(c)
-        wt = Window.partitionBy(*group, c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0
-
-    rk = d.withColumn("__rx", avg_rank(x)).withColumn("__ry", avg_rank(y))
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
+    # tie-averaged ranks per group (skew-safe), chained so each row carries both
+    rk = group_average_rank(group_average_rank(d, group, x, "__rx"), group, y, "__ry")
     g = rk.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"),
                                F.corr("__rx", "__ry").alias("spearman_r"))
     g = g.withColumn("spearman_r", F.when(F.col("n") > 2, F.col("spearman_r")))
@@ -537,11 +531,14 @@ def bar_summary(df: DataFrame, x: str, hue: Optional[str], metric: str) -> DataF
 
 
 def distribution_summary(df: DataFrame, x: str, metric: str) -> DataFrame:
-    """Quartiles (linear interpolation) per category."""
-    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(x).agg(q.alias("__q"), F.min(metric).alias("min"), F.max(metric).alias("max")) \
-             .select(x, "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                     F.col("__q")[2].alias("q3"), "max")
+    """Quartiles (linear interpolation) per category, exact and without
+    buffering a category's values (``group_quantiles``)."""
+    q = group_quantiles(df, [x], metric, [0.25, 0.5, 0.75])
+    wide = q.groupBy(x).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    wide = wide.select(x, *[F.col(f"`{c}`").alias(n) for c, n in
+                            zip(wide.columns[1:], ("q1", "median", "q3"))])
+    mm = df.groupBy(x).agg(F.min(metric).alias("min"), F.max(metric).alias("max"))
+    return mm.join(wide, x).select(x, "min", "q1", "median", "q3", "max")
 
 
 def lr_label(lr="lr") -> F.Column:
