@@ -103,8 +103,26 @@ def group_positions(df: DataFrame, group: list, col: str, name: str = "__gpos")
               .drop("__gfirst"))
 
 
-def group_average_rank(df: DataFrame, group: list, col: str, name: str) -> DataFrame:
-    """1-based rank of ``col`` inside each group with ties averaged (skew-safe)."""
+HOT_GROUP_ROWS = 2_000_000
+
+
+def has_hot_group(df: DataFrame, group: list, hot_group_rows: int) -> bool:
+    """True if some group holds more than ``hot_group_rows`` rows (one aggregation job)."""
+    return bool(df.groupBy(*group).count().filter(F.col("count") > hot_group_rows).limit(1).take(1))
+
+
+def group_average_rank(df: DataFrame, group: list, col: str, name: str,
+                       hot_group_rows: int | None = None) -> DataFrame:
+    """1-based rank of ``col`` inside each group with ties averaged.
+
+    Groups up to ``hot_group_rows`` rows use a per-group window; if any group
+    is larger, every rank comes from the range-partitioned global row number
+    (no group is ever sorted inside one task)."""
+    T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
+    if not has_hot_group(df, group, T):
+        w = Window.partitionBy(*group).orderBy(col)
+        wt = Window.partitionBy(*group, col)
+        return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
     p = group_positions(df, group, col, "__gpos")
     ties = p.groupBy(*group, col).agg(F.min("__gpos").alias("__tmin"), F.max("__gpos").alias("__tmax"))
     return (p.join(ties, [*group, col])
@@ -112,12 +130,19 @@ def group_average_rank(df: DataFrame, group: list, col: str, name: str) -> DataF
              .drop("__grn", "__gpos", "__gn", "__tmin", "__tmax"))
 
 
-def group_quantiles(df: DataFrame, group: list, col: str, qs: list) -> DataFrame:
+def group_quantiles(df: DataFrame, group: list, col: str, qs: list,
+                    hot_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (h = (n-1) q) per group:
     one row per (group, q) with ``value``.  Only the two rows around each
-    requested position are joined back — no group's values are buffered."""
+    requested position are joined back — no group's values are buffered.
+    Without hot groups the positions come from a per-group window."""
     d = df.filter(F.col(col).isNotNull())
-    p = group_positions(d, group, col, "__gpos")
+    T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
+    if has_hot_group(d, group, T):
+        p = group_positions(d, group, col, "__gpos")
+    else:
+        p = (d.withColumn("__gpos", F.row_number().over(Window.partitionBy(*group).orderBy(col)) - 1)
+              .withColumn("__gn", F.count(F.lit(1)).over(Window.partitionBy(*group))))
     sizes = p.select(*group, "__gn").distinct()
     targets = sizes.select(*group, F.explode(F.array(*[
         F.struct(F.lit(float(q)).alias("q"),

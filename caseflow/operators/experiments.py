@@ -323,7 +323,7 @@ def _norm_sf(z: float) -> float:
 
 
 def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, exact_max_n: int = 50,
-                         zero_tol: float = 1e-12) -> DataFrame:
+                         zero_tol: float = 1e-12, hot_group_rows: Optional[int] = None) -> DataFrame:
     """Per group Wilcoxon signed-rank test of the paired differences.
 
     Nulls dropped; zero differences dropped; |d| ranked with ties averaged
@@ -336,7 +336,7 @@ def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, exact_m
     d = df.filter(F.col(diff).isNotNull())
     nz = d.filter(F.abs(F.col(diff)) > zero_tol).withColumn("__a", F.abs(F.col(diff)))
     # tie-averaged ranks of |d| per group without a per-group window; doubled to stay integral
-    ranked = (group_average_rank(nz, group, "__a", "__avg")
+    ranked = (group_average_rank(nz, group, "__a", "__avg", hot_group_rows)
               .withColumn("__r2", (2 * F.col("__avg")).cast("long")))
     per = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -475,14 +475,16 @@ def correlation_p_value(r: float, n: int) -> Optional[float]:
     return _t_sf(t, n - 2)
 
 
-def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str,
+                       hot_group_rows: Optional[int] = None) -> DataFrame:
     """Per group on complete rows: n, Pearson r, Spearman rho (Pearson of
     averaged ranks, computed with Spark windows), and their p-values from the
     t distribution (n > 2; n = 2 -> Pearson only; fewer -> NaN)."""
     group = list(group)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
     # tie-averaged ranks per group (skew-safe), chained so each row carries both
-    rk = group_average_rank(group_average_rank(d, group, x, "__rx"), group, y, "__ry")
+    rk = group_average_rank(group_average_rank(d, group, x, "__rx", hot_group_rows), group, y, "__ry",
+                            hot_group_rows)
     g = rk.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"),
                                F.corr("__rx", "__ry").alias("spearman_r"))
     g = g.withColumn("spearman_r", F.when(F.col("n") > 2, F.col("spearman_r")))
@@ -530,10 +532,10 @@ def bar_summary(df: DataFrame, x: str, hue: Optional[str], metric: str) -> DataF
                                  F.count(F.lit(1)).alias("n"))
 
 
-def distribution_summary(df: DataFrame, x: str, metric: str) -> DataFrame:
+def distribution_summary(df: DataFrame, x: str, metric: str, hot_group_rows: Optional[int] = None) -> DataFrame:
     """Quartiles (linear interpolation) per category, exact and without
     buffering a category's values (``group_quantiles``)."""
-    q = group_quantiles(df, [x], metric, [0.25, 0.5, 0.75])
+    q = group_quantiles(df, [x], metric, [0.25, 0.5, 0.75], hot_group_rows)
     wide = q.groupBy(x).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
     wide = wide.select(x, *[F.col(f"`{c}`").alias(n) for c, n in
                             zip(wide.columns[1:], ("q1", "median", "q3"))])

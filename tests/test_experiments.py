@@ -44,3 +44,23 @@ def test_correlation_p_value():
     assert correlation_p_value(0.5, 10) == pytest.approx(0.1411, abs=5e-4)
     assert correlation_p_value(0.5, 2) is None
     assert correlation_p_value(1.0, 5) == 0.0
+
+
+def test_group_ranks_and_quantiles_both_paths(spark):
+    import random as _r
+    from caseflow.functions.rank import group_average_rank, group_quantiles
+    rnd = _r.Random(5)
+    rows = [(g, float(rnd.randint(0, 30))) for g in ("a", "b", "c") for _ in range(rnd.randint(5, 60))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    win = sorted(map(tuple, group_average_rank(df, ["g"], "v", "r", hot_group_rows=10**9).collect()))
+    hot = sorted(map(tuple, group_average_rank(df, ["g"], "v", "r", hot_group_rows=3).collect()))
+    assert win == hot
+    qa = sorted(map(tuple, group_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], hot_group_rows=10**9).collect()))
+    qb = sorted(map(tuple, group_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], hot_group_rows=3).collect()))
+    assert qa == qb
+    import numpy as np
+    for g in ("a", "b", "c"):
+        vals = [v for gg, v in rows if gg == g]
+        got = {q: v for gg, q, v in qa if gg == g}
+        for q in (0.1, 0.5, 0.9):
+            assert abs(got[q] - float(np.quantile(vals, q))) < 1e-12
