@@ -92,14 +92,15 @@ def upsert_history(history: DataFrame, ingest: Iterable[str], run: str = "run_id
                    .select(run, step, *[F.col("__last")[c].alias(c) for c in others]))
 
 
-def flatten_history(history: DataFrame, schema: Optional[T.StructType] = None) -> DataFrame:
-    """History rows -> ``run_id, step, <metric keys>``; prefixed keys dropped
-    and rows with no metric key left are dropped."""
+def flatten_history(history: DataFrame, schema: Optional[T.StructType] = None,
+                    carry: Iterable[str] = ()) -> DataFrame:
+    """History rows -> ``run_id, step, <metric keys>`` (+ ``carry`` columns);
+    prefixed keys dropped (S7) and rows with no metric key left are dropped."""
     schema = schema or infer_json_schema(history, "metrics")
     keep = [f for f in schema.fields if not f.name.startswith(DROP_PREFIXES)]
     has_metric = F.exists(F.json_object_keys("metrics"), lambda k: _keep_key(k))
     p = history.filter(has_metric).withColumn("__p", F.from_json("metrics", schema))
-    return p.select("run_id", "step", *[F.col("__p").getField(f.name).alias(f.name) for f in keep])
+    return p.select("run_id", "step", *[F.col("__p").getField(f.name).alias(f.name) for f in keep], *carry)
 
 
 def load_multiple(frames: dict, skip_missing: bool = True) -> DataFrame:
@@ -215,6 +216,7 @@ HISTORY_INGEST = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_
 def derived_experiment(spark: SparkSession, sf_dir: str):
     """(runs, history) flattened from the derived stored tables."""
     runs = flatten_runs(runs_from_orders(spark, sf_dir), RUN_SCHEMAS)
+    # keep the last write per (run, step) (as stored at ingest), then parse
     hist = upsert_history(history_from_lineitem(spark, sf_dir), HISTORY_INGEST)
     hist = flatten_history(hist.select("run_id", "step", "metrics"), HISTORY_SCHEMA)
     return runs, hist
