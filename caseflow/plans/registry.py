@@ -636,7 +636,11 @@ _EXP_CTES = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriorit
         CAST(day(o_orderdate) AS BIGINT) AS n_heads,
         CAST(32 * month(o_orderdate) AS BIGINT) * CAST(32 * month(o_orderdate) AS BIGINT) * CAST(year(o_orderdate) - 1994 AS BIGINT) * 12 AS total_params,
         CAST(32 * month(o_orderdate) AS BIGINT) * CAST(year(o_orderdate) - 1994 AS BIGINT) * 1000 AS trainable_params,
-        CAST(32 * month(o_orderdate) AS BIGINT) AS embedding_size FROM orders),
+        CAST(32 * month(o_orderdate) AS BIGINT) AS embedding_size, o_orderstatus = 'F' AS lifecycle,
+        CASE WHEN o_orderstatus = 'O' THEN 'running' ELSE 'finished' END AS state,
+        CAST(length(o_orderpriority) * 1000 AS BIGINT) AS train_events,
+        CAST((ascii(substr(o_orderpriority, 1, 1)) - 48) * 100 AS BIGINT) AS val_events,
+        CAST(NULL AS BIGINT) AS test_events FROM orders),
 hist AS (SELECT run_id, step, val_loss, val_acc, val_f1 FROM (
         SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS step, l_discount + l_tax AS val_loss,
                1.0 - l_discount AS val_acc, l_quantity / 50.0 AS val_f1,
@@ -1468,3 +1472,47 @@ def prefix_stats_maxlen5_events_by_user(spark, sf_dir):
     stats, _ = X.prefix_outputs(X.pairs_of_log(df, spec, max_len=5))
     return stats.select("prefix_id", "count", "prefix_length", "next_options",
                         r("next_entropy_bits").alias("next_entropy_bits"), "prefix_str")
+
+
+# ---------------------------------------------------------------------------
+# S10 baseline tables, A9 project views, A43 dataset sizes
+# ---------------------------------------------------------------------------
+
+from caseflow.sources.experiments import baseline_tables, transition_tables_from_lineitem  # noqa: E402
+
+
+@register("baseline_tables_runs", "WITH " + _EXP_CTES + """,
+sel AS (SELECT id FROM runs WHERE log = '1-URGENT' AND backbone = 'P' AND coalesce(lifecycle, false) = false
+        AND state = 'finished' ORDER BY created_at DESC, id DESC LIMIT 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS current_activity,
+       l_linestatus AS next_activity, CAST(l_quantity AS BIGINT) AS count
+FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT id FROM sel)""")
+def baseline_tables_runs(spark, sf_dir):
+    """The stored transition table of the newest finished reference run of a log."""
+    runs, _ = _exp(spark, sf_dir)
+    return baseline_tables(runs, transition_tables_from_lineitem(spark, sf_dir), "1-URGENT", False, backbone="P")
+
+
+def _views():
+    return {"finetuned": F.col("fine_tuning").isNotNull(), "scratch": F.col("model").startswith("nano")}
+
+
+@register("project_view_runs", "WITH " + _EXP_CTES + """
+SELECT log, count(*) AS runs FROM runs WHERE fine_tuning IS NOT NULL OR backbone = 'baseline' GROUP BY log""")
+def project_view_runs(spark, sf_dir):
+    """Runs of a named view (fine-tuned runs, plus baseline runs) per log."""
+    runs, _ = _exp(spark, sf_dir)
+    v = A.project_view(runs, _views(), "finetuned", include_baseline=True)
+    return v.groupBy("log").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@register("dataset_size_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, min(coalesce(train_events, 0) + coalesce(val_events, 0) + coalesce(test_events, 0)) AS dataset_size,
+       round(avg(duration_sec), {DIGITS}) AS mean_duration, round(avg(acc), {DIGITS}) AS mean_acc
+FROM runs GROUP BY log""")
+def dataset_size_runs(spark, sf_dir):
+    """Dataset size (train + val + test events, nulls as 0), mean duration and accuracy per log."""
+    runs, _ = _exp(spark, sf_dir)
+    s = runs.withColumn("dataset_size", A.dataset_size())
+    return s.groupBy("log").agg(F.first("dataset_size").cast("long").alias("dataset_size"),
+                                r(F.avg("duration_sec")).alias("mean_duration"), r(F.avg("acc")).alias("mean_acc"))

@@ -121,14 +121,15 @@ def load_multiple(frames: dict, skip_missing: bool = True) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded)
 
 
-def baseline_tables(runs: DataFrame, tables: DataFrame, log: str, lifecycle: bool) -> DataFrame:
+def baseline_tables(runs: DataFrame, tables: DataFrame, log: str, lifecycle: bool,
+                    backbone: str = "baseline") -> DataFrame:
     """Rows of ``tables`` (run_id, ...) belonging to the newest finished
-    baseline run of ``log`` with the given lifecycle setting."""
-    sel = (runs.filter((F.col("log") == log) & (F.col("backbone") == "baseline")
+    baseline run of ``log`` with the given lifecycle setting (null -> False)."""
+    sel = (runs.filter((F.col("log") == log) & (F.col("backbone") == backbone)
                        & (F.coalesce(F.col("lifecycle"), F.lit(False)) == F.lit(lifecycle))
                        & (F.col("state") == "finished"))
                .agg(F.max_by("id", F.struct("created_at", "id")).alias("run_id")))
-    return tables.join(sel, "run_id", "left_semi")
+    return tables.join(F.broadcast(sel), "run_id", "left_semi")   # sel is one row
 
 
 # ---------------------------------------------------------------------------
@@ -160,14 +161,21 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.dayofmonth("o_orderdate").cast("long").alias("n_heads"),
                                 (hidden * hidden * layers * 12).alias("total_params"),
                                 (hidden * layers * 1000).alias("trainable_params"),
-                                hidden.alias("embedding_size")))
+                                hidden.alias("embedding_size"),
+                                (F.col("o_orderstatus") == "F").alias("lifecycle")))
     summary = F.to_json(F.struct(
         (F.col("o_totalprice") / 100.0).alias("_runtime"),
         F.month("o_orderdate").alias("_step"),
         F.lit(0.0).alias("gradients/w"),
         acc.alias("best_test_final_next_activity_acc"),
         (acc * acc).alias("best_test_final_next_activity_f1")))
-    metadata = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at")))
+    pr = F.ascii(F.substring("o_orderpriority", 1, 1)) - 48          # 1..5, constant per log
+    metadata = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+                                  F.when(F.col("o_orderstatus") == "O", F.lit("running"))
+                                   .otherwise(F.lit("finished")).alias("state"),
+                                  (F.length("o_orderpriority") * 1000).cast("long").alias("train_events"),
+                                  (pr * 100).cast("long").alias("val_events"),
+                                  F.lit(None).cast("long").alias("test_events")))
     return o.select(F.col("o_orderkey").cast("string").alias("id"),
                     F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("name"),
                     config.alias("config"), summary.alias("summary"), metadata.alias("metadata"))
@@ -181,12 +189,14 @@ RUN_SCHEMAS = {
                             T.StructField("fine_tuning", T.StringType()), T.StructField("hidden_size", T.LongType()),
                             T.StructField("n_layers", T.LongType()), T.StructField("n_heads", T.LongType()),
                             T.StructField("total_params", T.LongType()), T.StructField("trainable_params", T.LongType()),
-                            T.StructField("embedding_size", T.LongType())]),
+                            T.StructField("embedding_size", T.LongType()), T.StructField("lifecycle", T.BooleanType())]),
     "summary": T.StructType([T.StructField("_runtime", T.DoubleType()), T.StructField("_step", T.LongType()),
                              T.StructField("gradients/w", T.DoubleType()),
                              T.StructField("best_test_final_next_activity_acc", T.DoubleType()),
                              T.StructField("best_test_final_next_activity_f1", T.DoubleType())]),
-    "metadata": T.StructType([T.StructField("created_at", T.StringType())]),
+    "metadata": T.StructType([T.StructField("created_at", T.StringType()), T.StructField("state", T.StringType()),
+                              T.StructField("train_events", T.LongType()), T.StructField("val_events", T.LongType()),
+                              T.StructField("test_events", T.LongType())]),
 }
 
 HISTORY_SCHEMA = T.StructType([T.StructField("_step", T.LongType()), T.StructField("val_loss", T.DoubleType()),
@@ -220,3 +230,14 @@ def derived_experiment(spark: SparkSession, sf_dir: str):
     hist = upsert_history(history_from_lineitem(spark, sf_dir), HISTORY_INGEST)
     hist = flatten_history(hist.select("run_id", "step", "metrics"), HISTORY_SCHEMA)
     return runs, hist
+
+
+def transition_tables_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored transition tables per run: run = order, (return flag -> line
+    status, quantity) per line item."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").cast("string").alias("run_id"),
+                     F.col("l_linenumber").cast("long").alias("line"),
+                     F.col("l_returnflag").alias("current_activity"),
+                     F.col("l_linestatus").alias("next_activity"),
+                     F.col("l_quantity").cast("long").alias("count"))
