@@ -112,14 +112,17 @@ def has_hot_group(df: DataFrame, group: list, hot_group_rows: int) -> bool:
 
 
 def group_average_rank(df: DataFrame, group: list, col: str, name: str,
-                       hot_group_rows: int | None = None) -> DataFrame:
+                       hot_group_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """1-based rank of ``col`` inside each group with ties averaged.
 
     Groups up to ``hot_group_rows`` rows use a per-group window; if any group
     is larger, every rank comes from the range-partitioned global row number
-    (no group is ever sorted inside one task)."""
+    (no group is ever sorted inside one task).  ``hot`` skips the detection
+    job when the caller already knows."""
     T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
-    if not has_hot_group(df, group, T):
+    if hot is None:
+        hot = has_hot_group(df, group, T)
+    if not hot:
         w = Window.partitionBy(*group).orderBy(col)
         wt = Window.partitionBy(*group, col)
         return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-exported)
-from caseflow.functions.rank import group_average_rank, group_quantiles
+from caseflow.functions.rank import HOT_GROUP_ROWS, group_average_rank, group_quantiles, has_hot_group
 
 
 def _cols(xs):
@@ -483,8 +483,8 @@ def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str,
     group = list(group)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
     # tie-averaged ranks per group (skew-safe), chained so each row carries both
-    rk = group_average_rank(group_average_rank(d, group, x, "__rx", hot_group_rows), group, y, "__ry",
-                            hot_group_rows)
+    hot = has_hot_group(d, group, HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows)
+    rk = group_average_rank(group_average_rank(d, group, x, "__rx", hot=hot), group, y, "__ry", hot=hot)
     g = rk.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"),
                                F.corr("__rx", "__ry").alias("spearman_r"))
     g = g.withColumn("spearman_r", F.when(F.col("n") > 2, F.col("spearman_r")))

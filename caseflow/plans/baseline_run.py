@@ -13,13 +13,15 @@ from caseflow.spec import LogSpec
 
 
 def baseline_run(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
-                 lifecycle: bool = False, hot_case_rows: Optional[int] = None) -> dict:
-    """Returns dict with 'metrics' (metric, value), 'counts', 'predictions', 'vocab', 'split'."""
+                 lifecycle: bool = False, hot_case_rows: Optional[int] = None,
+                 metrics: bool = True) -> dict:
+    """Returns dict with 'metrics' (metric, value; None unless ``metrics``),
+    'counts', 'predictions', 'vocab', 'split'."""
     es = encoded_split(log, spec, params, lifecycle, hot_case_rows)
     # bounded by distinct transitions; checkpointed (shared checkpoint folder)
     # so the metric plans start from it instead of the event-level lineage
     counts = B.transition_counts(es.train).checkpoint()
     preds = B.argmax_predictions(counts)
-    metrics = B.evaluate(es.test, counts, preds)
-    return {"metrics": metrics, "counts": counts, "predictions": preds,
+    m = B.evaluate(es.test, counts, preds) if metrics else None
+    return {"metrics": m, "counts": counts, "predictions": preds,
             "vocab": es.vocab, "split": es}

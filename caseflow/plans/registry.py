@@ -420,7 +420,7 @@ preds AS (SELECT c.cur, min(c.nxt) AS pred FROM counts c
 
 def _decoded_tables(spark, sf_dir):
     log, spec = load_log(spark, "events_by_user_day", sf_dir)
-    res = baseline_run(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    res = baseline_run(log, spec, ADAPTER_PARAMS["events_by_user_day"], metrics=False)
     voc = res["vocab"]
     t = decode(decode(res["counts"], voc, "activity", "cur", "current_activity"), voc, "activity", "nxt",
                "next_activity").select("current_activity", "next_activity", "count")
