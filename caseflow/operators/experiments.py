@@ -408,6 +408,20 @@ def mean_per_backbone(df: DataFrame, backbone="backbone", acc="acc", f1="f1", pa
                                     F.median(params).alias("median_params"))
 
 
+def metric_by_params(df: DataFrame, metric: str, backbone: str = "backbone", params: str = "params",
+                     reference: Optional[F.Column] = None, reference_label: str = "baseline") -> DataFrame:
+    """Mean / sample sd / n of a metric per (backbone, params), plus one
+    row for the reference runs (``reference`` predicate) with null params."""
+    a = summary_stats(df, [backbone, params], metric).select(backbone, params, "mean", "std", "n")
+    if reference is None:
+        return a
+    ref = (df.filter(reference).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"),
+                                    F.count(F.lit(1)).alias("n"))
+             .select(F.lit(reference_label).alias(backbone), F.lit(None).cast(df.schema[params].dataType).alias(params),
+                     "mean", "std", "n"))
+    return a.unionByName(ref)
+
+
 def slot_order(df: DataFrame, key: str, params: str) -> DataFrame:
     """One row per key ordered by parameter count; 0-based position.
 

@@ -1175,12 +1175,8 @@ FROM runs WHERE backbone = 'P'""")
 def metric_by_params_runs(spark, sf_dir):
     """Accuracy mean / sd per (backbone, params) plus reference rows with null params."""
     runs, _ = _exp(spark, sf_dir)
-    a = A.summary_stats(runs, ["backbone", "total_params"], "acc").select(
-        "backbone", "total_params", r("mean").alias("mean"), r("std").alias("std"), "n")
-    ref = runs.filter(F.col("backbone") == "P").agg(
-        r(F.avg("acc")).alias("mean"), r(F.stddev_samp("acc")).alias("std"), F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("baseline").alias("backbone"), F.lit(None).cast("long").alias("total_params"), "mean", "std", "n")
-    return a.unionByName(ref)
+    m = A.metric_by_params(runs, "acc", params="total_params", reference=F.col("backbone") == "P")
+    return m.select("backbone", "total_params", r("mean").alias("mean"), r("std").alias("std"), "n")
 
 
 @register("slot_order_runs", "WITH " + _EXP_CTES + """
