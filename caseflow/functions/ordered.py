@@ -60,6 +60,41 @@ def hot_cases(df: DataFrame, spec: LogSpec, hot_case_rows: int) -> list:
     return summ.collect()
 
 
+CHUNK = _CHUNK
+
+
+def _hot_table(spark, spec: LogSpec, df: DataFrame, hot: list, T: int) -> DataFrame:
+    rows = [(r[spec.case], int(r["n"]), int(r["lo"]), int(r["hi"]),
+             max(1, int(math.ceil(r["n"] / T)) * OVERSPLIT)) for r in hot]
+    case_type = df.schema[spec.case].dataType.simpleString()
+    return spark.createDataFrame(rows, f"`{spec.case}` {case_type}, __hn long, __hlo long, __hhi long, __hk long")
+
+
+def _chunk_expr(us) -> F.Column:
+    return F.when(F.col("__hk").isNull(), F.lit(0)).otherwise(
+        F.least(F.col("__hk") - 1, F.floor((us - F.col("__hlo")) * F.col("__hk")
+                                           / (F.col("__hhi") - F.col("__hlo") + 1)))).cast("long")
+
+
+def with_chunks(df: DataFrame, spec: LogSpec, hot: list, hot_case_rows: Optional[int] = None,
+                keep_hot_columns: bool = False) -> DataFrame:
+    """Add the ``__chunk`` column (0 for ordinary cases, time chunk for hot ones).
+
+    The hot table is broadcast (bounded), so the join keeps the input's
+    partitioning.  ``keep_hot_columns`` keeps ``__hn, __hlo, __hhi, __hk``.
+    """
+    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
+    if not hot:
+        out = df.withColumn(_CHUNK, F.lit(0).cast("long"))
+        if keep_hot_columns:
+            out = out.withColumns({"__hn": F.lit(None).cast("long"), "__hlo": F.lit(None).cast("long"),
+                                   "__hhi": F.lit(None).cast("long"), "__hk": F.lit(None).cast("long")})
+        return out
+    out = df.join(F.broadcast(_hot_table(df.sparkSession, spec, df, hot, T)), spec.case, "left")
+    out = out.withColumn(_CHUNK, _chunk_expr(micros(spec.ts)))
+    return out if keep_hot_columns else out.drop("__hn", "__hlo", "__hhi", "__hk")
+
+
 def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                prefix: str = "next_", bounds: bool = False, last_flag: Optional[str] = None,
                hot_case_rows: Optional[int] = None, hot: Optional[list] = None,
@@ -78,18 +113,14 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
     spark = df.sparkSession
 
     base = df.withColumn(_US, micros(spec.ts))
-    if hot:
-        rows = [(r[spec.case], int(r["n"]), int(r["lo"]), int(r["hi"]),
-                 max(1, int(math.ceil(r["n"] / T)) * OVERSPLIT)) for r in hot]
-        case_type = df.schema[spec.case].dataType.simpleString()
-        hot_df = spark.createDataFrame(
-            rows, f"`{spec.case}` {case_type}, __hn long, __hlo long, __hhi long, __hk long")
-        base = base.join(F.broadcast(hot_df), spec.case, "left")
-        chunk = F.when(F.col("__hk").isNull(), F.lit(0)).otherwise(
-            F.least(F.col("__hk") - 1,
-                    F.floor((F.col(_US) - F.col("__hlo")) * F.col("__hk")
-                            / (F.col("__hhi") - F.col("__hlo") + 1)))).cast("long")
-        base = base.withColumn(_CHUNK, chunk)
+    if _CHUNK in df.columns:
+        # chunks already assigned upstream (and the data partitioned by them):
+        # only the hot-case columns are attached, through a broadcast join
+        if hot:
+            base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
+    elif hot:
+        base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
+        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)))
     else:
         base = base.withColumn(_CHUNK, F.lit(0).cast("long"))
 
@@ -140,7 +171,9 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
         drop = []
     if last_flag:
         out = out.withColumn(last_flag, is_last)
-    return out.drop("__in_chunk_next", _CHUNK, _US, *drop)
+    # a chunk column that came in stays (later passes reuse the partitioning)
+    own_chunk = [] if _CHUNK in df.columns else [_CHUNK]
+    return out.drop("__in_chunk_next", _US, *own_chunk, *drop)
 
 
 _FUNCS = {"min": F.min, "max": F.max, "sum": F.sum}

@@ -8,6 +8,7 @@ from typing import Iterable, Optional
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.joins import checked_broadcast
 from caseflow.functions.rank import global_row_number
 from caseflow.spec import EOS_ID, MASKED_TARGET, SPECIALS, UNK_ID, LogSpec
 
@@ -44,19 +45,22 @@ def encode(df: DataFrame, vocab: DataFrame, feature: str, out: Optional[str] = N
     """Value -> id with the vocabulary of ``feature``; unseen or null -> 1 (<UNK>).
 
     ``source`` is the column holding the values (default ``feature``); the
-    result goes to ``out`` (default: replaces ``source``).
+    result goes to ``out`` (default: replaces ``source``).  The vocabulary is
+    broadcast after a size check (keeps the event side's partitioning); a
+    vocabulary beyond the bound is joined with a shuffle.
     """
     source = source or feature
     out = out or source
-    v = vocab.filter(F.col("feature") == feature).filter(F.col("id") >= len(SPECIALS)) \
-             .select(F.col("value").alias("__v"), F.col("id").alias("__id"))
+    v = checked_broadcast(vocab.filter(F.col("feature") == feature).filter(F.col("id") >= len(SPECIALS))
+                          .select(F.col("value").alias("__v"), F.col("id").alias("__id")))
     j = df.join(v, F.col(source).cast("string") == F.col("__v"), "left")
     return j.withColumn(out, F.coalesce(F.col("__id"), F.lit(UNK_ID))).drop("__v", "__id")
 
 
 def decode(df: DataFrame, vocab: DataFrame, feature: str, id_col: str, out: str) -> DataFrame:
     """Id -> value, falling back to str(id)."""
-    v = vocab.filter(F.col("feature") == feature).select(F.col("id").alias("__id"), F.col("value").alias("__v"))
+    v = checked_broadcast(vocab.filter(F.col("feature") == feature)
+                          .select(F.col("id").alias("__id"), F.col("value").alias("__v")))
     j = df.join(v, F.col(id_col) == F.col("__id"), "left")
     return j.withColumn(out, F.coalesce(F.col("__v"), F.col(id_col).cast("string"))).drop("__id", "__v")
 
@@ -114,8 +118,8 @@ def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], num
         vocab = fit_vocab(splits["train"], list(dict.fromkeys(categorical + cat_targets)))
     out = {}
     for name, df in splits.items():
-        df = validate_columns(df, spec, categorical + numerical, cat_targets + num_targets,
-                              extra=[mask] if mask in df.columns else [])
+        extra = [c for c in (mask, "__chunk") if c in df.columns]
+        df = validate_columns(df, spec, categorical + numerical, cat_targets + num_targets, extra=extra)
         for c in dict.fromkeys(categorical + cat_targets):
             df = encode(df, vocab, c)
         df = ensure_dtypes(df, categorical + cat_targets, numerical)

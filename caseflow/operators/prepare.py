@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import days_between_us, isclose_le, micros, US_PER_DAY
@@ -198,19 +198,68 @@ def filter_cases(df: DataFrame, spec: LogSpec, start_date=None, end_date=None,
 
 
 def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
-                lifecycle: bool = False, hot_case_rows: Optional[int] = None):
-    """P1 -> P2 -> P3 -> (P4, P6, P7 on the case summary) -> P8 ->.
+                lifecycle: bool = False, hot_case_rows: Optional[int] = None,
+                keep_chunk: bool = False):
+    """P1 -> P2 -> P3 -> (P4, P6, P7, P9, P10 case filters) -> P8.
+
+    Physical plan: one small job on the partially aggregated case summary
+    gives the P10 scalar and the hot cases (more than ``hot_case_rows``
+    events); the log is then shuffled ONCE by (case, chunk) — hot cases are
+    split into time chunks — and everything after stays on that partitioning:
+    case-level filters from window aggregates (hot cases from the hot table),
+    duplicate removal grouped by keys that include (case, chunk), and, with
+    ``keep_chunk``, the downstream case windows of the split.
 
     Returns ``(filtered log, spec)``, or ``(filtered log, spec, hot cases)``
-    when ``hot_case_rows`` is given (for the skew-safe case windows).
+    when ``hot_case_rows`` is given.  With ``keep_chunk`` the ``__chunk``
+    column stays (``case_frame`` reuses it).
     """
+    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, with_chunks
     params = params or {}
+    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     df, spec = combine_lifecycle(df, spec, lifecycle)
     df = to_utc(select_log_columns(df, spec), spec)
-    cases, _, hot = filter_cases(df, spec, params.get("start_date"), params.get("end_date"),
-                                 params.get("max_days"), hot_case_rows=hot_case_rows)
-    df = _keep_cases(df, spec, cases)
-    df = drop_duplicate_events(df, spec)
+    start_date, end_date, max_days = params.get("start_date"), params.get("end_date"), params.get("max_days")
+
+    def conds(n, s, e):
+        c = n >= F.lit(3)
+        if start_date is not None:
+            c = c & (F.date_format(F.timestamp_micros(s), "yyyy-MM") >= F.lit(start_date))
+        if end_date is not None:
+            c = c & (F.date_format(F.timestamp_micros(e), "yyyy-MM") <= F.lit(end_date))
+        if max_days:
+            c = c & isclose_le((e - s) / F.lit(US_PER_DAY), float(max_days))
+        return c
+
+    # one job: P10 scalar over the P4-P9 survivors, and every hot case of the log
+    summ = case_summary(df, spec)
+    row = summ.agg(
+        F.max(F.when(conds(F.col("n"), F.col("start_us"), F.col("end_us")), F.col("end_us"))).alias("mx"),
+        F.collect_list(F.when(F.col("n") > F.lit(T), F.struct(
+            F.col(spec.case), F.col("n"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi")))).alias("hot")
+    ).first()
+    hot = list(row["hot"] or [])
+    ls = None
+    if max_days and row["mx"] is not None:
+        ls = int(row["mx"]) - int(round(max_days * US_PER_DAY))
+
+    part = with_chunks(df, spec, hot, T, keep_hot_columns=True)
+    # without hot cases the chunk is the constant 0, which Catalyst folds out of
+    # the window keys; partitioning by the case alone then satisfies them all
+    part = part.repartition(spec.case, CHUNK) if hot else part.repartition(spec.case)
+    us = micros(spec.ts)
+    wall = Window.partitionBy(spec.case, CHUNK)
+    n = F.coalesce(F.col("__hn"), F.count(F.lit(1)).over(wall))
+    s_ = F.coalesce(F.col("__hlo"), F.min(us).over(wall))
+    e_ = F.coalesce(F.col("__hhi"), F.max(us).over(wall))
+    keep = conds(n, s_, e_)
+    if max_days:
+        keep = keep & (s_ <= F.lit(ls)) if ls is not None else F.lit(False)
+    kept = part.withColumn("__keep", keep).filter("__keep").drop("__keep", "__hn", "__hlo", "__hhi", "__hk")
+    out = drop_duplicate_events(kept, spec)
+    if not keep_chunk:
+        out = out.drop(CHUNK)
+    spec = spec.with_(lifecycle=None)
     if hot_case_rows:
-        return df, spec.with_(lifecycle=None), hot
-    return df, spec.with_(lifecycle=None)
+        return out, spec, hot
+    return out, spec

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
-from caseflow.functions.ordered import DEFAULT_HOT_CASE_ROWS, case_frame
+from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, case_frame
 from caseflow.operators.encode import apply_mask, encode, fit_vocab, next_categorical
 from caseflow.operators.prepare import prepare_log
 from caseflow.operators.split import MASK, separation_time_us
@@ -44,7 +44,8 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     """
     params = params or {}
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
-    prepared, spec, hot = prepare_log(log, spec, params, lifecycle, hot_case_rows=T)
+    # partitioned once by (case, chunk); the case window below reuses it
+    prepared, spec, hot = prepare_log(log, spec, params, lifecycle, hot_case_rows=T, keep_chunk=True)
     # reused by the separation time, the vocabulary and the encoding
     prepared = prepared.persist()
     test_size = params.get("test_size", 0.2) or 0.2
@@ -62,7 +63,7 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     test = (fr.filter(F.col("case_end_us") > s)
               .withColumn(MASK, F.coalesce(nxt_us <= s, F.lit(False)))
               .withColumn("tgt", apply_mask(next_categorical("__ncur"), MASK)))
-    helper = ["__us", "__n__us", "__ncur", "case_start_us", "case_end_us", "case_n"]
+    helper = ["__us", "__n__us", "__ncur", "case_start_us", "case_end_us", "case_n", CHUNK]
     return EncodedSplit(train.drop(*helper), test.drop(*helper), vocab, sep, spec, prepared)
 
 
@@ -83,7 +84,7 @@ def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = No
 
     params = params or {}
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
-    prepared, spec, hot = prepare_log(log, spec, params, hot_case_rows=T)
+    prepared, spec, hot = prepare_log(log, spec, params, hot_case_rows=T, keep_chunk=True)
     prepared = prepared.persist()      # read by the separation time and the split
     sp = prefix_split(prepared, spec, params.get("test_size", 0.2) or 0.2, hot_case_rows=T, hot=hot)
     parts = {}
@@ -98,4 +99,4 @@ def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = No
     vocab = fit_vocab(parts["train"], list(dict.fromkeys(list(categorical) + list(cat_targets)))).checkpoint()
     enc, vocab = build_event_log(parts, spec, categorical, numerical, cat_targets, num_targets,
                                  vocab=vocab, hot_case_rows=T, hot=hot)
-    return enc, vocab, sp.sep_us
+    return {k: v.drop(CHUNK) for k, v in enc.items()}, vocab, sp.sep_us
