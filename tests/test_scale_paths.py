@@ -133,3 +133,16 @@ def test_early_stop_replay_hot_runs_and_loop(spark):
                 assert run not in got
                 continue
             assert got[run] == exp, (T, run, got[run], exp)
+
+
+def test_encoded_split_single_event_shuffle(spark):
+    """Prepare, dedupe and the split's case window share one partitioning: no
+    exchange between the persisted prepared log and the lead() window, and the
+    vocabulary join is a broadcast."""
+    from caseflow.plans.nep_data import encoded_split
+    log, spec = load_log(spark, "events_by_user", SF01)
+    es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user"])
+    plan = es.train._jdf.queryExecution().executedPlan().toString()
+    top = plan[plan.index("Window [lead"):plan.index("InMemoryTableScan")]
+    assert "Exchange" not in top
+    assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
