@@ -141,11 +141,14 @@ def group_quantiles(df: DataFrame, group: list, col: str, qs: list,
     Without hot groups the positions come from a per-group window."""
     d = df.filter(F.col(col).isNotNull())
     T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
-    if has_hot_group(d, group, T):
-        p = group_positions(d, group, col, "__gpos")
-    else:
-        p = (d.withColumn("__gpos", F.row_number().over(Window.partitionBy(*group).orderBy(col)) - 1)
-              .withColumn("__gn", F.count(F.lit(1)).over(Window.partitionBy(*group))))
+    if not has_hot_group(d, group, T):
+        # every group holds at most T values: the exact percentile aggregate's
+        # per-group buffer is bounded by T
+        agg = d.groupBy(*group).agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs])).alias("__qs"))
+        return agg.select(*group, F.posexplode("__qs").alias("__i", "value")) \
+                  .withColumn("q", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__i") + 1)) \
+                  .select(*group, "q", "value")
+    p = group_positions(d, group, col, "__gpos")
     sizes = p.select(*group, "__gn").distinct()
     targets = sizes.select(*group, F.explode(F.array(*[
         F.struct(F.lit(float(q)).alias("q"),
