@@ -14,7 +14,21 @@ it.  Layers:
 * ``streaming``  — incremental directly-follows counting over a stream
 """
 
-from caseflow.spec import LogSpec, EventAttributes, EOS, PAD, UNK  # noqa: F401
-from caseflow.session import get_spark, configure  # noqa: F401
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers (pandas
+    UDFs, applyInPandas, mapInPandas) need no installed copy of it."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle
+        pass
+
+
+_ship_by_value()
+
+from caseflow.spec import LogSpec, EventAttributes, EOS, PAD, UNK  # noqa: F401,E402
+from caseflow.session import get_spark, configure  # noqa: F401,E402
 
 __all__ = ["LogSpec", "EventAttributes", "EOS", "PAD", "UNK", "get_spark", "configure"]
