@@ -70,3 +70,27 @@ def p_stars(p) -> Column:
     """Significance stars."""
     return (F.when(col(p) < 0.001, "***").when(col(p) < 0.01, "**")
             .when(col(p) < 0.05, "*").otherwise(""))
+
+
+def one_row(df) -> dict:
+    """The single row of a global aggregate as a dict (a handful of scalars)."""
+    row = df.first()
+    return row.asDict() if row is not None else {}
+
+
+def combine_scalars(frames, types: dict | None = None):
+    """Put the columns of several one-row frames side by side without a join:
+    each frame is unpivoted to (name, value), the parts are unioned and
+    pivoted back to one row.  ``types`` casts columns back (default double)."""
+    from functools import reduce
+    types = types or {}
+    longs, names = [], []
+    for df in frames:
+        cols = df.columns
+        names += cols
+        longs.append(df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s"))
+            .select("s.*"))
+    allp = reduce(lambda a, b: a.unionByName(b), longs)
+    wide = allp.groupBy().pivot("name", names).agg(F.first("value"))
+    return wide.select(*[F.col(f"`{n}`").cast(types.get(n, "double")).alias(n) for n in names])

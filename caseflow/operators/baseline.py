@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.columns import combine_scalars, one_row
 from caseflow.spec import MASKED_TARGET, PAD_ID
 
 
@@ -111,8 +112,10 @@ def macro_auroc(pos: DataFrame, counts: DataFrame) -> DataFrame:
     unif_cur = cur_kind.filter(F.col("uniform")).select("cur", "Ncur")
     unif_total = unif_cur.agg(F.coalesce(F.sum("Ncur"), F.lit(0)).alias("U"))
     unif_pos = pos.join(unif_cur.select("cur"), "cur", "left_semi").groupBy("label").agg(F.sum("n").alias("upos"))
-    per_label = (labels.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(k_df))
-                       .crossJoin(F.broadcast(unif_total))  # one-row frames
+    # three scalars (total samples, number of labels, uniform-scored samples)
+    sc = one_row(combine_scalars([total, k_df, unif_total], {"N_all": "long", "k": "long", "U": "long"}))
+    per_label = (labels.withColumns({"N_all": F.lit(sc.get("N_all") or 0), "k": F.lit(sc.get("k") or 0),
+                                     "U": F.lit(sc.get("U") or 0)})
                        .join(unif_pos, "label", "left")
                        .withColumn("upos", F.coalesce(F.col("upos"), F.lit(0))))
     sp_sum = sparse.groupBy("label").agg(F.sum("pos").alias("spos"), F.sum("neg").alias("sneg"))
@@ -161,7 +164,8 @@ def evaluate(test: DataFrame, counts: DataFrame, predictions: DataFrame,
     conf = scored.groupBy(F.col("label").alias("t"), F.col("pred").alias("p")).agg(F.sum("n").alias("n"))
     f1 = per_label_f1(conf).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1_macro"))
     au = macro_auroc(pos, counts)
-    wide = acc.crossJoin(f1).crossJoin(au)  # three one-row frames
-    return wide.select(F.explode(F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-          for m in ("accuracy", "f1_macro", "auroc_macro", "correct", "total")])).alias("m")).select("m.*")
+    def long_(df, names):
+        return df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                                             for m in names])).alias("m")).select("m.*")
+    return (long_(acc, ["accuracy"]).unionByName(long_(f1, ["f1_macro"])).unionByName(long_(au, ["auroc_macro"]))
+            .unionByName(long_(acc, ["correct", "total"])))

@@ -533,10 +533,9 @@ def common_horizon(history: DataFrame, run_id="run_id", step="step", group: Opti
     keys = [group] if group else []
     hz = last.groupBy(*keys).agg(F.min("__last").alias("__hz"))
     if keys:
-        j = history.join(hz, keys)
-    else:
-        j = history.crossJoin(F.broadcast(hz))  # one-row frame
-    return j.filter(F.col(step) <= F.col("__hz")).drop("__hz")
+        return history.join(hz, keys).filter(F.col(step) <= F.col("__hz")).drop("__hz")
+    horizon = hz.first()["__hz"]          # one scalar
+    return history.filter(F.col(step) <= F.lit(horizon))
 
 
 def bar_summary(df: DataFrame, x: str, hue: Optional[str], metric: str) -> DataFrame:

@@ -72,14 +72,11 @@ def apply_scaler_values(df: DataFrame, values: dict) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """F8: (x - mean) / std, with std 0 treated as 1."""
+    """F8 with a one-row parameter frame (``fit_scaler``): its 2 x columns
+    numbers are read once and applied as literals."""
     columns = list(columns)
-    j = df.crossJoin(F.broadcast(params))  # params is a single row
-    for c in columns:
-        sd = F.col(f"{c}__std")
-        j = j.withColumn(c, (F.col(c) - F.col(f"{c}__mean")) /
-                         F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd))
-    return j.drop(*[f"{c}__{s}" for c in columns for s in ("mean", "std")])
+    row = params.first()
+    return apply_scaler_values(df, {c: (row[f"{c}__mean"], row[f"{c}__std"]) for c in columns})
 
 
 def scale_columns(df_columns: Iterable[str]) -> list:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.columns import entropy_term
+from caseflow.functions.columns import combine_scalars, entropy_term
 from caseflow.functions.rank import global_row_number
 from caseflow.operators.sequences import activity_sequences, prefix_next_pairs
 from caseflow.spec import LogSpec
@@ -100,9 +100,9 @@ def top_share(counts: DataFrame, n: int, c: str = "count") -> DataFrame:
     if n <= 0:
         return total.select(F.lit(0.0).alias(f"top{n}_share"))
     top = counts.orderBy(F.col(c).desc()).limit(n).agg(F.sum(c).alias("s"))
-    return top.crossJoin(total).select(   # two one-row frames
-        F.when(F.coalesce(F.col("t"), F.lit(0)) == 0, F.lit(0.0))
-         .otherwise(F.col("s") / F.col("t")).alias(f"top{n}_share"))
+    both = combine_scalars([top, total])
+    return both.select(F.when(F.coalesce(F.col("t"), F.lit(0.0)) == 0, F.lit(0.0))
+                        .otherwise(F.col("s") / F.col("t")).alias(f"top{n}_share"))
 
 
 def conditional_entropy(stats: DataFrame) -> DataFrame:
@@ -114,9 +114,10 @@ def conditional_entropy(stats: DataFrame) -> DataFrame:
 def marginal_entropy(pairs: DataFrame) -> DataFrame:
     """Entropy of the next activity over all pairs."""
     c = pairs.groupBy("next_activity").agg(F.count(F.lit(1)).alias("n"))
-    t = c.agg(F.sum("n").alias("t"))
-    return c.crossJoin(t).agg(F.coalesce(F.sum(entropy_term(F.col("n") / F.col("t"))), F.lit(0.0))
-                              .alias("marginal_entropy_bits"))
+    # H = log2(T) - sum(n log2 n) / T, from two sums over the distinct next activities
+    s = c.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("nl"))
+    return s.select(F.when(F.coalesce(F.col("t"), F.lit(0)) == 0, F.lit(0.0))
+                     .otherwise(F.log2("t") - F.col("nl") / F.col("t")).alias("marginal_entropy_bits"))
 
 
 def class_counts(df: DataFrame, spec: LogSpec) -> DataFrame:
@@ -133,10 +134,7 @@ def prefix_summary(pairs: DataFrame, stats: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("unique_prefixes"))
     parts = [base, top_share(stats, 5), top_share(stats, 10), gini(stats),
              conditional_entropy(stats), marginal_entropy(pairs)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # all one-row frames
-    return out
+    return combine_scalars(parts, {"prefix_instances": "long", "unique_prefixes": "long"})
 
 
 def top_k_prefixes(stats: DataFrame, k: int) -> DataFrame:

@@ -26,10 +26,11 @@ def cumulative_coverage(t: DataFrame, cur: str = "current_activity", nxt: str =
     window over it is small.
     """
     w = Window.orderBy(F.col(c).desc(), F.col(cur), F.col(nxt))
-    tot = t.agg(F.sum(c).alias("__tot"), F.count(F.lit(1)).alias("__n"))
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     r = (t.withColumn("rank", F.row_number().over(w))
           .withColumn("__cum", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .crossJoin(F.broadcast(tot)))  # one-row frame
+          .withColumn("__tot", F.sum(c).over(wall))
+          .withColumn("__n", F.count(F.lit(1)).over(wall)))
     return r.select(cur, nxt, c, "rank",
                     (100.0 * F.col("__cum") / F.col("__tot")).alias("cumulative_pct"),
                     (100.0 * F.col("rank") / F.col("__n")).alias("rank_pct"))

@@ -161,7 +161,7 @@ SELECT metric, round(value, {DIGITS}) AS value FROM (
 # Spark side
 # ---------------------------------------------------------------------------
 
-from caseflow.functions.columns import micros  # noqa: E402
+from caseflow.functions.columns import combine_scalars, micros  # noqa: E402
 from caseflow.operators import baseline as B  # noqa: E402
 from caseflow.operators import prefixes as X  # noqa: E402
 from caseflow.operators import transitions as D  # noqa: E402
@@ -401,7 +401,7 @@ def class_counts_orders(spark, sf_dir):
     a = X.class_counts(plain, spec)
     b = lc.agg(F.countDistinct(spec_lc.activity).alias("n_activities_lifecycle")) \
           .withColumn("n_classes_with_eos_lifecycle", F.col("n_activities_lifecycle") + 1)
-    return a.crossJoin(b)  # two one-row frames
+    return combine_scalars([a, b], {c: "long" for c in a.columns + b.columns})
 
 
 # ---------------------------------------------------------------------------
@@ -584,7 +584,7 @@ def logit_metrics_embeddings(spark, sf_dir):
     kl = V.masked_kl(s, temperature=2.0)
     mb = V.mean_of_batch_losses(v)
     alpha = V.distill_alpha(1, 4, 0.0, 1.0)   # 0.25
-    out = ce.crossJoin(acc).crossJoin(f1).crossJoin(kl).crossJoin(mb)  # one-row frames
+    out = combine_scalars([ce, acc, f1, kl, mb])
     out = out.withColumn("distill_loss", V.distill_loss("kl_loss", "ce_loss", alpha))
     return out.select(*[r(c).alias(c) for c in ("ce_loss", "acc", "f1", "kl_loss", "distill_loss", "mean_batch_loss")])
 
@@ -1413,7 +1413,7 @@ def numeric_target_losses_embeddings(spark, sf_dir):
     mse = V.masked_mse(e)
     per_target = ce.select(F.col("ce_loss").alias("loss")).unionByName(mse.select(F.col("mse").alias("loss")))
     tot = V.total_loss(per_target)
-    return ce.crossJoin(mse).crossJoin(tot).select(*[r(c).alias(c) for c in ("ce_loss", "mse", "total_loss")])
+    return combine_scalars([ce, mse, tot]).select(*[r(c).alias(c) for c in ("ce_loss", "mse", "total_loss")])
 
 
 def _frequency_model(pdf):
