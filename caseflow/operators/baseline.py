@@ -135,7 +135,7 @@ def macro_auroc(pos: DataFrame, counts: DataFrame) -> DataFrame:
                  .groupBy("label")
                  .agg(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),
                       F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-                 .withColumn("auc", F.col("u") / (F.col("P") * F.col("N"))))
+                 .withColumn("auc", F.when(F.col("P") * F.col("N") > 0, F.col("u") / (F.col("P") * F.col("N")))))
     summary = auc.agg(F.count(F.lit(1)).alias("k"),
                       F.avg("auc").alias("mean_auc"),
                       F.max_by("auc", "label").alias("top_auc"))

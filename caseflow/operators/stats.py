@@ -67,5 +67,5 @@ def dataset_overview(stats: DataFrame) -> DataFrame:
                                                               F.first("events").alias("events"))
     return w.select("*", (F.col("train_cases") + F.col("test_cases")).alias("total_cases"),
                     (F.col("train_events") + F.col("test_events")).alias("total_events"),
-                    F.round((F.col("train_events") + F.col("test_events")) /
-                            (F.col("train_cases") + F.col("test_cases")), 1).alias("avg_events_per_case"))
+                    F.round(F.try_divide(F.col("train_events") + F.col("test_events"),
+                                         F.col("train_cases") + F.col("test_cases")), 1).alias("avg_events_per_case"))

@@ -12,9 +12,9 @@ def transition_summary(t: DataFrame, cur: str = "current_activity", nxt: str = "
     (rows / distinct current), self-transition percentage."""
     return t.agg(F.count(F.lit(1)).alias("unique_transitions"),
                  F.coalesce(F.sum(c), F.lit(0)).alias("total_transitions"),
-                 (F.count(F.lit(1)) / F.countDistinct(cur)).alias("branching_factor"),
-                 (100.0 * F.coalesce(F.sum(F.when(F.col(cur) == F.col(nxt), F.col(c))), F.lit(0))
-                  / F.sum(c)).alias("self_transition_pct"))
+                 F.try_divide(F.count(F.lit(1)), F.countDistinct(cur)).alias("branching_factor"),
+                 F.try_divide(100.0 * F.coalesce(F.sum(F.when(F.col(cur) == F.col(nxt), F.col(c))), F.lit(0)),
+                              F.sum(c)).alias("self_transition_pct"))
 
 
 def cumulative_coverage(t: DataFrame, cur: str = "current_activity", nxt: str = "next_activity",
