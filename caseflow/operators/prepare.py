@@ -9,6 +9,7 @@ Duplicates are removed afterwards (quirk K3: a case may shrink below 3).
 
 from __future__ import annotations
 
+import warnings
 from typing import Optional
 
 from pyspark.sql import DataFrame, Window
@@ -26,7 +27,7 @@ def combine_lifecycle(df: DataFrame, spec: LogSpec, lifecycle: bool = True):
     if not lifecycle:
         return df, spec
     if not spec.lifecycle or spec.lifecycle not in df.columns:
-        print("Column 'lifecycle' not found. Disabling lifecycle.")
+        warnings.warn("Column 'lifecycle' not found. Disabling lifecycle.")
         return df, spec
     out = df.withColumn(spec.activity, F.concat(F.col(spec.activity), F.lit("_"), F.col(spec.lifecycle)))
     return out, spec
