@@ -54,12 +54,25 @@ def test_at_best_val(enriched: DataFrame, history: DataFrame, test_cols: dict, r
     return j
 
 
+def best_row(df: DataFrame, group: Sequence[str], order: list) -> DataFrame:
+    """The first row per group under ``order`` — a list of (column, ascending,
+    nulls_last) — as a partial aggregation (``min_by`` over an ordering
+    struct), so a group holding many rows is combined map-side instead of
+    being sorted in one task."""
+    keys = []
+    for c, asc, nulls_last in order:
+        col = F.col(c)
+        keys.append((col.isNull() if nulls_last else col.isNotNull()).alias(f"__n_{c}"))
+        keys.append((col if asc else -col).alias(f"__v_{c}"))
+    cols = [c for c in df.columns if c not in group]
+    best = df.groupBy(*group).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*keys)).alias("__b"))
+    return best.select(*group, *[F.col("__b")[c].alias(c) for c in cols]).select(*df.columns)
+
+
 def best_by_group(df: DataFrame, group: Sequence[str], metric: str, ascending: bool = True,
                   tie: str = "id") -> DataFrame:
-    """The row with the best metric per group (ties -> smallest ``tie``)."""
-    order = (F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last())
-    w = Window.partitionBy(*group).orderBy(order, F.col(tie))
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """The row with the best metric per group (nulls last, ties -> smallest ``tie``)."""
+    return best_row(df, group, [(metric, ascending, True), (tie, True, True)])
 
 
 def best_run_id(df: DataFrame, group: Sequence[str], metric: str, maximize: bool = True,
@@ -189,9 +202,9 @@ def unplanned_configs(grid: DataFrame, observed: DataFrame, keys=("log", "backbo
 def best_per_log(stats: DataFrame, metric: str = "mean", min_runs: int = 4, log: str = "log") -> DataFrame:
     """Flag the minimal mean per log among rows with at least ``min_runs`` runs."""
     eligible = F.col("n") >= min_runs
-    w = Window.partitionBy(log)
-    best = F.min(F.when(eligible, F.col(metric))).over(w)
-    return stats.withColumn("is_best", eligible & (F.col(metric) == best))
+    best = stats.groupBy(log).agg(F.min(F.when(eligible, F.col(metric))).alias("__best"))   # one row per log
+    j = stats.join(best, log, "left")
+    return j.withColumn("is_best", eligible & (F.col(metric) == F.col("__best"))).drop("__best")
 
 
 def recorded_runs(df: DataFrame, keys: Sequence[str], excluded_projects: Iterable[str],
@@ -238,9 +251,8 @@ def multi_metric_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[s
 def best_lr(summary: DataFrame, group=("log", "backbone"), f1="f1_mean", acc="acc_mean", n="n",
             lr="lr") -> DataFrame:
     """One row per group by f1 desc, acc desc, n desc, lr asc (nulls last)."""
-    w = Window.partitionBy(*group).orderBy(F.col(f1).desc_nulls_last(), F.col(acc).desc_nulls_last(),
-                                           F.col(n).desc_nulls_last(), F.col(lr).asc_nulls_last())
-    return summary.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    return best_row(summary, list(group), [(f1, False, True), (acc, False, True), (n, False, True),
+                                           (lr, True, True)])
 
 
 # --- A23-A27: differences and tests ------------------------------------------

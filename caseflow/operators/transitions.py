@@ -42,8 +42,11 @@ def latest_per_key(runs: DataFrame, key: str, ts: str = "created_at", flag: str
     r = runs
     if flag is not None:
         r = r.filter(F.coalesce(F.col(flag), F.lit(False)) == F.lit(flag_value))
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("id").desc())
-    return r.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    # partial aggregation: the newest row per key, ties -> largest id
+    cols = [c for c in r.columns if c != key]
+    best = r.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col("id")))
+                              .alias("__b"))
+    return best.select(key, *[F.col("__b")[c].alias(c) for c in cols]).select(*r.columns)
 
 
 def metric_melt(df: DataFrame, ids: list, metrics: list, labels: dict = None) -> DataFrame:

@@ -1383,12 +1383,11 @@ SELECT case_id, seq, CAST(2 * i + 1 AS INTEGER), round(cos(t * exp(-ln(10000.0)
        round(cos(pos * exp(-ln(10000.0) * 2 * i / 8.0)), {DIGITS}) FROM t, d""")
 def time_encoding_conversations(spark, sf_dir):
     """F9 + F10: 8-dimensional sinusoid encodings of accumulated time (x1000) and position."""
-    from pyspark.sql import Window
+    from caseflow.functions.ordered import case_frame
     df, spec = _prepared(spark, sf_dir, "conversations")
-    w = Window.partitionBy(spec.case).orderBy(*spec.order_by)
-    tf = df.withColumn("__t", (micros("ts") - F.min(micros("ts")).over(Window.partitionBy(spec.case)))
-                       / F.lit(86400000000.0) * 1000.0) \
-           .withColumn("__pos", (F.row_number().over(w) - 1))
+    fr = case_frame(df, spec, bounds=True, position="__p")      # skew-safe case pass
+    tf = fr.withColumn("__t", (micros("ts") - F.col("case_start_us")) / F.lit(86400000000.0) * 1000.0) \
+           .withColumn("__pos", F.col("__p") - 1)
     enc = tf.select("case_id", "seq", F.posexplode(F.arrays_zip(time_encoding(F.col("__t"), 8).alias("a"),
                                                                position_encoding("__pos", 8).alias("b"))))
     return enc.select("case_id", "seq", F.col("pos").cast("int").alias("dim"),
