@@ -40,7 +40,9 @@ def kth_smallest(df: DataFrame, c: str, k: int | None = None, n: int | None = No
     j = int((k + 0.5) / n * 1000)
     lo, hi = g[max(0, j - 2)], g[min(1000, j + 3)]
     sub = df.filter(v.isNotNull())
+    rounds = 0
     while True:
+        rounds += 1
         # one job: the count below the bracket (null key) and the distinct
         # values inside it with multiplicities, at most max_bracket of them
         res = (sub.filter(v <= hi).groupBy(F.when(v >= lo, v).alias("x")).count()
@@ -50,9 +52,13 @@ def kth_smallest(df: DataFrame, c: str, k: int | None = None, n: int | None = No
         if len(vals) > max_bracket:
             inside = sub.filter(v.between(lo, hi))
             nin = inside.count()
-            gg = inside.agg(F.percentile_approx(v, grid, acc)).first()[0]
+            # more accuracy and a wider neighbourhood on every further round,
+            # so a missed bracket cannot repeat forever
+            acc_r = min(acc * (2 ** rounds), 10_000_000)
+            gg = inside.agg(F.percentile_approx(v, grid, acc_r)).first()[0]
             jj = int((k - below + 0.5) / max(nin, 1) * 1000)
-            lo, hi = gg[max(0, jj - 2)], gg[min(1000, jj + 3)]
+            pad = 2 + rounds
+            lo, hi = gg[max(0, jj - pad)], gg[min(1000, jj + pad + 1)]
             continue
         nin = sum(cnt for _, cnt in vals)
         if below <= k < below + nin:
