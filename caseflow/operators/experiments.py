@@ -19,10 +19,6 @@ from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-e
 from caseflow.functions.rank import HOT_GROUP_ROWS, group_average_rank, group_quantiles, has_hot_group
 
 
-def _cols(xs):
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
 # --- A1-A3: best validation step --------------------------------------------
 
 def best_val_step(runs: DataFrame, history: DataFrame, loss: str = "val_loss", acc: str = "val_acc",
@@ -363,7 +359,6 @@ def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, exact_m
     per = per.join(ties_groups, group, "left").join(lists, group, "left")
 
     def pvals(pdf):
-        import pandas as pd
         out = []
         for _, r in pdf.iterrows():
             n = int(r["n"])

@@ -162,7 +162,6 @@ SELECT metric, round(value, {DIGITS}) AS value FROM (
 # ---------------------------------------------------------------------------
 
 from caseflow.functions.columns import combine_scalars, micros  # noqa: E402
-from caseflow.operators import baseline as B  # noqa: E402
 from caseflow.operators import prefixes as X  # noqa: E402
 from caseflow.operators import transitions as D  # noqa: E402
 from caseflow.operators.encode import decode  # noqa: E402
