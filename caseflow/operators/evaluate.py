@@ -120,8 +120,10 @@ def phase_metrics(df: DataFrame, phase="phase", target_name="target_name", logit
                                          F.lit(0).cast("long").alias("nt"), F.col("n").alias("np")))
     f1 = (parts.groupBy(*g, "label").agg(F.sum("tp").alias("tp"), F.sum("nt").alias("nt"), F.sum("np").alias("np"))
                .groupBy(*g).agg(F.avg(2.0 * F.col("tp") / (F.col("nt") + F.col("np"))).alias("f1")))
-    wide = loss.join(acc, g).join(f1, g)
-    long_ = wide.unpivot(g, ["loss", "acc", "f1"], "metric", "value")
+    # each metric is already one row per (phase, target): stack them, no join
+    long_ = (loss.select(*g, F.lit("loss").alias("metric"), F.col("loss").alias("value"))
+             .unionByName(acc.select(*g, F.lit("acc").alias("metric"), F.col("acc").alias("value")))
+             .unionByName(f1.select(*g, F.lit("f1").alias("metric"), F.col("f1").alias("value"))))
     return long_.select(F.concat_ws("_", F.col(phase), F.col(target_name), F.col("metric")).alias("key"), "value")
 
 

@@ -1039,17 +1039,19 @@ def prefix_suffix_events_day(spark, sf_dir):
 
 
 @register("trace_tensors_events_by_user_day", "WITH " + _TRACE_CTES + """,
-mx AS (SELECT max(len(cur)) AS T FROM tr)
+mx AS (SELECT split_part(case_id, '_', 2) AS batch, max(len(cur)) AS T FROM tr GROUP BY 1),
+trb AS (SELECT tr.*, mx.T FROM tr JOIN mx ON split_part(tr.case_id, '_', 2) = mx.batch)
 SELECT case_id, CAST(len(cur) AS INTEGER) AS n_events,
-       array_to_string(list_resize(cur, (SELECT T FROM mx), 0), ',') AS padded_cur,
-       list_filter(list_resize(tgt, (SELECT T FROM mx), 0), lambda x: x <> 0)[-1] AS last_valid_target,
+       array_to_string(list_resize(cur, T, 0), ',') AS padded_cur,
+       list_filter(list_resize(tgt, T, 0), lambda x: x <> 0)[-1] AS last_valid_target,
        array_to_string(list_slice(cur, len(cur) - least(5, len(cur)) + 1, len(cur)), ',') AS recent_cur,
        CAST(greatest(len(list_filter(masked, lambda m: NOT m)), 1) AS INTEGER) AS trace_length
-FROM tr""")
+FROM trb""")
 def trace_tensors_events_day(spark, sf_dir):
-    """Q1 + Q3 + Q8 + Q10 + Q11: per-case encoded traces padded to the longest,
-    last valid target, the last 5 steps, and the number of scored positions."""
-    tr = _train_traces(spark, sf_dir).withColumn("__b", F.lit(0))
+    """Q1 + Q3 + Q8 + Q10 + Q11: per-case encoded traces padded to the longest
+    trace of their batch (batch = the day of the case), last valid target, the
+    last 5 steps, and the number of scored positions."""
+    tr = _train_traces(spark, sf_dir).withColumn("__b", F.element_at(F.split("case_id", "_"), 2))
     padded = Q.pad_batch(tr.withColumn("__pc", F.col("cur")).withColumn("__pt", F.col("tgt")), "__pc", "__b")
     padded = Q.pad_batch(padded, "__pt", "__b")
     return padded.select(
