@@ -196,16 +196,12 @@ def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = Fal
         hot = hot_cases(df, spec, T)
     spark = df.sparkSession
     base = df.withColumn(_US, micros(spec.ts))
+    reuse = _CHUNK in df.columns
     if hot:
-        rows = [(r[spec.case], int(r["lo"]), int(r["hi"]),
-                 max(1, int(math.ceil(r["n"] / T)) * OVERSPLIT)) for r in hot]
-        case_type = df.schema[spec.case].dataType.simpleString()
-        hot_df = spark.createDataFrame(rows, f"`{spec.case}` {case_type}, __hlo long, __hhi long, __hk long")
-        base = base.join(F.broadcast(hot_df), spec.case, "left")
-        base = base.withColumn(_CHUNK, F.when(F.col("__hk").isNull(), F.lit(0)).otherwise(
-            F.least(F.col("__hk") - 1, F.floor((F.col(_US) - F.col("__hlo")) * F.col("__hk")
-                                              / (F.col("__hhi") - F.col("__hlo") + 1)))).cast("long"))
-    else:
+        base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
+        if not reuse:
+            base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)))
+    elif not reuse:
         base = base.withColumn(_CHUNK, F.lit(0).cast("long"))
     w = case_window(spec, _CHUNK)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
@@ -230,5 +226,6 @@ def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = Fal
             out = out.withColumn(name, comb)
         if position:
             out = out.withColumn(position, F.col(position) + F.coalesce(F.col("__prev_n"), F.lit(0)))
-        out = out.drop("__prev_n", *[f"__p_{n}" for n in aggs], "__hlo", "__hhi", "__hk")
-    return out.drop(_CHUNK, _US)
+        out = out.drop("__prev_n", *[f"__p_{n}" for n in aggs], "__hn", "__hlo", "__hhi", "__hk")
+    # a chunk column that came in stays (a following pass reuses the partitioning)
+    return out.drop(_US) if reuse else out.drop(_CHUNK, _US)

@@ -176,7 +176,7 @@ def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_l
     skew-safe running aggregates (a run with very many steps is chunked);
     everything after that is aggregation.
     """
-    from caseflow.functions.ordered import DEFAULT_HOT_CASE_ROWS, case_running, hot_cases
+    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, case_running, hot_cases, with_chunks
     from caseflow.spec import LogSpec
 
     spec = LogSpec(case=run, activity=loss, ts="__ts", order=(step,))
@@ -184,13 +184,14 @@ def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_l
                 .withColumn("__ts", F.timestamp_micros(F.col(step).cast("long"))))
     hot_case_rows = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     hot = hot_cases(h, spec, hot_case_rows)          # one small job, reused by both passes
+    h = with_chunks(h, spec, hot, hot_case_rows)     # both running passes share this partitioning
     h = case_running(h, spec, {"__best_before": ("min", loss)}, exclusive=True,
                      hot_case_rows=hot_case_rows, hot=hot, position="__pos")
     h = h.withColumn("__imp", F.col("__best_before").isNull() |
                      (F.col(loss) < F.col("__best_before") - F.lit(float(min_delta))))
     h = case_running(h.withColumn("__imp_pos", F.when(F.col("__imp"), F.col("__pos"))), spec,
                      {"__last_imp": ("max", "__imp_pos")}, hot_case_rows=hot_case_rows, hot=hot)
-    h = h.withColumn("__streak", F.col("__pos") - F.col("__last_imp"))
+    h = h.withColumn("__streak", F.col("__pos") - F.col("__last_imp")).drop(CHUNK)
     stops = h.filter(F.col("__streak") >= patience).groupBy(run).agg(F.min(step).alias("stop_step"))
     j = h.join(stops, run, "left")
     alive = j.filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))
