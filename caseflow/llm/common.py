@@ -58,3 +58,12 @@ def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     m = sys.modules.setdefault("_caseflow_worker_state", types.ModuleType("_caseflow_worker_state"))
     return m.__dict__.setdefault(name, {})
+
+
+def lower_ascii(c):
+    """A-Z lower-cased, all else untouched. ``lower`` does the same on ASCII texts
+    and is faster than ``translate``."""
+    from pyspark.sql import functions as F
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))

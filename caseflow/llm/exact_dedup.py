@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import written
+from caseflow.llm.common import lower_ascii, written
 
 BROADCAST_GROUPS = 500_000   # 24 bytes each: 12 MB at most
 SALTS = 32
@@ -34,11 +34,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def normalise(c: Column) -> Column:
-    """Null as empty, A-Z lower-cased, all else untouched. ``lower`` does the same
-    on texts of ASCII only and is faster than ``translate``."""
-    c = F.coalesce(c, F.lit(""))
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
-        F.translate(c, _UPPER, _UPPER.lower()))
+    """Null as empty, A-Z lower-cased, all else untouched."""
+    return lower_ascii(F.coalesce(c, F.lit("")))
 
 
 def content_hash(norm: Column) -> Column:

@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseflow.llm import exact_dedup, packing, quality_rules
+from caseflow.llm import bpe, exact_dedup, language_id, packing, pii, quality_rules, url_filter
 from caseflow.llm.common import table
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -17,10 +21,24 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark, sf_dir):
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_pii(spark, sf_dir):
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"),
                                               public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_exact_dedup, op8_packing)}
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_exact_dedup, op6_byte_bpe, op7_pii,
+                                   op8_packing, op9_url_filter)}
 ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
