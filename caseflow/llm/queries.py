@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseflow.llm import bpe, exact_dedup, language_id, packing, pii, quality_rules, url_filter
+from caseflow.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality_rules, url_filter
 from caseflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -39,6 +43,7 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_exact_dedup, op6_byte_bpe, op7_pii,
-                                   op8_packing, op9_url_filter)}
-ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_exact_dedup, op5_ngram_join, op6_byte_bpe,
+                                   op7_pii, op8_packing, op9_url_filter)}
+ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE,
+           "op5_ngram_join": ngram_join.ORACLE}
