@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseflow.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality_rules, url_filter
+from caseflow.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality_rules, suffix_dedup, url_filter
 from caseflow.llm.common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_exact_dedup, op5_ngram_join, op6_byte_bpe,
-                                   op7_pii, op8_packing, op9_url_filter)}
-ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE,
-           "op5_ngram_join": ngram_join.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_ngram_join,
+                                   op6_byte_bpe, op7_pii, op8_packing, op9_url_filter)}
+ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE,
+           "op4_exact_dedup": exact_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE}
