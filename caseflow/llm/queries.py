@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseflow.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality_rules, suffix_dedup, url_filter
+from caseflow.llm import (bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality_rules,
+                          suffix_dedup, url_filter)
 from caseflow.llm.common import table
 
 
@@ -47,7 +48,11 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_chat_format(spark, sf_dir):
+    return chat_format.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_ngram_join,
-                                   op6_byte_bpe, op7_pii, op8_packing, op9_url_filter)}
+                                   op6_byte_bpe, op7_pii, op8_packing, op9_url_filter, op10_chat_format)}
 ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE,
            "op4_exact_dedup": exact_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE}
