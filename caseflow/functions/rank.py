@@ -1,11 +1,12 @@
 """Order statistics and ranks without a single-partition sort.
 
-* ``kth_smallest`` — exact k-th smallest value: an approximate-percentile
-  bracket, an exact count below it, then the distinct values inside the
-  (small) bracket with their multiplicities.
+* ``kth_smallest`` — exact k-th smallest value: a narrow bracket of approximate
+  percentiles, an exact count below it, then the distinct values inside.
 * ``global_row_number`` — 1-based position in a total order: range
-  partitioning by the order, per-partition counts (one row per partition,
-  broadcast), partition-local positions plus offsets.
+  partitioning by the order, written once; partition counts (one row per
+  partition) and partition-local positions both come from the written rows.
+* ``group_average_rank``, ``group_quantiles`` — per-group ranks from the global
+  row number, so no group is sorted inside one task, whatever its size.
 """
 
 from __future__ import annotations
@@ -13,23 +14,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.storage import written
+
+# Half-width of the first percentile bracket; the percentiles are accurate to 1e-5.
+_BRACKET = 3e-5
+
 
 def kth_smallest(df: DataFrame, c: str, k: int | None = None, n: int | None = None,
-                 frac: float | None = None, max_bracket: int = 1_000_000):
+                 frac: float | None = None, max_bracket: int = 20_000):
     """Exact 0-based k-th smallest value of column ``c`` (nulls ignored).
 
     Either ``k`` or ``frac`` is given; with ``frac`` the rank is
     ``int(n * (1 - frac))`` (the separation index), with n counted in the same
-    job as a grid of approximate percentiles.  The grid brackets the rank; the
-    bracket is narrowed with further percentile passes until it holds at most
-    ``max_bracket`` rows, then its distinct values with multiplicities (and
-    the count below it) are fetched in one job and walked on the driver.
+    job as two approximate percentiles just around it.  They bracket the rank;
+    the bracket is narrowed with further percentile passes until it holds at
+    most ``max_bracket`` distinct values, which are fetched with their
+    multiplicities.
     """
     v = F.col(c)
     grid = [i / 1000 for i in range(1001)]
     acc = 100_000
-    row = df.agg(F.count(v).alias("n"), F.percentile_approx(v, grid, acc).alias("g")).first()
-    n, g = row["n"], row["g"]
+    if frac is None and n is None:
+        n = df.agg(F.count(v)).first()[0]
+        if not n:
+            raise ValueError("no values")
+    p = 1 - frac if frac is not None else (min(int(k), n - 1) + 0.5) / n
+    row = df.agg(F.count(v).alias("n"), F.percentile_approx(
+        v, [min(1.0, max(0.0, p - _BRACKET)), min(1.0, max(0.0, p + _BRACKET))], acc).alias("g")).first()
+    n = row["n"]
     if not n:
         raise ValueError("no values")
     if frac is not None:
@@ -37,8 +49,7 @@ def kth_smallest(df: DataFrame, c: str, k: int | None = None, n: int | None = No
     k = min(int(k), n - 1)
     if k < 0:
         raise ValueError("negative rank")
-    j = int((k + 0.5) / n * 1000)
-    lo, hi = g[max(0, j - 2)], g[min(1000, j + 3)]
+    lo, hi = row["g"]
     sub = df.filter(v.isNotNull())
     rounds = 0
     while True:
@@ -81,13 +92,14 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     """Add ``name`` = 1-based position of each row in the total order ``order_cols``.
 
     ``order_cols`` must be Column expressions or names forming a total order.
+    The range-partitioned rows are written once: evaluated twice, their
+    partition bounds could be sampled differently, and counts and rows disagree.
     """
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ordered.withColumn("__pid", F.spark_partition_id()) \
-                    .withColumn("__local", F.monotonically_increasing_id())
     # partition-local index: monotonically_increasing_id = (pid << 33) + index
-    tagged = tagged.withColumn("__local", F.col("__local") - (F.col("__pid").cast("long") * F.lit(1 << 33)))
+    tagged = written(ordered.withColumn("__pid", F.spark_partition_id())
+                     .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = tagged.groupBy("__pid").count()
     offs = counts.select("__pid", (F.sum("count").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))
@@ -104,66 +116,37 @@ def group_positions(df: DataFrame, group: list, col: str, name: str = "__gpos")
     a large share of the rows is still spread over range partitions."""
     keys = [F.col(g) for g in group] + [F.col(col)]
     rn = global_row_number(df, keys, "__grn")
-    first = rn.groupBy(*group).agg(F.min("__grn").alias("__gfirst"), F.count(F.lit(1)).alias("__gn"))
-    return (rn.join(first, group).withColumn(name, F.col("__grn") - F.col("__gfirst"))
-              .drop("__gfirst"))
-
-
-HOT_GROUP_ROWS = 2_000_000
-
-
-def has_hot_group(df: DataFrame, group: list, hot_group_rows: int) -> bool:
-    """True if some group holds more than ``hot_group_rows`` rows (one aggregation job)."""
-    return bool(df.groupBy(*group).count().filter(F.col("count") > hot_group_rows).limit(1).take(1))
-
+    first = rn.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(
+        F.min("__grn").alias("__gfirst"), F.count(F.lit(1)).alias("__gn"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
+    return (rn.join(first, same).withColumn(name, F.col("__grn") - F.col("__gfirst"))
+              .drop("__gfirst", *[f"__g_{g}" for g in group]))
 
-def group_average_rank(df: DataFrame, group: list, col: str, name: str,
-                       hot_group_rows: int | None = None, hot: bool | None = None) -> DataFrame:
-    """1-based rank of ``col`` inside each group with ties averaged.
 
-    Groups up to ``hot_group_rows`` rows use a per-group window; if any group
-    is larger, every rank comes from the range-partitioned global row number
-    (no group is ever sorted inside one task).  ``hot`` skips the detection
-    job when the caller already knows."""
-    T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
-    if hot is None:
-        hot = has_hot_group(df, group, T)
-    if not hot:
-        w = Window.partitionBy(*group).orderBy(col)
-        wt = Window.partitionBy(*group, col)
-        return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
+def group_average_rank(df: DataFrame, group: list, col: str, name: str) -> DataFrame:
+    """1-based rank of ``col`` inside each group with ties averaged."""
     p = group_positions(df, group, col, "__gpos")
-    ties = p.groupBy(*group, col).agg(F.min("__gpos").alias("__tmin"), F.max("__gpos").alias("__tmax"))
-    return (p.join(ties, [*group, col])
+    ties = p.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(col).alias("__tv")).agg(
+        F.min("__gpos").alias("__tmin"), F.max("__gpos").alias("__tmax"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col(col).eqNullSafe(F.col("__tv"))]
+    return (p.join(ties, same)
              .withColumn(name, (F.col("__tmin") + F.col("__tmax")) / 2.0 + 1.0)
-             .drop("__grn", "__gpos", "__gn", "__tmin", "__tmax"))
+             .drop("__grn", "__gpos", "__gn", "__tmin", "__tmax", "__tv", *[f"__g_{g}" for g in group]))
 
 
-def group_quantiles(df: DataFrame, group: list, col: str, qs: list,
-                    hot_group_rows: int | None = None) -> DataFrame:
+def group_quantiles(df: DataFrame, group: list, col: str, qs: list) -> DataFrame:
     """Exact quantiles with linear interpolation (h = (n-1) q) per group:
-    one row per (group, q) with ``value``.  Only the two rows around each
-    requested position are joined back — no group's values are buffered.
-    Without hot groups the positions come from a per-group window."""
-    d = df.filter(F.col(col).isNotNull())
-    T = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
-    if not has_hot_group(d, group, T):
-        # every group holds at most T values: the exact percentile aggregate's
-        # per-group buffer is bounded by T
-        agg = d.groupBy(*group).agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs])).alias("__qs"))
-        return agg.select(*group, F.posexplode("__qs").alias("__i", "value")) \
-                  .withColumn("q", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__i") + 1)) \
-                  .select(*group, "q", "value")
-    p = group_positions(d, group, col, "__gpos")
-    sizes = p.select(*group, "__gn").distinct()
-    targets = sizes.select(*group, F.explode(F.array(*[
-        F.struct(F.lit(float(q)).alias("q"),
-                 F.floor((F.col("__gn") - 1) * F.lit(float(q))).cast("long").alias("lo"),
-                 F.ceil((F.col("__gn") - 1) * F.lit(float(q))).cast("long").alias("hi"),
-                 ((F.col("__gn") - 1) * F.lit(float(q)) - F.floor((F.col("__gn") - 1) * F.lit(float(q))))
-                 .alias("frac")) for q in qs])).alias("t")).select(*group, "t.*")
-    vals = p.select(*group, F.col("__gpos"), F.col(col).alias("__v"))
-    lo = vals.withColumnRenamed("__gpos", "lo").withColumnRenamed("__v", "__vlo")
-    hi = vals.withColumnRenamed("__gpos", "hi").withColumnRenamed("__v", "__vhi")
-    j = targets.join(lo, [*group, "lo"]).join(hi, [*group, "hi"])
-    return j.select(*group, "q", (F.col("__vlo") + F.col("frac") * (F.col("__vhi") - F.col("__vlo"))).alias("value"))
+    one row per (group, q) with ``value``.  Each group's rows around the
+    requested positions are picked by one aggregation — no group's values are
+    buffered."""
+    p = group_positions(df.filter(F.col(col).isNotNull()), group, col, "__gpos")
+    at = [(F.col("__gn") - 1) * F.lit(float(q)) for q in qs]
+    aggs = [F.max("__gn").alias("__gn")]
+    for i, h in enumerate(at):
+        aggs += [F.max(F.when(F.col("__gpos") == F.floor(h), F.col(col))).alias(f"__lo{i}"),
+                 F.max(F.when(F.col("__gpos") == F.ceil(h), F.col(col))).alias(f"__hi{i}")]
+    g = p.groupBy(*group).agg(*aggs)
+    value = [F.col(f"__lo{i}") + (h - F.floor(h)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}")) for i, h in enumerate(at)]
+    return g.select(*group, F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), v.alias("value"))
+                                                for q, v in zip(qs, value)])).alias("__e")) \
+            .select(*group, "__e.q", "__e.value")

@@ -1,9 +1,9 @@
 """Analytics over flattened run and history tables.
 
 Run tables have one row per training run; history tables one row per
-(run, step).  Everything is grouping, ranking windows and joins; the two
-statistical tests (Wilcoxon, correlation p-values) run their tiny per-group
-arithmetic in ``applyInPandas`` after the ranking is done in Spark.
+(run, step).  Everything is grouping, ranking windows and joins; only the
+Wilcoxon p-value of a group is computed in Python (a vectorised UDF over the
+group rows, after the ranking is done in Spark).
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import math
 from functools import reduce
 from typing import Iterable, Optional, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-exported)
-from caseflow.functions.rank import HOT_GROUP_ROWS, group_average_rank, group_quantiles, has_hot_group
+from caseflow.functions.rank import group_average_rank, group_quantiles
 
 
 # --- A1-A3: best validation step --------------------------------------------
@@ -151,11 +152,11 @@ def summary_stats(df: DataFrame, keys: Sequence[str], metric: str, drop_null_key
 
 
 def descriptors(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """First non-null value per group, and for each column whether it varies
-    inside a group (null counts as a value)."""
+    """A non-null value per group (the smallest), and for each column whether it
+    varies inside a group (null counts as a value)."""
     aggs = []
     for c in cols:
-        aggs += [F.first(c, ignorenulls=True).alias(c),
+        aggs += [F.min(c).alias(c),
                  ((F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))) > 1).alias(f"{c}__varies")]
     return df.groupBy(*keys).agg(*aggs)
 
@@ -330,59 +331,55 @@ def _norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, exact_max_n: int = 50,
-                         zero_tol: float = 1e-12, hot_group_rows: Optional[int] = None) -> DataFrame:
+def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, method: str = "exact",
+                         zero_tol: float = 1e-12, all_zero_tol: float = 1e-8) -> DataFrame:
     """Per group Wilcoxon signed-rank test of the paired differences.
 
-    Nulls dropped; zero differences dropped; |d| ranked with ties averaged
-    (Spark windows); W = min(W+, W-).  p is exact for n <= ``exact_max_n``
-    (subset-sum count in ``applyInPandas`` on the per-group rank list, at
-    most ``exact_max_n`` rows), normal approximation with tie correction
-    beyond.  Groups that are empty or all ~0 give n = 0 and null W, p.
+    Nulls dropped; ``n`` counts the pairs, ``n_nonzero`` those kept for ranking
+    (|d| > ``zero_tol``); |d| ranked with ties averaged; W = min(W+, W-).  The
+    caller chooses the p-value: ``exact`` counts sign assignments by subset sums
+    over the group's rank list (its time grows with the cube of the group's
+    size), ``normal`` is the approximation with tie correction; the column
+    ``method`` says which.  Groups without pairs, or whose differences are all
+    within ``all_zero_tol``, have null W and p.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
     group = list(group)
-    d = df.filter(F.col(diff).isNotNull())
-    nz = d.filter(F.abs(F.col(diff)) > zero_tol).withColumn("__a", F.abs(F.col(diff)))
+    a = F.abs(F.col(diff))
+    pairs = df.groupBy(*group).agg(F.count(diff).alias("n"), (F.max(a) > all_zero_tol).alias("__some"),
+                                   F.count(F.when(a > zero_tol, 1)).alias("n_nonzero"))
+    nz = df.filter(a > zero_tol).withColumn("__a", a)
     # tie-averaged ranks of |d| per group without a per-group window; doubled to stay integral
-    ranked = (group_average_rank(nz, group, "__a", "__avg", hot_group_rows)
+    ranked = (group_average_rank(nz, group, "__a", "__avg")
               .withColumn("__r2", (2 * F.col("__avg")).cast("long")))
-    per = ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(F.when(F.col(diff) > 0, F.col("__r2")).otherwise(0)) / 2.0).alias("w_plus"),
-        (F.sum(F.when(F.col(diff) < 0, F.col("__r2")).otherwise(0)) / 2.0).alias("w_minus"))
-    ties_groups = (ranked.groupBy(*group, "__a").agg(F.count(F.lit(1)).alias("t"))
-                         .groupBy(*group).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("__ties3_groups")))
-    # rank lists only for groups small enough for the exact test (<= exact_max_n rows each)
-    small = per.filter(F.col("n") <= exact_max_n).select(*group)
-    lists = (ranked.join(small, group, "left_semi").groupBy(*group)
-                   .agg(F.collect_list("__r2").alias("__ranks")))
-    per = per.join(ties_groups, group, "left").join(lists, group, "left")
-
-    def pvals(pdf):
-        out = []
-        for _, r in pdf.iterrows():
-            n = int(r["n"])
-            wstat = min(r["w_plus"], r["w_minus"])
-            if n <= exact_max_n:
-                p = wilcoxon_exact_p(wstat, n, [int(x) for x in r["__ranks"]])
-            else:
-                mu = n * (n + 1) / 4.0
-                # ties: each tied value group of size t contributes (t^3 - t)/48 once;
-                # __ties3 sums (t^3 - t) per row, i.e. t times per group
-                var = n * (n + 1) * (2 * n + 1) / 24.0 - r["__ties3_groups"] / 48.0
-                z = (wstat - mu) / math.sqrt(var) if var > 0 else 0.0
-                p = min(1.0, 2.0 * _norm_sf(abs(z)))
-            out.append(p)
-        res = pdf.drop(columns=["__ranks", "__ties3_groups"])
-        res["w"] = [min(a, b) for a, b in zip(pdf["w_plus"], pdf["w_minus"])]
-        res["p_value"] = out
-        return res
-
-    schema = ", ".join([f"{g} {df.schema[g].dataType.simpleString()}" for g in group] +
-                       ["n long", "w_plus double", "w_minus double", "w double", "p_value double"])
-    tested = per.groupBy(*group).applyInPandas(pvals, schema)   # one row per group
-    all_groups = d.select(*group).distinct()
-    return all_groups.join(tested, group, "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+    per = ranked.groupBy(*group, "__a").agg(
+        F.count(F.lit(1)).alias("__t"), F.max("__r2").alias("__r2"),
+        F.count(F.when(F.col(diff) > 0, 1)).alias("__pos"))
+    per = per.groupBy(*group).agg(
+        F.sum("__t").alias("__m"), (F.sum(F.col("__r2") * F.col("__pos")) / 2.0).alias("w_plus"),
+        (F.sum(F.col("__r2") * (F.col("__t") - F.col("__pos"))) / 2.0).alias("w_minus"),
+        F.sum(F.pow(F.col("__t"), 3) - F.col("__t")).alias("__ties"),
+        *([F.flatten(F.collect_list(F.array_repeat("__r2", F.col("__t").cast("int")))).alias("__ranks")]
+          if method == "exact" else []))
+    w = F.least("w_plus", "w_minus")
+    if method == "exact":
+        p = F.pandas_udf(lambda w, m, ranks: pd.Series(
+            [wilcoxon_exact_p(x, int(k), [int(v) for v in rs]) for x, k, rs in zip(w, m, ranks)], dtype="float64"),
+            "double")(w, "__m", "__ranks")
+    else:
+        m = F.col("__m")
+        var = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("__ties") / 48.0
+        z = F.abs(w - m * (m + 1) / 4.0) / F.sqrt(var)
+        p = F.pandas_udf(lambda z: pd.Series([min(1.0, 2.0 * _norm_sf(x)) for x in z], dtype="float64"),
+                         "double")(F.when(var > 0, z).otherwise(F.lit(0.0)))
+    tested = per.select(*[F.col(g).alias(f"__g_{g}") for g in group], "w_plus", "w_minus", w.alias("w"), p.alias("p_value"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
+    out = pairs.join(tested, same, "left")
+    some = F.coalesce("__some", F.lit(False))
+    return out.select(*group, "n", "n_nonzero", *[F.when(some, F.col(c)).alias(c)
+                                                 for c in ("w_plus", "w_minus", "w", "p_value")],
+                      F.lit(method).alias("method"))
 
 
 # --- A28-A44: timing, params, correlations, curves ---------------------------
@@ -411,8 +408,19 @@ def wall_clock_by_family(df: DataFrame, family="family", backbone="backbone", lo
 
 def mean_per_backbone(df: DataFrame, backbone="backbone", acc="acc", f1="f1", params="params") -> DataFrame:
     """Acc and f1 means per backbone with the median parameter count (order key)."""
-    return df.groupBy(backbone).agg(F.avg(acc).alias("acc_mean"), F.avg(f1).alias("f1_mean"),
-                                    F.median(params).alias("median_params"))
+    # a backbone has few distinct parameter counts: their frequencies hold the median
+    sized = df.groupBy(backbone, F.col(params).cast("double").alias("__p")).agg(
+        F.count(params).alias("__f"), F.sum(acc).alias("__a"), F.count(acc).alias("__na"),
+        F.sum(f1).alias("__b"), F.count(f1).alias("__nb"))
+    up = Window.partitionBy(backbone).orderBy(F.col("__p").asc_nulls_first())
+    at = sized.withColumn("__to", F.sum("__f").over(up)).withColumn("__n", F.sum("__f").over(Window.partitionBy(backbone)))
+
+    def kth(k):
+        return F.min(F.when(F.col("__to") > k, F.col("__p")))
+    lo, hi = kth(F.floor((F.col("__n") - 1) / 2)), kth(F.floor(F.col("__n") / 2))
+    return at.groupBy(backbone).agg(F.try_divide(F.sum("__a"), F.sum("__na")).alias("acc_mean"),
+                                    F.try_divide(F.sum("__b"), F.sum("__nb")).alias("f1_mean"),
+                                    ((lo + hi) / 2.0).alias("median_params"))
 
 
 def metric_by_params(df: DataFrame, metric: str, backbone: str = "backbone", params: str = "params",
@@ -440,78 +448,67 @@ def slot_order(df: DataFrame, key: str, params: str) -> DataFrame:
 
 def params_per_dim(df: DataFrame, keys=("backbone", "log", "size"), trainable="trainable_params",
                    embedding="embedding_size") -> DataFrame:
-    """Trainable parameters per embedding dimension, first row per key."""
-    return df.groupBy(*keys).agg(F.first(F.col(trainable) / F.col(embedding), ignorenulls=True)
-                                 .alias("params_per_dim"))
-
-
-def _t_sf(t: float, dof: int) -> float:
-    """Two-sided p of Student's t via the regularised incomplete beta."""
-    x = dof / (dof + t * t)
-    return _betainc(dof / 2.0, 0.5, x)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(math.log(x) * a + math.log(1.0 - x) * b + lbeta)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def _betacf(a, b, x, iters=300, eps=1e-15):
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def correlation_p_value(r: float, n: int) -> Optional[float]:
-    """p of a correlation coefficient from the t distribution (n > 2)."""
-    if r is None or n is None or n <= 2 or (isinstance(r, float) and math.isnan(r)):
-        return None
-    if abs(r) >= 1.0:
-        return 0.0
-    t = r * math.sqrt((n - 2) / (1.0 - r * r))
-    return _t_sf(t, n - 2)
-
-
-def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str,
-                       hot_group_rows: Optional[int] = None) -> DataFrame:
+    """Trainable parameters per embedding dimension, the smallest of a key."""
+    return df.groupBy(*keys).agg(F.min(F.col(trainable) / F.col(embedding)).alias("params_per_dim"))
+
+
+def t_two_sided(t, dof) -> F.Column:
+    """Two-sided p of Student's t for a whole number of degrees of freedom, as a
+    finite trigonometric sum: with theta = atan(|t| / sqrt(dof)), powers of
+    cos^2(theta) weighted by 1, 1/2, (1 3)/(2 4), ... (even) or 1, 2/3,
+    (2 4)/(3 5), ... (odd).  The sum has dof / 2 terms."""
+    odd = F.pmod(dof, F.lit(2)) == 1
+    theta = F.atan(F.abs(t) / F.sqrt(dof))
+    c2 = F.pow(F.cos(theta), 2)
+    terms = F.floor((dof - F.when(odd, 1).otherwise(0)) / 2).cast("int")
+    step = F.when(odd, F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def add(acc, k):
+        nxt = acc["term"] * c2 * (2 * k - 1 + step) / (2 * k + step)
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), nxt.alias("term"))
+
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
+                        zero, add)["sum"]
+    inside = F.when(odd, (theta + F.sin(theta) * F.cos(theta) * total) * 2 / F.lit(math.pi)) \
+              .otherwise(F.sin(theta) * total)
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
+def correlation_p_value(r, n) -> F.Column:
+    """p of a correlation coefficient from the t distribution (n > 2, else null)."""
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    t = F.abs(r) * F.sqrt((n - 2) / (1 - r * r))
+    return F.when((n <= 2) | r.isNull() | F.isnan(r), F.lit(None).cast("double")) \
+            .when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(t_two_sided(t, n - 2))
+
+
+def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Per group on complete rows: n, Pearson r, Spearman rho (Pearson of
-    averaged ranks, computed with Spark windows), and their p-values from the
-    t distribution (n > 2; n = 2 -> Pearson only; fewer -> NaN)."""
+    averaged ranks), and their p-values from the t distribution (n > 2).  Groups
+    with fewer than two complete rows appear with n = 0 and NaN coefficients; with
+    two rows there is Pearson alone and no p."""
     group = list(group)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
     # tie-averaged ranks per group (skew-safe), chained so each row carries both
-    hot = has_hot_group(d, group, HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows)
-    rk = group_average_rank(group_average_rank(d, group, x, "__rx", hot=hot), group, y, "__ry", hot=hot)
-    g = rk.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"),
-                               F.corr("__rx", "__ry").alias("spearman_r"))
-    g = g.withColumn("spearman_r", F.when(F.col("n") > 2, F.col("spearman_r")))
-    pv = F.pandas_udf(lambda r, n: r.combine(n, lambda a, b: correlation_p_value(a, b)), "double")
-    return (g.withColumn("pearson_p", pv(F.col("pearson_r"), F.col("n")))
-             .withColumn("spearman_p", pv(F.col("spearman_r"), F.col("n"))))
+    rk = group_average_rank(group_average_rank(d, group, x, "__rx"), group, y, "__ry")
+    g = rk.groupBy(*[F.col(c).alias(f"__g_{c}") for c in group]).agg(
+        F.count(F.lit(1)).alias("__n"), F.corr(x, y).alias("__p"), F.corr("__rx", "__ry").alias("__s"))
+    same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group]
+    nan = F.lit(float("nan"))
+    n = F.coalesce(F.col("__n"), F.lit(0))
+    out = df.select(*group).distinct().join(g, same, "left").select(
+        *group, F.when(n > 1, n).otherwise(F.lit(0)).alias("n"),
+        F.when(n > 1, F.col("__p")).otherwise(nan).alias("pearson_r"),
+        F.when(n > 2, F.col("__s")).when(n < 2, nan).alias("spearman_r"))
+    return (out.withColumn("pearson_p", correlation_p_value("pearson_r", "n"))
+               .withColumn("spearman_p", correlation_p_value("spearman_r", "n")))
+
+
+def metric_correlations(df: DataFrame, group: Sequence[str], pairs: Sequence[tuple]) -> DataFrame:
+    """A35 over several metric pairs: a ``pair`` column 'x vs y' in front."""
+    parts = [metric_correlation(df, group, x, y).select(F.lit(f"{x} vs {y}").alias("pair"), "*") for x, y in pairs]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def learning_curve(history: DataFrame, runs: DataFrame, metric: str, group: Optional[str] = None,
@@ -552,11 +549,11 @@ def bar_summary(df: DataFrame, x: str, hue: Optional[str], metric: str) -> DataF
                                  F.count(F.lit(1)).alias("n"))
 
 
-def distribution_summary(df: DataFrame, x: str, metric: str, hot_group_rows: Optional[int] = None) -> DataFrame:
+def distribution_summary(df: DataFrame, x: str, metric: str) -> DataFrame:
     """Quartiles (linear interpolation) per category, exact and without
     buffering a category's values (``group_quantiles``)."""
-    q = group_quantiles(df, [x], metric, [0.25, 0.5, 0.75], hot_group_rows)
-    wide = q.groupBy(x).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    q = group_quantiles(df, [x], metric, [0.25, 0.5, 0.75])
+    wide = q.groupBy(x).pivot("q", [0.25, 0.5, 0.75]).agg(F.max("value"))
     wide = wide.select(x, *[F.col(f"`{c}`").alias(n) for c, n in
                             zip(wide.columns[1:], ("q1", "median", "q3"))])
     mm = df.groupBy(x).agg(F.min(metric).alias("min"), F.max(metric).alias("max"))

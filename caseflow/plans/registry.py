@@ -768,27 +768,58 @@ def early_stopping_history(spark, sf_dir):
     return e.select("run_id", "saved_step", "stop_step", r("best_loss").alias("best_loss"))
 
 
-@register("correlation_runs", "WITH " + _EXP_CTES + f""",
-c AS (SELECT log, acc, duration_sec FROM runs WHERE acc IS NOT NULL AND duration_sec IS NOT NULL),
+_CORR_CTES = f""",
 rk AS (SELECT *, rank() OVER (PARTITION BY log ORDER BY acc) + (count(*) OVER (PARTITION BY log, acc) - 1) / 2.0 AS rx,
               rank() OVER (PARTITION BY log ORDER BY epochs) + (count(*) OVER (PARTITION BY log, epochs) - 1) / 2.0 AS ry
-       FROM (SELECT r.log, r.acc, r.epochs FROM runs r WHERE acc IS NOT NULL AND epochs IS NOT NULL))
-SELECT log, count(*) AS n, round(corr(acc, epochs), {DIGITS}) AS pearson_r,
-       round(CASE WHEN count(*) > 2 THEN corr(rx, ry) END, {DIGITS}) AS spearman_r
-FROM rk GROUP BY log""")
+       FROM (SELECT r.log, r.acc, r.epochs FROM runs r WHERE acc IS NOT NULL AND epochs IS NOT NULL)),
+co AS (SELECT log, count(*) AS n, corr(acc, epochs) AS pr, CASE WHEN count(*) > 2 THEN corr(rx, ry) END AS sr
+       FROM rk GROUP BY log)"""
+
+
+@register("correlation_runs", "WITH " + _EXP_CTES + _CORR_CTES + f"""
+SELECT log, n, round(pr, {DIGITS}) AS pearson_r, round(sr, {DIGITS}) AS spearman_r FROM co""")
 def correlation_runs(spark, sf_dir):
-    """Per log Pearson and Spearman correlation of accuracy with epochs (p-values in the operator)."""
+    """Per log Pearson and Spearman correlation of accuracy with epochs."""
     runs, _ = _exp(spark, sf_dir)
     c = A.metric_correlation(runs, ["log"], "acc", "epochs")
     return c.select("log", "n", r("pearson_r").alias("pearson_r"), r("spearman_r").alias("spearman_r"))
 
 
-@register("correlation_pvalues_runs")
+# Student's t in closed form for whole degrees of freedom nu: the weights of the
+# powers of cos^2(theta) as quotients of gamma functions
+_T_P = """CASE WHEN n <= 2 OR {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0.0 ELSE greatest(0.0, 1 - CASE WHEN nu % 2 = 1 THEN
+  2 / pi() * (th{i} + sin(th{i}) * cos(th{i}) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda k:
+    sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * power(cos(th{i}), 2 * k))), 0))
+  ELSE sin(th{i}) * list_sum(list_transform(range(0, nu // 2), lambda k:
+    exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * power(cos(th{i}), 2 * k))) END) END"""
+
+
+@register("correlation_pvalues_runs", "WITH " + _EXP_CTES + _CORR_CTES + f""",
+th AS (SELECT *, n - 2 AS nu, atan(abs(pr) / sqrt(1 - pr * pr)) AS th1, atan(abs(sr) / sqrt(1 - sr * sr)) AS th2
+       FROM co WHERE n > 2),
+pv AS (SELECT log, n, {_T_P.format(r="pr", i=1)} AS pp, {_T_P.format(r="sr", i=2)} AS sp FROM th)
+SELECT co.log, co.n, round(pp, {DIGITS}) AS pearson_p, round(sp, {DIGITS}) AS spearman_p,
+       CASE WHEN pp IS NULL THEN '' WHEN pp < 0.001 THEN '***' WHEN pp < 0.01 THEN '**' WHEN pp < 0.05 THEN '*' ELSE '' END AS stars
+FROM co LEFT JOIN pv ON co.log = pv.log""")
 def correlation_pvalues_runs(spark, sf_dir):
     """A35 + A36: correlation p-values from the t distribution and significance stars."""
     runs, _ = _exp(spark, sf_dir)
     c = A.metric_correlation(runs, ["log"], "acc", "epochs")
-    return c.select("log", "n", r("pearson_p").alias("pearson_p"), A.p_stars("pearson_p").alias("stars"))
+    return c.select("log", "n", r("pearson_p").alias("pearson_p"), r("spearman_p").alias("spearman_p"),
+                    A.p_stars("pearson_p").alias("stars"))
+
+
+@register("correlation_pairs_runs", "WITH " + _EXP_CTES + f""",
+q AS (SELECT log, 'acc vs epochs' AS pair, acc AS x, epochs AS y FROM runs
+      UNION ALL SELECT log, 'acc vs late', acc, CASE WHEN log LIKE '%1%' THEN epochs END FROM runs),
+k AS (SELECT log, pair, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, corr(x, y) AS pr FROM q GROUP BY log, pair)
+SELECT pair, log, CASE WHEN n > 1 THEN n ELSE 0 END AS n, CASE WHEN n > 1 THEN round(pr, {DIGITS}) END AS pearson_r FROM k""")
+def correlation_pairs_runs(spark, sf_dir):
+    """A35 over two metric pairs; logs without complete rows appear with n = 0."""
+    runs, _ = _exp(spark, sf_dir)
+    runs = runs.withColumn("late", F.when(F.col("log").like("%1%"), F.col("epochs")))
+    c = A.metric_correlations(runs, ["log"], [("acc", "epochs"), ("acc", "late")])
+    return c.select("pair", "log", "n", F.when(F.col("n") > 1, r("pearson_r")).alias("pearson_r"))
 
 
 @register("wall_clock_runs", "WITH " + _EXP_CTES + f""",
@@ -992,9 +1023,9 @@ cnt AS (SELECT ws.log, count(*) FILTER (WHERE sb.s <= 2 * least(ws.wp, ws.wm)) A
 
 
 @register("wilcoxon_runs", "WITH RECURSIVE " + _EXP_CTES + _WILCOXON_CTES + f"""
-SELECT g.log, coalesce(ws.n, 0) AS n, ws.wp AS w_plus, ws.wm AS w_minus, least(ws.wp, ws.wm) AS w,
-       round(least(1.0, 2.0 * cnt.le / power(2, ws.n)), {DIGITS}) AS p_value
-FROM (SELECT DISTINCT log FROM pairs WHERE d IS NOT NULL) g LEFT JOIN ws ON g.log = ws.log LEFT JOIN cnt ON g.log = cnt.log""")
+SELECT g.log, g.n, coalesce(ws.n, 0) AS n_nonzero, ws.wp AS w_plus, ws.wm AS w_minus, least(ws.wp, ws.wm) AS w,
+       round(least(1.0, 2.0 * cnt.le / power(2, ws.n)), {DIGITS}) AS p_value, 'exact' AS method
+FROM (SELECT log, count(d) AS n FROM pairs GROUP BY log) g LEFT JOIN ws ON g.log = ws.log LEFT JOIN cnt ON g.log = cnt.log""")
 def wilcoxon_runs(spark, sf_dir):
     """Wilcoxon signed-rank test per log of the paired (per epochs) accuracy
     differences between backbones F and O; the oracle enumerates all sign patterns."""
@@ -1003,7 +1034,7 @@ def wilcoxon_runs(spark, sf_dir):
         (F.avg(F.when(F.col("backbone") == "F", F.col("acc"))) -
          F.avg(F.when(F.col("backbone") == "O", F.col("acc")))).alias("d"))
     w = A.wilcoxon_signed_rank(s, ["log"], "d")
-    return w.select("log", "n", "w_plus", "w_minus", "w", r("p_value").alias("p_value"))
+    return w.select("log", "n", "n_nonzero", "w_plus", "w_minus", "w", r("p_value").alias("p_value"), "method")
 
 
 # ---------------------------------------------------------------------------
