@@ -6,98 +6,101 @@ targets, transitions) is a ``lead`` over the case order.  A plain
 holds a large share of the log would stall the job.  ``case_frame`` therefore:
 
 1. finds *hot* cases (more than ``hot_case_rows`` events) with a partially
-   aggregated ``groupBy(case)``; their number is bounded by
-   ``total_rows / hot_case_rows``, so the list is small and broadcastable;
-2. splits each hot case into time chunks of roughly ``hot_case_rows`` events
-   (equal-width over the case's time span, over-split to absorb bursts);
-   ordinary cases are chunk 0, so their plan is the plain window;
+   aggregated ``groupBy(case)`` and writes them as a table; without any, the
+   plan is the plain window;
+2. cuts each hot case into time chunks of about ``hot_case_rows`` events at
+   approximate quantiles of its timestamps, so bursts are split like any other
+   stretch (events of one timestamp stay in one chunk); ordinary cases are
+   chunk 0;
 3. runs the window per ``(case, chunk)`` — chunks follow the time order, so a
    ``lead`` is exact except at the last row of a chunk;
 4. stitches the last row of each hot chunk to the first row of the next
-   non-empty chunk through a table with one row per hot chunk (bounded,
-   broadcast).
+   non-empty chunk through a table with one row per hot chunk.
 
 Case start / end / size come from the same pass (unbounded window frames for
-ordinary cases, the hot-case table for hot ones).
+ordinary cases, the hot-case table for hot ones).  The hot tables are joined
+without hints: Spark broadcasts them by their size or shuffles.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Iterable, Optional
+from typing import Iterable, Optional, Union
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
+from caseflow.functions.storage import written
 from caseflow.spec import LogSpec
 
 # Events per case above which a case is split into chunks.  One chunk is one
-# window partition, so this is the largest window partition a task sorts.
+# window partition, so this is about the largest window partition a task sorts.
 DEFAULT_HOT_CASE_ROWS = 2_000_000
-# Over-split factor: equal-width time chunks are not equal-count, bursts are
-# absorbed by using more, smaller chunks.
-OVERSPLIT = 4
+# Finest grid of quantiles a case is cut at.
+MAX_CUTS = 10_000
 
 _CHUNK = "__chunk"
 _US = "__us"
 
+#: The table of hot cases (case, n, lo, hi, cuts); False: there are none; None: not known yet.
+Hot = Union[DataFrame, bool, None]
+HOT_COLUMNS = ["__hn", "__hlo", "__hhi", "__hcuts"]
+
 
 def case_window(spec: LogSpec, *extra_partition) -> Window:
     return Window.partitionBy(spec.case, *extra_partition).orderBy(*spec.order_by)
 
 
-def hot_cases(df: DataFrame, spec: LogSpec, hot_case_rows: int) -> list:
-    """(case, n, start_us, end_us) of cases with more than ``hot_case_rows`` events.
+def hot_table(df: DataFrame, spec: LogSpec, summary: DataFrame, hot_case_rows: int) -> Hot:
+    """The hot cases of ``summary`` (case, n, lo, hi) with their cuts, written; False
+    if there are none.  ``df`` holds the events the cuts are taken from."""
+    found = written(summary.filter(F.col("n") > F.lit(hot_case_rows)).select(spec.case, "n", "lo", "hi"))
+    largest = found.agg(F.max("n")).first()[0]
+    if largest is None:
+        return False
+    k = min(MAX_CUTS, -(-largest // hot_case_rows))
+    us = micros(spec.ts)
+    own = df.join(found.select(spec.case), spec.case, "left_semi")
+    cuts = own.groupBy(spec.case).agg(F.percentile_approx(us, [i / k for i in range(1, k)], max(10_000, 20 * k)).alias("cuts")) \
+        if k > 1 else own.groupBy(spec.case).agg(F.array().cast("array<bigint>").alias("cuts"))
+    return written(found.join(cuts, spec.case))
 
-    The result has at most ``count(df) / hot_case_rows`` rows.
-    """
-    summ = (df.groupBy(spec.case)
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.min(micros(spec.ts)).alias("lo"),
-                   F.max(micros(spec.ts)).alias("hi"))
-              .filter(F.col("n") > F.lit(hot_case_rows)))
-    return summ.collect()
+
+def hot_cases(df: DataFrame, spec: LogSpec, hot_case_rows: int) -> Hot:
+    """Hot cases of ``df``."""
+    us = micros(spec.ts)
+    summ = df.groupBy(spec.case).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
+    return hot_table(df, spec, summ, hot_case_rows)
 
 
 CHUNK = _CHUNK
 
 
-def _hot_table(spark, spec: LogSpec, df: DataFrame, hot: list, T: int) -> DataFrame:
-    rows = [(r[spec.case], int(r["n"]), int(r["lo"]), int(r["hi"]),
-             max(1, int(math.ceil(r["n"] / T)) * OVERSPLIT)) for r in hot]
-    case_type = df.schema[spec.case].dataType.simpleString()
-    return spark.createDataFrame(rows, f"`{spec.case}` {case_type}, __hn long, __hlo long, __hhi long, __hk long")
+def _with_hot(df: DataFrame, spec: LogSpec, hot: DataFrame) -> DataFrame:
+    h = hot.select(spec.case, F.col("n").alias("__hn"), F.col("lo").alias("__hlo"), F.col("hi").alias("__hhi"),
+                   F.array_distinct("cuts").alias("__hcuts"))
+    return df.join(h, spec.case, "left")
 
 
 def _chunk_expr(us) -> F.Column:
-    return F.when(F.col("__hk").isNull(), F.lit(0)).otherwise(
-        F.least(F.col("__hk") - 1, F.floor((us - F.col("__hlo")) * F.col("__hk")
-                                           / (F.col("__hhi") - F.col("__hlo") + 1)))).cast("long")
+    """Number of cuts below the timestamp; 0 for ordinary cases."""
+    below = F.aggregate("__hcuts", F.lit(0).cast("long"), lambda acc, c: acc + F.when(c < us, 1).otherwise(0))
+    return F.coalesce(below, F.lit(0)).cast("long")
 
 
-def with_chunks(df: DataFrame, spec: LogSpec, hot: list, hot_case_rows: Optional[int] = None,
-                keep_hot_columns: bool = False) -> DataFrame:
+def with_chunks(df: DataFrame, spec: LogSpec, hot: Hot, keep_hot_columns: bool = False) -> DataFrame:
     """Add the ``__chunk`` column (0 for ordinary cases, time chunk for hot ones).
-
-    The hot table is broadcast (bounded), so the join keeps the input's
-    partitioning.  ``keep_hot_columns`` keeps ``__hn, __hlo, __hhi, __hk``.
-    """
-    T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
-    if not hot:
+    ``keep_hot_columns`` keeps ``__hn, __hlo, __hhi``."""
+    if hot is False:
         out = df.withColumn(_CHUNK, F.lit(0).cast("long"))
-        if keep_hot_columns:
-            out = out.withColumns({"__hn": F.lit(None).cast("long"), "__hlo": F.lit(None).cast("long"),
-                                   "__hhi": F.lit(None).cast("long"), "__hk": F.lit(None).cast("long")})
-        return out
-    out = df.join(F.broadcast(_hot_table(df.sparkSession, spec, df, hot, T)), spec.case, "left")
-    out = out.withColumn(_CHUNK, _chunk_expr(micros(spec.ts)))
-    return out if keep_hot_columns else out.drop("__hn", "__hlo", "__hhi", "__hk")
+        return out.withColumns({c: F.lit(None).cast("long") for c in HOT_COLUMNS[:3]}) if keep_hot_columns else out
+    out = _with_hot(df, spec, hot).withColumn(_CHUNK, _chunk_expr(micros(spec.ts))).drop("__hcuts")
+    return out if keep_hot_columns else out.drop(*HOT_COLUMNS)
 
 
 def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                prefix: str = "next_", bounds: bool = False, last_flag: Optional[str] = None,
-               hot_case_rows: Optional[int] = None, hot: Optional[list] = None,
+               hot_case_rows: Optional[int] = None, hot: Hot = None,
                position: Optional[str] = None) -> DataFrame:
     """Add ``prefix+c`` = value of ``c`` at the next event of the same case (null at the end).
 
@@ -110,19 +113,13 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     if hot is None:
         hot = hot_cases(df, spec, T)
-    spark = df.sparkSession
-
+    some = hot is not False
     base = df.withColumn(_US, micros(spec.ts))
-    if _CHUNK in df.columns:
-        # chunks already assigned upstream (and the data partitioned by them):
-        # only the hot-case columns are attached, through a broadcast join
-        if hot:
-            base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
-    elif hot:
-        base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
-        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)))
-    else:
-        base = base.withColumn(_CHUNK, F.lit(0).cast("long"))
+    if some:
+        base = _with_hot(base, spec, hot)
+    # a chunk column from upstream stays (and the data partitioned by it)
+    if _CHUNK not in df.columns:
+        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)) if some else F.lit(0).cast("long"))
 
     w = case_window(spec, _CHUNK)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -136,10 +133,10 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                   .withColumn("case_end_us", F.max(_US).over(wall))
                   .withColumn("case_n", F.count(F.lit(1)).over(wall)))
 
-    if hot:
+    if some:
         # per hot chunk: its first row, size and time range; per hot case the
         # next chunk's first row and exact totals (one row per hot chunk)
-        hot_rows = base.filter(F.col("__hk").isNotNull())
+        hot_rows = base.filter(F.col("__hn").isNotNull())
         chunks = hot_rows.groupBy(spec.case, _CHUNK).agg(
             F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(True).alias("_")]),
                      F.struct(*[F.col(c) for c in spec.order_by])).alias("__first"),
@@ -153,7 +150,7 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                                           F.lit(0)).alias("__prev_n"),
                                F.min("__clo").over(wall_c).alias("__case_lo"),
                                F.max("__chi").over(wall_c).alias("__case_hi"))
-        out = out.join(F.broadcast(stitch), [spec.case, _CHUNK], "left")
+        out = out.join(stitch, [spec.case, _CHUNK], "left")
         at_end = F.col("__in_chunk_next").isNull()
         for c in next_cols:
             out = out.withColumn(prefix + c, F.when(at_end, F.col("__next_first")[c])
@@ -165,7 +162,7 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
             out = (out.withColumn("case_start_us", F.coalesce(F.col("__case_lo"), F.col("case_start_us")))
                       .withColumn("case_end_us", F.coalesce(F.col("__case_hi"), F.col("case_end_us")))
                       .withColumn("case_n", F.coalesce(F.col("__case_n"), F.col("case_n"))))
-        drop = ["__next_first", "__case_n", "__prev_n", "__case_lo", "__case_hi", "__hn", "__hlo", "__hhi", "__hk"]
+        drop = ["__next_first", "__case_n", "__prev_n", "__case_lo", "__case_hi", *HOT_COLUMNS]
     else:
         is_last = F.col("__in_chunk_next").isNull()
         drop = []
@@ -181,7 +178,7 @@ _COMBINE = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + b}
 
 
 def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = False,
-                 hot_case_rows: Optional[int] = None, hot: Optional[list] = None,
+                 hot_case_rows: Optional[int] = None, hot: Hot = None,
                  position: Optional[str] = None) -> DataFrame:
     """Running aggregates along each case's order: ``aggs`` maps an output name
     to ``(func, column)`` with func in min / max / sum.  ``exclusive`` aggregates
@@ -189,20 +186,18 @@ def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = Fal
 
     Hot cases are chunked as in ``case_frame``: the running aggregate runs per
     (case, chunk) and is combined with the aggregate of all earlier chunks of
-    the case, taken from a table with one row per hot chunk (broadcast).
+    the case, taken from a table with one row per hot chunk.
     """
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     if hot is None:
         hot = hot_cases(df, spec, T)
-    spark = df.sparkSession
+    some = hot is not False
     base = df.withColumn(_US, micros(spec.ts))
     reuse = _CHUNK in df.columns
-    if hot:
-        base = base.join(F.broadcast(_hot_table(spark, spec, df, hot, T)), spec.case, "left")
-        if not reuse:
-            base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)))
-    elif not reuse:
-        base = base.withColumn(_CHUNK, F.lit(0).cast("long"))
+    if some:
+        base = _with_hot(base, spec, hot)
+    if not reuse:
+        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)) if some else F.lit(0).cast("long"))
     w = case_window(spec, _CHUNK)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     out = base
@@ -210,22 +205,22 @@ def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = Fal
         out = out.withColumn(name, _FUNCS[fn](c).over(frame))
     if position:
         out = out.withColumn(position, F.row_number().over(w).cast("long"))
-    if hot:
+    if some:
         chunk_aggs = [_FUNCS[fn](c).alias(f"__c_{name}") for name, (fn, c) in aggs.items()]
-        chunks = base.filter(F.col("__hk").isNotNull()).groupBy(spec.case, _CHUNK).agg(
+        chunks = base.filter(F.col("__hn").isNotNull()).groupBy(spec.case, _CHUNK).agg(
             F.count(F.lit(1)).alias("__cn"), *chunk_aggs)
         wc = Window.partitionBy(spec.case).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         carry = chunks.select(spec.case, _CHUNK,
                               F.coalesce(F.sum("__cn").over(wc), F.lit(0)).alias("__prev_n"),
                               *[_FUNCS[fn](f"__c_{name}").over(wc).alias(f"__p_{name}")
                                 for name, (fn, c) in aggs.items()])
-        out = out.join(F.broadcast(carry), [spec.case, _CHUNK], "left")
+        out = out.join(carry, [spec.case, _CHUNK], "left")
         for name, (fn, c) in aggs.items():
             prev, here = F.col(f"__p_{name}"), F.col(name)
             comb = F.when(prev.isNull(), here).when(here.isNull(), prev).otherwise(_COMBINE[fn](prev, here))
             out = out.withColumn(name, comb)
         if position:
             out = out.withColumn(position, F.col(position) + F.coalesce(F.col("__prev_n"), F.lit(0)))
-        out = out.drop("__prev_n", *[f"__p_{n}" for n in aggs], "__hn", "__hlo", "__hhi", "__hk")
+        out = out.drop("__prev_n", *[f"__p_{n}" for n in aggs], *HOT_COLUMNS)
     # a chunk column that came in stays (a following pass reuses the partitioning)
     return out.drop(_US) if reuse else out.drop(_CHUNK, _US)

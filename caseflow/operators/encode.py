@@ -100,7 +100,7 @@ def clamp_unknown(id_col, size) -> F.Column:
 def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], numerical: Iterable[str],
                     cat_targets: Iterable[str] = (), num_targets: Iterable[str] = (),
                     vocab: Optional[DataFrame] = None, mask: str = "masked",
-                    hot_case_rows: Optional[int] = None, hot: Optional[list] = None):
+                    hot_case_rows: Optional[int] = None, hot=None):
     """P14 -> E1 -> E2 -> E6 -> E7/E8 -> E9 over named splits (``{'train': df, ...}``).
 
     The vocabulary is fitted on ``splits['train']`` for features and targets

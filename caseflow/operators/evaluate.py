@@ -19,11 +19,14 @@ from caseflow.operators.baseline import per_label_f1
 
 def flatten_valid(df: DataFrame, logits: str = "logits", target: str = "target",
                   valid: Optional[str] = "valid") -> DataFrame:
-    """V1: keep positions with the mask set and 0 <= target < C."""
-    cond = (F.col(target) >= 0) & (F.col(target) < F.size(logits))
+    """V1: keep positions with the mask set and a target (>= 0).  A valid target
+    beyond the classes of its logits is an error of shapes: the job fails."""
+    cond = F.col(target) >= 0
     if valid:
         cond = F.col(valid) & cond
-    return df.filter(cond)
+    fits = F.when(F.col(target) < F.size(logits), F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("target "), F.col(target).cast("string"), F.lit(" has no logit among "), F.size(logits).cast("string"))))
+    return df.filter(cond).filter(fits.cast("boolean"))
 
 
 def cross_entropy(logits: str = "logits", target: str = "target") -> F.Column:
@@ -71,9 +74,9 @@ def distill_loss(kl_col, ce_col, alpha: float) -> F.Column:
 
 
 def masked_mse(df: DataFrame, pred="pred_num", label="label_num", valid="valid") -> DataFrame:
-    """V5: mean squared error on valid positions (null if none)."""
+    """V5: mean squared error on valid positions; 0.0 if there are none."""
     v = df.filter(F.col(valid)) if valid else df
-    return v.agg(F.avg(F.pow(F.col(pred) - F.col(label), 2)).alias("mse"))
+    return v.agg(F.coalesce(F.avg(F.pow(F.col(pred) - F.col(label), 2)), F.lit(0.0)).alias("mse"))
 
 
 def total_loss(per_target: DataFrame, loss: str = "loss") -> DataFrame:
@@ -176,25 +179,26 @@ def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_l
     skew-safe running aggregates (a run with very many steps is chunked);
     everything after that is aggregation.
     """
-    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, case_running, hot_cases, with_chunks
+    from caseflow.functions.ordered import DEFAULT_HOT_CASE_ROWS, case_running, hot_cases, with_chunks
     from caseflow.spec import LogSpec
 
     spec = LogSpec(case=run, activity=loss, ts="__ts", order=(step,))
     h = (history.filter(F.col(loss).isNotNull())
                 .withColumn("__ts", F.timestamp_micros(F.col(step).cast("long"))))
     hot_case_rows = hot_case_rows or DEFAULT_HOT_CASE_ROWS
-    hot = hot_cases(h, spec, hot_case_rows)          # one small job, reused by both passes
-    h = with_chunks(h, spec, hot, hot_case_rows)     # both running passes share this partitioning
+    hot = hot_cases(h, spec, hot_case_rows)          # one small job, reused by all passes
+    h = with_chunks(h, spec, hot)     # the running passes share this partitioning
     h = case_running(h, spec, {"__best_before": ("min", loss)}, exclusive=True,
                      hot_case_rows=hot_case_rows, hot=hot, position="__pos")
     h = h.withColumn("__imp", F.col("__best_before").isNull() |
                      (F.col(loss) < F.col("__best_before") - F.lit(float(min_delta))))
     h = case_running(h.withColumn("__imp_pos", F.when(F.col("__imp"), F.col("__pos"))), spec,
                      {"__last_imp": ("max", "__imp_pos")}, hot_case_rows=hot_case_rows, hot=hot)
-    h = h.withColumn("__streak", F.col("__pos") - F.col("__last_imp")).drop(CHUNK)
-    stops = h.filter(F.col("__streak") >= patience).groupBy(run).agg(F.min(step).alias("stop_step"))
-    j = h.join(stops, run, "left")
-    alive = j.filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))
-    return alive.groupBy(run).agg(F.max(F.when(F.col("__imp"), F.col(step))).alias("saved_step"),
-                                  F.first("stop_step").alias("stop_step"),
-                                  F.min(loss).alias("best_loss"))
+    out = F.col("__pos") - F.col("__last_imp") >= patience
+    h = case_running(h.withColumn("__out", out.cast("int")), spec, {"__gone": ("max", "__out")}, exclusive=True,
+                     hot_case_rows=hot_case_rows, hot=hot)
+    alive = F.coalesce(F.col("__gone"), F.lit(0)) == 0      # up to and with the stop
+    return h.filter(alive).groupBy(run).agg(
+        F.max(F.when(F.col("__imp"), F.col(step))).alias("saved_step"),
+        F.min(F.when(F.col("__out") == 1, F.col(step))).alias("stop_step"),
+        F.min(loss).alias("best_loss"))

@@ -35,7 +35,7 @@ def calendar_features(ts) -> dict:
 
 
 def time_features(df: DataFrame, spec: LogSpec, remaining: bool = True,
-                  hot_case_rows: Optional[int] = None, hot: Optional[list] = None) -> DataFrame:
+                  hot_case_rows: Optional[int] = None, hot=None) -> DataFrame:
     """accumulated_time, remaining_time (days, within this split) and calendar parts."""
     fr = case_frame(df, spec, bounds=True, hot_case_rows=hot_case_rows, hot=hot)
     us = micros(spec.ts)

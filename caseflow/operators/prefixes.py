@@ -63,17 +63,24 @@ def prefix_outputs(pairs: DataFrame):
     prefix_stats: prefix_id, count, prefix_length, next_options,
     next_entropy_bits, prefix, prefix_str.  next_distribution: prefix_id,
     prefix, prefix_str, next_activity, next_count, next_prob.
+
+    One chain: the pairs are counted once, each prefix gathers its next
+    activities (at most the vocabulary) with the entropy as
+    log2 T - sum(n log2 n) / T, and the numbered prefixes, written once, give
+    both tables without a join.
     """
-    pc = prefix_counts(pairs)
-    probs = next_probability(prefix_next_counts(pairs))
-    ent = prefix_entropy(probs)
-    stats = (pc.join(ent, "prefix", "left")
-               .select("prefix_id", "count", "prefix_length",
-                       F.coalesce(F.col("next_options"), F.lit(0)).alias("next_options"),
-                       F.coalesce(F.col("next_entropy_bits"), F.lit(0.0)).alias("next_entropy_bits"),
-                       "prefix", "prefix_str"))
-    nd = (probs.join(pc.select("prefix", "prefix_id", "prefix_str"), "prefix")
-               .select("prefix_id", "prefix", "prefix_str", "next_activity", "next_count", "next_prob"))
+    n = F.col("next_count")
+    per = prefix_next_counts(pairs).groupBy("prefix").agg(
+        F.sum(n).alias("count"), F.count(F.lit(1)).alias("next_options"),
+        F.sum(n * F.log2(n)).alias("__nl"), F.collect_list(F.struct("next_activity", "next_count")).alias("__next"))
+    entropy = F.greatest(F.log2("count") - F.col("__nl") / F.col("count"), F.lit(0.0))
+    ranked = global_row_number(per, [F.col("count").desc(), F.col("prefix").asc()], "prefix_id") \
+        .withColumn("prefix_str", F.array_join("prefix", SEP))
+    stats = ranked.select("prefix_id", "count", F.size("prefix").alias("prefix_length"), "next_options",
+                          entropy.alias("next_entropy_bits"), "prefix", "prefix_str")
+    nd = (ranked.select("prefix_id", "prefix", "prefix_str", "count", F.inline("__next"))
+                .select("prefix_id", "prefix", "prefix_str", "next_activity", "next_count",
+                        (F.col("next_count") / F.col("count")).alias("next_prob")))
     return stats, nd
 
 

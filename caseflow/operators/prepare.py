@@ -27,7 +27,7 @@ def combine_lifecycle(df: DataFrame, spec: LogSpec, lifecycle: bool = True):
     if not lifecycle:
         return df, spec
     if not spec.lifecycle or spec.lifecycle not in df.columns:
-        warnings.warn("Column 'lifecycle' not found. Disabling lifecycle.")
+        warnings.warn("the log has no lifecycle column: activities stay as they are")
         return df, spec
     out = df.withColumn(spec.activity, F.concat(F.col(spec.activity), F.lit("_"), F.col(spec.lifecycle)))
     return out, spec
@@ -160,51 +160,13 @@ def validate_columns(df: DataFrame, spec: LogSpec, features=(), targets=(), extr
     return out
 
 
-def filter_cases(df: DataFrame, spec: LogSpec, start_date=None, end_date=None,
-                 max_days=None, min_events: int = 3, hot_case_rows: Optional[int] = None):
-    """P4, P6, P7, P9, P10 fused over one case summary.
-
-    Returns ``(surviving cases DataFrame, latest_start_us or None, hot)``.
-    P8 changes neither start nor end of a case, so it can run after this.
-
-    One job computes the P10 scalar and, when ``hot_case_rows`` is given, the
-    hot cases (more events than that) among the candidates: at most
-    ``rows / hot_case_rows`` of them, collected with the scalar.  Their event
-    counts are pre-deduplication, an upper bound, which is what the hot-case
-    split needs.
-    """
-    summ = case_summary(df, spec).filter(F.col("n") >= min_events)
-    if start_date is not None:
-        summ = summ.filter(_month("start_us") >= F.lit(start_date))
-    if end_date is not None:
-        summ = summ.filter(_month("end_us") <= F.lit(end_date))
-    if max_days:
-        summ = summ.filter(duration_ok(max_days))
-    hot = None
-    ls = None
-    if max_days or hot_case_rows:
-        aggs = [F.max("end_us").alias("mx")]
-        if hot_case_rows:
-            aggs.append(F.collect_list(F.when(F.col("n") > F.lit(hot_case_rows),
-                                              F.struct(F.col(spec.case), F.col("n"),
-                                                       F.col("start_us").alias("lo"),
-                                                       F.col("end_us").alias("hi")))).alias("hot"))
-        row = summ.agg(*aggs).first()
-        if max_days and row["mx"] is not None:
-            ls = int(row["mx"]) - int(round(max_days * US_PER_DAY))
-            summ = summ.filter(F.col("start_us") <= F.lit(ls))
-        if hot_case_rows:
-            hot = [h for h in (row["hot"] or []) if ls is None or h["lo"] <= ls]
-    return summ, ls, hot
-
-
 def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
                 lifecycle: bool = False, hot_case_rows: Optional[int] = None,
                 keep_chunk: bool = False):
     """P1 -> P2 -> P3 -> (P4, P6, P7, P9, P10 case filters) -> P8.
 
-    Physical plan: one small job on the partially aggregated case summary
-    gives the P10 scalar and the hot cases (more than ``hot_case_rows``
+    Physical plan: small jobs on the partially aggregated case summary give
+    the P10 scalar and the table of hot cases (more than ``hot_case_rows``
     events); the log is then shuffled ONCE by (case, chunk) — hot cases are
     split into time chunks — and everything after stays on that partitioning:
     case-level filters from window aggregates (hot cases from the hot table),
@@ -215,7 +177,7 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     when ``hot_case_rows`` is given.  With ``keep_chunk`` the ``__chunk``
     column stays (``case_frame`` reuses it).
     """
-    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, with_chunks
+    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, hot_table, with_chunks
     params = params or {}
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     df, spec = combine_lifecycle(df, spec, lifecycle)
@@ -232,22 +194,18 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
             c = c & isclose_le((e - s) / F.lit(US_PER_DAY), float(max_days))
         return c
 
-    # one job: P10 scalar over the P4-P9 survivors, and every hot case of the log
+    # P10 scalar over the P4-P9 survivors, and the hot cases of the log
     summ = case_summary(df, spec)
-    row = summ.agg(
-        F.max(F.when(conds(F.col("n"), F.col("start_us"), F.col("end_us")), F.col("end_us"))).alias("mx"),
-        F.collect_list(F.when(F.col("n") > F.lit(T), F.struct(
-            F.col(spec.case), F.col("n"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi")))).alias("hot")
-    ).first()
-    hot = list(row["hot"] or [])
     ls = None
-    if max_days and row["mx"] is not None:
-        ls = int(row["mx"]) - int(round(max_days * US_PER_DAY))
+    if max_days:
+        mx = summ.agg(F.max(F.when(conds(F.col("n"), F.col("start_us"), F.col("end_us")), F.col("end_us")))).first()[0]
+        ls = int(mx) - int(round(max_days * US_PER_DAY)) if mx is not None else None
+    hot = hot_table(df, spec, summ.select(spec.case, "n", F.col("start_us").alias("lo"), F.col("end_us").alias("hi")), T)
 
-    part = with_chunks(df, spec, hot, T, keep_hot_columns=True)
+    part = with_chunks(df, spec, hot, keep_hot_columns=True)
     # without hot cases the chunk is the constant 0, which Catalyst folds out of
     # the window keys; partitioning by the case alone then satisfies them all
-    part = part.repartition(spec.case, CHUNK) if hot else part.repartition(spec.case)
+    part = part.repartition(spec.case) if hot is False else part.repartition(spec.case, CHUNK)
     us = micros(spec.ts)
     wall = Window.partitionBy(spec.case, CHUNK)
     n = F.coalesce(F.col("__hn"), F.count(F.lit(1)).over(wall))
@@ -256,7 +214,7 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     keep = conds(n, s_, e_)
     if max_days:
         keep = keep & (s_ <= F.lit(ls)) if ls is not None else F.lit(False)
-    kept = part.withColumn("__keep", keep).filter("__keep").drop("__keep", "__hn", "__hlo", "__hhi", "__hk")
+    kept = part.withColumn("__keep", keep).filter("__keep").drop("__keep", "__hn", "__hlo", "__hhi")
     out = drop_duplicate_events(kept, spec)
     if not keep_chunk:
         out = out.drop(CHUNK)

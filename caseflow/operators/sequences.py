@@ -129,8 +129,7 @@ def prefix_next_pairs(seqs: DataFrame, arr: str = "acts", max_len: Optional[int]
     a = F.col(arr)
     n = F.size(a)
     u = n if max_len is None else F.least(n, F.lit(max_len))
-    pairs = F.transform(F.sequence(F.lit(1), u),
-                        lambda i: F.struct(F.slice(a, 1, i).alias("prefix"),
-                                           F.coalesce(F.get(a, i), F.lit(EOS)).alias("next_activity")))
-    return (seqs.filter(n > 0).select(F.explode(pairs).alias("p"))
-                .select("p.prefix", "p.next_activity"))
+    # one row per position first, then the slice: no row holds all prefixes of a case
+    at = seqs.filter(n > 0).select(a.alias("__a"), F.explode(F.sequence(F.lit(1), u)).alias("__i"))
+    return at.select(F.slice("__a", 1, F.col("__i")).alias("prefix"),
+                     F.coalesce(F.get("__a", F.col("__i")), F.lit(EOS)).alias("next_activity"))

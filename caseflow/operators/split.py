@@ -49,12 +49,12 @@ def separation_time_us(df: DataFrame, spec: LogSpec, frac: float) -> int:
 
 def prefix_split(df: DataFrame, spec: LogSpec, frac: float, mask_in: Optional[str] = None,
                  sep_us: Optional[int] = None, hot_case_rows: Optional[int] = None,
-                 hot: Optional[list] = None) -> Split:
+                 hot=None) -> Split:
     """T8 (with T2-T7): temporal prefix split of ``df`` at fraction ``frac``.
 
     ``mask_in``: name of an incoming boolean mask column to OR into both splits (T7).
     ``hot``: hot cases already known (e.g. from ``prepare_log``); a split only
-    shrinks cases, so a list computed on a superset stays valid.
+    shrinks cases, so a table computed on a superset stays valid.
     """
     if frac <= 0.0:
         raise ValueError("split size must be > 0")  # K2

@@ -75,8 +75,6 @@ def test_plans_have_no_single_partition_exchange_or_python(spark):
     plan = fr._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert "ReadSchema" in fr._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or True
 
 
 def test_positions_and_bounded_prefixes_with_hot_cases(spark):
@@ -146,3 +144,79 @@ def test_encoded_split_single_event_shuffle(spark):
     top = plan[plan.index("Window [lead"):plan.index("InMemoryTableScan")]
     assert "Exchange" not in top
     assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
+
+
+def test_bursts_are_split_and_equal_the_plain_window(spark):
+    """100,000 events in a minute and one a year later: no chunk holds much more than
+    the threshold, and the windows equal the plain ones."""
+    from caseflow.functions.ordered import CHUNK, hot_cases, with_chunks
+    from caseflow.spec import LogSpec
+    spec = LogSpec(case="c", activity="a", ts="ts", order=("seq",))
+    us = F.when(F.col("id") == 100_000, F.lit(31_536_000_000_000)).otherwise(F.col("id") * 600)
+    df = spark.range(100_001).select(F.lit("x").alias("c"), (F.col("id") % 7).cast("string").alias("a"),
+                                     F.timestamp_micros(us).alias("ts"), F.col("id").alias("seq"))
+    df = df.unionByName(spark.range(50).select(F.lit("y").alias("c"), F.lit("b").alias("a"),
+                                               F.timestamp_micros(F.col("id")).alias("ts"), F.col("id").alias("seq")))
+    hot = hot_cases(df, spec, 1000)
+    sizes = [r["count"] for r in with_chunks(df, spec, hot).filter("c = 'x'").groupBy(CHUNK).count().collect()]
+    assert sum(sizes) == 100_001 and max(sizes) < 2000 and len(sizes) > 80
+    cols = ["c", "seq", "next_a", "next_seq", "case_n", "case_end_us", "pos", "last"]
+    got = [case_frame(df, spec, ["a", "seq"], bounds=True, last_flag="last", position="pos", hot_case_rows=T)
+           for T in (1000, 10**9)]
+    assert got[0].select(cols).exceptAll(got[1].select(cols)).count() == 0
+    assert got[0].count() == got[1].count()
+
+
+def _cached_forms(spark, df):
+    yield df.persist()
+    yield df.checkpoint()
+    from caseflow.functions.storage import written
+    yield written(df)
+
+
+def test_global_row_number_at_size(spark):
+    """600,000 distinct keys behind a shuffle, cached, checkpointed and written: every
+    number once, in order."""
+    base = (spark.range(900_000).select((F.xxhash64("id") % 600_000).alias("k")).distinct()
+            .select(F.sha2(F.col("k").cast("string"), 256).alias("k")))
+    for df in _cached_forms(spark, base):
+        n = df.count()
+        rn = global_row_number(df, [F.col("k")], "rn", partitions=16)
+        agg = rn.agg(F.countDistinct("rn").alias("d"), F.min("rn").alias("lo"), F.max("rn").alias("hi")).first()
+        assert n > 500_000 and (agg.d, agg.lo, agg.hi) == (n, 1, n)
+        sample = rn.orderBy("k").limit(1000).collect()
+        assert [r.rn for r in sample] == list(range(1, 1001))
+
+
+def test_vocabulary_and_prefix_ids_at_size(spark):
+    from caseflow.operators import prefixes as X
+    from caseflow.plans.nep_data import encoded_split
+    from caseflow.spec import LogSpec
+    spec = LogSpec(case="case_id", activity="activity", ts="ts", order=("seq",))
+    log = spark.range(1_600_000).select((F.col("id") / 4).cast("long").cast("string").alias("case_id"),
+                                        F.md5((F.xxhash64("id") % 700_000).cast("string")).alias("activity"),
+                                        F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), F.col("id").alias("seq"))
+    es = encoded_split(log, spec, {"test_size": 0.2})
+    v = es.vocab.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("id").alias("hi")).first()
+    assert v.n > 500_000 and v.n == v.d == v.hi + 1
+    es.prepared.unpersist()
+    pairs = X.pairs_of_log(log, spec, max_len=2).persist()
+    stats, nd = X.prefix_outputs(pairs)
+    s = stats.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prefix_id").alias("d"), F.max("prefix_id").alias("hi")).first()
+    assert s.n > 500_000 and s.n == s.d == s.hi
+    assert nd.agg(F.sum("next_count")).first()[0] == pairs.count()
+    pairs.unpersist()
+
+
+def test_group_rank_and_quantiles_at_size(spark):
+    from caseflow.functions.rank import group_average_rank, group_quantiles
+    df = spark.range(1_000_000).select(F.when(F.col("id") < 900_000, "big").otherwise("small").alias("g"),
+                                       (F.xxhash64("id") % 600_000).cast("double").alias("v")).persist()
+    r = group_average_rank(df, ["g"], "v", "r")
+    w = Window.partitionBy("g").orderBy("v")
+    plain = df.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2.0)
+    assert r.exceptAll(plain).count() == 0 and r.count() == 1_000_000
+    q = {(x.g, x.q): x.value for x in group_quantiles(df, ["g"], "v", [0.25, 0.5]).collect()}
+    p = {x.g: x.p for x in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("p")).collect()}
+    assert all(abs(q[(g, c)] - p[g][i]) < 1e-9 for g in p for i, c in enumerate((0.25, 0.5)))
+    df.unpersist()
