@@ -48,23 +48,25 @@ def dataset_statistics(spec: LogSpec, orig: DataFrame, filtered: DataFrame, trai
     """Long table, one row per part (orig, filtered, train, test, val and the
     train/test and train/val intersections); train/test/val exclude masked rows;
     intersections report no event count.  ``separation_day`` is the day of the
-    split time the part belongs to."""
-    day = F.date_format(F.timestamp_micros(F.lit(sep_us)), "yyyy-MM-dd")
+    split a part comes from: the train/val split for val and its intersection,
+    the train/test split for all others."""
     parts = [split_statistics(orig, spec, "orig"), split_statistics(filtered, spec, "filtered"),
              split_statistics(train, spec, "train", mask), split_statistics(test, spec, "test", mask),
              split_statistics(tt_trunc, spec, "train_test_intersect", with_events=False)]
     if val is not None:
-        parts.append(split_statistics(val, spec, "val", mask))
+        parts.append(split_statistics(val, spec, "val", mask if mask in val.columns else None))
     if tv_trunc is not None:
         parts.append(split_statistics(tv_trunc, spec, "train_val_intersect", with_events=False))
     out = reduce(lambda a, b: a.unionByName(b), parts)
-    return out.withColumn("separation_day", day)
+    day = lambda us: F.date_format(F.timestamp_micros(F.lit(us).cast("long")), "yyyy-MM-dd")
+    return out.withColumn("separation_day", F.when(F.col("split").isin("val", "train_val_intersect"), day(tv_sep_us))
+                          .otherwise(day(sep_us)))
 
 
 def dataset_overview(stats: DataFrame) -> DataFrame:
     """Per log train/test cases and events, totals and mean events per case (1 decimal)."""
-    w = stats.groupBy().pivot("split", ["train", "test"]).agg(F.first("cases").alias("cases"),
-                                                              F.first("events").alias("events"))
+    w = stats.groupBy().pivot("split", ["train", "test"]).agg(F.max("cases").alias("cases"),
+                                                              F.max("events").alias("events"))
     return w.select("*", (F.col("train_cases") + F.col("test_cases")).alias("total_cases"),
                     (F.col("train_events") + F.col("test_events")).alias("total_events"),
                     F.round(F.try_divide(F.col("train_events") + F.col("test_events"),

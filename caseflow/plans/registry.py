@@ -499,6 +499,42 @@ def dataset_statistics_events_day(spark, sf_dir):
     return dataset_statistics(spec2, orig, filtered, sp.train, sp.test, sp.trunc, sp.sep_us)
 
 
+@register("dataset_statistics_val_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + f""",
+orig AS (SELECT case_id, ts FROM log WHERE case_id IN (SELECT case_id FROM summ WHERE n >= 3)),
+trunc AS (SELECT case_id, ts FROM fr, sep WHERE cs <= sep AND ce > sep),
+vsep AS (SELECT us AS vsep FROM (SELECT us, row_number() OVER (ORDER BY us) - 1 AS rn, count(*) OVER () AS n FROM train)
+         WHERE rn = CAST(floor(n * CAST('{1 - 0.25!r}' AS DOUBLE)) AS BIGINT)),
+tv AS (SELECT case_id, seq, ts, us, masked, lead(us) OVER w AS vnus, min(us) OVER (PARTITION BY case_id) AS vcs,
+              max(us) OVER (PARTITION BY case_id) AS vce FROM train WINDOW w AS (PARTITION BY case_id ORDER BY ts, seq)),
+parts AS (SELECT 'orig' AS split, case_id, ts FROM orig
+          UNION ALL SELECT 'filtered', case_id, ts FROM prep
+          UNION ALL SELECT 'train', case_id, ts FROM tv, vsep WHERE us <= vsep AND NOT masked AND NOT coalesce(vnus > vsep, false)
+          UNION ALL SELECT 'val', case_id, ts FROM tv, vsep WHERE vce > vsep AND NOT masked AND NOT coalesce(vnus <= vsep, false)
+          UNION ALL SELECT 'test', case_id, ts FROM test WHERE NOT masked
+          UNION ALL SELECT 'train_test_intersect', case_id, ts FROM trunc
+          UNION ALL SELECT 'train_val_intersect', case_id, ts FROM tv, vsep WHERE vcs <= vsep AND vce > vsep),
+pc AS (SELECT split, case_id, count(*) AS n, min(epoch_us(ts)) AS s, max(epoch_us(ts)) AS e FROM parts GROUP BY split, case_id)
+SELECT split, count(*) AS cases, CASE WHEN split LIKE '%intersect' THEN NULL ELSE sum(n) END AS events,
+       strftime(make_timestamp(min(s)), '%Y-%m-%d') AS start_day, strftime(make_timestamp(max(e)), '%Y-%m-%d') AS end_day,
+       CAST(max(floor((e - s) / 86400000000)) AS BIGINT) AS max_duration_days,
+       strftime(make_timestamp(CASE WHEN split IN ('val', 'train_val_intersect') THEN (SELECT vsep FROM vsep)
+                               ELSE (SELECT sep FROM sep) END), '%Y-%m-%d') AS separation_day
+FROM pc GROUP BY split""")
+def dataset_statistics_val_events_day(spark, sf_dir):
+    """T10 + T12 with a prefix validation split of a quarter of the train part."""
+    from caseflow.operators.prepare import select_log_columns, to_utc
+    from caseflow.operators.split import train_test_val
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    params = ADAPTER_PARAMS["events_by_user_day"]
+    filtered, spec2 = prepare_log(log, spec, params)
+    base = to_utc(select_log_columns(log, spec), spec)
+    big = base.groupBy(spec.case).count().filter(F.col("count") >= 3)
+    orig = base.join(big.select(spec.case), spec.case, "left_semi")
+    t = train_test_val(filtered, spec2, params["test_size"], 0.25)
+    return dataset_statistics(spec2, orig, filtered, t["train"], t["test"], t["tt_trunc"], t["tt_sep_us"],
+                              t["val"], t["tv_trunc"], t["tv_sep_us"])
+
+
 # ---------------------------------------------------------------------------
 # Sequences (Q1, Q6) on conversations
 # ---------------------------------------------------------------------------
@@ -539,9 +575,10 @@ def prefix_windows_conversations(spark, sf_dir):
 from caseflow.operators import evaluate as V  # noqa: E402
 from caseflow.sources.logs import table  # noqa: E402
 
-_SCORED_SQL = """e AS (SELECT vec_id, label AS target, vec_id // 32 AS batch,
-              CAST(embedding AS DOUBLE[])[1:10] AS l, CAST(embedding AS DOUBLE[])[11:20] AS t FROM embeddings),
-u AS (SELECT vec_id, unnest(l) AS x, unnest(t) AS y, unnest(range(10)) AS c FROM e),
+_SCORED_SQL = """k AS (SELECT max(label) + 1 AS c FROM embeddings),
+e AS (SELECT vec_id, label AS target, vec_id // 32 AS batch,
+              CAST(embedding AS DOUBLE[])[1:c] AS l, CAST(embedding AS DOUBLE[])[c + 1:2 * c] AS t FROM embeddings, k),
+u AS (SELECT vec_id, unnest(l) AS x, unnest(t) AS y, unnest(range(c)) AS c FROM e, k),
 mx AS (SELECT vec_id, max(x) AS mx, max(x / 2.0) AS mxs, max(y / 2.0) AS myt FROM u GROUP BY vec_id),
 lse AS (SELECT u.vec_id, max(mx.mx) + ln(sum(exp(x - mx.mx))) AS lse,
                max(mx.mxs) + ln(sum(exp(x / 2.0 - mx.mxs))) AS lse_s,
@@ -555,12 +592,18 @@ rows_ AS (SELECT e.vec_id, e.target, e.batch, lse.lse - e.l[e.target + 1] AS ce,
 
 
 def _scored(spark, sf_dir):
+    """Embeddings as scored positions: the first C components are logits, the next C
+    the teacher's, with C = the number of labels, read from the data."""
     e = table(spark, sf_dir, "embeddings")
     emb = F.col("embedding").cast("array<double>")
+    top = e.agg(F.max("label").alias("l"), F.min(F.size("embedding")).alias("w")).first()
+    c = (top["l"] or 0) + 1
+    if top["w"] is not None and 2 * c > top["w"]:
+        raise ValueError(f"{c} labels need {2 * c} components, the embeddings have {top['w']}")
     return e.select("vec_id", F.lit("test").alias("phase"), F.lit("next_activity").alias("target_name"),
                     F.floor(F.col("vec_id") / 32).alias("batch"), F.col("label").alias("target"),
-                    F.lit(True).alias("valid"), F.slice(emb, 1, 10).alias("logits"),
-                    F.slice(emb, 11, 10).alias("teacher_logits"))
+                    F.lit(True).alias("valid"), F.slice(emb, 1, c).alias("logits"),
+                    F.slice(emb, c + 1, c).alias("teacher_logits"))
 
 
 @register("logit_metrics_embeddings", "WITH " + _SCORED_SQL + f""",

@@ -54,12 +54,21 @@ def get_spark(master: str | None = None, app: str = "caseflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A cluster names it; only when it is unset (local tests) do we create one.
+    Only a local master without one gets a folder of its own (tests); on a
+    cluster the folder must be named, as executors do not share local disks.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+        if not d:
+            if not is_local(sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            d = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return sc.getCheckpointDir()
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``; a
+    ``local-cluster`` has executors of its own)."""
+    return master == "local" or master.startswith("local[")

@@ -12,9 +12,11 @@ The driver tables contain no training runs, so ``runs_from_orders`` and
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Iterable, Optional
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +47,19 @@ def normalise_metrics(metrics_json) -> F.Column:
 
 
 def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
-    """Schema of a JSON-string column inferred over all its records (distributed)."""
+    """Schema of a JSON-string column over all its records: an aggregate of their
+    schemas, nothing is read twice or leaves the JVM.  No records: no fields."""
+    text = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(col))).alias("s")).first()["s"]
+    kind = text if text and text.upper().startswith("OBJECT<") else "OBJECT<>"
+    fields = kind[len("OBJECT<"):-1]
+    if not fields:
+        return T.StructType([])
     spark = df.sparkSession
-    strings = df.select(F.col(col)).filter(F.col(col).isNotNull()).rdd.map(lambda r: r[0])
-    return spark.read.json(strings).schema
+    ddl = "struct<" + fields + ">"
+    while "OBJECT<" in ddl:
+        ddl = ddl.replace("OBJECT<", "struct<")
+    ddl = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", ddl.replace("VOID", "STRING"))
+    return spark.range(0).select(F.lit(None).cast(ddl).alias("x")).schema["x"].dataType
 
 
 def flatten_runs(runs: DataFrame, schemas: Optional[dict] = None) -> DataFrame:
@@ -103,22 +114,26 @@ def flatten_history(history: DataFrame, schema: Optional[T.StructType] = None,
     return p.select("run_id", "step", *[F.col("__p").getField(f.name).alias(f.name) for f in keep], *carry)
 
 
-def load_multiple(frames: dict, skip_missing: bool = True) -> DataFrame:
-    """Union of per-project run tables with a ``project`` column; missing
-    columns are null.  ``frames`` maps project -> DataFrame or a callable
-    returning one (which may raise)."""
-    loaded = []
+def load_multiple(frames: dict, skip_missing: bool = True) -> tuple:
+    """(union of per-project run tables with a ``project`` column, names left out).
+
+    Missing columns are null.  ``frames`` maps project -> DataFrame or a
+    callable returning one.  A project whose files are not there is left out and
+    named; any other failure, such as a storage fault, is raised."""
+    loaded, missing = [], []
     for project, f in frames.items():
         try:
             df = f() if callable(f) else f
-        except Exception:
-            if skip_missing:
-                continue
-            raise
+        except (FileNotFoundError, AnalysisException) as e:
+            absent = isinstance(e, FileNotFoundError) or e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+            if not (skip_missing and absent):
+                raise
+            missing.append(project)
+            continue
         loaded.append(df.withColumn("project", F.lit(project)))
     if not loaded:
         raise ValueError("no project could be loaded")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded), missing
 
 
 def baseline_tables(runs: DataFrame, tables: DataFrame, log: str, lifecycle: bool,

@@ -12,16 +12,10 @@ from typing import Callable, Optional
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.functions.storage import exists
 from caseflow.session import ensure_checkpoint_dir
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def cache_root(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "caseflow-cache")
 
@@ -30,7 +24,7 @@ def cached_log(spark: SparkSession, name: str, build: Callable[[], DataFrame],
                root: Optional[str] = None, refresh: bool = False) -> DataFrame:
     """Memoise a prepared log as parquet under ``root/name``; later calls read it back."""
     path = os.path.join(root or cache_root(spark), "logs", name)
-    if refresh or not _exists(spark, path):
+    if refresh or not exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -40,7 +34,7 @@ def cached_dataset(spark: SparkSession, name: str, splits: Optional[dict] = None
     """Store a built dataset per split (partitioned by ``split``) and read it
     back; ``refresh`` rebuilds.  Returns the stored table (filter on ``split``)."""
     path = os.path.join(root or cache_root(spark), "datasets", name)
-    if refresh or not _exists(spark, path):
+    if refresh or not exists(spark, path):
         if splits is None:
             raise ValueError(f"dataset {name!r} is not cached and no splits were given")
         parts = [df.withColumn("split", F.lit(k)) for k, df in splits.items()]

@@ -21,6 +21,7 @@ def test_read_log_parquet_csv_missing(spark):
     assert read_log(spark, os.path.join(root, "c")).count() == 1
     with pytest.raises(ValueError):
         read_log(spark, os.path.join(root, "missing"))
+    assert read_log(spark, "file://" + os.path.join(root, "p") + "/").count() == 1
 
 
 def test_xes_columns_and_amount_coalesce(spark):
@@ -48,11 +49,39 @@ def test_runs_with_inferred_schema_and_multiple_projects(spark):
     def missing():
         raise FileNotFoundError("no such project")
 
-    both = X.load_multiple({"p1": known.limit(3), "p2": known.limit(2).drop("lr"), "p3": missing})
+    both, left_out = X.load_multiple({"p1": known.limit(3), "p2": known.limit(2).drop("lr"), "p3": missing,
+                                      "p4": lambda: spark.read.parquet("/tmp/no such project")})
+    assert left_out == ["p3", "p4"]
     assert both.count() == 5 and both.filter(F.col("lr").isNull()).count() >= 2
     with pytest.raises(FileNotFoundError):
         X.load_multiple({"p3": missing}, skip_missing=False)
 
+    def broken():
+        raise OSError("storage fault")
+
+    with pytest.raises(OSError):
+        X.load_multiple({"p1": known, "p3": broken})
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from caseflow.session import ensure_checkpoint_dir, is_local
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[3,2,3000]")
+
 
 def test_history_inferred_schema_matches_known(spark):
     raw = X.upsert_history(X.history_from_lineitem(spark, SF001), X.HISTORY_INGEST).select("run_id", "step", "metrics")
