@@ -15,9 +15,24 @@ from caseflow.functions.columns import combine_scalars, one_row
 from caseflow.spec import MASKED_TARGET, PAD_ID
 
 
+def attention_mask(cur: str = "cur") -> F.Column:
+    """Q5: True where the position holds an event (not PAD)."""
+    return F.col(cur) != PAD_ID
+
+
+def loss_mask(cur: str = "cur", tgt: str = "tgt") -> F.Column:
+    """Q5 / Q4: True where the position holds an event and its target counts (not -1)."""
+    return attention_mask(cur) & (F.col(tgt) != MASKED_TARGET)
+
+
+def masked_target(tgt: str = "tgt") -> F.Column:
+    """Q4: targets with the masked ones (-1) as 0, to be used with the loss mask."""
+    return F.when(F.col(tgt) == MASKED_TARGET, F.lit(0)).otherwise(F.col(tgt))
+
+
 def valid_positions(df: DataFrame, cur: str = "cur", tgt: str = "tgt") -> DataFrame:
-    """Q4: attention (not PAD) and loss mask (target != -1)."""
-    return df.filter((F.col(cur) != PAD_ID) & (F.col(tgt) != MASKED_TARGET))
+    """Q4: the positions of the loss mask."""
+    return df.filter(loss_mask(cur, tgt))
 
 
 def transition_counts(train: DataFrame, cur: str = "cur", tgt: str = "tgt") -> DataFrame:

@@ -114,13 +114,54 @@ def arch_label(hidden="hidden_size", layers="n_layers", heads="n_heads", sep="-"
     return F.concat_ws(sep, part(hidden), part(layers), part(heads))
 
 
-def model_family(backbone="backbone") -> F.Column:
-    """Family from backbone name prefixes."""
+# Name prefixes and display labels of model families, the project
+# name parts that tell trained-from-scratch and distilled runs, their prefixes.
+FAMILY_PREFIXES = ("qwen", "nano", "distill", "gpt2", "LSTM")
+SOURCES = {"scratch": "nanogpt_scratch", "distill": "distill"}
+
+
+def source_label(project="project", backbone="backbone", **arch) -> F.Column:
+    """Runs of scratch and distillation projects are labelled
+    '<source>_<hidden>_<layers>_<heads>', all others keep their backbone."""
+    out = F.col(backbone)
+    for source, part in SOURCES.items():       # a later source wins
+        out = F.when(F.coalesce(F.col(project).contains(part), F.lit(False)),
+                     F.concat(F.lit(source + "_"), arch_label(**{"sep": "_", **arch}))).otherwise(out)
+    return out
+
+
+def source_of(label) -> F.Column:
+    """A7: 'scratch', 'distill' or 'finetune' from a source label."""
+    c = F.col(label)
+    out = F.lit("finetune")
+    for source in SOURCES:
+        out = F.when(c.startswith(source + "_"), F.lit(source)).otherwise(out)
+    return out
+
+
+def display_label(label) -> F.Column:
+    """A source label without its source."""
+    out = F.col(label)
+    for source in SOURCES:
+        out = F.when(F.col(label).startswith(source + "_"), F.substring(F.col(label), len(source) + 2, 1 << 30)).otherwise(out)
+    return out
+
+
+def group_of(backbone="backbone", unknown: str = "baseline") -> F.Column:
+    """The name prefix of a backbone, ``unknown`` if it has none of them."""
+    out = F.lit(unknown)
+    for p in reversed(FAMILY_PREFIXES):
+        out = F.when(F.col(backbone).startswith(p), F.lit(p)).otherwise(out)
+    return out
+
+
+def model_family(backbone="backbone", unknown: str = "Other") -> F.Column:
+    """Display family from backbone name prefixes; ``unknown`` for other names."""
     b = F.lower(F.col(backbone))
     return (F.when(b.startswith("lstm"), "LSTM").when(b.startswith("nano"), "From Scratch")
              .when(b.startswith("distill"), "Distilled").when(b.startswith("gpt2"), "Pre-trained GPT-2")
              .when(b.startswith("qwen"), "Pre-trained Qwen-3").when(b == "baseline", "Argmax")
-             .otherwise("Other"))
+             .otherwise(unknown))
 
 
 def alias_values(c, mapping: dict) -> F.Column:
@@ -191,6 +232,47 @@ def missing_configs(grid: DataFrame, observed: DataFrame, keys=("log", "backbone
     return j.withColumn("missing", F.greatest(tgt - F.col("n_runs"), F.lit(0)))
 
 
+MISSING = "__MISSING__"
+
+
+def full_grid(grid: DataFrame, observed: DataFrame, rest: Sequence[str], keys=("log", "backbone", "lr"),
+              special: Optional[str] = None) -> DataFrame:
+    """Every planned (log, backbone, lr) with the variants of ``rest`` observed
+    for it, or one placeholder variant.  Observed rows without a learning rate count
+    for the ``special`` backbone alone.  Variant columns are strings."""
+    keys, rest = list(keys), list(rest)
+    ok = F.col("lr").isNotNull() | (F.col("backbone") == special) if special else F.col("lr").isNotNull()
+    v = (observed.filter(ok).select(*[F.col(k).alias(f"__{k}") for k in keys],
+                                    *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in rest]).distinct())
+    same = [grid[k].eqNullSafe(v[f"__{k}"]) for k in keys]
+    return (grid.join(v, same, "left").select(*keys, *[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in rest])
+                .distinct())
+
+
+def missing_runs(full: DataFrame, runs: DataFrame, metric: str, rest: Sequence[str], keys=("log", "backbone", "lr"),
+                 target: int = 5, special: Optional[str] = None, special_target: int = 1,
+                 best_target: int = 10) -> DataFrame:
+    """A15 + A16 on the full grid: n_runs and mean per variant, ``missing_row``,
+    ``missing_runs`` to the row's target, and ``missing_to_best``: on the row with
+    the smallest mean of each (log, backbone) the runs left to ``best_target``, 0
+    on all others (ties: first by the keys)."""
+    keys, rest = list(keys), list(rest)
+    s = runs.groupBy(*keys, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in rest]).agg(
+        F.count(metric).alias("n_runs"), F.avg(metric).alias("mean"))
+    s = s.select(*[F.col(c).alias(f"__{c}") for c in keys + rest], "n_runs", "mean")
+    same = [full[c].eqNullSafe(s[f"__{c}"]) for c in keys + rest]
+    j = full.join(s, same, "left").select(*keys, *rest, F.col("n_runs").isNull().alias("missing_row"),
+                                          F.coalesce("n_runs", F.lit(0)).alias("n_runs"), "mean")
+    order = F.struct("mean", *[c for c in keys + rest if c not in ("log", "backbone")])
+    best = j.filter("mean is not null").groupBy("log", "backbone").agg(F.min(order).alias("__best"))
+    goal = F.when(F.col("backbone") == special, special_target).otherwise(target) if special else F.lit(target)
+    return (j.join(best, ["log", "backbone"], "left")
+             .withColumn("missing_runs", F.greatest(goal - F.col("n_runs"), F.lit(0)))
+             .withColumn("missing_to_best", F.when(F.coalesce(order == F.col("__best"), F.lit(False)),
+                                                   F.greatest(best_target - F.col("n_runs"), F.lit(0))).otherwise(0))
+             .drop("__best"))
+
+
 def unplanned_configs(grid: DataFrame, observed: DataFrame, keys=("log", "backbone", "lr")) -> DataFrame:
     """Observed configurations that are not in the grid (anti join)."""
     return observed.select(*keys).distinct().join(grid, list(keys), "left_anti")

@@ -949,10 +949,11 @@ def common_horizon_history(spark, sf_dir):
 SELECT log, printf('%.0e', lr) AS lr_label, round(avg(duration_sec), {DIGITS}) AS mean_duration
 FROM runs GROUP BY log, printf('%.0e', lr)""")
 def pivot_mean_runs(spark, sf_dir):
-    """Log x learning-rate mean duration (long form; ``pivot_mean`` gives the wide table)."""
+    """Log x learning-rate mean duration, the pivoted table read back in long form."""
     runs, _ = _exp(spark, sf_dir)
-    t = runs.withColumn("lr_label", A.lr_label("lr"))
-    return t.groupBy("log", "lr_label").agg(r(F.avg("duration_sec")).alias("mean_duration"))
+    wide = A.pivot_mean(runs.withColumn("lr_label", A.lr_label("lr")), "log", "lr_label", "duration_sec")
+    return (wide.unpivot(["log"], [f"`{c}`" for c in wide.columns[1:]], "lr_label", "mean_duration")
+                .filter("mean_duration is not null").select("log", "lr_label", r("mean_duration").alias("mean_duration")))
 
 
 def _size_tables(runs):
@@ -1503,7 +1504,14 @@ def _frequency_model(pdf):
     return pd.DataFrame(rows, columns=["case_id", "pos", "logits"])
 
 
-@register("score_traces_conversations")
+@register("score_traces_conversations", "WITH " + prep_ctes("conversations") + """,
+n AS (SELECT case_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos,
+             count(*) FILTER (activity = 'system') OVER w AS a, count(*) FILTER (activity = 'user') OVER w AS b,
+             count(*) FILTER (activity = 'assistant') OVER w AS c,
+             count(*) FILTER (activity IS NULL OR activity NOT IN ('system', 'user', 'assistant')) OVER w AS d
+      FROM prep WINDOW w AS (PARTITION BY case_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+SELECT case_id, pos, CASE WHEN a >= greatest(b, c, d) THEN 0 WHEN b >= greatest(c, d) THEN 1 WHEN c >= d THEN 2 ELSE 3 END AS pred
+FROM n""")
 def score_traces_conversations(spark, sf_dir):
     """Batch scoring of every trace by a user-supplied pandas model (mapInPandas),
     then argmax predictions per position."""
@@ -1584,5 +1592,8 @@ def dataset_size_runs(spark, sf_dir):
     """Dataset size (train + val + test events, nulls as 0), mean duration and accuracy per log."""
     runs, _ = _exp(spark, sf_dir)
     s = runs.withColumn("dataset_size", A.dataset_size())
-    return s.groupBy("log").agg(F.first("dataset_size").cast("long").alias("dataset_size"),
+    return s.groupBy("log").agg(F.min("dataset_size").cast("long").alias("dataset_size"),
                                 r(F.avg("duration_sec")).alias("mean_duration"), r(F.avg("acc")).alias("mean_acc"))
+
+
+from caseflow.plans import masked_queries  # noqa: E402,F401  (registers its queries)

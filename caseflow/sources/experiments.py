@@ -136,6 +136,14 @@ def load_multiple(frames: dict, skip_missing: bool = True) -> tuple:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded), missing
 
 
+def baseline_run_tables(runs: DataFrame, transitions: DataFrame, predictions: Optional[DataFrame], log: str,
+                        lifecycle: bool, backbone: str = "baseline") -> tuple:
+    """(transition table, prediction table or None) of the newest finished
+    baseline run of ``log``; both come from the same run, predictions are optional."""
+    pick = lambda t: baseline_tables(runs, t, log, lifecycle, backbone)
+    return pick(transitions), pick(predictions) if predictions is not None else None
+
+
 def baseline_tables(runs: DataFrame, tables: DataFrame, log: str, lifecycle: bool,
                     backbone: str = "baseline") -> DataFrame:
     """Rows of ``tables`` (run_id, ...) belonging to the newest finished
