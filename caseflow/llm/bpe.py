@@ -24,15 +24,17 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.llm.common import small_batches, worker_cache
 
-LEAF_BYTES = 8
+LEAF_BYTES = 6
 HEAP_FROM = 48
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 48   # longer words are not kept
 
 
@@ -43,6 +45,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES):
         import regex
@@ -55,8 +62,9 @@ class Codec:
                                      .replace(r"\s", ws))
         self.unsafe = regex.compile(f" {ws}|{ws} ")
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, bytes] = {}
+        self.short: dict[bytes, list[int]] = {}    # merged windows
+        self.pieces: dict[str, bytes] = {}         # matches
+        self.words: dict[str, bytes] = {}          # words with a space in front
 
     # -- merges of one short window
 
@@ -120,6 +128,15 @@ class Codec:
             got = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 
+    def window(self, s: bytes) -> list[int]:
+        """``merged``, remembered for short windows."""
+        got = self.short.get(s)
+        if got is None:
+            got = self.merged(s)
+            if len(s) <= 2 * LEAF_BYTES:
+                self.short[s] = got
+        return got
+
     def join(self, a: list[int], b: list[int]) -> list[int]:
         if not a or not b:
             return a + b
@@ -127,7 +144,7 @@ class Codec:
             return a + b
         i = j = 1
         while True:
-            w = self.merged(b"".join(map(self.bytes_of.__getitem__, a[-i:] + b[:j])))
+            w = self.window(b"".join(map(self.bytes_of.__getitem__, a[-i:] + b[:j])))
             left = i == len(a) or self.stable(a[-i - 1], w[0])
             right = j == len(b) or self.stable(w[-1], b[j])
             if left and right:
@@ -139,29 +156,23 @@ class Codec:
 
     def tree(self, s: bytes) -> list[int]:
         if len(s) <= self.leaf:
-            return self.merged(s)
+            return self.window(s)
         m = len(s) // 2
         return self.join(self.tree(s[:m]), self.tree(s[m:]))
 
     # -- texts
 
-    def encode_match(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            s = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(s)
-            got = [whole] if whole is not None else self.tree(s)
-            if len(piece) <= REMEMBERED_CHARS:
-                if len(self.pieces) >= REMEMBERED // 2:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+    def encode_match(self, piece: str) -> bytes:
+        s = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(s)
+        got = packed([whole] if whole is not None else self.tree(s))
+        if len(piece) <= REMEMBERED_CHARS:
+            self.pieces[piece] = got
         return got
 
     def _encode_part(self, part: str) -> bytes:
-        import numpy as np
-
-        ids = [i for m in self.pattern.finditer(part) for i in self.encode_match(m.group())]
-        return np.array(ids, "<u4").tobytes()
+        known = self.pieces
+        return b"".join([known.get(m) or self.encode_match(m) for m in self.pattern.findall(part)])
 
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
@@ -171,13 +182,11 @@ class Codec:
             return self._encode_part(text)
         first, *rest = text.split(" ")
         head = self._encode_part(first)
-        known = self.words   # word -> ids of the word with a space in front
+        known = self.words
         try:
             return head + b"".join(map(known.__getitem__, rest))
         except KeyError:
             pass
-        if len(known) >= REMEMBERED:
-            known.clear()
         out = [head]
         long: dict[str, bytes] = {}
         for w in rest:
@@ -190,6 +199,11 @@ class Codec:
             out.append(v)
         return b"".join(out)
 
+    def forget(self) -> None:
+        for d in (self.words, self.pieces, self.short, self.pairs):
+            if len(d) > REMEMBERED:
+                d.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1024:
             return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -198,32 +212,30 @@ class Codec:
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec per worker and vocabulary; pair and word memories live as long."""
+    """One codec per worker and vocabulary; its memories live as long."""
     cache = worker_cache("bpe")
     key = (ranks_path, pattern)
     if key not in cache:
         cache[key] = Codec(load_ranks(ranks_path), pattern)
-    c = cache[key]
-    if len(c.pairs) > REMEMBERED:
-        c.pairs.clear()
-    return c
+    return cache[key]
 
 
-def _mapped(df: DataFrame, in_cols: dict, out: list, row_of) -> DataFrame:
-    """``row_of(codec-free partition setup)`` applied to slices of Arrow batches."""
+def _mapped(df: DataFrame, in_cols: dict, out: list, setup) -> DataFrame:
+    """``setup()`` gives a task its function of one value and what to call after each slice."""
     names = list(in_cols)
     schema = T.StructType([T.StructField(names[0], df.schema[in_cols[names[0]]].dataType)] + out)
 
     def run(batches):
         import pyarrow as pa
 
-        f = row_of()
+        f, forget = setup()
         arrow = {T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.StringType: pa.string()}
         for b in small_batches(batches, names[1]):
             rows = [f(v) for v in b.column(names[1]).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(names[0])] + [pa.array([r[i] for r in rows], arrow[type(o.dataType)])
                                         for i, o in enumerate(out)], names=schema.names)
+            forget()
 
     return df.select(*[F.col(c).alias(n) for n, c in in_cols.items()]).mapInArrow(run, schema)
 
@@ -233,7 +245,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """doc_id, ids (binary, little-endian unsigned 32-bit)."""
     def setup():
         c = codec(ranks_path, pattern)
-        return lambda t: (c.encode(t),)
+        return lambda t: (c.encode(t),), c.forget
     return _mapped(docs, {"doc_id": id_col, "text": text_col}, [T.StructField("ids", T.BinaryType())], setup)
 
 
@@ -242,7 +254,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     def setup():
         import numpy as np
         c = codec(ranks_path, pattern)
-        return lambda ids: (c.decode(np.frombuffer(ids or b"", "<u4").tolist()),)
+        return lambda ids: (c.decode(np.frombuffer(ids or b"", "<u4").tolist()),), c.forget
     return _mapped(encoded, {"doc_id": "doc_id", "ids": "ids"}, [T.StructField("text", T.BinaryType())], setup)
 
 
@@ -260,7 +272,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
             ids = c.encode(t)
             back = c.decode(np.frombuffer(ids, "<u4").tolist())
             return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
-        return row
+        return row, c.forget
     return _mapped(docs, {"doc_id": id_col, "text": text_col},
                    [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                     T.StructField("decoded_sha256", T.StringType())], setup)
