@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import combine_scalars, one_row
+from caseflow.functions.storage import written
 from caseflow.spec import MASKED_TARGET, PAD_ID
 
 
@@ -160,6 +161,12 @@ def macro_auroc(pos: DataFrame, counts: DataFrame) -> DataFrame:
          .otherwise(F.col("mean_auc")).alias("auroc_macro"))
 
 
+def pair_counts(both: DataFrame, tgt: str, label: str, n: str) -> DataFrame:
+    """(cur, ``label``, ``n``): valid pairs of one target column summed from a table
+    of (cur, targets..., n)."""
+    return (valid_positions(both, "cur", tgt).groupBy("cur", F.col(tgt).alias(label)).agg(F.sum("n").alias(n)))
+
+
 def evaluate(test: DataFrame, counts: DataFrame, predictions: DataFrame,
              cur: str = "cur", tgt: str = "tgt") -> DataFrame:
     """Accuracy, macro-F1 and macro-AUROC of the predictor on the valid test positions,
@@ -169,7 +176,11 @@ def evaluate(test: DataFrame, counts: DataFrame, predictions: DataFrame,
     computed from that table, whose size is bounded by distinct transitions.
     """
     # cut lineage at the small aggregate: every metric branch reads it
-    pos = position_pairs(test, cur, tgt).checkpoint()
+    return evaluate_pairs(written(position_pairs(test, cur, tgt)), counts, predictions)
+
+
+def evaluate_pairs(pos: DataFrame, counts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``evaluate`` on aggregated positions (cur, label, n)."""
     scored = (pos.join(predictions, "cur", "left")
                  .withColumn("pred", F.coalesce(F.col("pred"), F.lit(MASKED_TARGET))))
     acc = scored.agg(F.coalesce(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))), F.lit(0)).alias("correct"),

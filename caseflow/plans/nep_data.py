@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
 from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, case_frame
+from caseflow.functions.storage import written
 from caseflow.operators.encode import apply_mask, encode, fit_vocab, next_categorical
 from caseflow.operators.prepare import prepare_log
 from caseflow.operators.split import MASK, separation_time_us
-from caseflow.spec import LogSpec
+from caseflow.spec import MASKED_TARGET, LogSpec
 
 
 @dataclass
@@ -29,7 +30,8 @@ class EncodedSplit:
     vocab: DataFrame
     sep_us: int
     spec: LogSpec
-    prepared: DataFrame
+    prepared: DataFrame   # persisted; the caller may unpersist it when done
+    frame: DataFrame      # every event once: cur, train_tgt and test_tgt (null outside the part)
 
 
 def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
@@ -51,20 +53,23 @@ def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     test_size = params.get("test_size", 0.2) or 0.2
     sep = separation_time_us(prepared, spec, test_size)
     us = micros(spec.ts)
-    vocab = fit_vocab(prepared.filter(us <= F.lit(sep)), [spec.activity]).checkpoint()
-    enc = encode(prepared, vocab, spec.activity, out="cur").withColumn("__us", us)
-    fr = case_frame(enc, spec, next_cols=["__us", "cur"], prefix="__n", bounds=True,
+    vocab = written(fit_vocab(prepared.filter(us <= F.lit(sep)), [spec.activity]))
+    enc = encode(prepared, vocab, spec.activity, out="cur").withColumn("__at", us)
+    fr = case_frame(enc, spec, next_cols=["__at", "cur"], prefix="__n", bounds=True,
                     hot_case_rows=T, hot=hot)
     s = F.lit(sep)
-    nxt_us, nxt_id = F.col("__n__us"), F.col("__ncur")
-    train = (fr.filter(F.col("__us") <= s)
-               .withColumn(MASK, F.coalesce(nxt_us > s, F.lit(False)))
-               .withColumn("tgt", apply_mask(next_categorical(F.when(nxt_us <= s, nxt_id)), MASK)))
-    test = (fr.filter(F.col("case_end_us") > s)
-              .withColumn(MASK, F.coalesce(nxt_us <= s, F.lit(False)))
-              .withColumn("tgt", apply_mask(next_categorical("__ncur"), MASK)))
-    helper = ["__us", "__n__us", "__ncur", "case_start_us", "case_end_us", "case_n", CHUNK]
-    return EncodedSplit(train.drop(*helper), test.drop(*helper), vocab, sep, spec, prepared)
+    nxt_us, nxt_id = F.col("__n__at"), F.col("__ncur")
+    in_train, in_test = F.col("__at") <= s, F.col("case_end_us") > s
+    train_mask, test_mask = F.coalesce(nxt_us > s, F.lit(False)), F.coalesce(nxt_us <= s, F.lit(False))
+    train = fr.filter(in_train).withColumn(MASK, train_mask).withColumn(
+        "tgt", apply_mask(next_categorical(F.when(nxt_us <= s, nxt_id)), MASK))
+    test = fr.filter(in_test).withColumn(MASK, test_mask).withColumn("tgt", apply_mask(next_categorical("__ncur"), MASK))
+    masked = F.lit(MASKED_TARGET)
+    frame = fr.select("cur", F.when(in_train, F.when(train_mask, masked).otherwise(
+        next_categorical(F.when(nxt_us <= s, nxt_id)))).alias("train_tgt"),
+        F.when(in_test, F.when(test_mask, masked).otherwise(next_categorical("__ncur"))).alias("test_tgt"))
+    helper = ["__at", "__n__at", "__ncur", "case_start_us", "case_end_us", "case_n", CHUNK]
+    return EncodedSplit(train.drop(*helper), test.drop(*helper), vocab, sep, spec, prepared, frame)
 
 
 def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
@@ -96,7 +101,7 @@ def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = No
         cols = [c for c in scale_columns(parts["train"].columns) if c in parts["train"].columns]
         values = fit_scaler_values(parts["train"], cols)          # one row of parameters
         parts = {k: apply_scaler_values(v, values) for k, v in parts.items()}
-    vocab = fit_vocab(parts["train"], list(dict.fromkeys(list(categorical) + list(cat_targets)))).checkpoint()
+    vocab = written(fit_vocab(parts["train"], list(dict.fromkeys(list(categorical) + list(cat_targets)))))
     enc, vocab = build_event_log(parts, spec, categorical, numerical, cat_targets, num_targets,
                                  vocab=vocab, hot_case_rows=T, hot=hot)
     return {k: v.drop(CHUNK) for k, v in enc.items()}, vocab, sp.sep_us
