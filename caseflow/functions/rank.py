@@ -2,8 +2,8 @@
 
 * ``kth_smallest`` — exact k-th smallest value: a narrow bracket of approximate
   percentiles, an exact count below it, then the distinct values inside.
-* ``global_row_number`` — 1-based position in a total order: range
-  partitioning by the order, written once; partition counts (one row per
+* ``global_running`` — 1-based position and running sums in a total order: range
+  partitioning by the order, written once; partition totals (one row per
   partition) and partition-local positions both come from the written rows.
 * ``group_average_rank``, ``group_quantiles`` — per-group ranks from the global
   row number, so no group is sorted inside one task, whatever its size.
@@ -87,26 +87,40 @@ def kth_smallest(df: DataFrame, c: str, k: int | None = None, n: int | None = No
     raise AssertionError("bracket walk failed")
 
 
-def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
-                      partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row in the total order ``order_cols``.
+def global_running(df: DataFrame, order_cols: list, name: str = "rn", sums: dict | None = None,
+                   partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in the total order ``order_cols``
+    and, per entry ``out: column`` of ``sums``, the running sum of the column up to
+    and with the row.
 
-    ``order_cols`` must be Column expressions or names forming a total order.
     The range-partitioned rows are written once: evaluated twice, their
-    partition bounds could be sampled differently, and counts and rows disagree.
+    partition bounds could be sampled differently, and totals and rows disagree.
+    Each partition's totals (one row) give the offsets of the next ones.
     """
+    sums = sums or {}
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
     # partition-local index: monotonically_increasing_id = (pid << 33) + index
     tagged = written(ordered.withColumn("__pid", F.spark_partition_id())
                      .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = tagged.groupBy("__pid").count()
-    offs = counts.select("__pid", (F.sum("count").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))
+    totals = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
+                                         *[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("__pid", F.sum("__n").over(before).alias("__off"),
+                         *[F.sum(f"__t{i}").over(before).alias(f"__o{i}") for i in range(len(sums))])
     # one row per partition: bounded by the partition count
-    return (tagged.join(F.broadcast(offs), "__pid", "left")
-                  .withColumn(name, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local") + 1)
-                  .drop("__pid", "__local", "__off"))
+    out = tagged.join(F.broadcast(offs), "__pid", "left")
+    local = Window.partitionBy("__pid").orderBy("__local").rowsBetween(Window.unboundedPreceding, 0)
+    run = {o: F.coalesce(F.col(f"__o{i}"), F.lit(0)) + F.sum(c).over(local) for i, (o, c) in enumerate(sums.items())}
+    return (out.withColumns({name: F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local") + 1, **run})
+               .drop("__pid", "__local", "__off", *[f"__o{i}" for i in range(len(sums))]))
+
+
+def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
+                      partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in the total order ``order_cols``
+    (Column expressions or names forming a total order)."""
+    return global_running(df, order_cols, name, partitions=partitions)
 
 
 def group_positions(df: DataFrame, group: list, col: str, name: str = "__gpos") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-exported)
-from caseflow.functions.rank import group_average_rank, group_quantiles
+from caseflow.functions.rank import global_row_number, group_average_rank, group_quantiles
 
 
 # --- A1-A3: best validation step --------------------------------------------
@@ -520,12 +520,9 @@ def metric_by_params(df: DataFrame, metric: str, backbone: str = "backbone", par
 
 
 def slot_order(df: DataFrame, key: str, params: str) -> DataFrame:
-    """One row per key ordered by parameter count; 0-based position.
-
-    Input is one row per distinct key (a few hundred at most), ranked globally."""
+    """One row per key ordered by parameter count (nulls last); 0-based position."""
     d = df.groupBy(key).agg(F.min(params).alias(params))
-    w = Window.orderBy(F.col(params).asc_nulls_last(), F.col(key))
-    return d.withColumn("slot", F.row_number().over(w) - 1)
+    return global_row_number(d, [F.col(params).asc_nulls_last(), F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
 
 
 def params_per_dim(df: DataFrame, keys=("backbone", "log", "size"), trainable="trainable_params",

@@ -8,11 +8,11 @@ distinct count values with their multiplicities (no per-row global rank).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import combine_scalars, entropy_term
-from caseflow.functions.rank import global_row_number
+from caseflow.functions.rank import global_row_number, global_running
 from caseflow.operators.sequences import activity_sequences, prefix_next_pairs
 from caseflow.spec import LogSpec
 
@@ -92,8 +92,7 @@ def gini(counts: DataFrame, c: str = "count") -> DataFrame:
     after a smaller elements contributes v*(m*a + m(m+1)/2).
     """
     blocks = counts.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct count
-    b = blocks.withColumn("a", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    b = global_running(blocks, [F.col("v")], "__i", {"__to": "m"}).withColumn("a", F.col("__to") - F.col("m"))
     s = b.agg(F.sum(F.col("v") * (F.col("m") * F.col("a") + F.col("m") * (F.col("m") + 1) / 2.0)).alias("six"),
               F.sum("m").alias("n"), F.sum(F.col("v") * F.col("m")).alias("tot"))
     return s.select(F.when((F.col("n").isNull()) | (F.col("n") == 0) | (F.col("tot") == 0), F.lit(0.0))

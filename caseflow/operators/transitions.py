@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.rank import global_running
+
 
 def transition_summary(t: DataFrame, cur: str = "current_activity", nxt: str = "next_activity",
                        c: str = "count") -> DataFrame:
@@ -22,18 +24,14 @@ def cumulative_coverage(t: DataFrame, cur: str = "current_activity", nxt: str =
     """D4 + D5: rank by count desc (ties by current, next), cumulative share of
     all transitions (%), and rank as a percentage of the number of rows.
 
-    The input is a transition table (at most vocabulary² rows), so one ordered
-    window over it is small.
+    Rank and running count come from range partitions, the totals from one
+    aggregation: no row set is ordered in one task.
     """
-    w = Window.orderBy(F.col(c).desc(), F.col(cur), F.col(nxt))
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = (t.withColumn("rank", F.row_number().over(w))
-          .withColumn("__cum", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("__tot", F.sum(c).over(wall))
-          .withColumn("__n", F.count(F.lit(1)).over(wall)))
-    return r.select(cur, nxt, c, "rank",
-                    (100.0 * F.col("__cum") / F.col("__tot")).alias("cumulative_pct"),
-                    (100.0 * F.col("rank") / F.col("__n")).alias("rank_pct"))
+    r = global_running(t.select(cur, nxt, c), [F.col(c).desc(), F.col(cur), F.col(nxt)], "rank", {"__cum": c})
+    tot = r.agg(F.sum(c).alias("total"), F.count(F.lit(1)).alias("n")).first()      # two scalars
+    return r.select(cur, nxt, c, F.col("rank").cast("int").alias("rank"),
+                    (100.0 * F.col("__cum") / F.lit(tot["total"])).alias("cumulative_pct"),
+                    (100.0 * F.col("rank") / F.lit(tot["n"])).alias("rank_pct"))
 
 
 def latest_per_key(runs: DataFrame, key: str, ts: str = "created_at", flag: str = None,
