@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from typing import Iterable, Optional
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.ordered import case_frame
 from caseflow.spec import EOS, LogSpec
 
 
@@ -24,7 +25,6 @@ def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str], first_k: Option
     """
     columns = list(columns)
     if first_k is not None:
-        from caseflow.functions.ordered import case_frame
         df = (case_frame(df, spec, position="__pos", hot_case_rows=hot_case_rows)
               .filter(F.col("__pos") <= F.lit(first_k)).drop("__pos"))
     ev = F.struct(*[F.col(c) for c in spec.order_by], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
@@ -65,7 +65,7 @@ def prefix_windows(seqs: DataFrame, arr: str, k: int, pad=-1) -> DataFrame:
     empty = F.array().cast(f"array<{seqs.schema[arr].dataType.simpleString()}>")
     full = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.slice(a, s, k))) \
             .otherwise(empty)
-    short = F.when(n >= 1, short).otherwise(empty)
+    short = F.when(n >= 1, short).otherwise(empty) if k > 1 else empty
     return seqs.select("*", F.posexplode(F.concat(short, full)).alias("win_idx", "window"))
 
 
@@ -98,6 +98,57 @@ def prefix_suffix(seqs: DataFrame, feat: str, tgt: str, k: int, pad=0,
                 .drop("pair"))
 
 
+# Events of a case whose windows one task builds.
+BLOCK_EVENTS = 100_000
+
+
+def event_windows(df: DataFrame, spec: LogSpec, back: dict, ahead: dict, k: int, block: int = BLOCK_EVENTS,
+                  hot_case_rows: Optional[int] = None) -> DataFrame:
+    """One row per event with its 1-based position ``pos``, the size ``n`` of its
+    case, and arrays of up to ``k`` elements: per entry ``out: column`` of ``back``
+    the last values up to and with the event, of ``ahead`` the next ones from it.
+
+    Events go to blocks of ``block`` positions of their case; the k - 1 events
+    around a block's ends go to the neighbour too, as context.  So a window
+    function sees a bounded stretch and no case becomes one row.
+    """
+    block = max(block, k)
+    fr = case_frame(df, spec, position="__pos", bounds=True, hot_case_rows=hot_case_rows)
+    own = F.floor((F.col("__pos") - 1) / block)
+    at = F.pmod(F.col("__pos") - 1, F.lit(block))
+    many = F.col("case_n") > block
+    to = F.array(own, F.when(many & (at >= block - k + 1), own + 1), F.when(many & (at < k - 1) & (own > 0), own - 1))
+    rows = fr.withColumn("__own", own).withColumn("__block", F.explode(F.array_compact(to)))
+    w = Window.partitionBy(spec.case, "__block").orderBy("__pos")
+    arrays = {}
+    for cols, frame in ((back, w.rowsBetween(1 - k, 0)), (ahead, w.rowsBetween(0, k - 1))):
+        for out, c in cols.items():
+            # structs, as a list drops nulls
+            arrays[out] = F.transform(F.collect_list(F.struct(F.col(c).alias("v"))).over(frame), lambda x: x["v"])
+    return (rows.withColumns(arrays).filter("__own = __block")
+                .select(spec.case, F.col("__pos").alias("pos"), F.col("case_n").alias("n"), *back, *ahead))
+
+
+def case_prefix_windows(df: DataFrame, spec: LogSpec, col: str, k: int, pad=-1, **options) -> DataFrame:
+    """Q6 from events: (case, win_idx, window) — every event's last min(pos, k) values
+    right-padded to k: the short prefixes, then the sliding windows."""
+    w = event_windows(df, spec, {"__w": col}, {}, k, **options)
+    return w.select(spec.case, (F.col("pos") - 1).cast("int").alias("win_idx"), pad_right("__w", k, pad).alias("window"))
+
+
+def case_prefix_suffix(df: DataFrame, spec: LogSpec, feat: str, tgt: str, k: int, pad=0,
+                       include_first: bool = False, **options) -> DataFrame:
+    """Q7 from events: (case, pair_idx, prefix, suffix), both right-padded to k; the
+    first full window of a case is skipped (quirk K6) unless ``include_first``."""
+    w = event_windows(df, spec, {"__p": feat}, {"__s": tgt}, k, **options)
+    pos = F.col("pos")
+    skip = F.lit(not include_first) & (F.col("n") >= k)
+    idx = pos - 1 - F.when(skip & (pos > k), 1).otherwise(0)
+    return w.filter(~(skip & (pos == k))).select(
+        spec.case, idx.cast("int").alias("pair_idx"), pad_right("__p", k, pad).alias("prefix"),
+        pad_right("__s", k, pad).alias("suffix"))
+
+
 def last_valid(arr, pad=0):
     """Q8: the element at the last non-pad position."""
     a = F.col(arr) if isinstance(arr, str) else arr

@@ -169,7 +169,7 @@ from caseflow.operators.features import apply_scaler, fit_scaler, time_features
 from caseflow.operators.prepare import prepare_log  # noqa: E402
 from caseflow.operators.split import prefix_split  # noqa: E402
 from caseflow.operators.stats import dataset_statistics  # noqa: E402
-from caseflow.operators.sequences import activity_sequences, prefix_windows  # noqa: E402
+from caseflow.operators.sequences import activity_sequences  # noqa: E402
 from caseflow.plans.baseline_run import baseline_run  # noqa: E402
 from caseflow.plans.nep_data import encoded_split  # noqa: E402
 
@@ -561,8 +561,7 @@ SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY e) - 1 AS
 def prefix_windows_conversations(spark, sf_dir):
     """Q6: padded short prefixes and length-4 sliding windows per case (pad '-1')."""
     df, spec = _prepared(spark, sf_dir, "conversations")
-    t = activity_sequences(df, spec)
-    w = prefix_windows(t, "acts", 4, pad="-1")
+    w = Q.case_prefix_windows(df, spec, spec.activity, 4, pad="-1")
     return w.select("case_id", "win_idx", F.array_join("window", ",").alias("window_str"))
 
 
@@ -1108,7 +1107,9 @@ SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY e) - 1 AS
 FROM ends""")
 def prefix_suffix_events_day(spark, sf_dir):
     """Q7: prefix windows of encoded activities with their target suffixes (k = 4, pad 0)."""
-    ps = Q.prefix_suffix(_train_traces(spark, sf_dir), "cur", "tgt", 4, pad=0)
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    ps = Q.case_prefix_suffix(es.train, es.spec, "cur", "tgt", 4, pad=0)
     return ps.select("case_id", "pair_idx", F.array_join("prefix", ",").alias("prefix_str"),
                      F.array_join("suffix", ",").alias("suffix_str"))
 
