@@ -52,7 +52,8 @@ def test_pack_whole_table(spark):
 @pytest.mark.parametrize("window", [1, 7, 4096])
 def test_pack_odd_texts(spark, window):
     texts = [None, "", " ", "a b c\x1cd", "́x é ΑΣ ΣΑΣ. It's don't", "x" * 3000, "ab " * 3000,
-             "<|endoftext|> <|startoftext|>", "İstanbul\t\ttab\x0b\x0c\r\n", "same", "same", "日本語テキスト 123 4567"]
+             "<|endoftext|> <|startoftext|>", "İstanbul\t\ttab\x0b\x0c\r\n", "same", "same", "日本語テキスト 123 4567",
+             "it's WE'LL x.y a.B! e\u0301tude cafe\u0301. naïve-e\u0301 foo### bar!!. 3rd a1 ΣΑΣ, ＡＢ. Ǆ ﬁn 한국어 각.", "ß ẞ, İi."]
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, n string")
     check(spark, docs, window)
 
