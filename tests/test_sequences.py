@@ -19,8 +19,8 @@ def test_event_windows_equal_array_windows(spark, options, k):
     want = rows(Q.prefix_windows(t, "activity", k, pad="-1"), ["case_id", "win_idx", "window"])
     assert rows(Q.case_prefix_windows(log, spec, "activity", k, pad="-1", **options), ["case_id", "win_idx", "window"]) == want
     for first in (False, True):
-        a = Q.prefix_suffix(t, "activity", "seq", k, pad=0, include_first=first) if k > 1 else None
+        a = Q.prefix_suffix(t, "seq", "seq", k, pad=0, include_first=first) if k > 1 else None
         if a is None:
             continue
-        b = Q.case_prefix_suffix(log, spec, "activity", "seq", k, pad=0, include_first=first, **options)
+        b = Q.case_prefix_suffix(log, spec, "seq", "seq", k, pad=0, include_first=first, **options)
         assert rows(b, ["case_id", "pair_idx", "prefix", "suffix"]) == rows(a, ["case_id", "pair_idx", "prefix", "suffix"])
