@@ -37,9 +37,10 @@ from pyspark.sql import types as T
 
 MIN_LEN = 50
 K = 24                        # three 8-byte words
-BLOCK_BYTES = 8 << 20         # texts of a block
-KEY_BUCKET_BYTES = 32 << 20   # keys of a key bucket
-SORT_BYTES = 4 << 20          # texts per suffix bucket
+BLOCK_BYTES = 6 << 20         # texts of a block
+KEY_BUCKET_BYTES = 24 << 20   # keys of a key bucket
+SORT_BYTES = 2 << 20          # texts per suffix bucket
+KEY_BITS = 48                 # of a key that travel; a clash costs a needless look, nothing else
 SLICE = 400_000               # windows that a task sorts at a time
 HOT_DOCS = 2_000
 LONG_RUN = 256                # windows of a run that travel as one piece
@@ -80,12 +81,12 @@ class Block:
         n, length = len(self.data), self.min_len
         wide = length - K + 1
         # windows that stay inside their document
-        mark = np.zeros(n + 2, "int32")
+        mark = np.zeros(n + 2, "int8")
         lo, hi = self.at[:-1], self.at[1:] - length + 1
         ok = hi > lo
-        np.add.at(mark, lo[ok], 1)
-        np.add.at(mark, hi[ok], -1)
-        valid = np.cumsum(mark[:n]) > 0
+        mark[lo[ok]] = 1
+        mark[hi[ok]] = -1
+        valid = np.cumsum(mark[:n], dtype="int8") > 0
         out = []
         for c in range(0, n, CHUNK):
             e = min(n, c + CHUNK)
@@ -118,7 +119,7 @@ class Block:
             last = good.copy()
             last[:-1] &= ~good[1:] | (h[1:] != h[:-1])
             s = np.flatnonzero(first)
-            out.append((s + c, np.flatnonzero(last) + c + 1, h[s]))
+            out.append((s + c, np.flatnonzero(last) + c + 1, _spread(h[s])))
         if not out:
             z = np.zeros(0, "int64")
             return z, z, np.zeros(0, "u8")
@@ -142,11 +143,44 @@ def _ranges(start, count):
     return np.cumsum(step)
 
 
-def _mix(h):
-    """Keys are minima, so their high bits are all alike; bucket numbers need others."""
+def _spread(h):
+    """Hashes as evenly spread keys (they are minima, so their high bits are alike)."""
     import numpy as np
+    h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
+    return h >> np.uint64(64 - KEY_BITS)
+
+
+def _bucket(key, buckets: int):
+    """Range bucket of a key."""
+    import numpy as np
+    return (key.astype("float64") * (buckets / 2.0**KEY_BITS)).astype("int64").clip(0, buckets - 1)
+
+
+def _pack(a, rising: bool = False) -> bytes:
+    """An integer array, small: byte planes (of the differences, if ``rising``), zstd."""
+    import numpy as np
+    import zstandard
+    a = np.ascontiguousarray(a)
+    if rising and len(a):
+        a = np.concatenate([a[:1], a[1:] - a[:-1]])
+    return zstandard.compress(a.view("u1").reshape(len(a), a.itemsize).T.tobytes(), 1)
+
+
+def _unpack(b: bytes, dtype: str, rising: bool = False):
+    import numpy as np
+    import zstandard
+    raw = np.frombuffer(zstandard.decompress(b), "u1")
+    size = np.dtype(dtype).itemsize
+    a = np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).reshape(-1)
+    return np.cumsum(a, dtype=dtype) if rising else a
+
+
+def _join_up(col, dtype: str, rising: bool = False):
+    """The unpacked arrays of a column in a row, and their lengths."""
+    import numpy as np
+    parts = [_unpack(x, dtype, rising) for x in col.to_pylist()]
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], "int64")
 
 
 # -- 1 and 2: keys
@@ -171,13 +205,11 @@ def _send_keys(t, *, buckets: int, min_len: int):
     firsts = np.flatnonzero(new)
     docs = np.add.reduceat(doc.astype("u4"), firsts) if len(firsts) else np.zeros(0, "u4")
     key = key[firsts]
-    to = (_mix(key) % np.uint64(buckets)).astype("int32")
-    o = np.argsort(to, kind="stable")
-    key, docs, to = key[o], docs[o], to[o]
+    to = _bucket(key, buckets)     # rising, as the keys are
     ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)) + 1 if len(to) else []
     rows, a = [], 0
     for e in ends:
-        rows.append((int(to[a]), block, key[a:e].astype("<u8").tobytes(), docs[a:e].astype("<u4").tobytes()))
+        rows.append((int(to[a]), block, _pack(key[a:e].astype("<u8"), True), _pack(docs[a:e].astype("<u4"))))
         a = e
     return _table(rows, [("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
 
@@ -188,17 +220,11 @@ def _table(rows, fields):
     return pa.table({n: pa.array(list(c), k) for c, (n, k) in zip(cols, fields)})
 
 
-def _join_up(col, dtype):
-    import numpy as np
-    parts = [np.frombuffer(x, dtype) for x in col.to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], "int64")
-
-
 def _shared_keys(t, *, hot_docs: int):
     import numpy as np
     import pyarrow as pa
 
-    key, n = _join_up(t.column("keys"), "<u8")
+    key, n = _join_up(t.column("keys"), "<u8", True)
     docs, _ = _join_up(t.column("docs"), "<u4")
     o = np.argsort(key, kind="stable")
     k, d = key[o], docs[o].astype("int64")
@@ -211,14 +237,14 @@ def _shared_keys(t, *, hot_docs: int):
         own = of[a:a + m]
         hit = own > 1
         if hit.any():
-            rows.append((block, key[a:a + m][hit].tobytes(), (own[hit] > hot_docs).astype("u1").tobytes()))
+            rows.append((block, _pack(key[a:a + m][hit], True), _pack((own[hit] > hot_docs).astype("u1"))))
         a += m
     return _table(rows, [("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
 
 
 # -- 3: windows to suffix buckets
 
-# data holds the bytes of all pieces in a row; a piece has ``many`` windows and
+# Integer columns are packed arrays. data holds the bytes of all pieces in a row, zstd; a piece has ``many`` windows and
 # ``many + min_len - 1`` bytes; place is its start in its block, least its smallest id.
 # Rows with own = true carry intervals that the block has found itself.
 _PIECES = "bucket int, block long, own boolean, data binary, many binary, place binary, least binary"
@@ -236,7 +262,7 @@ def _send_windows(t, s, *, buckets: int, min_len: int):
         return _table([], fields)
     block = t.column("block")[0].as_py()
     b = Block(t, min_len)
-    shared, _ = _join_up(s.column("keys"), "<u8")
+    shared, _ = _join_up(s.column("keys"), "<u8", True)
     hot, _ = _join_up(s.column("hot"), "u1")
     o = np.argsort(shared)
     shared, hot = shared[o], hot[o]
@@ -261,8 +287,8 @@ def _send_windows(t, s, *, buckets: int, min_len: int):
                 own.append(p)
         pos, ids = pos[firsts], ids[firsts]
         if own:
-            rows.append((int(block % buckets), block, True, b"", np.ones(len(own), "<u4").tobytes(),
-                         np.array(own, "<i8").tobytes(), b""))
+            rows.append((int(block % buckets), block, True, b"", _pack(np.ones(len(own), "<u4")),
+                         _pack(np.array(own, "<i8"), True), b""))
         to = np.fromiter((xxh3_64_intdigest(raw[p:p + min_len]) % buckets for p in pos.tolist()), "int64", len(pos))
         rows += _pieces(b, block, to, pos, np.ones(len(pos), "int64"), ids, min_len)
 
@@ -274,22 +300,23 @@ def _send_windows(t, s, *, buckets: int, min_len: int):
         of = np.repeat(np.arange(len(cuts)), cuts)
         first = start[of] + nth * LONG_RUN
         many = np.minimum(end[of] - first, LONG_RUN)
-        to = (_mix(key[of]) % np.uint64(buckets)).astype("int64")
+        to = _bucket(key[of], buckets)
         rows += _pieces(b, block, to, first, many, b.id[b.rows_of(first)], min_len)
     return _table(rows, fields)
 
 
 def _pieces(b, block, to, place, many, least, min_len):
     import numpy as np
+    import zstandard
 
     o = np.argsort(to, kind="stable")
     to, place, many, least = to[o], place[o], many[o], least[o]
     ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)) + 1 if len(to) else []
     out, a = [], 0
     for e in ends:
-        data = b.data[_ranges(place[a:e], many[a:e] + min_len - 1)].tobytes()
-        out.append((int(to[a]), block, False, data, many[a:e].astype("<u4").tobytes(),
-                    place[a:e].astype("<i8").tobytes(), least[a:e].astype("<i8").tobytes()))
+        data = zstandard.compress(b.data[_ranges(place[a:e], many[a:e] + min_len - 1)].tobytes(), 1)
+        out.append((int(to[a]), block, False, data, _pack(many[a:e].astype("<u4")),
+                    _pack(place[a:e].astype("<i8"), True), _pack(least[a:e].astype("<i8"), True)))
         a = e
     return out
 
@@ -299,18 +326,20 @@ def _pieces(b, block, to, place, many, least, min_len):
 def _sort_bucket(t, *, min_len: int, slice_windows: int):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+    import zstandard
 
     fields = [("block", pa.int64()), ("place", pa.binary()), ("many", pa.binary())]
-    own = [r for r in t.select(["block", "place", "many", "own"]).to_pylist() if r["own"]]
-    rows = [(r["block"], r["place"], r["many"]) for r in own]
-    t = t.filter(pa.compute.invert(t.column("own")))
+    own = t.filter(t.column("own")).select(["block", "place", "many"])
+    rows = [(r["block"], r["place"], r["many"]) for r in own.to_pylist()]
+    t = t.filter(pc.invert(t.column("own")))
     if t.num_rows:
         many, n = _join_up(t.column("many"), "<u4")
         many = many.astype("int64")
-        place, _ = _join_up(t.column("place"), "<i8")
-        least, _ = _join_up(t.column("least"), "<i8")
+        place, _ = _join_up(t.column("place"), "<i8", True)
+        least, _ = _join_up(t.column("least"), "<i8", True)
         block = np.repeat(np.array(t.column("block").to_pylist(), "int64"), n)
-        data = b"".join(t.column("data").to_pylist())
+        data = b"".join(map(zstandard.decompress, t.column("data").to_pylist()))
         size = many + min_len - 1
         stop = np.cumsum(size)
         # equal pieces are one, with the smallest id of them
@@ -336,11 +365,11 @@ def _sort_bucket(t, *, min_len: int, slice_windows: int):
             f = np.flatnonzero(new)
             count = np.diff(np.append(f, len(hit)))
             p, blk = start[hit[f]], block[piece[hit[f]]]
-            o = np.argsort(blk, kind="stable")
+            o = np.lexsort((p, blk))
             p, blk, count = p[o], blk[o], count[o]
             a = 0
             for e in np.flatnonzero(np.append(blk[1:] != blk[:-1], True)) + 1:
-                rows.append((int(blk[a]), p[a:e].astype("<i8").tobytes(), count[a:e].astype("<u4").tobytes()))
+                rows.append((int(blk[a]), _pack(p[a:e].astype("<i8"), True), _pack(count[a:e].astype("<u4"))))
                 a = e
     return _table(rows, fields)
 
@@ -411,12 +440,12 @@ def _cut(t, c, *, min_len: int, id_type):
     n = len(b) if b else 0
     size = np.diff(b.at) if n else np.zeros(0, "int64")
     mark = np.zeros((len(b.data) if b else 0) + 1, "int32")
-    place, _ = _join_up(c.column("place"), "<i8")
+    place, _ = _join_up(c.column("place"), "<i8", True)
     many, _ = _join_up(c.column("many"), "<u4")
     if n and len(place):
         np.add.at(mark, place, 1)
         np.add.at(mark, place + many.astype("int64") + min_len - 1, -1)
-    gone = np.cumsum(mark[:-1]) > 0
+    gone = np.cumsum(mark[:-1], dtype="int32") > 0
     touched = np.zeros(n, bool)
     if len(place):
         touched[b.rows_of(place)] = True
