@@ -9,7 +9,9 @@ from caseflow.functions.columns import combine_scalars, micros
 from caseflow.operators import baseline as B
 from caseflow.operators import evaluate as V
 from caseflow.operators import experiments as A
+from caseflow.operators.encode import case_count, clamp_unknown
 from caseflow.operators.prepare import coerce_amount, fill_resource, prepare_log
+from caseflow.operators.split import train_test_val
 from caseflow.plans.nep_data import encoded_split
 from caseflow.plans.registry import (_EXP_CTES, _GRID_BACKBONES, _GRID_LOGS, _GRID_LRS, _SCORED_SQL, ADAPTER_PARAMS, DIGITS,
                                      US_DAY, _exp, _grid_values_sql, _scored, load_log, r, register, split_ctes, table)
@@ -170,3 +172,69 @@ def baseline_run_tables_runs(spark, sf_dir):
     return t.select(F.lit("transitions").alias("kind"), F.col("current_activity").alias("activity"), "next_activity", "count") \
             .unionByName(p.select(F.lit("predictions").alias("kind"), "activity", F.col("predicted_next").alias("next_activity"),
                                   F.lit(None).cast("long").alias("count")))
+
+
+@register("run_counts_runs", "WITH " + _EXP_CTES + """
+SELECT log, backbone, count(*) AS runs FROM runs GROUP BY log, backbone""")
+def run_counts_runs(spark, sf_dir):
+    """Runs per log and backbone."""
+    return A.run_counts(_exp(spark, sf_dir)[0])
+
+
+@register("unplanned_configs_runs", "WITH " + _EXP_CTES + """
+SELECT DISTINCT log, backbone, lr FROM runs WHERE NOT (log IN ('1-URGENT', '5-LOW') AND backbone IN ('F', 'O') AND lr = 1e-3)""")
+def unplanned_configs_runs(spark, sf_dir):
+    """Observed configurations outside a small planned grid (anti join)."""
+    grid = A.experiment_grid(spark, ["1-URGENT", "5-LOW"], ["F", "O"], [1e-3])
+    return A.unplanned_configs(grid, _exp(spark, sf_dir)[0])
+
+
+@register("summary_stats_tuned_runs", "WITH " + _EXP_CTES + f"""
+SELECT log, fine_tuning, count(*) AS n, round(avg(acc), {DIGITS}) AS mean, round(stddev_samp(acc), {DIGITS}) AS std
+FROM runs WHERE acc IS NOT NULL AND fine_tuning IS NOT NULL GROUP BY log, fine_tuning""")
+def summary_stats_tuned_runs(spark, sf_dir):
+    """A10 with null keys dropped: runs without fine-tuning have no group."""
+    s = A.summary_stats(_exp(spark, sf_dir)[0], ["log", "fine_tuning"], "acc", drop_null_keys=True)
+    return s.select("log", "fine_tuning", "n", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@register("columns_equal_runs", "WITH " + _EXP_CTES + """
+SELECT 'embedding_size' AS other, bool_and(hidden_size IS NOT DISTINCT FROM embedding_size) AS equal FROM runs
+UNION ALL SELECT 'n_heads', bool_and(hidden_size IS NOT DISTINCT FROM n_heads) FROM runs""")
+def columns_equal_runs(spark, sf_dir):
+    """Whether the hidden size equals another column on every run."""
+    runs, _ = _exp(spark, sf_dir)
+    say = lambda c: A.columns_equal(runs, "hidden_size", c).select(F.lit(c).alias("other"), "equal")
+    return say("embedding_size").unionByName(say("n_heads"))
+
+
+@register("clamped_ids_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + """,
+k AS (SELECT count(*) + 3 AS size FROM vocab), c AS (SELECT count(DISTINCT case_id) AS cases FROM prep)
+SELECT split, case_id, seq, CAST(CASE WHEN id < 0 OR id >= size THEN 1 ELSE id END AS INTEGER) AS id, cases FROM (
+  SELECT 'train' AS split, case_id, seq, tgt + cur AS id FROM train UNION ALL SELECT 'test', case_id, seq, tgt + cur FROM test), k, c""")
+def clamped_ids_events_day(spark, sf_dir):
+    """E10 + E12: ids outside the vocabulary (here sums of two ids, and -1 targets) become <UNK>;
+    the number of prepared cases beside them."""
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    size, cases = es.vocab.count(), case_count(es.prepared, es.spec)
+    cols = ["case_id", "seq", clamp_unknown(F.col("tgt") + F.col("cur"), size).alias("id"), F.lit(cases).cast("long").alias("cases")]
+    return es.train.select(F.lit("train").alias("split"), *cols).unionByName(
+        es.test.select(F.lit("test").alias("split"), *cols))
+
+
+@register("train_val_classic_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + """,
+st AS (SELECT case_id, min(us) AS s FROM train GROUP BY case_id),
+k AS (SELECT CAST(floor(0.25 * count(*)) AS BIGINT) AS k FROM st),
+v AS (SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY s DESC, case_id) AS rn FROM st), k WHERE rn <= k.k)
+SELECT CASE WHEN case_id IN (SELECT case_id FROM v) THEN 'val' ELSE 'train' END AS split, case_id, seq, masked FROM train
+UNION ALL SELECT 'test', case_id, seq, masked FROM test""")
+def train_val_classic_events_day(spark, sf_dir):
+    """T10 with the classic validation split: the newest quarter of the train cases, masks kept."""
+    log, spec = load_log(spark, "events_by_user_day", sf_dir)
+    params = ADAPTER_PARAMS["events_by_user_day"]
+    df, spec = prepare_log(log, spec, params)
+    t = train_test_val(df, spec, params["test_size"], 0.25, "classic")
+    cols = ["case_id", "seq", "masked"]
+    return t["train"].select(F.lit("train").alias("split"), *cols).unionByName(
+        t["val"].select(F.lit("val").alias("split"), *cols)).unionByName(t["test"].select(F.lit("test").alias("split"), *cols))
