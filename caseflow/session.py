@@ -9,12 +9,14 @@ from pyspark.sql import SparkSession
 
 # Settings the engine depends on: UTC wall clock for all timestamp arithmetic,
 # adaptive execution (runtime coalescing, skew-join splitting, broadcast
-# conversion from measured sizes).
+# conversion from measured sizes), Arrow batches of few rows (whole documents
+# pass through them: a batch of long texts stays a few megabytes).
 _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
