@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995      # chance that a pair just at the threshold shares a bucket
 MAX_HASHES = 128
 TILE = 256
-BROADCAST_ROWS = 500_000   # rows of 60 bytes
-REMEMBERED = 500_000
+BROADCAST_ROWS = 200_000   # rows of three short columns, under 100 bytes each
+REMEMBERED = 150_000
 
 _WORDS = re.compile(r"\w+")
 
@@ -262,10 +262,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
                                                     F.col("first.sum").alias("sum")))
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"))
-    few = _small(wanted)
+    few = _small(wanted.select("node", "id", "sum"))
     texts = written(text.join(few, (text["sum"] == few["sum"]) & text["doc_id"].eqNullSafe(few["id"]))
-                    .select("node", "count", "buckets", "text"))
-    tiles = _tiles(members, tile).join(texts, "node")
+                    .select("node", "text"))
+    tiles = _tiles(members, tile).join(wanted.select("node", "count", "buckets"), "node").join(texts, "node")
     found = written(tiles.select("bucket", "a", "b", "block", "node", "count", "buckets", "text")
                     .groupBy("bucket", "a", "b").applyInArrow(_check_tile(n, threshold), _TILE_OUT))
     label = components(found.filter("node <> root"))
