@@ -4,54 +4,54 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.session import ensure_checkpoint_dir
+from caseflow.functions.storage import written  # noqa: F401  (for the operators)
+from caseflow.session import configure
 
 # Rows handed to one Python call are cut so that their texts hold about this
 # many characters; one longer text makes a call of its own.
-CHARS_PER_CALL = 8_000_000
+CHARS_PER_CALL = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet below the cluster's shared checkpoint
-    folder and read back: cuts the lineage with files every executor sees."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(batches, text_col: str, chars: int = CHARS_PER_CALL):
-    """Cut Arrow batches into slices of bounded text size (whole rows)."""
+    """Arrow batches joined or cut (whole rows) to about ``chars`` bytes of text."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
+    def joined():
+        whole = pa.Table.from_batches(held).combine_chunks()
+        return whole.to_batches()[0]
+
+    held, have = [], 0
     for b in batches:
         if not b.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False),
                          dtype="int64")
-        at = 0
+        at = done = 0
         while at < b.num_rows:
-            done = int(size[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(size, done + chars, side="right")))
-            yield b.slice(at, end - at)
-            at = end
+            end = int(np.searchsorted(size, done + chars - have, side="right"))
+            if end == at and not held:
+                end = at + 1        # one text of more than ``chars``
+            if end > at:
+                held.append(b.slice(at, end - at))
+                have += int(size[end - 1]) - done
+                done = int(size[end - 1])
+                at = end
+            if at < b.num_rows:
+                yield joined()
+                held, have = [], 0
+    if held:
+        yield joined()
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def worker_cache(name: str) -> dict:

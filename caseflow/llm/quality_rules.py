@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.common import free_name, small_batches
+from caseflow.llm.common import small_batches
 
 SAMPLE_ROWS = 1000
 
@@ -29,7 +29,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MAX_SYMBOLS_PCT = 20
 MAX_DUP_LINES_PCT = 40
-MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 20
+MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 40
+MIN_UPPER_PCT = 30   # of a text's characters that A-Z must be before capitals count against it
 SYMBOLS = "#*$%&|<>"
 
 
@@ -115,7 +116,8 @@ RULES = (
          f"word_chars < {MIN_MEAN_WORD} * n_words"),
     Rule("long_words", lambda d: d.word_chars > MAX_MEAN_WORD * d.n_words,
          f"word_chars > {MAX_MEAN_WORD} * n_words"),
-    Rule("upper_case", lambda d: d.n_upper > d.n_lower, "n_upper > n_lower"),
+    Rule("upper_case", lambda d: d.n_upper > d.n_lower and 100 * d.n_upper > MIN_UPPER_PCT * d.word_chars,
+         f"n_upper > n_lower AND 100 * n_upper > {MIN_UPPER_PCT} * word_chars"),
 )
 BASE = ("few_words", "repeated_windows")
 

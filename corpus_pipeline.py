@@ -15,31 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.llm import exact_dedup, ngram_join, packing, pii, quality_rules
 from caseflow.llm.common import table, written
+from caseflow.session import configure
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    configure(spark)
     return quality_rules.filter_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the one with the largest id."""
+    configure(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard 0.8), the one
     with the smallest id."""
+    configure(spark)
     return ngram_join.keep_one(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts replaced by its kind in brackets."""
+    configure(spark)
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences with their ids."""
+    configure(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
