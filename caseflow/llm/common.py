@@ -55,9 +55,12 @@ def small_batches(batches, text_col: str, chars: int = CHARS_PER_CALL):
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
-    m = sys.modules.setdefault("_caseflow_worker_state", types.ModuleType("_caseflow_worker_state"))
-    return m.__dict__.setdefault(name, {})
+    """A dict that lives as long as the Python worker, across its tasks, until an
+    operator asks for one of another name: one operator's memories at a time."""
+    held = sys.modules.setdefault("_caseflow_worker_state", types.ModuleType("_caseflow_worker_state")).__dict__
+    if held.get("name") != name:
+        held["name"], held["cache"] = name, {}
+    return held["cache"]
 
 
 def lower_ascii(c):

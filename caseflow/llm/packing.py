@@ -25,8 +25,8 @@ WINDOW = 4096
 END_ID = 2
 WORD_END = "</w>"
 STRING_WORDS = 200           # cores encoded in one string
-REMEMBERED = 2_000_000       # cores that a Python worker keeps (about 60 MB); forgetting costs time only
-CHARS_PER_BATCH = 12_000_000 # larger batches share more words; one longer text is a batch of its own
+REMEMBERED = 1_000_000       # cores that a Python worker keeps (about 30 MB); forgetting costs time only
+CHARS_PER_BATCH = 8_000_000  # larger batches share more words; one longer text is a batch of its own
 
 
 class WordTokenizer:
