@@ -2,13 +2,13 @@
 
 1. Host, path and the longest fitting rule are column expressions.
 2. Unigrams: words of hosts, paths and page titles of all pages are counted in
-   Spark; the ``vocabulary`` most frequent reach the driver (bounded).
+   Spark. The counts stay a table.
 3. A unigram Viterbi splits the letters of each host label and path part into
-   words.
+   words. Each distinct part is joined with the counts of its substrings.
 4. Multinomial naive Bayes over those words. A page teaches "block" if a word of
-   its segmented host is one of the seed terms, else "allow"; counts of all
-   pages are summed in Spark, those of at most ``vocabulary`` words reach the
-   driver. Add-one smoothing; words outside the model count for nothing.
+   its segmented host is one of the seed terms, else "allow"; counts and totals
+   are those of all words of all pages, a table that the words of each distinct
+   host and path are joined with. Add-one smoothing.
 5. A page without a rule is blocked if its log-odds are above zero.
 
 Defined results: null urls and urls without ``://`` have empty host and path, fit
@@ -21,12 +21,14 @@ extra columns are not read.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.common import lower_ascii
+from caseflow.functions.joins import checked_broadcast
+from caseflow.llm.common import lower_ascii, written
 
 # Fixed rules (host with path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
@@ -34,7 +36,6 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Seed terms of unwanted hosts.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gambling", "pills", "poker", "porn", "sex", "slots",
          "spam", "track", "viagra", "xxx")
-VOCABULARY = 20_000
 MAX_WORD = 24
 SEED_COUNT = 1_000   # pseudo-count of a seed term in the unigram model
 
@@ -57,11 +58,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def parts_of(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
 class Segmenter:
-    """Unigram Viterbi over the letters of a name."""
+    """Unigram Viterbi over the letters of a name. ``total`` is that of all counts if
+    ``counts`` has only some of them."""
 
-    def __init__(self, counts: dict[str, int], max_word: int = MAX_WORD):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], max_word: int = MAX_WORD, total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if n > 0}
         # a word not in the list: rarer than any that is, ten times per letter
         self.base, self.per_letter, self.max_word = math.log(total) + 1.0, math.log(10), max_word
@@ -94,17 +100,11 @@ class Segmenter:
         return got
 
     def words(self, text: str) -> list[str]:
-        import re
-        return [w for part in re.findall(r"[^\W\d_]+", text.lower()) for w in self.split(part)]
-
-
-def _top(words: DataFrame, n: int) -> list:
-    """The n most frequent (word, ...) rows; ties by word."""
-    return words.orderBy(F.desc("n"), "word").limit(n).collect()
+        return [w for part in parts_of(text) for w in self.split(part)]
 
 
-def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, seeds=SEEDS) -> dict[str, int]:
-    """Words of hosts, paths and titles with their counts over all pages."""
+def unigrams(pages: DataFrame, seeds=SEEDS) -> DataFrame:
+    """word, n: words of hosts, paths and titles with their counts over all pages; written."""
     # a host label or path part counts as a word if a title also has it or if it
     # stands between hyphens; whole concatenated names would never be split
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
@@ -112,76 +112,117 @@ def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, seeds=SEEDS) -> dic
     text = F.concat_ws(" ", title, spaced, "path")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
     counts = words.filter(F.length("word").between(1, MAX_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    out = {r["word"]: r["n"] for r in _top(counts, vocabulary)}
-    for s in seeds:
-        out[s] = out.get(s, 0) + SEED_COUNT
-    return out
-
+    more = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in seeds], "word string, n long")
+    return written(counts.unionByName(more).groupBy("word").agg(F.sum("n").alias("n")))
 
-def train(pages: DataFrame, counts: dict[str, int], vocabulary: int = VOCABULARY, seeds=SEEDS) -> dict:
-    """Log-odds of block by word, and the prior's."""
-    taught = set(seeds)
 
+def _named(schema):
+    """Adds host_name and path_name: the letter runs of host and path with blanks between."""
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
-        seg, got = Segmenter(counts), Counter()
         for b in batches:
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-                hw = seg.words(h)
-                block = not taught.isdisjoint(hw)
-                got[("", block)] += 1
-                for w in hw + seg.words(p):
-                    got[(w, block)] += 1
-            if len(got) > 100_000:
-                yield _counted(got, pa)
-                got.clear()
-        yield _counted(got, pa)
-
-    seen = (pages.select("host", "path").mapInArrow(run, "word string, block boolean, n long").groupBy("word")
-            .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("bad")))
-    prior = seen.filter("word = ''").collect()
-    rows = _top(seen.filter("word <> ''"), vocabulary)
-    bad, all_ = sum(r["bad"] for r in rows), sum(r["n"] for r in rows)
-    v = len(rows) or 1
-    odds = {r["word"]: math.log((r["bad"] + 1) / (bad + v)) - math.log((r["n"] - r["bad"] + 1) / (all_ - bad + v))
-            for r in rows}
-    n, b = (prior[0]["n"], prior[0]["bad"]) if prior else (0, 0)
-    return {"odds": odds, "prior": math.log((b + 1) / (n - b + 1))}
-
-
-def _counted(got, pa):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.bool_()),
-         pa.array(list(got.values()), pa.int64())], names=["word", "block", "n"])
-
-
-def judge_urls(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY, seeds=SEEDS,
-               id_col: str = "page_id") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, host_words."""
-    src = pages.select(F.col(id_col).alias("page_id"), "url", "html") \
-               .withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    counts = unigrams(src, vocabulary, seeds)
-    model = train(src, counts, vocabulary, seeds)
-    schema = T.StructType([src.schema["page_id"], src.schema["host"], src.schema["path"],
-                           T.StructField("said", T.StringType()), T.StructField("host_words", T.StringType())])
-
+            cols = [pa.array([" ".join(parts_of(t)) for t in b.column(c).to_pylist()], pa.string())
+                    for c in ("host", "path")]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+    return run
+
+
+def _pieces(batches):
+    """part_id with every substring of the part that may be a word; a few may come twice."""
+    import pyarrow as pa
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())],
+                                          names=["part_id", "word"])
+
+    ids, out = [], []
+    for b in batches:
+        for part, i in zip(b.column("part").to_pylist(), b.column("part_id").to_pylist()):
+            seen: set[str] = set()
+            for at in range(len(part)):
+                seen.update(part[at:end] for end in range(at + 1, min(len(part), at + MAX_WORD) + 1))
+                if len(seen) > 20_000 or at == len(part) - 1:
+                    ids += [i] * len(seen)
+                    out += seen
+                    seen.clear()
+                if len(out) > 20_000:
+                    yield batch()
+                    ids, out = [], []
+    yield batch()
+
+
+def _split(total: int):
+    """The words of each part, with blanks between, from the known words in it."""
     def run(batches):
         import pyarrow as pa
-        seg, odds, prior = Segmenter(counts), model["odds"], model["prior"]
         for b in batches:
-            said, split = [], []
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-                hw = seg.words(h)
-                score = prior + sum(odds.get(w, 0.0) for w in hw + seg.words(p))
-                said.append("block" if score > 0 else "allow")
-                split.append(" ".join(hw))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("host"), b.column("path"), pa.array(said, pa.string()),
-                 pa.array(split, pa.string())], names=schema.names)
-
-    r = rule_of(F.col("host"), F.col("path"), rules)
-    return (src.select("page_id", "host", "path").mapInArrow(run, schema).withColumn("r", r)
+            got = [" ".join(Segmenter({k["word"]: k["n"] for k in known or ()}, total=total).split(part))
+                   for part, known in zip(b.column("part").to_pylist(), b.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(got, pa.string())], names=["part", "words"])
+    return run
+
+
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """name_id, name, words (in order, with blanks between) of each name; written. Each
+    distinct part meets the counts of its own substrings, whatever their number."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    at = names.select("name_id", F.posexplode(F.split("name", " ")).alias("at", "part"))
+    parts = written(at.select("part").distinct().withColumn("part_id", F.monotonically_increasing_id()))
+    known = (parts.mapInArrow(_pieces, "part_id long, word string").join(checked_broadcast(counts), "word")
+             .groupBy("part_id").agg(F.collect_set(F.struct("word", "n")).alias("known")))
+    split = written(parts.join(known, "part_id", "left").select("part", "known")
+                    .mapInArrow(_split(total), "part string, words string"))
+    words = (at.join(checked_broadcast(split), "part").groupBy("name_id")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
+             .select("name_id", F.array_join(F.col("w.words"), " ").alias("words")))
+    return written(names.join(words, "name_id"))
+
+
+def train(pages: DataFrame, names: DataFrame, seeds=SEEDS) -> tuple[DataFrame, float]:
+    """(word, odd: log-odds of block) of every word of the pages' names, written, and the prior's."""
+    words = F.split("words", " ")
+    taught = names.filter(F.arrays_overlap(words, F.array(*map(F.lit, seeds)).cast("array<string>"))) \
+                  .select(F.col("name").alias("host_name"), F.lit(True).alias("block"))
+    pairs = pages.groupBy("host_name", "path_name").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs.join(checked_broadcast(taught), "host_name", "left")
+                    .withColumn("bad", F.when(F.col("block"), F.col("n")).otherwise(0)))
+    n, b = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    used = (pairs.select(F.col("host_name").alias("name"), "n", "bad")
+            .unionByName(pairs.select(F.col("path_name").alias("name"), "n", "bad"))
+            .groupBy("name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    seen = written(used.join(names, "name").select("n", "bad", F.explode(words).alias("word"))
+                   .groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    v, all_, bad = seen.agg(F.count(F.lit(1)), F.sum("n"), F.sum("bad")).first()
+    v, all_, bad = v or 1, all_ or 0, bad or 0
+    good = F.col("n") - F.col("bad")
+    odd = F.log((F.col("bad") + 1) / F.lit(float(bad + v))) - F.log((good + 1) / F.lit(float(all_ - bad + v)))
+    return written(seen.select("word", odd.alias("odd"))), math.log((b + 1) / (n - b + 1))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, host_words."""
+    src = pages.select(F.col(id_col).alias("page_id"), "url", "html") \
+               .withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    flat = src.select("page_id", "host", "path")
+    schema = T.StructType([*flat.schema, T.StructField("host_name", T.StringType()),
+                           T.StructField("path_name", T.StringType())])
+    named = written(flat.mapInArrow(_named(schema), schema))
+    names = (named.select(F.col("host_name").alias("name")).unionByName(named.select(F.col("path_name").alias("name")))
+             .filter("name <> ''").distinct().withColumn("name_id", F.monotonically_increasing_id()))
+    names = split_names(written(names), unigrams(src, seeds))
+    odds, prior = train(named, names, seeds)
+    # summed in the order of the words: the same sum in every run
+    score = (names.select("name_id", F.posexplode(F.split("words", " ")).alias("at", "word"))
+             .join(checked_broadcast(odds), "word").groupBy("name_id")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "odd"))).alias("o"))
+             .select("name_id", F.aggregate(F.col("o.odd"), F.lit(0.0), lambda x, y: x + y).alias("score")))
+    scored = checked_broadcast(written(names.join(score, "name_id").select("name", "words", "score")))
+    host = scored.select(F.col("name").alias("host_name"), F.col("words").alias("host_words"),
+                         F.col("score").alias("host_score"))
+    path = scored.select(F.col("name").alias("path_name"), F.col("score").alias("path_score"))
+    total = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
+    return (named.join(host, "host_name", "left").join(path, "path_name", "left")
+            .withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
             .select("page_id", "host", "path", F.col("r.rule").alias("rule"),
-                    F.coalesce("r.verdict", "said").alias("verdict"), "host_words"))
+                    F.coalesce("r.verdict", F.when(total > 0, "block").otherwise("allow")).alias("verdict"),
+                    F.coalesce("host_words", F.lit("")).alias("host_words")))

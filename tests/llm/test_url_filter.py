@@ -4,6 +4,7 @@ import itertools
 import math
 import re
 
+import pytest
 from conftest import SF01
 from pyspark.sql import functions as F
 
@@ -65,3 +66,42 @@ def test_table(spark):
     glued = pages.limit(5).withColumn("url", F.lit("http://casinobets.example.net/en/5"))
     both = pages.unionByName(glued)
     assert {r.verdict for r in U.judge_urls(both).filter("host like 'casinobets%'").collect()} == {"block"}
+
+
+def brute(rows):
+    """(verdict without rules, host words) per (url, title): every word counted, nothing cut."""
+    from collections import Counter
+    counts, pages = Counter(), []
+    for url, title in rows:
+        h, p = parse(url)
+        spaced = re.sub(r"(?:^|(?<=\.))[^.\-]+(?=\.|$)", " ", h)
+        counts.update(w for w in U.parts_of(" ".join((title, spaced, p))) if len(w) <= U.MAX_WORD)
+        pages.append((h, p))
+    counts.update({s: U.SEED_COUNT for s in U.SEEDS})
+    seg, n, bad, blocked = U.Segmenter(counts), Counter(), Counter(), 0
+    split = [(seg.words(h), seg.words(p)) for h, p in pages]
+    for hw, pw in split:
+        n.update(hw + pw)
+        if set(hw) & set(U.SEEDS):
+            blocked += 1
+            bad.update(hw + pw)
+    a, b, v = sum(n.values()), sum(bad.values()), len(n)
+    prior = math.log((blocked + 1) / (len(pages) - blocked + 1))
+    return [("block" if prior + sum(math.log((bad[w] + 1) / (b + v)) - math.log((n[w] - bad[w] + 1) / (a - b + v))
+                                    for w in hw + pw) > 0 else "allow", " ".join(hw)) for hw, pw in split]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_no_word_is_cut(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(U, "checked_broadcast", lambda df: df)
+    name = ["".join(c) for c in itertools.product("bcdfgklmnprstvz", "aeiou", "bcdfgklmnprstvz", "aeiou", "klmnr")]
+    assert len(set(name)) > 25_000
+    # rare: one page of seed terms against 25,000 words that all occur twice
+    rows = [(f"http://site{i % 7}.example.net/" + "/".join(name[i::60] * 2), "") for i in range(60)]
+    rows += [("http://pokerviagra.quzzy.net/", ""), ("http://quzzy.net/", ""), ("http://viagra.example.net/x", "free qu zzy")]
+    df = spark.createDataFrame([(i, u, f"<title>{t}</title>") for i, (u, t) in enumerate(rows)],
+                               "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.host_words) for r in U.judge_urls(df, rules=()).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows)
+    assert got[60][0] == "block"
