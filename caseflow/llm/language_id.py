@@ -8,9 +8,10 @@ rest, is fitted in the Nystroem space of some landmark texts. Its weights fold
 back onto n-grams, so a batch of texts is scored by one product of its presence
 matrix with an n-gram by language matrix.
 
-The fit uses a bounded sample: about ``PER_LANGUAGE`` labelled texts per language
-of at most ``SAMPLE_CHARS`` characters, chosen by a hash of the id, never those
-held out (crc32 of the id as text, mod 4 = 2; a null id counts as empty text).
+The fit uses a bounded sample: the ``PER_LANGUAGE`` labelled texts of each language
+with the smallest hashes of id and text, of at most ``SAMPLE_CHARS`` characters,
+repeated rows once, never those held out (crc32 of the id as text, mod 4 = 2; a
+null id counts as empty text). It does not depend on the order of the rows.
 The number of languages is that of the distinct labels. All texts are scored
 whole.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.common import small_batches, worker_cache
+from caseflow.llm.common import small_batches, worker_cache, written
 
 PER_LANGUAGE = 250
 SAMPLE_CHARS = 20_000
@@ -77,17 +78,24 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
     fit = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i"))
         & F.col("t").rlike(r"\p{L}") & (F.length("t") <= SAMPLE_CHARS))
-    share = {r["l"]: r["n"] for r in fit.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fit = fit.withColumn("h", F.xxhash64("i", "t"))
+    keys = written(fit.select("l", "h").distinct())   # repeated rows are one
+    share = {r["l"]: r["n"] for r in keys.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
         return []
-    h = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
-    limit = F.create_map(*[x for l, n in sorted(share.items())
-                           for x in (F.lit(l), F.lit(int((1 << 30) * min(1.0, per_language / n)) + 1))])
-    # the hash share holds per_language rows of a language on average; the second
-    # bound is for ids that repeat
-    rows = (fit.withColumn("h", h).filter(F.col("h") < limit[F.col("l")])
-            .limit(3 * per_language * len(share)).collect())
-    return [(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"]))]
+
+    def below(most: dict) -> Column:
+        return F.col("h") <= F.create_map(*[F.lit(x) for l in sorted(most) for x in (l, most[l])])[F.col("l")]
+
+    # a hash share of four times per_language on average holds the smallest per_language
+    some = keys.filter(below({l: int((1 << 64) * min(1.0, 4 * per_language / n)) - (1 << 63) - 1
+                              for l, n in share.items()})).collect()
+    hashes: dict = {}
+    for r in some:
+        hashes.setdefault(r["l"], []).append(r["h"])
+    last = {l: sorted(h)[:per_language][-1] for l, h in hashes.items()}
+    rows = fit.filter(below(last)).groupBy("l", "h").agg(F.min("t").alias("t")).collect() if last else []
+    return [(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"]))]
 
 
 def fit(texts: list, vocabulary: int = VOCABULARY, landmarks: int = LANDMARKS_PER_LANGUAGE,

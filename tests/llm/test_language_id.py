@@ -69,3 +69,13 @@ def test_odd_rows(spark):
     assert L.identify(docs.limit(0)).count() == 0
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.identify(none).collect()} == {"und"}
+
+
+def test_sample_is_bound_by_language_whatever_the_ids_and_order(spark):
+    rows = [(None, f"the and {i}", "en") for i in range(400)] + [(3, "hot row again", "fr")] * 400
+    rows += [(i, f"der die {i}", "de") for i in range(60)] + [(i, f"le la {i}", "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a = L.sample(docs.coalesce(1), per_language=5)
+    assert a == L.sample(docs.orderBy(F.desc("text")).repartition(3), per_language=5)
+    assert {l: sum(x == l for x, _ in a) for l, _ in a} == {"de": 5, "en": 5, "fr": 5}
+    assert len(set(a)) == 15
