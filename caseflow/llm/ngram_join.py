@@ -247,14 +247,14 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", F.col("next").alias("label"))
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id",
-         text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), n_links
-    (other documents at the threshold or above), class_size."""
+def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL,
+             id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, sum, first (id and sum of its class's smallest
+    id, then sum; null ids last), n_links, class_size."""
     bands, rows = bands_for(threshold, recall)
     marks = signed(docs, n, bands, rows, id_col, text_col)
-    nodes = written(marks.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("count"),
-                                              F.min(F.struct("doc_id", "sum")).alias("first"),
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")
+    nodes = written(marks.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min(row).alias("first"),
                                               F.max("bands").alias("bands")))
     members = _buckets(nodes.select("node", "bands"), bands)
     own = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))   # at most one per band
@@ -270,21 +270,31 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
                     .groupBy("bucket", "a", "b").applyInArrow(_check_tile(n, threshold), _TILE_OUT))
     label = components(found.filter("node <> root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = nodes.select("node", "min_id", "count").join(links, "node").join(label, "node")
-    classes = linked.groupBy("label").agg(F.min("min_id").alias("class_id"), F.sum("count").alias("class_size"))
+    linked = nodes.select("node", "first", "count").join(links, "node").join(label, "node")
+    classes = linked.groupBy("label").agg(F.min("first").alias("c_first"), F.sum("count").alias("class_size"))
     linked = linked.select("node", "links", "label").join(classes, "label").drop("label")
-    per_node = nodes.select("node", "min_id", "count").join(linked, "node", "left").select(
-        "node", F.when(F.col("links").isNull(), F.col("min_id")).otherwise(F.col("class_id")).alias("class_id"),
+    per_node = nodes.select("node", "first", "count").join(linked, "node", "left").select(
+        "node", F.coalesce("c_first", "first").alias("first"),
         (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"),
         F.coalesce("class_size", "count").alias("class_size"))
-    return marks.select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "n_links", "class_size")
+    return marks.select("doc_id", "sum", "node").join(per_node, "node").drop("node")
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), n_links
+    (other documents at the threshold or above), class_size."""
+    return _classes(docs, **options).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", "class_size")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the class id; rows without an id stay."""
-    gone = written(join(docs, id_col=id_col, text_col=text_col, **options)
-                   .filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(_small(gone), id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, with id and text of the first of their class
+    (smallest id, then smallest md5 of the text); rows without an id stay."""
+    same = F.col("sum") == F.col("first.sum")
+    gone = written(_classes(docs, id_col=id_col, text_col=text_col, **options)
+                   .filter(F.col("doc_id").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & same))
+                   .select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum")).distinct())
+    of = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(_small(gone), docs[id_col].eqNullSafe(gone["gone_id"]) & (of == gone["gone_sum"]), "left_anti")
 
 
 ORACLE = f"""

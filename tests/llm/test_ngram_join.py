@@ -80,6 +80,16 @@ def test_table(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _, _ in got})
 
 
+def test_repeated_ids_stay_by_their_own_text(spark):
+    a, b, c = ("one two three four five six", "p q r s t u v", "k l m n o")
+    rows = [(7, a), (7, b), (3, b), (5, c), (5, c.upper()), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sum", F.lit("c"))
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text.lower()) for r in kept.collect())
+    assert got == [(3, b), (5, c), (7, a)]
+
+
 def test_bands_reach_the_recall():
     for t, r in ((.8, .9995), (.5, .99), (.9, .999)):
         b, k = J.bands_for(t, r, 1024)
