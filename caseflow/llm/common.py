@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.functions.storage import written  # noqa: F401  (for the operators)
 from caseflow.session import configure
@@ -66,7 +67,14 @@ def worker_cache(name: str) -> dict:
 def lower_ascii(c):
     """A-Z lower-cased, all else untouched. ``lower`` does the same on ASCII texts
     and is faster than ``translate``."""
-    from pyspark.sql import functions as F
-
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
+
+
+def one_row(rows: DataFrame, key: Column) -> DataFrame:
+    """One of the rows of each ``key``, all columns: that with the smallest hash of its
+    columns. Combines before its shuffle."""
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind]
+    held = rows.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
+                       F.xxhash64(*hashed).alias("h"))
+    return held.groupBy("k").agg(F.min_by("row", "h").alias("row")).select("row.*")

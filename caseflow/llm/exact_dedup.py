@@ -15,8 +15,8 @@ split by (hash, text).
 
 Defined results: null text counts as empty, so null and empty are copies of
 each other; a null id counts as smaller than any other and such a row stays
-only if all ids of its group are null; rows with equal id and equal text are
-one document and get the same verdict; an empty table gives an empty result;
+only if all ids of its group are null, of which ``keep_one`` keeps one; rows with
+equal id and equal text are one document and get the same verdict; an empty table gives an empty result;
 extra columns are not read.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import lower_ascii, written
+from caseflow.llm.common import lower_ascii, one_row, written
 
 BROADCAST_GROUPS = 500_000   # 24 bytes each: 12 MB at most
 SALTS = 32
@@ -86,9 +86,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash,
              broadcast_groups: int = BROADCAST_GROUPS, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay."""
+    """The rows of ``docs``, all columns, that stay; of a group without any id one row."""
     v = _verdicts(docs, id_col, text_col, hash_of, broadcast_groups, salts)
-    return v.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    of_none = F.col("id").isNull() & F.col("keep_id").isNull() & (F.col("group_size") > 1)
+    kept = v.filter(F.col("id").eqNullSafe(F.col("keep_id")) & ~of_none).select("row.*")
+    return kept.unionByName(one_row(v.filter(of_none).select("row.*"), F.sha2(normalise(F.col(f"`{text_col}`")), 256)))
 
 
 ORACLE = f"""

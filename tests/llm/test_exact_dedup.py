@@ -47,3 +47,14 @@ def test_empty_and_no_python(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = D.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_groups": 0, "salts": 5},
+                                     {"hash_of": lambda c: F.unhex(F.substring(F.md5(c), 1, 1))}])
+def test_one_row_stays_of_a_group_without_ids(spark, options):
+    docs = spark.createDataFrame(ROWS + [(None, "ONLY"), (None, "lone")], "doc_id long, text string") \
+                .withColumn("n", F.monotonically_increasing_id())
+    kept = D.keep_one(docs, **options)
+    assert kept.columns == docs.columns
+    assert sorted(r.text.lower() for r in kept.filter("doc_id is null").collect()) == ["lone", "only"]
+    assert kept.filter("text = 'same'").count() == 2   # equal id and text: one document
