@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from caseflow.llm import (bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality_rules,
-                          suffix_dedup, url_filter)
+                          runs, source_divergence, suffix_dedup, url_filter, vector_tree)
 from caseflow.llm.common import table
 
 
@@ -52,7 +52,21 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_vectors(spark, sf_dir):
+    return vector_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_ngram_join,
-                                   op6_byte_bpe, op7_pii, op8_packing, op9_url_filter, op10_chat_format)}
+                                   op6_byte_bpe, op7_pii, op8_packing, op9_url_filter, op10_chat_format,
+                                   op11_source_divergence, op12_periodic_runs, op13_nearest_vectors)}
 ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE,
-           "op4_exact_dedup": exact_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE}
+           "op4_exact_dedup": exact_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE,
+           "op11_source_divergence": source_divergence.ORACLE, "op12_periodic_runs": runs.ORACLE}
