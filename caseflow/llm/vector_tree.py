@@ -46,8 +46,8 @@ LEAF_SAMPLE = 50
 ROUNDS = 8
 CALIBRATE = 200
 TARGET = 0.95
-CHUNK = 8_192
-BLOCK = 8_192
+CHUNK = 4_096
+BLOCK = 4_096
 SALTS = 32
 KEY = ("k1", "k2")
 
