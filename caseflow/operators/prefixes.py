@@ -1,9 +1,10 @@
 """Prefix frequencies, next-activity distributions, entropies,
 concentration (Gini, top-n share).
 
-All statistics are aggregations of the (prefix, next) pairs; ranks use the
-range-partitioned global row number and the Gini coefficient works on the
-distinct count values with their multiplicities (no per-row global rank).
+All statistics are aggregations of the counts of (prefix name, next activity); ranks
+use the range-partitioned global row number, names sort as the prefixes, and the Gini
+coefficient works on the distinct count values with their multiplicities (no per-row
+global rank).
 """
 
 from __future__ import annotations
@@ -11,77 +12,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.columns import combine_scalars, entropy_term
+from caseflow.functions.columns import combine_scalars
 from caseflow.functions.rank import global_row_number, global_running
-from caseflow.operators.sequences import activity_sequences, prefix_next_pairs
+from caseflow.functions.storage import written
+from caseflow.operators.prefix_names import PrefixCounts, count_prefixes
 from caseflow.spec import LogSpec
 
 SEP = " > "
 
 
 def pairs_of_log(df: DataFrame, spec: LogSpec, max_len=None, hot_case_rows=None) -> DataFrame:
-    """Q12 on a log: (prefix array<string>, next_activity).
-
-    With ``max_len`` only the first max_len + 1 events of a case can appear in
-    a pair, so cases are cut to that length before their activities are
-    collected (bounded arrays even for a case holding a large share of the log).
-    Without it every prefix is produced — sum of n² elements, as specified.
-    """
-    first_k = None if max_len is None else max_len + 1
-    return prefix_next_pairs(activity_sequences(df, spec, first_k, hot_case_rows), "acts", max_len)
-
-
-def prefix_next_counts(pairs: DataFrame) -> DataFrame:
-    """(prefix, next_activity, next_count)."""
-    return pairs.groupBy("prefix", "next_activity").agg(F.count(F.lit(1)).alias("next_count"))
-
-
-def next_probability(pnc: DataFrame) -> DataFrame:
-    """next_prob = next_count / count of the prefix (adds ``count``)."""
-    tot = pnc.groupBy("prefix").agg(F.sum("next_count").alias("count"))
-    return pnc.join(tot, "prefix").withColumn("next_prob", F.col("next_count") / F.col("count"))
-
-
-def prefix_entropy(probs: DataFrame) -> DataFrame:
-    """Per prefix -sum p log2 p and the number of distinct next activities."""
-    return probs.groupBy("prefix").agg(F.sum(entropy_term("next_prob")).alias("next_entropy_bits"),
-                                       F.countDistinct("next_activity").alias("next_options"))
-
-
-def prefix_counts(pairs: DataFrame) -> DataFrame:
-    """(prefix_id, count, prefix_length, prefix, prefix_str); id = rank by
-    (count desc, prefix asc), 1-based."""
-    c = pairs.groupBy("prefix").agg(F.count(F.lit(1)).alias("count"))
-    r = global_row_number(c, [F.col("count").desc(), F.col("prefix").asc()], "prefix_id")
-    return r.select("prefix_id", "count", F.size("prefix").alias("prefix_length"), "prefix",
-                    F.array_join("prefix", SEP).alias("prefix_str"))
+    """Q12: (prefix array, next activity or ``<EOS>``), a row for every position up to
+    ``max_len`` of every case.  The pairs are counted by name first; arrays are made
+    for these rows, which are asked for, and for nothing on the way."""
+    named = count_prefixes(df, spec, max_len, hot_case_rows)
+    rows = named.spelled(named.ranked().select("prefix_id", "name", "next"))
+    return (rows.select("prefix", F.inline("next"))
+            .select("prefix", "next_activity", F.explode(F.sequence(F.lit(1).cast("long"), "next_count")).alias("__n"))
+            .drop("__n"))
 
 
 def prefix_outputs(pairs: DataFrame):
-    """(prefix_stats, next_distribution).
-
-    prefix_stats: prefix_id, count, prefix_length, next_options,
-    next_entropy_bits, prefix, prefix_str.  next_distribution: prefix_id,
-    prefix, prefix_str, next_activity, next_count, next_prob.
-
-    One chain: the pairs are counted once, each prefix gathers its next
-    activities (at most the vocabulary) with the entropy as
-    log2 T - sum(n log2 n) / T, and the numbered prefixes, written once, give
-    both tables without a join.
-    """
+    """X1-X6 of a table of pairs (prefix array, next_activity) that is there already:
+    (prefix_stats, next_distribution).  A log is counted by ``count_prefixes``, whose
+    keys are bounded."""
     n = F.col("next_count")
-    per = prefix_next_counts(pairs).groupBy("prefix").agg(
+    per = pairs.groupBy("prefix", "next_activity").agg(F.count(F.lit(1)).alias("next_count")).groupBy("prefix").agg(
         F.sum(n).alias("count"), F.count(F.lit(1)).alias("next_options"),
-        F.sum(n * F.log2(n)).alias("__nl"), F.collect_list(F.struct("next_activity", "next_count")).alias("__next"))
+        F.sum(n * F.log2(n)).alias("__nl"), F.collect_list(F.struct("next_activity", "next_count")).alias("next"))
     entropy = F.greatest(F.log2("count") - F.col("__nl") / F.col("count"), F.lit(0.0))
     ranked = global_row_number(per, [F.col("count").desc(), F.col("prefix").asc()], "prefix_id") \
         .withColumn("prefix_str", F.array_join("prefix", SEP))
     stats = ranked.select("prefix_id", "count", F.size("prefix").alias("prefix_length"), "next_options",
                           entropy.alias("next_entropy_bits"), "prefix", "prefix_str")
-    nd = (ranked.select("prefix_id", "prefix", "prefix_str", "count", F.inline("__next"))
-                .select("prefix_id", "prefix", "prefix_str", "next_activity", "next_count",
-                        (F.col("next_count") / F.col("count")).alias("next_prob")))
-    return stats, nd
+    return stats, _next_rows(ranked)
+
+
+def _next_rows(rows: DataFrame) -> DataFrame:
+    return (rows.select("prefix_id", "prefix", "prefix_str", "count", F.inline("next"))
+            .select("prefix_id", "prefix", "prefix_str", "next_activity", "next_count",
+                    (F.col("next_count") / F.col("count")).alias("next_prob")))
+
+
+def with_text(named: PrefixCounts, rows: DataFrame) -> DataFrame:
+    """``rows`` (prefix_id, name, ...) with ``prefix`` and ``prefix_str``."""
+    return named.spelled(rows).withColumn("prefix_str", F.array_join("prefix", SEP)).drop("name")
+
+
+def prefix_stats(named: PrefixCounts) -> DataFrame:
+    """prefix_id (rank by count desc, prefix asc), count, prefix_length,
+    next_options, next_entropy_bits, prefix, prefix_str."""
+    return with_text(named, named.ranked().drop("next")).select(
+        "prefix_id", "count", "prefix_length", "next_options", "next_entropy_bits", "prefix", "prefix_str")
+
+
+def next_distribution(named: PrefixCounts) -> DataFrame:
+    """prefix_id, prefix, prefix_str, next_activity, next_count, next_prob."""
+    return _next_rows(with_text(named, named.ranked().select("prefix_id", "name", "count", "next")))
 
 
 def gini(counts: DataFrame, c: str = "count") -> DataFrame:
@@ -118,8 +105,9 @@ def conditional_entropy(stats: DataFrame) -> DataFrame:
 
 
 def marginal_entropy(pairs: DataFrame) -> DataFrame:
-    """Entropy of the next activity over all pairs."""
-    c = pairs.groupBy("next_activity").agg(F.count(F.lit(1)).alias("n"))
+    """Entropy of the next activity over all pairs (rows, or counted in ``next_count``)."""
+    n = F.sum("next_count") if "next_count" in pairs.columns else F.count(F.lit(1))
+    c = pairs.groupBy("next_activity").agg(n.alias("n"))
     # H = log2(T) - sum(n log2 n) / T, from two sums over the distinct next activities
     s = c.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("nl"))
     return s.select(F.when(F.coalesce(F.col("t"), F.lit(0)) == 0, F.lit(0.0))
@@ -143,7 +131,13 @@ def prefix_summary(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return combine_scalars(parts, {"prefix_instances": "long", "unique_prefixes": "long"})
 
 
-def top_k_prefixes(stats: DataFrame, k: int) -> DataFrame:
-    """First k prefixes by id; 0 = all."""
-    s = stats.orderBy("prefix_id")
-    return s if k == 0 else s.limit(k)
+def log_summary(named: PrefixCounts) -> DataFrame:
+    """X12 of a log.  No prefix is numbered or spelled out for it."""
+    return prefix_summary(named.counts, written(named.per_prefix().select("count", "next_entropy_bits")))
+
+
+def top_k_prefixes(named: PrefixCounts, k: int) -> DataFrame:
+    """prefix_id, count, prefix, prefix_str of the first k prefixes; 0 = all.
+    Only these are spelled out."""
+    ranked = named.ranked().select("prefix_id", "count", "name")
+    return with_text(named, ranked if k == 0 else ranked.filter(F.col("prefix_id") <= k))

@@ -173,14 +173,3 @@ def collate_choice(name: str) -> str:
     if name not in ("continuous", "prefix"):
         raise ValueError(f"unknown collate {name!r}")
     return name
-
-
-def prefix_next_pairs(seqs: DataFrame, arr: str = "acts", max_len: Optional[int] = None) -> DataFrame:
-    """Q12: for i = 1..min(n, max_len): (acts[:i], acts[i] or <EOS>)."""
-    a = F.col(arr)
-    n = F.size(a)
-    u = n if max_len is None else F.least(n, F.lit(max_len))
-    # one row per position first, then the slice: no row holds all prefixes of a case
-    at = seqs.filter(n > 0).select(a.alias("__a"), F.explode(F.sequence(F.lit(1), u)).alias("__i"))
-    return at.select(F.slice("__a", 1, F.col("__i")).alias("prefix"),
-                     F.coalesce(F.get("__a", F.col("__i")), F.lit(EOS)).alias("next_activity"))

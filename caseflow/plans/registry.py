@@ -163,6 +163,7 @@ SELECT metric, round(value, {DIGITS}) AS value FROM (
 
 from caseflow.functions.columns import combine_scalars, micros  # noqa: E402
 from caseflow.operators import prefixes as X  # noqa: E402
+from caseflow.operators.prefix_names import count_prefixes  # noqa: E402
 from caseflow.operators import transitions as D  # noqa: E402
 from caseflow.operators.encode import decode  # noqa: E402
 from caseflow.operators.features import apply_scaler, fit_scaler, time_features  # noqa: E402
@@ -331,16 +332,14 @@ stats AS (SELECT prefix_id, count, CAST(len(prefix) AS INTEGER) AS prefix_length
 PREFIX_LOGS = ("events_by_user_day", "conversations")
 
 
-def _prefix_frames(spark, sf_dir, adapter):
+def _named_prefixes(spark, sf_dir, adapter, max_len=None):
     df, spec = _prepared(spark, sf_dir, adapter)
-    pairs = X.pairs_of_log(df, spec).persist()
-    stats, nd = X.prefix_outputs(pairs)
-    return pairs, stats, nd
+    return count_prefixes(df, spec, max_len)
 
 
 def _prefix_stats_q(adapter):
     def q(spark, sf_dir):
-        _, stats, _ = _prefix_frames(spark, sf_dir, adapter)
+        stats = X.prefix_stats(_named_prefixes(spark, sf_dir, adapter))
         return stats.select("prefix_id", "count", "prefix_length", "next_options",
                             r("next_entropy_bits").alias("next_entropy_bits"), "prefix_str")
     q.__doc__ = f"X1-X5: prefix frequencies, ids, lengths, next options and entropy on {adapter}."
@@ -349,7 +348,7 @@ def _prefix_stats_q(adapter):
 
 def _next_dist_q(adapter):
     def q(spark, sf_dir):
-        _, _, nd = _prefix_frames(spark, sf_dir, adapter)
+        nd = X.next_distribution(_named_prefixes(spark, sf_dir, adapter))
         return nd.select("prefix_id", "prefix_str", "next_activity", "next_count", r("next_prob").alias("next_prob"))
     q.__doc__ = f"X6: next-activity distribution per prefix on {adapter}."
     return q
@@ -357,8 +356,7 @@ def _next_dist_q(adapter):
 
 def _prefix_summary_q(adapter):
     def q(spark, sf_dir):
-        pairs, stats, _ = _prefix_frames(spark, sf_dir, adapter)
-        s = X.prefix_summary(pairs, stats)
+        s = X.log_summary(_named_prefixes(spark, sf_dir, adapter))
         return s.select("prefix_instances", "unique_prefixes",
                         *[r(c).alias(c) for c in ("top5_share", "top10_share", "gini",
                                                    "cond_entropy_bits", "marginal_entropy_bits")])
@@ -1526,8 +1524,8 @@ def score_traces_conversations(spark, sf_dir):
 SELECT prefix_id, count, prefix_str FROM stats WHERE prefix_id <= 10""")
 def top_prefixes_events_day(spark, sf_dir):
     """The ten most frequent prefixes (the limit is the feature)."""
-    _, stats, _ = _prefix_frames(spark, sf_dir, "events_by_user_day")
-    return X.top_k_prefixes(stats, 10).select("prefix_id", "count", "prefix_str")
+    named = _named_prefixes(spark, sf_dir, "events_by_user_day")
+    return X.top_k_prefixes(named, 10).select("prefix_id", "count", "prefix_str")
 
 
 # ---------------------------------------------------------------------------
@@ -1546,9 +1544,8 @@ SELECT row_number() OVER (ORDER BY count DESC, prefix) AS prefix_id, count, CAST
        opts AS next_options, round(h, {DIGITS}) AS next_entropy_bits, array_to_string(prefix, ' > ') AS prefix_str
 FROM pc JOIN ent USING (prefix)""")
 def prefix_stats_maxlen5_events_by_user(spark, sf_dir):
-    """X1-X5 with max_prefix_len = 5: cases are cut to their first 6 events before collecting."""
-    df, spec = _prepared(spark, sf_dir, "events_by_user")
-    stats, _ = X.prefix_outputs(X.pairs_of_log(df, spec, max_len=5))
+    """X1-X5 with max_prefix_len = 5."""
+    stats = X.prefix_stats(_named_prefixes(spark, sf_dir, "events_by_user", max_len=5))
     return stats.select("prefix_id", "count", "prefix_length", "next_options",
                         r("next_entropy_bits").alias("next_entropy_bits"), "prefix_str")
 
