@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from typing import Iterable, Optional
 
@@ -104,7 +105,8 @@ def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], num
     """P14 -> E1 -> E2 -> E6 -> E7/E8 -> E9 over named splits (``{'train': df, ...}``).
 
     The vocabulary is fitted on ``splits['train']`` for features and targets
-    (K9) unless given (E5: test / val reuse it).  Categorical targets become
+    (K9) unless given (E5: test / val reuse it); without a train split it is inferred
+    from the first one, with a warning.  Categorical targets become
     ``next_<t>`` = id of the next event in the case within the split (<EOS>
     at its end), -1 where masked; numerical targets are copied unshifted
     (K8).  Returns ``({name: encoded df}, vocab)``.
@@ -115,7 +117,11 @@ def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], num
     categorical, numerical = list(categorical), list(numerical)
     cat_targets, num_targets = list(cat_targets), list(num_targets)
     if vocab is None:
-        vocab = fit_vocab(splits["train"], list(dict.fromkeys(categorical + cat_targets)))
+        fitted_on = "train" if "train" in splits else next(iter(splits))
+        if fitted_on != "train":
+            warnings.warn(f"the vocabulary is inferred from {fitted_on!r}; pass that of the train split to share it",
+                          stacklevel=2)
+        vocab = fit_vocab(splits[fitted_on], list(dict.fromkeys(categorical + cat_targets)))
     out = {}
     for name, df in splits.items():
         extra = [c for c in (mask, "__chunk") if c in df.columns]

@@ -17,16 +17,20 @@ from caseflow.functions.columns import argmax_index, log_softmax_at, log_sum_exp
 from caseflow.operators.baseline import per_label_f1
 
 
+def _asked(target: str, valid: Optional[str]):
+    return (F.col(valid) if valid else F.lit(True)) & (F.col(target) >= 0)
+
+
 def flatten_valid(df: DataFrame, logits: str = "logits", target: str = "target",
                   valid: Optional[str] = "valid") -> DataFrame:
-    """V1: keep positions with the mask set and a target (>= 0).  A valid target
-    beyond the classes of its logits is an error of shapes: the job fails."""
-    cond = F.col(target) >= 0
-    if valid:
-        cond = F.col(valid) & cond
-    fits = F.when(F.col(target) < F.size(logits), F.lit(True)).otherwise(F.raise_error(F.concat(
-        F.lit("target "), F.col(target).cast("string"), F.lit(" has no logit among "), F.size(logits).cast("string"))))
-    return df.filter(cond).filter(fits.cast("boolean"))
+    """V1: keep positions with the mask set and a target from 0 to the number of logits
+    less one; ``left_out`` counts those whose target has no logit."""
+    return df.filter(_asked(target, valid) & (F.col(target) < F.size(logits)))
+
+
+def left_out(df: DataFrame, logits: str = "logits", target: str = "target", valid: Optional[str] = "valid") -> DataFrame:
+    """``left_out``: positions with the mask set and a target that is no class of their logits."""
+    return df.agg(F.count_if(_asked(target, valid) & (F.col(target) >= F.size(logits))).alias("left_out"))
 
 
 def cross_entropy(logits: str = "logits", target: str = "target") -> F.Column:

@@ -1594,4 +1594,4 @@ def dataset_size_runs(spark, sf_dir):
                                 r(F.avg("duration_sec")).alias("mean_duration"), r(F.avg("acc")).alias("mean_acc"))
 
 
-from caseflow.plans import masked_queries  # noqa: E402,F401  (registers its queries)
+from caseflow.plans import masked_queries, stored_queries  # noqa: E402,F401  (they register their queries)

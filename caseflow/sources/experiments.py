@@ -2,8 +2,8 @@
 
 Stored form (one row per run): ``id, name, config, summary, metadata`` with
 JSON strings; history: ``run_id, step, metrics`` (JSON) plus an ingest order.
-Loading flattens the JSON into wide columns with a schema inferred by Spark
-over all records (a distributed pass, never on the driver).
+Loading flattens the JSON into wide columns with a schema merged from the
+(path, kind) pairs of all records (distributed passes, one a depth).
 
 The driver tables contain no training runs, so ``runs_from_orders`` and
 ``history_from_lineitem`` derive stored-form tables from ``orders`` and
@@ -12,7 +12,6 @@ The driver tables contain no training runs, so ``runs_from_orders`` and
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from typing import Iterable, Optional
 
@@ -46,20 +45,78 @@ def normalise_metrics(metrics_json) -> F.Column:
     return F.map_filter(F.from_json(metrics_json, "map<string,string>"), lambda k, v: _keep_key(k))
 
 
+_NUMBERS = {"TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE"}
+_ELEMENT = "[]"
+
+
+def json_kinds(df: DataFrame, col: str) -> dict:
+    """path -> kinds of value found there, over all records of a JSON-string column.
+    A path is a tuple of keys (with ``k`` before each) and ``[]`` for array elements.
+
+    One distributed pass a depth: the distinct (path, kind) pairs reach the driver,
+    as many as the schema has fields."""
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z_]+", 0)
+    rows = df.select(F.array().cast("array<string>").alias("path"), F.explode(
+        F.from_json(col, "map<string,variant>")).alias("k", "v"))
+    rows = rows.select(F.concat("path", F.array(F.concat(F.lit("k"), "k"))).alias("path"), "v")
+    found: dict = {}
+    while True:
+        rows = rows.withColumn("kind", kind)
+        level = rows.select("path", "kind").distinct().collect()
+        for r in level:
+            found.setdefault(tuple(r["path"]), set()).add(r["kind"])
+        if not {"OBJECT", "ARRAY"} & {r["kind"] for r in level}:
+            return found
+        inside = rows.filter(F.col("kind") == "OBJECT").select(
+            "path", F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v")).select(
+            F.concat("path", F.array(F.concat(F.lit("k"), "k"))).alias("path"), "v")
+        items = rows.filter(F.col("kind") == "ARRAY").select(
+            F.concat("path", F.array(F.lit(_ELEMENT))).alias("path"),
+            F.explode(F.col("v").cast("array<variant>")).alias("v"))
+        rows = inside.unionByName(items)
+
+
+def _type_at(kinds: dict, path: tuple) -> T.DataType:
+    """The type that holds all kinds of a path; kinds that do not mix are kept as text."""
+    own = kinds.get(path, set()) - {"VOID"}
+    if own == {"OBJECT"}:
+        fields = _fields_at(kinds, path)
+        return T.StructType(fields) if fields else T.StringType()
+    if own == {"ARRAY"}:
+        return T.ArrayType(_type_at(kinds, (*path, _ELEMENT)))
+    if own and own <= _NUMBERS:
+        return T.DoubleType() if own & {"DECIMAL", "FLOAT", "DOUBLE"} else T.LongType()
+    return T.BooleanType() if own == {"BOOLEAN"} else T.StringType()
+
+
+def _fields_at(kinds: dict, path: tuple) -> list:
+    names = sorted(p[-1][1:] for p in kinds if len(p) == len(path) + 1 and p[:-1] == path and p[-1] != _ELEMENT)
+    return [T.StructField(n, _type_at(kinds, (*path, "k" + n))) for n in names]
+
+
 def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
-    """Schema of a JSON-string column over all its records: an aggregate of their
-    schemas, nothing is read twice or leaves the JVM.  No records: no fields."""
-    text = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(col))).alias("s")).first()["s"]
-    kind = text if text and text.upper().startswith("OBJECT<") else "OBJECT<>"
-    fields = kind[len("OBJECT<"):-1]
-    if not fields:
-        return T.StructType([])
-    spark = df.sparkSession
-    ddl = "struct<" + fields + ">"
-    while "OBJECT<" in ddl:
-        ddl = ddl.replace("OBJECT<", "struct<")
-    ddl = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", ddl.replace("VOID", "STRING"))
-    return spark.range(0).select(F.lit(None).cast(ddl).alias("x")).schema["x"].dataType
+    """Schema of a JSON-string column over all its records, keys as they are, in order.
+    Whole numbers are long, other numbers double, mixed kinds and keys that are always
+    null text.  No records: no fields."""
+    return T.StructType(_fields_at(json_kinds(df, col), ()))
+
+
+def _by_position(schema: T.StructType) -> T.StructType:
+    """Fields named by number: keys that differ in case only stay apart."""
+    return T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+
+def _common(kinds: list) -> T.DataType:
+    if all(k == kinds[0] for k in kinds):
+        return kinds[0]
+    numbers = (T.LongType(), T.DoubleType())
+    return T.DoubleType() if all(k in numbers for k in kinds) else T.StringType()
+
+
+def _cast(value, kind: T.DataType, to: T.DataType):
+    if kind == to:
+        return value
+    return F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast(to)
 
 
 def flatten_runs(runs: DataFrame, schemas: Optional[dict] = None) -> DataFrame:
@@ -68,20 +125,28 @@ def flatten_runs(runs: DataFrame, schemas: Optional[dict] = None) -> DataFrame:
     Each JSON column is parsed once into a typed struct (schema inferred over
     all records when not given); the summary's fields are normalised by name
     (S7: ``_runtime`` -> ``duration_sec``; ``_``, ``gradients/``,
-    ``parameters/`` keys dropped).  ``created_at`` becomes a timestamp.
+    ``parameters/`` keys dropped).  A key that a record holds in several of them has
+    the value of the last, null included, as has one named ``id`` or ``name``.
+    ``created_at`` becomes a timestamp.
     """
     schemas = schemas or {c: infer_json_schema(runs, c) for c in ("config", "summary", "metadata")}
-    parsed = runs.select("id", "name", *[F.from_json(c, schemas[c]).alias(f"__{c}") for c in schemas])
-    cols, seen = [F.col("id"), F.col("name")], {"id", "name"}
+    parsed = runs.select("id", "name", *schemas, *[
+        F.from_json(c, schemas[c]).cast(_by_position(schemas[c])).alias(f"__{c}") for c in schemas if schemas[c].fields])
+    values = {c: [(None, F.col(c), parsed.schema[c].dataType)] for c in ("id", "name")}
     for c in schemas:
-        for f in schemas[c].fields:
+        for i, f in enumerate(schemas[c].fields):
             name = "duration_sec" if (c == "summary" and f.name == RUNTIME_KEY) else f.name
             if c == "summary" and name.startswith(DROP_PREFIXES):
                 continue
-            if name in seen:
-                continue
-            seen.add(name)
-            cols.append(F.col(f"__{c}").getField(f.name).alias(name))
+            has = F.coalesce(F.array_contains(F.json_object_keys(c), f.name), F.lit(False))
+            values.setdefault(name, []).append((has, F.col(f"__{c}")[f"c{i}"], f.dataType))
+    cols = []
+    for name, found in values.items():
+        to = _common([kind for _, _, kind in found])
+        value = _cast(found[0][1], found[0][2], to)
+        for has, later, kind in found[1:]:
+            value = F.when(has, _cast(later, kind, to)).otherwise(value)
+        cols.append(value.alias(name))
     out = parsed.select(*cols)
     if "created_at" in out.columns:
         out = out.withColumn("created_at", F.to_timestamp("created_at"))
