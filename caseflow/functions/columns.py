@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,11 +35,6 @@ def isclose(a, b, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(col(a) - col(b)) <= F.lit(atol) + F.lit(rtol) * F.abs(col(b))
 
 
-def entropy_term(p) -> Column:
-    """-p*log2(p); 0 for p = 0."""
-    return F.when(col(p) > 0, -col(p) * F.log2(col(p))).otherwise(F.lit(0.0))
-
-
 def log_sum_exp(arr) -> Column:
     """log(sum(exp(x))) of an array<double>, stabilised by the array maximum."""
     a = col(arr)
@@ -82,7 +78,6 @@ def combine_scalars(frames, types: dict | None = None):
     """Put the columns of several one-row frames side by side without a join:
     each frame is unpivoted to (name, value), the parts are unioned and
     pivoted back to one row.  ``types`` casts columns back (default double)."""
-    from functools import reduce
     types = types or {}
     longs, names = [], []
     for df in frames:
@@ -94,3 +89,54 @@ def combine_scalars(frames, types: dict | None = None):
     allp = reduce(lambda a, b: a.unionByName(b), longs)
     wide = allp.groupBy().pivot("name", names).agg(F.first("value"))
     return wide.select(*[F.col(f"`{n}`").cast(types.get(n, "double")).alias(n) for n in names])
+
+
+# Coefficients of the series of Gamma(z + 1/2) / (Gamma(z) sqrt(z)) in 1 / z.
+_HALF_STEP = (1, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304, 39325 / 33554432)
+_SHIFT = 16
+_NEAR, _FAR = 60, 40    # steps of the continued fractions for t below 2 and above
+
+
+def _half_step(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a >= 1/2, from the series at a + 16."""
+    z = a + F.lit(float(_SHIFT))
+    series = reduce(lambda acc, c: acc / z + F.lit(float(c)), reversed(_HALF_STEP), F.lit(0.0))
+    down = reduce(lambda acc, i: acc * (a + F.lit(float(i))) / (a + F.lit(i + 0.5)), range(_SHIFT), F.lit(1.0))
+    return down * F.sqrt(z) * series
+
+
+def student_two_sided(t, dof) -> Column:
+    """Two-sided p of Student's t: the regularised incomplete beta function
+    I(dof / (dof + t^2); dof / 2, 1/2) by continued fractions of a fixed number of steps.
+
+    From t = 2 on the tail itself is expanded (its even part), so no digits are lost
+    however small it is; below, its complement."""
+    t, dof = F.abs(col(t).cast("double")), col(dof).cast("double")
+    a, b = dof / 2, 0.5
+    y = t * t / (dof + t * t)
+    x = dof / (dof + t * t)
+    front = F.exp(a * F.log1p(-y)) * F.sqrt(y) * _half_step(a) / F.lit(math.sqrt(math.pi))
+
+    def backwards(steps):
+        return F.sequence(F.lit(steps), F.lit(1), F.lit(-1))
+
+    # I_x(a, b): terms alpha_n / (beta_n + ...), with lam = a - (a + b) x
+    lam = a * y - b * x
+
+    def beta(n):
+        return n + n * (b - n) * x / (a + 2 * n - 1) + (a + n) / (a + 2 * n + 1) * (lam + 1 + n * (1 + y))
+
+    def far(acc, n):
+        alpha = (a + n - 1) * (a + b + n - 1) * n * (b - n) * x * x / ((a + 2 * n - 1) * (a + 2 * n - 1))
+        return F.when(n > 1, beta(n - 1)).otherwise(a / (a + 1) * (lam + 1)) + alpha / acc
+
+    # I_y(b, a): 1 / (1 + d_1 / (1 + d_2 / ...))
+    def near(acc, k):
+        m = F.floor(k / 2)
+        even = m * (a - m) * y / ((b + 2 * m - 1) * (b + 2 * m))
+        odd = -(b + m) * (a + b + m) * y / ((b + 2 * m) * (b + 2 * m + 1))
+        return F.lit(1.0) + F.when(k % 2 == 0, even).otherwise(odd) / acc
+
+    tail = front / F.aggregate(backwards(_FAR), beta(F.lit(float(_FAR))), far)
+    inside = 2 * front / F.aggregate(backwards(_NEAR), F.lit(1.0), near)
+    return F.when(t >= 2, tail).otherwise(F.greatest(F.lit(0.0), 1 - inside))

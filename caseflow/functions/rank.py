@@ -5,12 +5,15 @@
 * ``global_running`` — 1-based position and running sums in a total order: range
   partitioning by the order, written once; partition totals (one row per
   partition) and partition-local positions both come from the written rows.
-* ``group_average_rank``, ``group_quantiles`` — per-group ranks from the global
-  row number, so no group is sorted inside one task, whatever its size.
+* ``group_value_ranks``, ``group_average_rank``, ``group_quantiles`` — per-group ranks
+  from running sums over the distinct (group, value) with their multiplicities, so
+  no group and no value is sorted inside one task, whatever its share of the rows.
 """
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,42 +126,54 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     return global_running(df, order_cols, name, partitions=partitions)
 
 
-def group_positions(df: DataFrame, group: list, col: str, name: str = "__gpos") -> DataFrame:
-    """0-based position of each row inside its group in ``col`` order (ties in any
-    order), plus ``__gn`` (group size): a global row number over (group, col)
-    minus the group's first number — no per-group window, so a group holding
-    a large share of the rows is still spread over range partitions."""
-    keys = [F.col(g) for g in group] + [F.col(col)]
-    rn = global_row_number(df, keys, "__grn")
-    first = rn.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(
-        F.min("__grn").alias("__gfirst"), F.count(F.lit(1)).alias("__gn"))
+# A value that more than this share of all rows holds is joined by broadcast: there
+# are fewer than 1 / share of them.
+HEAVY_SHARE = 1e-3
+
+
+def group_value_ranks(df: DataFrame, group: list, col: str, aggs: Optional[dict] = None) -> DataFrame:
+    """One row per distinct (group, value): ``__m`` rows hold it, ``__first`` rows of the
+    group come before it, ``__gn`` rows are in the group, and the aggregates ``aggs``.
+
+    Equal values are one row before anything is sorted, so neither a group nor a value
+    that holds a large share of the rows ends up in one range partition."""
+    values = df.groupBy(*group, col).agg(F.count(F.lit(1)).alias("__m"), *[e.alias(n) for n, e in (aggs or {}).items()])
+    run = global_running(values, [F.col(g) for g in group] + [F.col(col)], "__at", {"__to": "__m"})
+    sizes = run.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(
+        F.min(F.col("__to") - F.col("__m")).alias("__before"), F.sum("__m").alias("__gn"))
     same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
-    return (rn.join(first, same).withColumn(name, F.col("__grn") - F.col("__gfirst"))
-              .drop("__gfirst", *[f"__g_{g}" for g in group]))
+    return (run.join(sizes, same).withColumn("__first", F.col("__to") - F.col("__m") - F.col("__before"))
+            .drop("__at", "__to", "__before", *[f"__g_{g}" for g in group]))
 
 
 def group_average_rank(df: DataFrame, group: list, col: str, name: str) -> DataFrame:
     """1-based rank of ``col`` inside each group with ties averaged."""
-    p = group_positions(df, group, col, "__gpos")
-    ties = p.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(col).alias("__tv")).agg(
-        F.min("__gpos").alias("__tmin"), F.max("__gpos").alias("__tmax"))
-    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col(col).eqNullSafe(F.col("__tv"))]
-    return (p.join(ties, same)
-             .withColumn(name, (F.col("__tmin") + F.col("__tmax")) / 2.0 + 1.0)
-             .drop("__grn", "__gpos", "__gn", "__tmin", "__tmax", "__tv", *[f"__g_{g}" for g in group]))
+    keys = [*group, col]
+    ranks = written(group_value_ranks(df, group, col).select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], "__m",
+        (F.col("__first") + (F.col("__m") + 1) / 2.0).alias(name)))
+    total = ranks.agg(F.sum("__m")).first()[0] or 0
+    often = F.col("__m") > F.lit(HEAVY_SHARE * total)
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    drop = ["__m", *[f"__r_{k}" for k in keys]]
+    # at most 1 / HEAVY_SHARE values, whatever the size of the table
+    few = df.join(F.broadcast(ranks.filter(often)), same, "left")
+    rest = few.filter(F.col("__m").isNull()).drop(name, *drop)
+    return few.filter(F.col("__m").isNotNull()).drop(*drop).unionByName(
+        rest.join(ranks.filter(~often), same).drop(*drop))
 
 
 def group_quantiles(df: DataFrame, group: list, col: str, qs: list) -> DataFrame:
     """Exact quantiles with linear interpolation (h = (n-1) q) per group:
-    one row per (group, q) with ``value``.  Each group's rows around the
-    requested positions are picked by one aggregation — no group's values are
-    buffered."""
-    p = group_positions(df.filter(F.col(col).isNotNull()), group, col, "__gpos")
+    one row per (group, q) with ``value``.  The distinct values around the requested
+    positions are picked by one aggregation — no group's values are buffered."""
+    p = group_value_ranks(df.filter(F.col(col).isNotNull()), group, col)
     at = [(F.col("__gn") - 1) * F.lit(float(q)) for q in qs]
+    holds = lambda k: (F.col("__first") <= k) & (k < F.col("__first") + F.col("__m"))
     aggs = [F.max("__gn").alias("__gn")]
     for i, h in enumerate(at):
-        aggs += [F.max(F.when(F.col("__gpos") == F.floor(h), F.col(col))).alias(f"__lo{i}"),
-                 F.max(F.when(F.col("__gpos") == F.ceil(h), F.col(col))).alias(f"__hi{i}")]
+        aggs += [F.max(F.when(holds(F.floor(h)), F.col(col))).alias(f"__lo{i}"),
+                 F.max(F.when(holds(F.ceil(h)), F.col(col))).alias(f"__hi{i}")]
     g = p.groupBy(*group).agg(*aggs)
     value = [F.col(f"__lo{i}") + (h - F.floor(h)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}")) for i, h in enumerate(at)]
     return g.select(*group, F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), v.alias("value"))

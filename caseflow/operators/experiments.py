@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.columns import isclose, p_stars  # noqa: F401  (A36 re-exported)
-from caseflow.functions.rank import global_row_number, group_average_rank, group_quantiles
+from caseflow.functions.columns import isclose, p_stars, student_two_sided  # noqa: F401  (A36 re-exported)
+from caseflow.functions.rank import global_row_number, group_average_rank, group_quantiles, group_value_ranks
 
 
 # --- A1-A3: best validation step --------------------------------------------
@@ -390,23 +390,36 @@ def diff_vs_reference(df: DataFrame, family: str, metric: str, target_family: st
                                       F.pow(F.coalesce("std_r", F.lit(0.0)), 2)))
 
 
-def wilcoxon_exact_p(w: float, n: int, ranks2: Optional[Sequence[int]] = None) -> float:
+def signed_rank_tail(w2: int, ranks2: Sequence[int], times: Sequence[int]) -> float:
+    """P(W+ <= w2 / 2) over all sign assignments, of doubled ranks that occur ``times``.
+
+    The distribution is the product of one binomial factor ((1 + x^r) / 2)^t a distinct
+    rank, held as one array of the sums up to ``w2``."""
+    import numpy as np
+
+    share = np.zeros(w2 + 1)
+    share[0] = 1.0
+    for r, t in zip(ranks2, times):
+        whole, factor = share, 0.5 ** min(t, 1000)
+        share = whole * factor
+        for j in range(1, min(t, w2 // r) + 1):
+            factor *= (t - j + 1) / j
+            share[r * j:] += factor * whole[:w2 + 1 - r * j]
+        if t > 1000:
+            share *= 0.5 ** (t - 1000)
+    return float(share.sum())
+
+
+def wilcoxon_exact_p(w: float, n: int, ranks2: Optional[Sequence[int]] = None,
+                     times: Optional[Sequence[int]] = None) -> float:
     """Two-sided exact p of the signed-rank statistic W = min(W+, W-).
 
-    ``ranks2``: the doubled (integer) ranks, which handles averaged ties; by
-    default 2, 4, ..., 2n.  Counts sign assignments with rank sum <= W by a
-    subset-sum table.
-    """
+    ``ranks2``: the doubled (integer) ranks, which handles averaged ties, each
+    ``times`` (once by default); by default 2, 4, ..., 2n."""
     r2 = list(ranks2) if ranks2 is not None else [2 * i for i in range(1, n + 1)]
-    total = sum(r2)
-    counts = [0] * (total + 1)
-    counts[0] = 1
-    for r in r2:
-        for s in range(total, r - 1, -1):
-            counts[s] += counts[s - r]
-    w2 = int(round(2 * w))
-    le = sum(counts[: min(w2, total) + 1])
-    return min(1.0, 2.0 * le / float(2 ** len(r2)))
+    t = list(times) if times is not None else [1] * len(r2)
+    w2 = min(int(round(2 * w)), sum(r * k for r, k in zip(r2, t)))
+    return min(1.0, 2.0 * signed_rank_tail(w2, r2, t))
 
 
 def _norm_sf(z: float) -> float:
@@ -419,9 +432,9 @@ def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, method:
 
     Nulls dropped; ``n`` counts the pairs, ``n_nonzero`` those kept for ranking
     (|d| > ``zero_tol``); |d| ranked with ties averaged; W = min(W+, W-).  The
-    caller chooses the p-value: ``exact`` counts sign assignments by subset sums
-    over the group's rank list (its time grows with the cube of the group's
-    size), ``normal`` is the approximation with tie correction; the column
+    caller chooses the p-value: ``exact`` multiplies one factor a distinct rank of
+    the group (memory: its distinct ranks and W; time: its size times W),
+    ``normal`` is the approximation with tie correction; the column
     ``method`` says which.  Groups without pairs, or whose differences are all
     within ``all_zero_tol``, have null W and p.
     """
@@ -432,25 +445,21 @@ def wilcoxon_signed_rank(df: DataFrame, group: Sequence[str], diff: str, method:
     pairs = df.groupBy(*group).agg(F.count(diff).alias("n"), (F.max(a) > all_zero_tol).alias("__some"),
                                    F.count(F.when(a > zero_tol, 1)).alias("n_nonzero"))
     nz = df.filter(a > zero_tol).withColumn("__a", a)
-    # tie-averaged ranks of |d| per group without a per-group window; doubled to stay integral
-    ranked = (group_average_rank(nz, group, "__a", "__avg")
-              .withColumn("__r2", (2 * F.col("__avg")).cast("long")))
-    per = ranked.groupBy(*group, "__a").agg(
-        F.count(F.lit(1)).alias("__t"), F.max("__r2").alias("__r2"),
-        F.count(F.when(F.col(diff) > 0, 1)).alias("__pos"))
+    # tie-averaged ranks of the distinct |d| per group; doubled to stay integral
+    per = group_value_ranks(nz, group, "__a", {"__pos": F.count(F.when(F.col(diff) > 0, 1))}) \
+        .withColumn("__r2", (2 * F.col("__first") + F.col("__m") + 1).cast("long"))
     per = per.groupBy(*group).agg(
-        F.sum("__t").alias("__m"), (F.sum(F.col("__r2") * F.col("__pos")) / 2.0).alias("w_plus"),
-        (F.sum(F.col("__r2") * (F.col("__t") - F.col("__pos"))) / 2.0).alias("w_minus"),
-        F.sum(F.pow(F.col("__t"), 3) - F.col("__t")).alias("__ties"),
-        *([F.flatten(F.collect_list(F.array_repeat("__r2", F.col("__t").cast("int")))).alias("__ranks")]
-          if method == "exact" else []))
+        F.sum("__m").alias("__n"), (F.sum(F.col("__r2") * F.col("__pos")) / 2.0).alias("w_plus"),
+        (F.sum(F.col("__r2") * (F.col("__m") - F.col("__pos"))) / 2.0).alias("w_minus"),
+        F.sum(F.pow(F.col("__m"), 3) - F.col("__m")).alias("__ties"),
+        *([F.collect_list(F.struct("__r2", "__m")).alias("__ranks")] if method == "exact" else []))
     w = F.least("w_plus", "w_minus")
     if method == "exact":
-        p = F.pandas_udf(lambda w, m, ranks: pd.Series(
-            [wilcoxon_exact_p(x, int(k), [int(v) for v in rs]) for x, k, rs in zip(w, m, ranks)], dtype="float64"),
-            "double")(w, "__m", "__ranks")
+        p = F.pandas_udf(lambda w, ranks, times: pd.Series(
+            [wilcoxon_exact_p(x, 0, [int(v) for v in rs], [int(v) for v in ts]) for x, rs, ts in zip(w, ranks, times)],
+            dtype="float64"), "double")(w, F.col("__ranks.__r2"), F.col("__ranks.__m"))
     else:
-        m = F.col("__m")
+        m = F.col("__n")
         var = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("__ties") / 48.0
         z = F.abs(w - m * (m + 1) / 4.0) / F.sqrt(var)
         p = F.pandas_udf(lambda z: pd.Series([min(1.0, 2.0 * _norm_sf(x)) for x in z], dtype="float64"),
@@ -531,48 +540,32 @@ def params_per_dim(df: DataFrame, keys=("backbone", "log", "size"), trainable="t
     return df.groupBy(*keys).agg(F.min(F.col(trainable) / F.col(embedding)).alias("params_per_dim"))
 
 
-def t_two_sided(t, dof) -> F.Column:
-    """Two-sided p of Student's t for a whole number of degrees of freedom, as a
-    finite trigonometric sum: with theta = atan(|t| / sqrt(dof)), powers of
-    cos^2(theta) weighted by 1, 1/2, (1 3)/(2 4), ... (even) or 1, 2/3,
-    (2 4)/(3 5), ... (odd).  The sum has dof / 2 terms."""
-    odd = F.pmod(dof, F.lit(2)) == 1
-    theta = F.atan(F.abs(t) / F.sqrt(dof))
-    c2 = F.pow(F.cos(theta), 2)
-    terms = F.floor((dof - F.when(odd, 1).otherwise(0)) / 2).cast("int")
-    step = F.when(odd, F.lit(1.0)).otherwise(F.lit(0.0))
-
-    def add(acc, k):
-        nxt = acc["term"] * c2 * (2 * k - 1 + step) / (2 * k + step)
-        return F.struct((acc["sum"] + acc["term"]).alias("sum"), nxt.alias("term"))
-
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
-    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
-                        zero, add)["sum"]
-    inside = F.when(odd, (theta + F.sin(theta) * F.cos(theta) * total) * 2 / F.lit(math.pi)) \
-              .otherwise(F.sin(theta) * total)
-    return F.greatest(F.lit(0.0), 1 - inside)
-
-
 def correlation_p_value(r, n) -> F.Column:
     """p of a correlation coefficient from the t distribution (n > 2, else null)."""
     r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
     t = F.abs(r) * F.sqrt((n - 2) / (1 - r * r))
     return F.when((n <= 2) | r.isNull() | F.isnan(r), F.lit(None).cast("double")) \
-            .when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(t_two_sided(t, n - 2))
+            .when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(student_two_sided(t, n - 2))
+
+
+def _pearson(x: str, y: str) -> F.Column:
+    """Pearson's r as an aggregate; NaN where a column is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))),
+                      F.lit(float("nan")))
 
 
 def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Per group on complete rows: n, Pearson r, Spearman rho (Pearson of
     averaged ranks), and their p-values from the t distribution (n > 2).  Groups
-    with fewer than two complete rows appear with n = 0 and NaN coefficients; with
-    two rows there is Pearson alone and no p."""
+    with fewer than two complete rows appear with n = 0 and NaN coefficients, as has
+    a constant metric; with two rows there is Pearson alone and no p."""
     group = list(group)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
     # tie-averaged ranks per group (skew-safe), chained so each row carries both
     rk = group_average_rank(group_average_rank(d, group, x, "__rx"), group, y, "__ry")
     g = rk.groupBy(*[F.col(c).alias(f"__g_{c}") for c in group]).agg(
-        F.count(F.lit(1)).alias("__n"), F.corr(x, y).alias("__p"), F.corr("__rx", "__ry").alias("__s"))
+        F.count(F.lit(1)).alias("__n"), _pearson(x, y).alias("__p"), _pearson("__rx", "__ry").alias("__s"))
     same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group]
     nan = F.lit(float("nan"))
     n = F.coalesce(F.col("__n"), F.lit(0))
@@ -585,9 +578,13 @@ def metric_correlation(df: DataFrame, group: Sequence[str], x: str, y: str) -> D
 
 
 def metric_correlations(df: DataFrame, group: Sequence[str], pairs: Sequence[tuple]) -> DataFrame:
-    """A35 over several metric pairs: a ``pair`` column 'x vs y' in front."""
-    parts = [metric_correlation(df, group, x, y).select(F.lit(f"{x} vs {y}").alias("pair"), "*") for x, y in pairs]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """A35 over several metric pairs: a ``pair`` column 'x vs y' in front.  One pass: the
+    pairs are a key like the group's, so each column is sorted once for all of them."""
+    long_ = df.select(*group, F.explode(F.array(*[F.struct(
+        F.lit(f"{x} vs {y}").alias("pair"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+        for x, y in pairs])).alias("__p"))
+    long_ = long_.select("__p.pair", *group, "__p.__x", "__p.__y")
+    return metric_correlation(long_, ["pair", *group], "__x", "__y")
 
 
 def learning_curve(history: DataFrame, runs: DataFrame, metric: str, group: Optional[str] = None,
