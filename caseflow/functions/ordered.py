@@ -8,11 +8,11 @@ holds a large share of the log would stall the job.  ``case_frame`` therefore:
 1. finds *hot* cases (more than ``hot_case_rows`` events) with a partially
    aggregated ``groupBy(case)`` and writes them as a table; without any, the
    plan is the plain window;
-2. cuts each hot case into time chunks of about ``hot_case_rows`` events at
-   approximate quantiles of its timestamps, so bursts are split like any other
-   stretch (events of one timestamp stay in one chunk); ordinary cases are
-   chunk 0;
-3. runs the window per ``(case, chunk)`` — chunks follow the time order, so a
+2. numbers the events of hot cases in the order of the case by range partitions
+   and cuts a case every ``hot_case_rows`` positions, so any stretch is split,
+   events of one timestamp too, into chunks of just that size; ordinary cases
+   are chunk 0;
+3. runs the window per ``(case, chunk)`` — chunks follow the order, so a
    ``lead`` is exact except at the last row of a chunk;
 4. stitches the last row of each hot chunk to the first row of the next
    non-empty chunk through a table with one row per hot chunk.
@@ -30,21 +30,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
+from caseflow.functions.rank import global_row_number
 from caseflow.functions.storage import written
 from caseflow.spec import LogSpec
 
 # Events per case above which a case is split into chunks.  One chunk is one
 # window partition, so this is about the largest window partition a task sorts.
 DEFAULT_HOT_CASE_ROWS = 2_000_000
-# Finest grid of quantiles a case is cut at.
-MAX_CUTS = 10_000
-
 _CHUNK = "__chunk"
 _US = "__us"
 
-#: The table of hot cases (case, n, lo, hi, cuts); False: there are none; None: not known yet.
+#: The table of hot cases (case, n, lo, hi, size of a chunk); False: there are none; None: not known yet.
 Hot = Union[DataFrame, bool, None]
-HOT_COLUMNS = ["__hn", "__hlo", "__hhi", "__hcuts"]
+HOT_COLUMNS = ["__hn", "__hlo", "__hhi"]
 
 
 def case_window(spec: LogSpec, *extra_partition) -> Window:
@@ -52,18 +50,10 @@ def case_window(spec: LogSpec, *extra_partition) -> Window:
 
 
 def hot_table(df: DataFrame, spec: LogSpec, summary: DataFrame, hot_case_rows: int) -> Hot:
-    """The hot cases of ``summary`` (case, n, lo, hi) with their cuts, written; False
-    if there are none.  ``df`` holds the events the cuts are taken from."""
-    found = written(summary.filter(F.col("n") > F.lit(hot_case_rows)).select(spec.case, "n", "lo", "hi"))
-    largest = found.agg(F.max("n")).first()[0]
-    if largest is None:
-        return False
-    k = min(MAX_CUTS, -(-largest // hot_case_rows))
-    us = micros(spec.ts)
-    own = df.join(found.select(spec.case), spec.case, "left_semi")
-    cuts = own.groupBy(spec.case).agg(F.percentile_approx(us, [i / k for i in range(1, k)], max(10_000, 20 * k)).alias("cuts")) \
-        if k > 1 else own.groupBy(spec.case).agg(F.array().cast("array<bigint>").alias("cuts"))
-    return written(found.join(cuts, spec.case))
+    """The hot cases of ``summary`` (case, n, lo, hi), written; False if there are none."""
+    found = written(summary.filter(F.col("n") > F.lit(hot_case_rows)).select(
+        spec.case, "n", "lo", "hi", F.lit(hot_case_rows).cast("long").alias("size")))
+    return found if found.limit(1).count() else False
 
 
 def hot_cases(df: DataFrame, spec: LogSpec, hot_case_rows: int) -> Hot:
@@ -77,25 +67,35 @@ CHUNK = _CHUNK
 
 
 def _with_hot(df: DataFrame, spec: LogSpec, hot: DataFrame) -> DataFrame:
-    h = hot.select(spec.case, F.col("n").alias("__hn"), F.col("lo").alias("__hlo"), F.col("hi").alias("__hhi"),
-                   F.array_distinct("cuts").alias("__hcuts"))
+    h = hot.select(spec.case, F.col("n").alias("__hn"), F.col("lo").alias("__hlo"), F.col("hi").alias("__hhi"))
     return df.join(h, spec.case, "left")
 
 
-def _chunk_expr(us) -> F.Column:
-    """Number of cuts below the timestamp; 0 for ordinary cases."""
-    below = F.aggregate("__hcuts", F.lit(0).cast("long"), lambda acc, c: acc + F.when(c < us, 1).otherwise(0))
-    return F.coalesce(below, F.lit(0)).cast("long")
+def hot_chunks(own: DataFrame, spec: LogSpec, hot: DataFrame) -> DataFrame:
+    """The events ``own`` of hot cases with their chunk: the position in the case, from
+    range partitions over (case, order), divided by the size of a chunk.  What an
+    event costs does not depend on the number of chunks."""
+    at = global_row_number(own, [spec.case, *spec.order_by], "__at")
+    first = at.groupBy(spec.case).agg(F.min("__at").alias("__from")).join(hot.select(spec.case, "size"), spec.case)
+    return (at.join(first, spec.case).withColumn(_CHUNK, F.expr("(__at - __from) div size"))
+            .drop("__at", "__from", "size"))
 
 
-def with_chunks(df: DataFrame, spec: LogSpec, hot: Hot, keep_hot_columns: bool = False) -> DataFrame:
-    """Add the ``__chunk`` column (0 for ordinary cases, time chunk for hot ones).
-    ``keep_hot_columns`` keeps ``__hn, __hlo, __hhi``."""
+def _chunked(df: DataFrame, spec: LogSpec, hot: Hot) -> DataFrame:
     if hot is False:
-        out = df.withColumn(_CHUNK, F.lit(0).cast("long"))
-        return out.withColumns({c: F.lit(None).cast("long") for c in HOT_COLUMNS[:3]}) if keep_hot_columns else out
-    out = _with_hot(df, spec, hot).withColumn(_CHUNK, _chunk_expr(micros(spec.ts))).drop("__hcuts")
-    return out if keep_hot_columns else out.drop(*HOT_COLUMNS)
+        return df.withColumn(_CHUNK, F.lit(0).cast("long"))
+    cases = hot.select(spec.case)
+    rest = df.join(cases, spec.case, "left_anti").withColumn(_CHUNK, F.lit(0).cast("long"))
+    return rest.unionByName(hot_chunks(df.join(cases, spec.case, "left_semi"), spec, hot))
+
+
+def with_chunks(df: DataFrame, spec: LogSpec, hot: Hot, keep_hot_columns: bool = False) -> DataFrame:
+    """Add the ``__chunk`` column (0 for ordinary cases, chunk of positions for hot
+    ones).  ``keep_hot_columns`` adds ``__hn, __hlo, __hhi``."""
+    out = _chunked(df, spec, hot)
+    if not keep_hot_columns:
+        return out
+    return out.withColumns({c: F.lit(None).cast("long") for c in HOT_COLUMNS}) if hot is False else _with_hot(out, spec, hot)
 
 
 def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
@@ -114,12 +114,10 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
     if hot is None:
         hot = hot_cases(df, spec, T)
     some = hot is not False
-    base = df.withColumn(_US, micros(spec.ts))
+    # a chunk column from upstream stays (and the data partitioned by it)
+    base = (df if _CHUNK in df.columns else _chunked(df, spec, hot)).withColumn(_US, micros(spec.ts))
     if some:
         base = _with_hot(base, spec, hot)
-    # a chunk column from upstream stays (and the data partitioned by it)
-    if _CHUNK not in df.columns:
-        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)) if some else F.lit(0).cast("long"))
 
     w = case_window(spec, _CHUNK)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -192,12 +190,10 @@ def case_running(df: DataFrame, spec: LogSpec, aggs: dict, exclusive: bool = Fal
     if hot is None:
         hot = hot_cases(df, spec, T)
     some = hot is not False
-    base = df.withColumn(_US, micros(spec.ts))
     reuse = _CHUNK in df.columns
+    base = (df if reuse else _chunked(df, spec, hot)).withColumn(_US, micros(spec.ts))
     if some:
         base = _with_hot(base, spec, hot)
-    if not reuse:
-        base = base.withColumn(_CHUNK, _chunk_expr(F.col(_US)) if some else F.lit(0).cast("long"))
     w = case_window(spec, _CHUNK)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     out = base

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.columns import days_between_us, isclose_le, micros, US_PER_DAY
+from caseflow.functions.storage import written
 from caseflow.spec import LogSpec, UNKNOWN_RESOURCE
 
 
@@ -165,19 +166,19 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
                 keep_chunk: bool = False):
     """P1 -> P2 -> P3 -> (P4, P6, P7, P9, P10 case filters) -> P8.
 
-    Physical plan: small jobs on the partially aggregated case summary give
-    the P10 scalar and the table of hot cases (more than ``hot_case_rows``
-    events); the log is then shuffled ONCE by (case, chunk) — hot cases are
-    split into time chunks — and everything after stays on that partitioning:
-    case-level filters from window aggregates (hot cases from the hot table),
-    duplicate removal grouped by keys that include (case, chunk), and, with
-    ``keep_chunk``, the downstream case windows of the split.
+    Physical plan: one written case summary gives the P10 scalar and the table of
+    hot cases (more than ``hot_case_rows`` events); the log is then shuffled ONCE
+    by case, and everything after stays on that partitioning: case-level filters
+    from window aggregates, duplicate removal grouped by keys that include the
+    case, and, with ``keep_chunk``, the downstream case windows of the split.
+    Hot cases go their own way: judged by the hot table, freed of duplicates, and
+    cut into chunks of positions.
 
     Returns ``(filtered log, spec)``, or ``(filtered log, spec, hot cases)``
     when ``hot_case_rows`` is given.  With ``keep_chunk`` the ``__chunk``
     column stays (``case_frame`` reuses it).
     """
-    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, hot_table, with_chunks
+    from caseflow.functions.ordered import CHUNK, DEFAULT_HOT_CASE_ROWS, hot_chunks, hot_table
     params = params or {}
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     df, spec = combine_lifecycle(df, spec, lifecycle)
@@ -195,27 +196,29 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
         return c
 
     # P10 scalar over the P4-P9 survivors, and the hot cases of the log
-    summ = case_summary(df, spec)
+    summ = written(case_summary(df, spec))
     ls = None
     if max_days:
         mx = summ.agg(F.max(F.when(conds(F.col("n"), F.col("start_us"), F.col("end_us")), F.col("end_us")))).first()[0]
         ls = int(mx) - int(round(max_days * US_PER_DAY)) if mx is not None else None
     hot = hot_table(df, spec, summ.select(spec.case, "n", F.col("start_us").alias("lo"), F.col("end_us").alias("hi")), T)
 
-    part = with_chunks(df, spec, hot, keep_hot_columns=True)
+    us = micros(spec.ts)
+    started = (lambda s: s <= F.lit(ls) if ls is not None else F.lit(False)) if max_days else lambda s: F.lit(True)
     # without hot cases the chunk is the constant 0, which Catalyst folds out of
     # the window keys; partitioning by the case alone then satisfies them all
-    part = part.repartition(spec.case) if hot is False else part.repartition(spec.case, CHUNK)
-    us = micros(spec.ts)
+    rest = df if hot is False else df.join(hot.select(spec.case), spec.case, "left_anti")
+    part = rest.withColumn(CHUNK, F.lit(0).cast("long")).repartition(spec.case)
     wall = Window.partitionBy(spec.case, CHUNK)
-    n = F.coalesce(F.col("__hn"), F.count(F.lit(1)).over(wall))
-    s_ = F.coalesce(F.col("__hlo"), F.min(us).over(wall))
-    e_ = F.coalesce(F.col("__hhi"), F.max(us).over(wall))
-    keep = conds(n, s_, e_)
-    if max_days:
-        keep = keep & (s_ <= F.lit(ls)) if ls is not None else F.lit(False)
-    kept = part.withColumn("__keep", keep).filter("__keep").drop("__keep", "__hn", "__hlo", "__hhi")
+    n, s_, e_ = F.count(F.lit(1)).over(wall), F.min(us).over(wall), F.max(us).over(wall)
+    kept = part.withColumn("__keep", conds(n, s_, e_) & started(s_)).filter("__keep").drop("__keep")
     out = drop_duplicate_events(kept, spec)
+    if hot is not False:
+        # hot cases are judged by their row of the hot table; duplicates go before the
+        # chunks are cut, so that none lies in two of them
+        fine = hot.filter(conds(F.col("n"), F.col("lo"), F.col("hi")) & started(F.col("lo")))
+        own = drop_duplicate_events(df.join(fine.select(spec.case), spec.case, "left_semi"), spec)
+        out = out.unionByName(hot_chunks(own, spec, hot))
     if not keep_chunk:
         out = out.drop(CHUNK)
     spec = spec.with_(lifecycle=None)
