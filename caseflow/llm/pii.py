@@ -109,20 +109,21 @@ def joined(spans) -> str:
 
 def candidates(t: str, base) -> list[tuple[int, int, int]]:
     """(start, kind, end) of wider shapes that touch no base span."""
-    out, skip = [], 0
+    out, skip, seen = [], 0, 0
     for z in _ZONE.finditer(t):
         a = z.start()
         if a < skip:
             continue
-        s = a
-        while s > skip and (t[s - 1].isascii() and t[s - 1].isalnum() or t[s - 1] in "_+/=-"):
-            s -= 1
-        e = _TOKEN.match(t, a).end()
-        tok = t[s:e]
-        if len(tok) >= 16 and any(c.isalpha() for c in tok):
-            out.append((s, 4, e))
-            skip = e
-            continue
+        if a >= seen:       # a token is looked at once, from its first zone
+            s = a
+            while s > seen and (t[s - 1].isascii() and t[s - 1].isalnum() or t[s - 1] in "_+/=-"):
+                s -= 1
+            seen = e = _TOKEN.match(t, a).end()
+            tok = t[s:e]
+            if len(tok) >= 16 and any(c.isalpha() for c in tok):
+                out.append((s, 4, e))
+                skip = e
+                continue
         run = z.group().rstrip(" .()-")
         digits = sum(map(str.isdigit, run))
         if a and t[a - 1] == "(":

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from conftest import SF001, SF01
 from hypothesis import given, settings
@@ -49,6 +50,31 @@ def test_long_runs_are_linear():
         pii.candidates(t, base)
 
 
+def test_long_tokens_of_digits_and_signs_are_linear():
+    for c in "/_=+-":
+        for end in ("", "x"):
+            t = f"1{c}" * 150_000 + end
+            start = time.time()
+            got = pii.candidates(t, pii.base_spans(t))
+            assert time.time() - start < 5, c
+            if end and c != "-":
+                assert (0, 4, len(t)) in got
+
+
+def candidates_token_by_token(t):
+    """Every token of 16 or more letters and digits with both that a digit starts a zone in."""
+    return [(m.start(), 4, m.end()) for m in re.finditer(r"[A-Za-z0-9_+/=-]+", t)
+            if len(m.group()) >= 16 and re.search(r"[A-Za-z]", m.group()) and re.search(r"[0-9]", m.group())]
+
+
+def test_tokens_equal_a_plain_search():
+    r = random.Random(11)
+    for _ in range(2000):
+        t = "".join(r.choice("a1/_=+-  .é(") for _ in range(r.randint(0, 80)))
+        if not pii.base_spans(t):
+            assert [c for c in pii.candidates(t, []) if c[1] == 4] == candidates_token_by_token(t), t
+
+
 def test_table(spark):
     docs = table(spark, SF01, "documents")
     rows = {r.doc_id: r for r in pii.find_spans(docs).collect()}
