@@ -153,18 +153,32 @@ def confidence_by_class(df: DataFrame, logits="logits", target="target", valid="
                     F.coalesce("true_count", F.lit(0)).alias("true_count"))
 
 
-def score_traces(traces: DataFrame, model_fn: Callable, schema: str) -> DataFrame:
-    """Batch scoring of traces by a user predictor.
-
-    ``model_fn(pandas.DataFrame) -> pandas.DataFrame`` receives Arrow batches
-    of trace rows and returns rows of ``schema`` (typically
-    ``case_id, pos, logits array<double>``).  Runs as ``mapInPandas``: one
-    batch at a time per task, never a whole partition or table in memory.
+def score_traces(segments: DataFrame, case: str, step: Callable, schema: str) -> DataFrame:
+    """Scoring of traces by a user predictor, segment by segment
+    (``sequences.trace_segments``).
+
+    ``step(state, segment) -> (pandas.DataFrame, state)`` receives the rows of a case in
+    order, with the state it returned for the segment before (None at the start of a
+    case), and returns rows of ``schema`` (typically ``case_id, pos, logits
+    array<double>``).  Runs as ``mapInPandas`` over partitions that hold whole cases
+    in order: one Arrow batch and one state at a time, never a whole case.
     """
     def run(batches):
+        import pandas as pd
+
+        last, state = object(), None
         for pdf in batches:
-            yield model_fn(pdf)
-    return traces.mapInPandas(run, schema)
+            out = []
+            for row in pdf.itertuples(index=False):
+                own = getattr(row, case)
+                if own != last:
+                    last, state = own, None
+                rows, state = step(state, row)
+                out.append(rows)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return segments.repartition(case).sortWithinPartitions(case, "segment").mapInPandas(run, schema)
 
 
 def early_stop_replay(history: DataFrame, run="run_id", step="step", loss="val_loss",

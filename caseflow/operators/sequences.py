@@ -35,6 +35,41 @@ def traces(df: DataFrame, spec: LogSpec, columns: Iterable[str], first_k: Option
                                  for i, c in enumerate(columns)])
 
 
+# Events of a trace that one row holds.
+SEGMENT_EVENTS = 4096
+
+
+def trace_segments(df: DataFrame, spec: LogSpec, columns: Iterable[str], size: int = SEGMENT_EVENTS,
+                   hot_case_rows: Optional[int] = None) -> DataFrame:
+    """Q1 in segments: ``(case, segment, start, <col> array ...)``, the events of each
+    case in order, ``size`` a row; ``start`` events of the case come before.  No array
+    is longer than a segment, however long the case."""
+    columns = list(columns)
+    fr = case_frame(df, spec, position="__pos", hot_case_rows=hot_case_rows)
+    segment = F.expr(f"(__pos - 1) div {size}")
+    ev = F.struct("__pos", *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    g = fr.groupBy(spec.case, segment.alias("segment")).agg(F.sort_array(F.collect_list(ev)).alias("__ev"))
+    arrays = [F.col(f"__ev.__v{i}").alias(c) for i, c in enumerate(columns)]
+    return g.select(spec.case, "segment", (F.col("segment") * size).alias("start"), *arrays)
+
+
+def pad_segments(segments: DataFrame, case: str, arr: str, batch: str, size: int, value=0) -> DataFrame:
+    """Q3 in segments: ``(batch, case, segment, n_valid, <arr>)``, every case of a batch
+    padded to its longest: rows are added up to the last segment of the batch, and
+    arrays filled up to ``size`` or to the end of the longest case."""
+    n = segments.groupBy(batch, case).agg(F.max(F.col("start") + F.size(arr)).alias("__n"))
+    longest = n.groupBy(batch).agg(F.max("__n").alias("__T"))
+    cells = n.join(longest, batch).select(batch, case, "__T", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.expr(f"(__T - 1) div {size}"))).alias("segment"))
+    own = segments.select(batch, case, "segment", arr)
+    kind = segments.schema[arr].dataType.simpleString()
+    have = F.coalesce(F.col(arr), F.array().cast(kind))
+    width = F.least(F.lit(size), F.col("__T") - F.col("segment") * size).cast("int")
+    return cells.join(own, [batch, case, "segment"], "left").select(
+        batch, case, "segment", F.size(have).alias("n_valid"),
+        F.concat(have, F.array_repeat(F.lit(value), F.greatest(width - F.size(have), F.lit(0)))).alias(arr))
+
+
 def activity_sequences(df: DataFrame, spec: LogSpec, first_k: Optional[int] = None,
                        hot_case_rows: Optional[int] = None) -> DataFrame:
     """(case, acts array<string>), optionally only the first k events of each case."""

@@ -1490,17 +1490,17 @@ def numeric_target_losses_embeddings(spark, sf_dir):
     return combine_scalars([ce, mse, tot]).select(*[r(c).alias(c) for c in ("ce_loss", "mse", "total_loss")])
 
 
-def _frequency_model(pdf):
+def _frequency_step(seen, segment):
     """A user model for V13: logits = counts of each role id seen so far in the trace."""
     import numpy as np
     import pandas as pd
+    seen = np.zeros(4) if seen is None else seen
     rows = []
-    for case_id, acts in zip(pdf["case_id"], pdf["acts"]):
-        seen = np.zeros(4)
-        for pos, a in enumerate(acts):
-            seen[{"system": 0, "user": 1, "assistant": 2}.get(a, 3)] += 1.0
-            rows.append((case_id, pos, seen.tolist()))
-    return pd.DataFrame(rows, columns=["case_id", "pos", "logits"])
+    for i, a in enumerate(segment.activity):
+        seen = seen.copy()
+        seen[{"system": 0, "user": 1, "assistant": 2}.get(a, 3)] += 1.0
+        rows.append((segment.case_id, segment.start + i, seen.tolist()))
+    return pd.DataFrame(rows, columns=["case_id", "pos", "logits"]), seen
 
 
 @register("score_traces_conversations", "WITH " + prep_ctes("conversations") + """,
@@ -1512,11 +1512,11 @@ n AS (SELECT case_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos,
 SELECT case_id, pos, CASE WHEN a >= greatest(b, c, d) THEN 0 WHEN b >= greatest(c, d) THEN 1 WHEN c >= d THEN 2 ELSE 3 END AS pred
 FROM n""")
 def score_traces_conversations(spark, sf_dir):
-    """Batch scoring of every trace by a user-supplied pandas model (mapInPandas),
-    then argmax predictions per position."""
+    """Every trace scored in segments of three events by a user-supplied model, its
+    state handed on (mapInPandas), then argmax predictions per position."""
     df, spec = _prepared(spark, sf_dir, "conversations")
-    seqs = activity_sequences(df, spec)
-    scored = V.score_traces(seqs, _frequency_model, "case_id string, pos int, logits array<double>")
+    segments = Q.trace_segments(df, spec, [spec.activity], size=3)
+    scored = V.score_traces(segments, spec.case, _frequency_step, "case_id string, pos int, logits array<double>")
     return V.with_prediction(scored, "logits").select("case_id", "pos", "pred")
 
 

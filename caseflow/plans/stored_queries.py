@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.columns import combine_scalars
 from caseflow.operators import evaluate as V
 from caseflow.operators import prefixes as X
+from caseflow.operators import sequences as Q
 from caseflow.operators.features import time_features
 from caseflow.operators.prepare import prepare_log
 from caseflow.operators.split import prefix_split
@@ -196,3 +197,20 @@ def appended_confidence_embeddings(spark, sf_dir):
     write_table(rows.withColumn("run", F.lit("first")), path)
     append_rows(rows.withColumn("run", F.lit("second")), path)
     return spark.read.parquet(path).select("run", "cls", r("avg_confidence").alias("avg_confidence"), "predicted_count")
+
+
+# -- traces in segments (Q1, Q3)
+
+@register("trace_segments_events_by_user_day", "WITH " + prep_ctes("events_by_user_day") + """,
+seqs AS (SELECT right(case_id, 1) AS batch, case_id, list(activity ORDER BY ts, seq) AS acts FROM prep GROUP BY case_id),
+t AS (SELECT *, max(len(acts)) OVER (PARTITION BY batch) AS longest FROM seqs),
+s AS (SELECT *, unnest(range((longest - 1) // 4 + 1)) AS segment FROM t)
+SELECT batch, case_id, segment, CAST(least(greatest(len(acts) - 4 * segment, 0), 4) AS INTEGER) AS n_valid,
+  array_to_string(list_resize(list_slice(acts, 4 * segment + 1, 4 * segment + 4), least(4, longest - 4 * segment), '<PAD>'), ',') AS acts
+FROM s""")
+def trace_segments_events_by_user_day(spark, sf_dir):
+    """Q1 + Q3: traces in segments of four events, padded to the longest of their batch."""
+    df, spec = _prepared(spark, sf_dir, "events_by_user_day")
+    segments = Q.trace_segments(df, spec, [spec.activity], size=4).withColumn("batch", F.expr("right(case_id, 1)"))
+    p = Q.pad_segments(segments, spec.case, spec.activity, "batch", 4, value="<PAD>")
+    return p.select("batch", spec.case, "segment", "n_valid", F.array_join(spec.activity, ",").alias("acts"))
