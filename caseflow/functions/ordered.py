@@ -101,11 +101,12 @@ def with_chunks(df: DataFrame, spec: LogSpec, hot: Hot, keep_hot_columns: bool =
 def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                prefix: str = "next_", bounds: bool = False, last_flag: Optional[str] = None,
                hot_case_rows: Optional[int] = None, hot: Hot = None,
-               position: Optional[str] = None) -> DataFrame:
+               position: Optional[str] = None, upto_us: Optional[int] = None) -> DataFrame:
     """Add ``prefix+c`` = value of ``c`` at the next event of the same case (null at the end).
 
     Optional extra columns:
     * ``bounds``: ``case_start_us``, ``case_end_us``, ``case_n`` over the whole case;
+    * ``upto_us``: ``case_upto_us``, the last event time of the case up to this one;
     * ``last_flag``: boolean, True on the last event of the case;
     * ``position``: name of a column with the 1-based position of the event in its case.
     """
@@ -130,6 +131,9 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
         out = (out.withColumn("case_start_us", F.min(_US).over(wall))
                   .withColumn("case_end_us", F.max(_US).over(wall))
                   .withColumn("case_n", F.count(F.lit(1)).over(wall)))
+    early = F.when(F.col(_US) <= F.lit(upto_us), F.col(_US)) if upto_us is not None else F.lit(None).cast("long")
+    if upto_us is not None:
+        out = out.withColumn("case_upto_us", F.max(early).over(wall))
 
     if some:
         # per hot chunk: its first row, size and time range; per hot case the
@@ -138,7 +142,8 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
         chunks = hot_rows.groupBy(spec.case, _CHUNK).agg(
             F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(True).alias("_")]),
                      F.struct(*[F.col(c) for c in spec.order_by])).alias("__first"),
-            F.count(F.lit(1)).alias("__cn"), F.min(_US).alias("__clo"), F.max(_US).alias("__chi"))
+            F.count(F.lit(1)).alias("__cn"), F.min(_US).alias("__clo"), F.max(_US).alias("__chi"),
+            F.max(early).alias("__cup"))
         wc = Window.partitionBy(spec.case).orderBy(_CHUNK)
         wall_c = Window.partitionBy(spec.case)
         stitch = chunks.select(spec.case, _CHUNK,
@@ -147,7 +152,8 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
                                F.coalesce(F.sum("__cn").over(wc.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)).alias("__prev_n"),
                                F.min("__clo").over(wall_c).alias("__case_lo"),
-                               F.max("__chi").over(wall_c).alias("__case_hi"))
+                               F.max("__chi").over(wall_c).alias("__case_hi"),
+                               F.max("__cup").over(wall_c).alias("__case_up"))
         out = out.join(stitch, [spec.case, _CHUNK], "left")
         at_end = F.col("__in_chunk_next").isNull()
         for c in next_cols:
@@ -160,7 +166,9 @@ def case_frame(df: DataFrame, spec: LogSpec, next_cols: Iterable[str] = (),
             out = (out.withColumn("case_start_us", F.coalesce(F.col("__case_lo"), F.col("case_start_us")))
                       .withColumn("case_end_us", F.coalesce(F.col("__case_hi"), F.col("case_end_us")))
                       .withColumn("case_n", F.coalesce(F.col("__case_n"), F.col("case_n"))))
-        drop = ["__next_first", "__case_n", "__prev_n", "__case_lo", "__case_hi", *HOT_COLUMNS]
+        if upto_us is not None:
+            out = out.withColumn("case_upto_us", F.coalesce(F.col("__case_up"), F.col("case_upto_us")))
+        drop = ["__next_first", "__case_n", "__prev_n", "__case_lo", "__case_hi", "__case_up", *HOT_COLUMNS]
     else:
         is_last = F.col("__in_chunk_next").isNull()
         drop = []

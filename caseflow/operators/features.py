@@ -46,6 +46,24 @@ def time_features(df: DataFrame, spec: LogSpec, remaining: bool = True,
     return out.drop("case_start_us", "case_end_us", "case_n")
 
 
+def split_time_features(df: DataFrame, spec: LogSpec, sep_us: int, hot_case_rows: Optional[int] = None,
+                        hot=None) -> DataFrame:
+    """F1-F6 of the train and test part of a prefix split at ``sep_us``: the events of
+    both with a column ``split`` in front (an event of a case that straddles the
+    separation is in both).  One pass: the bounds of a case in each part are window
+    aggregates of the same frame, and the parts are unfolded after it."""
+    fr = case_frame(df, spec, bounds=True, upto_us=sep_us, hot_case_rows=hot_case_rows, hot=hot)
+    us, sep = micros(spec.ts), F.lit(sep_us)
+    part = lambda name, inside, end: F.when(inside, F.struct(F.lit(name).alias("split"), F.col(end).alias("end")))
+    parts = F.array_compact(F.array(part("train", us <= sep, "case_upto_us"),
+                                    part("test", F.col("case_end_us") > sep, "case_end_us")))
+    out = fr.withColumn("__part", F.explode(parts))
+    out = out.withColumns({"accumulated_time": (us - F.col("case_start_us")) / F.lit(US_PER_DAY),
+                           "remaining_time": (F.col("__part.end") - us) / F.lit(US_PER_DAY), **calendar_features(spec.ts)})
+    return out.select("__part.split", *[c for c in out.columns if c not in (
+        "__part", "case_start_us", "case_end_us", "case_n", "case_upto_us")])
+
+
 def fit_scaler(train: DataFrame, columns: Iterable[str]) -> DataFrame:
     """one row with mean and population std of every column (masked rows included)."""
     aggs = []

@@ -163,7 +163,7 @@ def validate_columns(df: DataFrame, spec: LogSpec, features=(), targets=(), extr
 
 def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
                 lifecycle: bool = False, hot_case_rows: Optional[int] = None,
-                keep_chunk: bool = False):
+                keep_chunk: bool = False, summary: Optional[DataFrame] = None):
     """P1 -> P2 -> P3 -> (P4, P6, P7, P9, P10 case filters) -> P8.
 
     Physical plan: one written case summary gives the P10 scalar and the table of
@@ -174,6 +174,8 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     Hot cases go their own way: judged by the hot table, freed of duplicates, and
     cut into chunks of positions.
 
+    ``summary``: the written ``case_summary`` of the log, where it is there already.
+
     Returns ``(filtered log, spec)``, or ``(filtered log, spec, hot cases)``
     when ``hot_case_rows`` is given.  With ``keep_chunk`` the ``__chunk``
     column stays (``case_frame`` reuses it).
@@ -196,7 +198,7 @@ def prepare_log(df: DataFrame, spec: LogSpec, params: Optional[dict] = None,
         return c
 
     # P10 scalar over the P4-P9 survivors, and the hot cases of the log
-    summ = written(case_summary(df, spec))
+    summ = written(case_summary(df, spec)) if summary is None else summary
     ls = None
     if max_days:
         mx = summ.agg(F.max(F.when(conds(F.col("n"), F.col("start_us"), F.col("end_us")), F.col("end_us")))).first()[0]

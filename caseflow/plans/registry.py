@@ -166,10 +166,12 @@ from caseflow.operators import prefixes as X  # noqa: E402
 from caseflow.operators.prefix_names import count_prefixes  # noqa: E402
 from caseflow.operators import transitions as D  # noqa: E402
 from caseflow.operators.encode import decode  # noqa: E402
-from caseflow.operators.features import apply_scaler, fit_scaler, time_features  # noqa: E402
+from caseflow.operators.features import apply_scaler, fit_scaler, split_time_features  # noqa: E402
 from caseflow.operators.prepare import prepare_log  # noqa: E402
-from caseflow.operators.split import prefix_split  # noqa: E402
-from caseflow.operators.stats import dataset_statistics  # noqa: E402
+from caseflow.operators.split import prefix_split, separation_time_us  # noqa: E402
+from caseflow.functions.storage import written  # noqa: E402
+from caseflow.operators.prepare import case_summary, select_log_columns, to_utc  # noqa: E402
+from caseflow.operators.stats import protocol_statistics, timeline  # noqa: E402
 from caseflow.operators.sequences import activity_sequences  # noqa: E402
 from caseflow.plans.baseline_run import baseline_run  # noqa: E402
 from caseflow.plans.nep_data import encoded_split  # noqa: E402
@@ -269,22 +271,18 @@ _TF_SQL = "WITH " + split_ctes("events_by_user_day") + "\n" + _tf_sql(
     "SELECT 'test', case_id, seq, ts, us FROM test")
 
 
-def _split_frames(spark, sf_dir, adapter):
-    df, spec = _prepared(spark, sf_dir, adapter)
-    sp = prefix_split(df, spec, ADAPTER_PARAMS[adapter].get("test_size", 0.2))
-    return sp, spec
-
-
 @register("time_features_events_by_user_day", _TF_SQL)
 def time_features_events_day(spark, sf_dir):
     """Time features of the train and test splits (case-relative within each split)."""
-    sp, spec = _split_frames(spark, sf_dir, "events_by_user_day")
-    out = None
-    for name, part in (("train", sp.train), ("test", sp.test)):
-        t = time_features(part, spec).select(F.lit(name).alias("split"), "case_id", "seq", *_TF_COLS)
-        out = t if out is None else out.unionByName(t)
-    return out.withColumn("accumulated_time", r("accumulated_time")) \
-              .withColumn("remaining_time", r("remaining_time"))
+    t = _split_features(spark, sf_dir, "events_by_user_day").select("split", "case_id", "seq", *_TF_COLS)
+    return t.withColumn("accumulated_time", r("accumulated_time")) \
+            .withColumn("remaining_time", r("remaining_time"))
+
+
+def _split_features(spark, sf_dir, adapter):
+    df, spec = _prepared(spark, sf_dir, adapter)
+    sep_us = separation_time_us(df, spec, ADAPTER_PARAMS[adapter].get("test_size", 0.2))
+    return split_time_features(df, spec, sep_us)
 
 
 _SCALE = ["accumulated_time", "remaining_time", "hour_of_day", "secs_within_day", "amount"]
@@ -300,11 +298,8 @@ SELECT split, case_id, seq, {', '.join(f"round(({c} - m_{c}) / CASE WHEN s_{c} =
 FROM tf, par""")
 def scaled_features_events_day(spark, sf_dir):
     """F7 + F8: standard scaling fitted on train (population std), applied to both splits."""
-    sp, spec = _split_frames(spark, sf_dir, "events_by_user_day")
-    tr = time_features(sp.train, spec).withColumn("split", F.lit("train"))
-    te = time_features(sp.test, spec).withColumn("split", F.lit("test"))
-    params = fit_scaler(tr, _SCALE)
-    both = tr.select("split", "case_id", "seq", *_SCALE).unionByName(te.select("split", "case_id", "seq", *_SCALE))
+    both = _split_features(spark, sf_dir, "events_by_user_day").select("split", "case_id", "seq", *_SCALE)
+    params = fit_scaler(both.filter("split = 'train'"), _SCALE)
     out = apply_scaler(both, params, _SCALE)
     return out.select("split", "case_id", "seq", *[F.round(c, 6).alias(c) for c in _SCALE])
 
@@ -486,15 +481,15 @@ SELECT split, count(*) AS cases, CASE WHEN split = 'train_test_intersect' THEN N
 FROM pc GROUP BY split""")
 def dataset_statistics_events_day(spark, sf_dir):
     """T11 + T12: cases, events, first/last day and max duration per part of the split protocol."""
-    from caseflow.operators.prepare import select_log_columns, to_utc
-    log, spec = load_log(spark, "events_by_user_day", sf_dir)
-    params = ADAPTER_PARAMS["events_by_user_day"]
-    filtered, spec2 = prepare_log(log, spec, params)
-    base = to_utc(select_log_columns(log, spec), spec)
-    big = base.groupBy(spec.case).count().filter(F.col("count") >= 3)
-    orig = base.join(big.select(spec.case), spec.case, "left_semi")
-    sp = prefix_split(filtered, spec2, params["test_size"])
-    return dataset_statistics(spec2, orig, filtered, sp.train, sp.test, sp.trunc, sp.sep_us)
+    return _protocol_statistics(spark, sf_dir, "events_by_user_day")
+
+
+def _protocol_statistics(spark, sf_dir, adapter, val_size=0.0):
+    log, spec = load_log(spark, adapter, sf_dir)
+    params = ADAPTER_PARAMS[adapter]
+    summary = written(case_summary(to_utc(select_log_columns(log, spec), spec), spec))
+    filtered, spec2 = prepare_log(log, spec, params, summary=summary)
+    return protocol_statistics(spec2, summary, timeline(filtered, spec2), params.get("test_size", 0.2), val_size)
 
 
 @register("dataset_statistics_val_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + f""",
@@ -520,17 +515,7 @@ SELECT split, count(*) AS cases, CASE WHEN split LIKE '%intersect' THEN NULL ELS
 FROM pc GROUP BY split""")
 def dataset_statistics_val_events_day(spark, sf_dir):
     """T10 + T12 with a prefix validation split of a quarter of the train part."""
-    from caseflow.operators.prepare import select_log_columns, to_utc
-    from caseflow.operators.split import train_test_val
-    log, spec = load_log(spark, "events_by_user_day", sf_dir)
-    params = ADAPTER_PARAMS["events_by_user_day"]
-    filtered, spec2 = prepare_log(log, spec, params)
-    base = to_utc(select_log_columns(log, spec), spec)
-    big = base.groupBy(spec.case).count().filter(F.col("count") >= 3)
-    orig = base.join(big.select(spec.case), spec.case, "left_semi")
-    t = train_test_val(filtered, spec2, params["test_size"], 0.25)
-    return dataset_statistics(spec2, orig, filtered, t["train"], t["test"], t["tt_trunc"], t["tt_sep_us"],
-                              t["val"], t["tv_trunc"], t["tv_sep_us"])
+    return _protocol_statistics(spark, sf_dir, "events_by_user_day", 0.25)
 
 
 # ---------------------------------------------------------------------------
@@ -1378,7 +1363,7 @@ def vocab_sizes_lineitems(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from caseflow.operators.split import case_split, train_test_val  # noqa: E402
-from caseflow.operators.stats import dataset_overview, split_statistics  # noqa: E402
+from caseflow.operators.stats import dataset_overview  # noqa: E402
 
 
 @register("train_val_test_events_by_user", "WITH " + prep_ctes("events_by_user") + """,
@@ -1434,8 +1419,7 @@ SELECT *, train_cases + test_cases AS total_cases, train_events + test_events AS
        round((train_events + test_events) / (train_cases + test_cases), 1) AS avg_events_per_case FROM c""")
 def dataset_overview_events_by_user_day(spark, sf_dir):
     """Train / test cases and events, totals, mean events per case (1 decimal)."""
-    sp, spec = _split_frames(spark, sf_dir, "events_by_user_day")
-    st = split_statistics(sp.train, spec, "train", "masked").unionByName(split_statistics(sp.test, spec, "test", "masked"))
+    st = _protocol_statistics(spark, sf_dir, "events_by_user_day").filter(F.col("split").isin("train", "test"))
     return dataset_overview(st)
 
 
