@@ -42,6 +42,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995      # chance that a pair just at the threshold shares a bucket
 MAX_HASHES = 128
 TILE = 256
+MANY_SHARE = 1e-3       # of all documents that share a text
 BROADCAST_ROWS = 200_000   # rows of three short columns, under 100 bytes each
 REMEMBERED = 150_000
 
@@ -273,11 +274,15 @@ def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     linked = nodes.select("node", "first", "count").join(links, "node").join(label, "node")
     classes = linked.groupBy("label").agg(F.min("first").alias("c_first"), F.sum("count").alias("class_size"))
     linked = linked.select("node", "links", "label").join(classes, "label").drop("label")
-    per_node = nodes.select("node", "first", "count").join(linked, "node", "left").select(
+    per_node = written(nodes.select("node", "first", "count").join(linked, "node", "left").select(
         "node", F.coalesce("c_first", "first").alias("first"),
         (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"),
-        F.coalesce("class_size", "count").alias("class_size"))
-    return marks.select("doc_id", "sum", "node").join(per_node, "node").drop("node")
+        F.coalesce("class_size", "count").alias("class_size"), "count"))
+    # texts that many documents share, fewer than 1 / MANY_SHARE of them, go by broadcast
+    often = F.col("count") > F.lit(MANY_SHARE * (per_node.agg(F.sum("count")).first()[0] or 0))
+    few = marks.select("doc_id", "sum", "node").join(F.broadcast(per_node.filter(often)), "node", "left")
+    rest = few.filter(F.col("first").isNull()).select("doc_id", "sum", "node").join(per_node.filter(~often), "node")
+    return few.filter(F.col("first").isNotNull()).unionByName(rest).drop("node", "count")
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
