@@ -484,7 +484,8 @@ def dedup(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_
     key_buckets = max(parts, math.ceil(total * 12 / ((min_len - K) / 2 + 1) / KEY_BUCKET_BYTES))
     sort_buckets = max(2 * parts, math.ceil(total / SORT_BYTES))
 
-    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # by text too: documents without an id, or with one id, spread like all others
+    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     keys = src.groupBy("block").applyInArrow(_bound(_send_keys, buckets=key_buckets, min_len=min_len), _KEYS)
     shared = keys.groupBy("bucket").applyInArrow(_bound(_shared_keys, hot_docs=hot_docs), _SHARED)
     pieces = src.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
