@@ -15,9 +15,9 @@ split by (hash, text).
 
 Defined results: null text counts as empty, so null and empty are copies of
 each other; a null id counts as smaller than any other and such a row stays
-only if all ids of its group are null, of which ``keep_one`` keeps one; rows with
-equal id and equal text are one document and get the same verdict; an empty table gives an empty result;
-extra columns are not read.
+only if all ids of its group are null; rows with equal id and equal text get the
+same verdict, and ``keep_one`` leaves one of them, with or without an id; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.joins import checked_broadcast
 from caseflow.llm.common import lower_ascii, one_row, written
 
 BROADCAST_GROUPS = 500_000   # 24 bytes each: 12 MB at most
@@ -86,11 +87,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash,
              broadcast_groups: int = BROADCAST_GROUPS, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; of a group without any id one row."""
+    """One row of each group, all columns: of the rows with its largest id the one with
+    the smallest hash of its columns, so rows that repeat whole leave one."""
     v = _verdicts(docs, id_col, text_col, hash_of, broadcast_groups, salts)
-    of_none = F.col("id").isNull() & F.col("keep_id").isNull() & (F.col("group_size") > 1)
-    kept = v.filter(F.col("id").eqNullSafe(F.col("keep_id")) & ~of_none).select("row.*")
-    return kept.unionByName(one_row(v.filter(of_none).select("row.*"), F.sha2(normalise(F.col(f"`{text_col}`")), 256)))
+    stays = v.filter(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("sum", F.sha2("norm", 256))
+    # groups whose largest id stands in several rows; the other rows stay where they are
+    many = written(stays.filter("group_size > 1").groupBy(F.col("sum").alias("many_sum"))
+                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("many_sum"))
+    if not many.take(1):
+        return stays.select("row.*")
+    again, few = F.col("sum") == F.col("many_sum"), checked_broadcast(many)
+    repeated = stays.join(few, again, "left_semi").select("row.*")
+    return (stays.join(few, again, "left_anti").select("row.*")
+            .unionByName(one_row(repeated, F.sha2(normalise(F.col(f"`{text_col}`")), 256))))
 
 
 ORACLE = f"""

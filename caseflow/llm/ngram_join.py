@@ -292,21 +292,24 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, with id and text of the first of their class
-    (smallest id, then smallest md5 of the text; null ids last). Rows with equal id and
-    equal text are one document; of such rows without an id one stays."""
-    marks = written(_classes(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "sum", "first"))
+    """One row of each class, all columns: that with id and text of the first of the
+    class (smallest id, then smallest md5 of the text; null ids last); of rows that
+    repeat these, the one with the smallest hash of its columns."""
+    marks = written(_classes(docs, id_col=id_col, text_col=text_col, **options)
+                    .select("doc_id", "sum", "first", "class_size"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum"))
     gone = written(marks.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
                    .distinct())
-    many = written(marks.filter(stays & F.col("doc_id").isNull()).groupBy(F.col("sum").alias("many_sum"))
-                   .agg(F.count(F.lit(1)).alias("many_n")).filter("many_n > 1").select("many_sum"))
+    many = written(marks.filter(stays & (F.col("class_size") > 1))
+                   .groupBy(F.col("doc_id").alias("many_id"), F.col("sum").alias("many_sum"))
+                   .agg(F.count(F.lit(1)).alias("many_n")).filter("many_n > 1").select("many_id", "many_sum"))
     of = F.md5(F.coalesce(docs[text_col], F.lit("")))
     kept = docs.join(_small(gone), docs[id_col].eqNullSafe(gone["gone_id"]) & (of == gone["gone_sum"]), "left_anti")
     if not many.take(1):
         return kept
-    few, copies = _small(many), docs[id_col].isNull() & (of == many["many_sum"])
-    return kept.join(few, copies, "left_anti").unionByName(one_row(docs.join(few, copies, "left_semi"), of))
+    few, copies = _small(many), docs[id_col].eqNullSafe(many["many_id"]) & (of == many["many_sum"])
+    repeated = docs.join(few, copies, "left_semi")
+    return kept.join(few, copies, "left_anti").unionByName(one_row(repeated, F.struct(docs[id_col], of)))
 
 
 ORACLE = f"""

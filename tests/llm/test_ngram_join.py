@@ -91,15 +91,17 @@ def test_repeated_ids_stay_by_their_own_text(spark):
 
 
 @pytest.mark.parametrize("small", [J.BROADCAST_ROWS, 0])
-def test_one_row_stays_of_near_copies_without_ids(spark, monkeypatch, small):
+def test_one_row_stays_of_repeated_rows(spark, monkeypatch, small):
     monkeypatch.setattr(J._small, "__defaults__", (small,))
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(None, long, 1), (None, long, 2), (None, long + " x", 3), (None, long + " x", 4), (None, "a b", 5),
             (None, "c d", 6), (4, "c d", 7), (4, "c d", 7), (None, None, 8), (None, "", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     got = sorted((r.text or "", r.doc_id) for r in J.keep_one(docs).collect())
-    assert [x for x in got if not x[0].startswith("w0")] == [("", None), ("a b", None), ("c d", 4), ("c d", 4)]
-    assert len(got) == 5
+    assert [x for x in got if not x[0].startswith("w0")] == [("", None), ("a b", None), ("c d", 4)]
+    assert len(got) == 4
+    hot = spark.createDataFrame([(7, long)] * 1000, "doc_id long, text string")
+    assert J.keep_one(hot).count() == 1
 
 
 def test_bands_reach_the_recall():
