@@ -4,7 +4,9 @@
 2. Unigrams: words of hosts, paths and page titles of all pages are counted in
    Spark. The counts stay a table.
 3. A unigram Viterbi splits the letters of each host label and path part into
-   words. Each distinct part is joined with the counts of its substrings.
+   words. Each distinct part is joined with the counts of its substrings; known words
+   of more than ``STEM`` letters are found by their first letters, which tell the
+   lengths to look up. An unknown piece may have any length.
 4. Multinomial naive Bayes over those words. A page teaches "block" if a word of
    its segmented host is one of the seed terms, else "allow"; counts and totals
    are those of all words of all pages, a table that the words of each distinct
@@ -36,8 +38,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Seed terms of unwanted hosts.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gambling", "pills", "poker", "porn", "sex", "slots",
          "spam", "track", "viagra", "xxx")
-MAX_WORD = 24
-SEED_COUNT = 1_000   # pseudo-count of a seed term in the unigram model
+SEED_SHARE = 1e-3    # of all words, added to the count of each seed term: alike at every size
+STEM = 24            # substrings up to this length are looked up as they are, longer words by their first letters
 
 
 def host_of(url: Column) -> Column:
@@ -63,14 +65,16 @@ def parts_of(text: str) -> list[str]:
 
 
 class Segmenter:
-    """Unigram Viterbi over the letters of a name. ``total`` is that of all counts if
-    ``counts`` has only some of them."""
+    """Unigram Viterbi over the letters of a name. ``total`` is that of all counts and
+    ``least`` the smallest of them if ``counts`` has only some."""
 
-    def __init__(self, counts: dict[str, int], max_word: int = MAX_WORD, total: int | None = None):
+    def __init__(self, counts: dict[str, float], total: float | None = None, least: float | None = None):
         total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if n > 0}
+        self.lengths = sorted({len(w) for w in self.cost}, reverse=True)
         # a word not in the list: rarer than any that is, ten times per letter
-        self.base, self.per_letter, self.max_word = math.log(total) + 1.0, math.log(10), max_word
+        least = least or min((n for n in counts.values() if n > 0), default=1)
+        self.base, self.per_letter = math.log(total / least) + 1.0, math.log(10)
         self.known: dict[str, tuple[str, ...]] = {}
 
     def word_cost(self, w: str) -> float:
@@ -83,11 +87,15 @@ class Segmenter:
             return got
         n = len(s)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        start, lead = 0, 0.0      # where the best unknown piece starts, its cost without its length
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.max_word), j):
-                c = best[i] + self.word_cost(s[i:j])
-                if c < best[j]:
-                    best[j], back[j] = c, i
+            best[j], back[j] = lead + self.base + self.per_letter * j, start
+            for k in self.lengths:
+                c = self.cost.get(s[j - k:j]) if k <= j else None
+                if c is not None and best[j - k] + c < best[j]:
+                    best[j], back[j] = best[j - k] + c, j - k
+            if best[j] - self.per_letter * j < lead:
+                start, lead = j, best[j] - self.per_letter * j
         out, j = [], n
         while j:
             out.append(s[back[j]:j])
@@ -103,17 +111,23 @@ class Segmenter:
         return [w for part in parts_of(text) for w in self.split(part)]
 
 
-def unigrams(pages: DataFrame, seeds=SEEDS) -> DataFrame:
-    """word, n: words of hosts, paths and titles with their counts over all pages; written."""
+def unigrams(pages: DataFrame, seeds=SEEDS) -> tuple[DataFrame, float]:
+    """(word, n: words of hosts, paths and titles with their counts over all pages, to
+    which each seed adds its share; written), and the sum of n."""
     # a host label or path part counts as a word if a title also has it or if it
     # stands between hyphens; whole concatenated names would never be split
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
     spaced = F.regexp_replace(F.col("host"), r"(?:^|(?<=\.))[^.\-]+(?=\.|$)", " ")
     text = F.concat_ws(" ", title, spaced, "path")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    counts = words.filter(F.length("word").between(1, MAX_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    more = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in seeds], "word string, n long")
-    return written(counts.unionByName(more).groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    extra, is_seed = SEED_SHARE * total, F.col("word").isin(list(seeds))
+    there = {r["word"] for r in counts.filter(is_seed).collect()}
+    rest = pages.sparkSession.createDataFrame([(s, extra) for s in sorted(set(seeds) - there)],
+                                              "word string, n double")
+    more = counts.select("word", (F.col("n") + F.when(is_seed, extra).otherwise(0.0)).alias("n"))
+    return written(more.unionByName(rest)), total + extra * len(set(seeds))
 
 
 def _named(schema):
@@ -128,7 +142,7 @@ def _named(schema):
 
 
 def _pieces(batches):
-    """part_id with every substring of the part that may be a word; a few may come twice."""
+    """part_id with every substring of the part of at most ``STEM`` letters; a few may come twice."""
     import pyarrow as pa
 
     def batch():
@@ -140,7 +154,7 @@ def _pieces(batches):
         for part, i in zip(b.column("part").to_pylist(), b.column("part_id").to_pylist()):
             seen: set[str] = set()
             for at in range(len(part)):
-                seen.update(part[at:end] for end in range(at + 1, min(len(part), at + MAX_WORD) + 1))
+                seen.update(part[at:end] for end in range(at + 1, min(len(part), at + STEM) + 1))
                 if len(seen) > 20_000 or at == len(part) - 1:
                     ids += [i] * len(seen)
                     out += seen
@@ -151,27 +165,51 @@ def _pieces(batches):
     yield batch()
 
 
-def _split(total: int):
+def _long_pieces(batches):
+    """part_id with the substrings that start like a known long word and have its length."""
+    import pyarrow as pa
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in ("part_id", "part", "stem", "lengths")))
+        for i, part, stem, lengths in rows:
+            at = part.find(stem)
+            while at >= 0:
+                words = [part[at:at + k] for k in lengths if at + k <= len(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.int64()), pa.array(words, pa.string())],
+                                                 names=["part_id", "word"])
+                at = part.find(stem, at + 1)
+
+
+def _split(total: float, least: float):
     """The words of each part, with blanks between, from the known words in it."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            got = [" ".join(Segmenter({k["word"]: k["n"] for k in known or ()}, total=total).split(part))
+            got = [" ".join(Segmenter({k["word"]: k["n"] for k in known or ()}, total, least).split(part))
                    for part, known in zip(b.column("part").to_pylist(), b.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(got, pa.string())], names=["part", "words"])
     return run
 
 
-def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+def split_names(names: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     """name_id, name, words (in order, with blanks between) of each name; written. Each
     distinct part meets the counts of its own substrings, whatever their number."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
+    least = counts.agg(F.min("n")).first()[0] or 1.0
     at = names.select("name_id", F.posexplode(F.split("name", " ")).alias("at", "part"))
     parts = written(at.select("part").distinct().withColumn("part_id", F.monotonically_increasing_id()))
-    known = (parts.mapInArrow(_pieces, "part_id long, word string").join(checked_broadcast(counts), "word")
-             .groupBy("part_id").agg(F.collect_set(F.struct("word", "n")).alias("known")))
+    pieces = (parts.mapInArrow(_pieces, "part_id long, word string")
+              .join(checked_broadcast(counts), "word").select("part_id", "word", "n"))
+    long = counts.filter(F.length("word") > STEM)
+    stems = written(long.groupBy(F.left("word", F.lit(STEM)).alias("stem"))
+                    .agg(F.sort_array(F.collect_set(F.length("word"))).alias("lengths")))
+    if stems.take(1):
+        starts = (parts.filter(F.length("part") > STEM).mapInArrow(_pieces, "part_id long, word string")
+                  .withColumnRenamed("word", "stem").join(stems, "stem").distinct())
+        pieces = pieces.unionByName(starts.join(parts, "part_id").select("part_id", "part", "stem", "lengths")
+                                    .mapInArrow(_long_pieces, "part_id long, word string")
+                                    .join(long, "word").select("part_id", "word", "n"))
+    known = pieces.groupBy("part_id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     split = written(parts.join(known, "part_id", "left").select("part", "known")
-                    .mapInArrow(_split(total), "part string, words string"))
+                    .mapInArrow(_split(total, least), "part string, words string"))
     words = (at.join(checked_broadcast(split), "part").groupBy("name_id")
              .agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
              .select("name_id", F.array_join(F.col("w.words"), " ").alias("words")))
@@ -209,7 +247,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_i
     named = written(flat.mapInArrow(_named(schema), schema))
     names = (named.select(F.col("host_name").alias("name")).unionByName(named.select(F.col("path_name").alias("name")))
              .filter("name <> ''").distinct().withColumn("name_id", F.monotonically_increasing_id()))
-    names = split_names(written(names), unigrams(src, seeds))
+    names = split_names(written(names), *unigrams(src, seeds))
     odds, prior = train(named, names, seeds)
     # summed in the order of the words: the same sum in every run
     score = (names.select("name_id", F.posexplode(F.split("words", " ")).alias("at", "word"))

@@ -53,6 +53,22 @@ def test_viterbi_is_the_best_split():
         assert math.isclose(sum(map(s.word_cost, s.split(word))), best)
         assert "".join(s.split(word)) == word
     assert s.split("freebets") == ("free", "bets")
+    assert s.split("q" * 5000) == ("q" * 5000,)
+    word = "unabhaengigkeitserklaerungen"
+    assert U.Segmenter({"free": 5, word: 1}).split("free" + word) == ("free", word)
+
+
+def test_same_verdicts_on_ten_copies_and_long_words(spark):
+    long = "unabhaengigkeitserklaerungen"
+    rows = [("http://casinobets.example.net/a", "free bets"), ("http://slots.example.net/b", "lots of s")] * 5
+    rows += [(f"http://news{long}.example.net/{long}", f"{long} news")] * 3 + [("http://clean.example.net/s", "s lots s")] * 30
+    df = spark.createDataFrame([(i, u, f"<title>{t}</title>") for i, (u, t) in enumerate(rows)],
+                               "page_id long, url string, html string")
+    ten = df.crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
+    one, more = ({(r.page_id, r.verdict, r.host_words) for r in U.judge_urls(d, rules=()).collect()} for d in (df, ten))
+    assert one == more and len(one) == len(rows)
+    assert {w for i, _, w in one if rows[i][0].startswith("http://news")} == {f"news {long} example net"}
+    assert {v for i, v, _ in one if "casino" in rows[i][0]} == {"block"}
 
 
 def test_table(spark):
@@ -75,9 +91,10 @@ def brute(rows):
     for url, title in rows:
         h, p = parse(url)
         spaced = re.sub(r"(?:^|(?<=\.))[^.\-]+(?=\.|$)", " ", h)
-        counts.update(w for w in U.parts_of(" ".join((title, spaced, p))) if len(w) <= U.MAX_WORD)
+        counts.update(U.parts_of(" ".join((title, spaced, p))))
         pages.append((h, p))
-    counts.update({s: U.SEED_COUNT for s in U.SEEDS})
+    total = sum(counts.values())
+    counts.update({s: U.SEED_SHARE * total for s in U.SEEDS})
     seg, n, bad, blocked = U.Segmenter(counts), Counter(), Counter(), 0
     split = [(seg.words(h), seg.words(p)) for h, p in pages]
     for hw, pw in split:
