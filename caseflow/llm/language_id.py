@@ -1,19 +1,23 @@
 """Language identification with string kernels.
 
 A text is the set of its letter n-grams (n = 1 to 3, other characters as one gap
-symbol); the blended-spectrum presence kernel of two texts is the share of
-n-grams they have in common, |A n B| / sqrt(|A| |B|), over the n-grams that at
-least two sampled texts have. Kernel ridge regression, one language against the
-rest, is fitted in the Nystroem space of some landmark texts. Its weights fold
-back onto n-grams, so a batch of texts is scored by one product of its presence
-matrix with an n-gram by language matrix.
-
-The fit uses a bounded sample: the ``PER_LANGUAGE`` labelled texts of each language
-with the smallest hashes of id and text, of at most ``SAMPLE_CHARS`` characters,
-repeated rows once, never those held out (crc32 of the id as text, mod 4 = 2; a
-null id counts as empty text). It does not depend on the order of the rows.
-The number of languages is that of the distinct labels. All texts are scored
-whole.
+symbol), each hashed over its whole code points into one of ``BUCKETS`` buckets, so
+letters of every script count alike; the blended-spectrum presence kernel of two
+texts is the share of buckets they have in common, |A n B| / sqrt(|A| |B|), over the
+buckets that at least two sampled texts have. Kernel ridge regression, one language
+against the rest, is fitted in the Nystroem space of some landmark texts. Its
+weights fold back onto buckets, so a batch of texts is scored by one product of its
+presence matrix with a bucket by language matrix.
+
+The fit uses a bounded sample, drawn by hashes of the text alone, so neither ids nor
+the order of rows matter, and equal texts of a language are one: of each language the
+``PER_LANGUAGE`` texts with the smallest hashes among those of at most
+``SAMPLE_CHARS`` characters; a language with fewer than ``FEW`` of them takes longer
+texts, the smallest hashes first, until it has ``FEW``. Texts held out (crc32 of the
+id as text, mod 4 = 2; a null id counts as empty text) are never drawn. Tasks turn
+the texts into bucket numbers; no text reaches the driver. Of more than ``LANGUAGES``
+labels those with most texts are learned, and there are at most ``LANDMARKS``
+landmarks, so the fit is bounded whatever the labels hold. All texts are scored whole.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; a
 table without any labelled text gives ``und`` throughout; equal scores go to the
@@ -33,12 +37,15 @@ from caseflow.llm.common import small_batches, worker_cache, written
 
 PER_LANGUAGE = 250
 SAMPLE_CHARS = 20_000
+FEW = 20
+LANGUAGES = 200
 LANDMARKS_PER_LANGUAGE = 40
-VOCABULARY = 20_000
-ALPHABET = 96          # letters told apart; others share one symbol
+LANDMARKS = 1_200      # of all languages
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
 RIDGE = 1e-2
 TEMPERATURE = 0.15     # of the softmax that turns margins into scores
-BATCH = 128
+BATCH = 64
 SLICE = 1_000_000
 
 
@@ -47,112 +54,129 @@ def held_out(id_col: Column) -> Column:
 
 
 class Grams:
-    """Text -> codes of its n-grams. Symbols: 0 no letter, 1 any other letter, then
-    the letters of ``alphabet``."""
+    """Text -> buckets of its n-grams. A symbol is the code point of a letter, else 0."""
 
-    def __init__(self, alphabet: str):
+    def __init__(self):
         import numpy as np
 
-        self.size = len(alphabet) + 2
         every = np.arange(0x110000)
-        self.symbol = np.fromiter((chr(c).isalpha() for c in every), "uint8", len(every))
-        for i, c in enumerate(alphabet):
-            self.symbol[ord(c)] = i + 2
-        self.space = self.size + self.size ** 2 + self.size ** 3
+        letter = np.fromiter((chr(c).isalpha() for c in every), bool, len(every))
+        self.symbol = np.where(letter, every, 0).astype("uint64")
 
     def codes(self, text: str):
-        """(codes with repeats, whether the text has a letter), slice by slice."""
+        """(buckets with repeats, whether the text has a letter), slice by slice."""
         import numpy as np
 
-        a, t = self.size, text.lower()
+        t = text.lower()
         for at in range(0, len(t), SLICE):
             s = self.symbol[np.frombuffer(t[at:at + SLICE + 2].encode("utf-32-le", "surrogatepass"), "<u4")]
-            s = s.astype("int32")
-            two = s[:-1] * a + s[1:]
-            yield np.concatenate([s, a + two, a + a * a + two[:-1] * a + s[2:]]), bool(s.any())
+            two = (s[:-1] << np.uint64(21)) | s[1:]
+            grams = np.concatenate([s, two | np.uint64(1 << 42), (two[:-1] << np.uint64(21) | s[2:]) ^ np.uint64(1 << 63)])
+            grams ^= grams >> np.uint64(29)
+            grams *= np.uint64(0x9E3779B97F4A7C15)     # multiplicative hashing: the upper bits
+            yield (grams >> np.uint64(64 - BUCKET_BITS)).astype("int32"), bool(s.any())
+
+    def set_of(self, text: str):
+        """Sorted buckets of a text."""
+        import numpy as np
+
+        return np.unique(np.concatenate([np.zeros(0, "int32"), *(np.unique(c) for c, _ in self.codes(text))]))
+
+
+def _sets(batches):
+    import pyarrow as pa
+    g = Grams()
+    for b in small_batches(batches, "t"):
+        got = [g.set_of(t) for t in b.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(got, pa.list_(pa.int32()))],
+                                         names=["l", "h", "s"])
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
-           lang_col: str = "lang") -> list:
-    """(lang, text) of the labelled sample, in a fixed order."""
-    fit = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
-        F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i"))
-        & F.col("t").rlike(r"\p{L}") & (F.length("t") <= SAMPLE_CHARS))
-    fit = fit.withColumn("h", F.xxhash64("i", "t"))
-    keys = written(fit.select("l", "h").distinct())   # repeated rows are one
-    share = {r["l"]: r["n"] for r in keys.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
+           lang_col: str = "lang", few: int = FEW) -> list:
+    """(lang, buckets) of the labelled sample, in a fixed order."""
+    fit = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
+        F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(docs[id_col])
+        & F.col("t").rlike(r"\p{L}"))
+    fit = fit.withColumn("h", F.xxhash64("t")).withColumn("long", F.length("t") > SAMPLE_CHARS)
+    keys = written(fit.select("l", "long", "h").distinct())   # equal texts of a language are one
+    counts = (keys.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("long")).alias("m"))
+              .orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    if not counts:
         return []
 
     def below(most: dict) -> Column:
-        return F.col("h") <= F.create_map(*[F.lit(x) for l in sorted(most) for x in (l, most[l])])[F.col("l")]
-
-    # a hash share of four times per_language on average holds the smallest per_language
-    some = keys.filter(below({l: int((1 << 64) * min(1.0, 4 * per_language / n)) - (1 << 63) - 1
-                              for l, n in share.items()})).collect()
+        """Hashes up to those of (language, long)."""
+        up_to = F.create_map(*[F.lit(x) for k in sorted(most) for x in (f"{k[1]:d}{k[0]}", most[k])])
+        return F.col("h") <= up_to[F.concat(F.col("long").cast("int").cast("string"), "l")]
+
+    wanted = {}
+    for r in counts:
+        short = r["n"] - r["m"]
+        wanted[r["l"], False] = (short, per_language)
+        wanted[r["l"], True] = (r["m"], max(0, min(few, per_language) - short))
+    wanted = {k: v for k, v in wanted.items() if min(v)}
+    # a hash share of four times the wanted number on average holds the smallest ones
+    some = keys.filter(below({k: int((1 << 64) * min(1.0, (4 * w + 40) / n)) - (1 << 63) - 1
+                              for k, (n, w) in wanted.items()})).collect()
     hashes: dict = {}
     for r in some:
-        hashes.setdefault(r["l"], []).append(r["h"])
-    last = {l: sorted(h)[:per_language][-1] for l, h in hashes.items()}
-    rows = fit.filter(below(last)).groupBy("l", "h").agg(F.min("t").alias("t")).collect() if last else []
-    return [(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"]))]
+        hashes.setdefault((r["l"], r["long"]), []).append(r["h"])
+    last = {k: sorted(h)[:wanted[k][1]][-1] for k, h in hashes.items()}
+    rows = fit.filter(below(last)).groupBy("l", "h").agg(F.min("t").alias("t")) \
+              .mapInArrow(_sets, "l string, h long, s array<int>").toArrow().to_pylist() if last else []
+    return [(r["l"], r["s"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"]))]
 
 
-def fit(texts: list, vocabulary: int = VOCABULARY, landmarks: int = LANDMARKS_PER_LANGUAGE,
-        ridge: float = RIDGE) -> dict | None:
-    """The model: alphabet, n-gram columns, n-gram by language weights."""
+def fit(texts: list, landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> dict | None:
+    """The model of (lang, buckets) rows: used buckets, bucket by language weights."""
     import numpy as np
-    from collections import Counter
 
     if not texts:
         return None
-    letters = Counter(c for _, t in texts for c in set(t.lower()) if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    g = Grams(alphabet)
-    sets = [np.unique(np.concatenate([c for c, _ in g.codes(t)])) for _, t in texts]
-    df = np.zeros(g.space, "int32")
+    sets = [np.asarray(s, "int32") for _, s in texts]
+    df = np.zeros(BUCKETS, "int32")
     for s in sets:
         df[s] += 1
     grams = np.flatnonzero(df >= min(2, len(sets)))
-    grams = np.sort(grams[np.argsort(-df[grams], kind="stable")[:vocabulary]])
-    column = np.full(g.space, -1, "int32")
+    column = np.full(BUCKETS, -1, "int32")
     column[grams] = np.arange(len(grams))
-    x = np.zeros((len(sets), len(grams)), "float32")
-    for row, s in zip(x, sets):
-        c = column[s]
-        row[c[c >= 0]] = 1
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    sets = [c[c >= 0] for c in (column[s] for s in sets)]
+    size = np.sqrt([max(1, len(s)) for s in sets])
     langs = sorted({l for l, _ in texts})
-    label = np.array([langs.index(l) for l, _ in texts])
+    at = {l: k for k, l in enumerate(langs)}
+    label = np.array([at[l] for l, _ in texts])
+    landmarks = max(1, min(landmarks, LANDMARKS // len(langs)))
     picked = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(langs))])
-    marks = x[picked]
-    vals, vecs = np.linalg.eigh((marks @ marks.T).astype("float64"))
+    marks = np.zeros((len(grams), len(picked)), "uint8")
+    for j, i in enumerate(picked):
+        marks[sets[i], j] = 1
+    kernel = np.array([marks[s].sum(0, dtype="int64") for s in sets]) / size[:, None] / size[picked]
+    vals, vecs = np.linalg.eigh(kernel[picked])
     good = vals > 1e-8 * vals[-1]
     root = vecs[:, good] / np.sqrt(vals[good])            # K_mm^(-1/2)
-    phi = (x @ marks.T).astype("float64") @ root
-    target = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    a = np.hstack([kernel @ root, np.ones((len(sets), 1))])
+    out = np.empty((a.shape[1], len(langs)))
+    reg = np.eye(a.shape[1]) * ridge / len(langs)
+    reg[-1, -1] = 1e-9
     # every language weighs the same, and so does each one's rest
-    out = np.empty((phi.shape[1], len(langs)))
-    bias = np.empty(len(langs))
     for k in range(len(langs)):
         own = label == k
         w = np.where(own, 0.5 / max(1, own.sum()), 0.5 / max(1, (~own).sum()))
-        a = np.hstack([phi, np.ones((len(phi), 1))])
-        reg = np.eye(a.shape[1]) * ridge / len(langs)
-        reg[-1, -1] = 1e-9
-        sol = np.linalg.solve(a.T @ (a * w[:, None]) + reg, a.T @ (w * target[:, k]))
-        out[:, k], bias[k] = sol[:-1], sol[-1]
-    weights = (marks.T @ (root @ out)).astype("float32")
-    return {"alphabet": alphabet, "grams": grams.astype("int32"), "weights": weights,
-            "bias": bias.astype("float32"), "langs": langs, "key": uuid.uuid4().hex}
+        out[:, k] = np.linalg.solve(a.T @ (a * w[:, None]) + reg, a.T @ (w * np.where(own, 1.0, -1.0)))
+    coef = root @ out[:-1] / size[picked][:, None]
+    weights = np.vstack([marks[i:i + 4096].astype("float32") @ coef.astype("float32")
+                         for i in range(0, max(1, len(grams)), 4096)])
+    return {"grams": grams.astype("int32"), "weights": weights, "bias": out[-1].astype("float32"), "langs": langs,
+            "key": uuid.uuid4().hex}
 
 
 class Scorer:
     def __init__(self, model: dict):
         import numpy as np
 
-        self.m, self.g = model, Grams(model["alphabet"])
-        self.column = np.full(self.g.space, len(model["grams"]), "int32")   # unknown: a last column without weight
+        self.m, self.g = model, Grams()
+        self.column = np.full(BUCKETS, len(model["grams"]), "int32")   # unknown: a last column without weight
         self.column[model["grams"]] = np.arange(len(model["grams"]))
         self.x = np.zeros((BATCH, len(model["grams"]) + 1), "float32")
         self.w = np.vstack([model["weights"], np.zeros((1, model["weights"].shape[1]), "float32")])
@@ -191,7 +215,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                            T.StructField("score", T.DoubleType())])
     if model is None:
         return src.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)   # vocabulary x languages floats
+    sent = docs.sparkSession.sparkContext.broadcast(model)   # at most BUCKETS x LANGUAGES floats
 
     def run(batches):
         import pyarrow as pa
