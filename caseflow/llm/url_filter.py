@@ -38,7 +38,7 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Seed terms of unwanted hosts.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gambling", "pills", "poker", "porn", "sex", "slots",
          "spam", "track", "viagra", "xxx")
-SEED_SHARE = 1e-3    # of all words, added to the count of each seed term: alike at every size
+SEED_SHARE = 1 / 16  # of all words, added to each seed term: together they weigh as much, at every size
 STEM = 24            # substrings up to this length are looked up as they are, longer words by their first letters
 
 
