@@ -98,6 +98,10 @@ def clamp_unknown(id_col, size) -> F.Column:
     return F.when((c < 0) | (c >= s), F.lit(UNK_ID)).otherwise(c).cast("int")
 
 
+#: A split that already knows its next events: whether there is one in the split, and its values.
+HAS_NEXT, AFTER = "__has_next", "__after_"
+
+
 def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], numerical: Iterable[str],
                     cat_targets: Iterable[str] = (), num_targets: Iterable[str] = (),
                     vocab: Optional[DataFrame] = None, mask: str = "masked",
@@ -109,7 +113,8 @@ def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], num
     from the first one, with a warning.  Categorical targets become
     ``next_<t>`` = id of the next event in the case within the split (<EOS>
     at its end), -1 where masked; numerical targets are copied unshifted
-    (K8).  Returns ``({name: encoded df}, vocab)``.
+    (K8).  A split with the columns ``__has_next`` and ``__after_<t>`` of all its
+    targets (from a frame made before the split) takes no window.  Returns ``({name: encoded df}, vocab)``.
     """
     from caseflow.functions.ordered import case_frame
     from caseflow.operators.prepare import validate_columns
@@ -124,18 +129,22 @@ def build_event_log(splits: dict, spec: LogSpec, categorical: Iterable[str], num
         vocab = fit_vocab(splits[fitted_on], list(dict.fromkeys(categorical + cat_targets)))
     out = {}
     for name, df in splits.items():
-        extra = [c for c in (mask, "__chunk") if c in df.columns]
+        after = {t: f"{AFTER}{t}" for t in cat_targets}
+        known = HAS_NEXT in df.columns and all(c in df.columns for c in after.values())
+        extra = [c for c in (mask, "__chunk", *((HAS_NEXT, *after.values()) if known else ())) if c in df.columns]
         df = validate_columns(df, spec, categorical + numerical, cat_targets + num_targets, extra=extra)
         for c in dict.fromkeys(categorical + cat_targets):
             df = encode(df, vocab, c)
         df = ensure_dtypes(df, categorical + cat_targets, numerical)
-        if cat_targets:
-            df = case_frame(df, spec, next_cols=cat_targets, prefix="__next_", hot_case_rows=hot_case_rows,
-                            hot=hot)
-            for t in cat_targets:
-                tgt = next_categorical(f"__next_{t}")
-                df = df.withColumn(f"next_{t}", apply_mask(tgt, mask) if mask in df.columns else tgt) \
-                       .drop(f"__next_{t}")
+        if known:
+            for t, c in after.items():
+                df = encode(df, vocab, t, source=c).withColumn(c, F.when(F.col(HAS_NEXT), F.col(c)))
+        elif cat_targets:
+            df = case_frame(df, spec, next_cols=cat_targets, prefix=AFTER, hot_case_rows=hot_case_rows, hot=hot)
+        for t, c in after.items():
+            tgt = next_categorical(c)
+            df = df.withColumn(f"next_{t}", apply_mask(tgt, mask) if mask in df.columns else tgt)
+        df = df.drop(HAS_NEXT, *after.values())
         for t in num_targets:
             df = df.withColumn(f"next_{t}", F.col(t).cast("float"))   # copied, not shifted (K8)
         out[name] = df

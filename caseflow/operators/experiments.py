@@ -72,6 +72,23 @@ def best_by_group(df: DataFrame, group: Sequence[str], metric: str, ascending: b
     return best_row(df, group, [(metric, ascending, True), (tie, True, True)])
 
 
+def best_by_scope(df: DataFrame, scopes: dict, group: Sequence[str], metric: str, ascending: bool = True,
+                  tie: str = "id", scope: str = "scope") -> DataFrame:
+    """A3 over several scopes (``scopes``: name -> Column predicate): per scope and group the
+    row with the best metric, with the scope's name in column ``scope``.  One aggregation
+    with a conditional best row for each scope; a group without a row in a scope has none there."""
+    key = F.struct(F.col(metric).isNull(), F.col(metric) if ascending else -F.col(metric), F.col(tie))
+    row = F.struct(*[F.col(c) for c in df.columns if c not in group])
+    names = list(scopes)
+    aggs = []
+    for i, n in enumerate(names):
+        aggs.append(F.min_by(row, F.when(scopes[n], key)).alias(f"__s{i}"))
+    best = df.groupBy(*group).agg(*aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__s{i}").alias("r")) for i, n in enumerate(names)]))
+    return (best.select(*group, each.alias("__e")).filter("__e.r is not null")
+            .select(F.col("__e.n").alias(scope), *[c if c in group else F.col("__e.r")[c].alias(c) for c in df.columns]))
+
+
 def best_run_id(df: DataFrame, group: Sequence[str], metric: str, maximize: bool = True,
                 run: str = "id") -> DataFrame:
     """Run id at the max (or min) metric per group; ties -> smallest id."""
@@ -194,11 +211,14 @@ def summary_stats(df: DataFrame, keys: Sequence[str], metric: str, drop_null_key
 
 def descriptors(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """A non-null value per group (the smallest), and for each column whether it
-    varies inside a group (null counts as a value)."""
+    varies inside a group (null counts as a value).  A column varies when its extremes
+    differ or only some of its values are null, so the rows are combined once, whatever
+    the number of columns."""
     aggs = []
     for c in cols:
+        some_null = (F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))
         aggs += [F.min(c).alias(c),
-                 ((F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))) > 1).alias(f"{c}__varies")]
+                 (F.coalesce(F.min(c) != F.max(c), F.lit(False)) | some_null).alias(f"{c}__varies")]
     return df.groupBy(*keys).agg(*aggs)
 
 

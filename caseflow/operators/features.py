@@ -46,6 +46,18 @@ def time_features(df: DataFrame, spec: LogSpec, remaining: bool = True,
     return out.drop("case_start_us", "case_end_us", "case_n")
 
 
+_BOUNDS = ("case_start_us", "case_end_us", "case_n", "case_upto_us")
+
+
+def part_features(part: DataFrame, spec: LogSpec, end: str) -> DataFrame:
+    """F1-F6 of one part of a frame with case bounds; ``end`` is the column with the last
+    event time of the case in this part.  The bounds are dropped."""
+    us = micros(spec.ts)
+    return part.withColumns({"accumulated_time": (us - F.col("case_start_us")) / F.lit(US_PER_DAY),
+                             "remaining_time": (F.col(end) - us) / F.lit(US_PER_DAY),
+                             **calendar_features(spec.ts)}).drop(*_BOUNDS)
+
+
 def split_time_features(df: DataFrame, spec: LogSpec, sep_us: int, hot_case_rows: Optional[int] = None,
                         hot=None) -> DataFrame:
     """F1-F6 of the train and test part of a prefix split at ``sep_us``: the events of
@@ -57,11 +69,8 @@ def split_time_features(df: DataFrame, spec: LogSpec, sep_us: int, hot_case_rows
     part = lambda name, inside, end: F.when(inside, F.struct(F.lit(name).alias("split"), F.col(end).alias("end")))
     parts = F.array_compact(F.array(part("train", us <= sep, "case_upto_us"),
                                     part("test", F.col("case_end_us") > sep, "case_end_us")))
-    out = fr.withColumn("__part", F.explode(parts))
-    out = out.withColumns({"accumulated_time": (us - F.col("case_start_us")) / F.lit(US_PER_DAY),
-                           "remaining_time": (F.col("__part.end") - us) / F.lit(US_PER_DAY), **calendar_features(spec.ts)})
-    return out.select("__part.split", *[c for c in out.columns if c not in (
-        "__part", "case_start_us", "case_end_us", "case_n", "case_upto_us")])
+    out = part_features(fr.withColumn("__part", F.explode(parts)), spec, "__part.end")
+    return out.select("__part.split", *[c for c in out.columns if c != "__part"])
 
 
 def fit_scaler(train: DataFrame, columns: Iterable[str]) -> DataFrame:

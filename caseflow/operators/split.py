@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.columns import micros
 from caseflow.functions.ordered import case_frame
-from caseflow.functions.rank import kth_smallest
+from caseflow.functions.rank import global_row_number, kth_smallest
+from caseflow.functions.storage import written
 from caseflow.spec import LogSpec
 
 MASK = "masked"
@@ -49,25 +50,30 @@ def separation_time_us(df: DataFrame, spec: LogSpec, frac: float) -> int:
 
 def prefix_split(df: DataFrame, spec: LogSpec, frac: float, mask_in: Optional[str] = None,
                  sep_us: Optional[int] = None, hot_case_rows: Optional[int] = None,
-                 hot=None) -> Split:
+                 hot=None, keep: bool = False) -> Split:
     """T8 (with T2-T7): temporal prefix split of ``df`` at fraction ``frac``.
 
     ``mask_in``: name of an incoming boolean mask column to OR into both splits (T7).
+    ``keep``: write the frame of the windows; the separation time and the parts read
+    that table, and ``df`` is worked out for it alone (and for the sizes of its cases
+    where ``hot`` is not known).
     ``hot``: hot cases already known (e.g. from ``prepare_log``); a split only
     shrinks cases, so a table computed on a superset stays valid.
     """
     if frac <= 0.0:
         raise ValueError("split size must be > 0")  # K2
-    if sep_us is None:
+    if sep_us is None and not keep:
         sep_us = separation_time_us(df, spec, frac)
-    sep = F.lit(sep_us)
-    base = df.withColumn("__us", micros(spec.ts))
-    fr = case_frame(base, spec, next_cols=["__us"], prefix="__next", bounds=True,
+    fr = case_frame(df.withColumn("__at", micros(spec.ts)), spec, next_cols=["__at"], prefix="__n", bounds=True,
                     hot_case_rows=hot_case_rows, hot=hot)
-    nxt = F.col("__next__us")
+    if keep:
+        fr = written(fr)
+        if sep_us is None:
+            sep_us = separation_time_us(fr, spec, frac)
+    sep, us, nxt = F.lit(sep_us), F.col("__at"), F.col("__n__at")
     carry = (lambda m: m | F.coalesce(F.col(mask_in), F.lit(False))) if mask_in else (lambda m: m)
-    helper = ["__us", "__next__us", "case_start_us", "case_end_us", "case_n"]
-    train = (fr.filter(F.col("__us") <= sep)
+    helper = ["__at", "__n__at", "case_start_us", "case_end_us", "case_n"]
+    train = (fr.filter(us <= sep)
                .withColumn(MASK, carry(F.coalesce(nxt > sep, F.lit(False)))))
     test = (fr.filter(F.col("case_end_us") > sep)
               .withColumn(MASK, carry(F.coalesce(nxt <= sep, F.lit(False)))))
@@ -90,39 +96,34 @@ def case_split(df: DataFrame, spec: LogSpec, frac: float, mask_in: Optional[str]
 
     Order: first event descending, case id ascending for ties (explicit, so it is
     reproducible).  Returns ``(train, val, sep_us)`` with sep = min ts of val.
-    The masks follow their rows (it is a column).
+    The masks follow their rows (it is a column).  The starts of the cases are
+    positioned over range partitions and written; ``df`` is read once for them and
+    once for each part.
     """
     us = micros(spec.ts)
     starts = df.groupBy(spec.case).agg(F.min(us).alias("__start"))
-    n_cases = starts.count()
-    k = int(frac * n_cases)
+    placed = written(global_row_number(starts, [F.col("__start").desc_nulls_last(), F.col(spec.case)], "__place"))
+    k = int(frac * placed.count())
     if k <= 0:
-        empty = df.limit(0)
-        return df, empty, None
-    # top-k by start desc: the k-th largest start is an order statistic
-    kth = kth_smallest(starts.select(F.col("__start")), "__start", k=n_cases - k)
-    above = starts.filter(F.col("__start") > kth)
-    n_above = above.count()
-    ties = starts.filter(F.col("__start") == kth)
-    # ties at the boundary: take the smallest case ids among them
-    take = k - n_above
-    tie_take = ties.orderBy(spec.case).limit(take) if take > 0 else ties.limit(0)
-    val_cases = above.select(spec.case).unionByName(tie_take.select(spec.case))
-    val = df.join(val_cases, spec.case, "left_semi")
-    train = df.join(val_cases, spec.case, "left_anti")
-    sep = val.agg(F.min(us)).first()[0]
-    return train, val, sep
+        return df, df.limit(0), None
+    val_cases = placed.filter(F.col("__place") <= k)
+    sep = val_cases.agg(F.min("__start")).first()[0]
+    return (df.join(val_cases.select(spec.case), spec.case, "left_anti"),
+            df.join(val_cases.select(spec.case), spec.case, "left_semi"), sep)
 
 
 def train_test_val(df: DataFrame, spec: LogSpec, test_size: float = 0.2, val_size: float = 0.0,
                    val_split: str = "prefix", hot_case_rows: Optional[int] = None) -> dict:
-    """Test split first; if val_size > 0 split train again (prefix or classic)."""
-    tt = prefix_split(df, spec, test_size, hot_case_rows=hot_case_rows)
+    """Test split first; if val_size > 0 split train again (prefix or classic).
+
+    The frame of each split is written and its parts read it, so ``df`` is not worked
+    out again for every part."""
+    tt = prefix_split(df, spec, test_size, hot_case_rows=hot_case_rows, keep=True)
     out = {"train": tt.train, "test": tt.test, "tt_trunc": tt.trunc, "tt_sep_us": tt.sep_us,
            "val": None, "tv_trunc": None, "tv_sep_us": None}
     if val_size > 0:
         if val_split == "prefix":
-            tv = prefix_split(tt.train, spec, val_size, mask_in=MASK, hot_case_rows=hot_case_rows)
+            tv = prefix_split(tt.train, spec, val_size, mask_in=MASK, hot_case_rows=hot_case_rows, keep=True)
             out.update(train=tv.train, val=tv.test, tv_trunc=tv.trunc, tv_sep_us=tv.sep_us)
         elif val_split == "classic":
             tr, va, sep = case_split(tt.train, spec, val_size)

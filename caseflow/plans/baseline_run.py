@@ -25,7 +25,7 @@ def baseline_run(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
     bounded by the distinct transitions."""
     es = encoded_split(log, spec, params, lifecycle, hot_case_rows)
     both = written(es.frame.groupBy("cur", "train_tgt", "test_tgt").agg(F.count(F.lit(1)).alias("n")))
-    es.prepared.unpersist()
+    es.release()
     counts = B.pair_counts(both, "train_tgt", "nxt", "count")
     preds = B.argmax_predictions(counts)
     m = B.evaluate_pairs(B.pair_counts(both, "test_tgt", "label", "n"), counts, preds) if metrics else None

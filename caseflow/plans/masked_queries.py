@@ -83,8 +83,8 @@ def position_masks_events_day(spark, sf_dir):
     es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
     cols = ["case_id", "seq", B.attention_mask().alias("attention"), B.loss_mask().alias("loss"),
             B.masked_target().alias("target")]
-    return es.train.select(F.lit("train").alias("split"), *cols).unionByName(
-        es.test.select(F.lit("test").alias("split"), *cols))
+    return es.keep(es.train.select(F.lit("train").alias("split"), *cols).unionByName(
+        es.test.select(F.lit("test").alias("split"), *cols)))
 
 
 # -- cleaning
@@ -219,8 +219,8 @@ def clamped_ids_events_day(spark, sf_dir):
     es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
     size, cases = es.vocab.count(), case_count(es.prepared, es.spec)
     cols = ["case_id", "seq", clamp_unknown(F.col("tgt") + F.col("cur"), size).alias("id"), F.lit(cases).cast("long").alias("cases")]
-    return es.train.select(F.lit("train").alias("split"), *cols).unionByName(
-        es.test.select(F.lit("test").alias("split"), *cols))
+    return es.keep(es.train.select(F.lit("train").alias("split"), *cols).unionByName(
+        es.test.select(F.lit("test").alias("split"), *cols)))
 
 
 @register("train_val_classic_events_by_user_day", "WITH " + split_ctes("events_by_user_day") + """,

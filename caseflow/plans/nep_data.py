@@ -30,9 +30,19 @@ class EncodedSplit:
     vocab: DataFrame
     sep_us: int
     spec: LogSpec
-    prepared: DataFrame   # persisted; the caller may unpersist it when done
+    prepared: DataFrame   # persisted until ``release`` or ``keep``
     frame: DataFrame      # every event once: cur, train_tgt and test_tgt (null outside the part)
 
+    def release(self) -> None:
+        """Free the copy of the prepared log; the frames can still be read, at the price of a new preparation."""
+        self.prepared.unpersist()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, made of these frames, written once; the copy of the prepared log is freed."""
+        out = written(df)
+        self.release()
+        return out
+
 
 def encoded_split(log: DataFrame, spec: LogSpec, params: Optional[dict] = None,
                   lifecycle: bool = False, hot_case_rows: Optional[int] = None) -> EncodedSplit:
@@ -76,32 +86,42 @@ def event_log_dataset(log: DataFrame, spec: LogSpec, params: Optional[dict] = No
                       categorical=("activity",), numerical=("accumulated_time",),
                       cat_targets=("activity",), num_targets=("remaining_time",),
                       scale: bool = True, hot_case_rows: Optional[int] = None):
-    """The full preparation protocol of the sequence models: prepare -> split ->
-    P11/P12 per split -> time features per split (F1-F6) -> scaling fitted on
-    train (F7/F8) -> vocabulary, encoding, next targets, masks (E11).
+    """The full preparation protocol of the sequence models: prepare -> P11/P12 ->
+    split -> time features per split (F1-F6) -> scaling fitted on train (F7/F8) ->
+    vocabulary, encoding, next targets, masks (E11).
+
+    One pass over the cases: next event and bounds of every case, in both parts, come
+    from one frame, which is written; parts, features, scaler, vocabulary and encoding
+    read that table, and the copy of the prepared log is released.
 
     Returns ``({'train': df, 'test': df}, vocab, sep_us)``.
     """
-    from caseflow.operators.encode import build_event_log
-    from caseflow.operators.features import apply_scaler_values, fit_scaler_values, scale_columns, time_features
+    from caseflow.operators.encode import AFTER, HAS_NEXT, build_event_log
+    from caseflow.operators.features import apply_scaler_values, fit_scaler_values, part_features, scale_columns
     from caseflow.operators.prepare import coerce_amount, fill_resource
-    from caseflow.operators.split import prefix_split
 
     params = params or {}
     T = hot_case_rows or DEFAULT_HOT_CASE_ROWS
     prepared, spec, hot = prepare_log(log, spec, params, hot_case_rows=T, keep_chunk=True)
-    prepared = prepared.persist()      # read by the separation time and the split
-    sp = prefix_split(prepared, spec, params.get("test_size", 0.2) or 0.2, hot_case_rows=T, hot=hot)
+    prepared = prepared.persist()      # read by the separation time and the frame
+    sep_us = separation_time_us(prepared, spec, params.get("test_size", 0.2) or 0.2)
+    us, sep = micros(spec.ts), F.lit(sep_us)
+    base = coerce_amount(fill_resource(prepared, spec), spec).withColumn("__at", us)
+    frame = written(case_frame(base, spec, next_cols=["__at", *cat_targets], prefix=AFTER, bounds=True,
+                               upto_us=sep_us, hot_case_rows=T, hot=hot))
+    prepared.unpersist()
+    after = F.col(f"{AFTER}__at")
+    shape = {"train": (us <= sep, "case_upto_us", after > sep, after <= sep),
+             "test": (F.col("case_end_us") > sep, "case_end_us", after <= sep, after.isNotNull())}
     parts = {}
-    for name, df in (("train", sp.train), ("test", sp.test)):
-        df = coerce_amount(fill_resource(df, spec), spec)
-        # reused by the scaler fit, the vocabulary and the encoding
-        parts[name] = time_features(df, spec, hot_case_rows=T, hot=hot).persist()
+    for name, (inside, end, masked, follows) in shape.items():
+        part = frame.filter(inside).withColumns({MASK: F.coalesce(masked, F.lit(False)),
+                                                 HAS_NEXT: F.coalesce(follows, F.lit(False))})
+        parts[name] = part_features(part, spec, end).drop("__at", f"{AFTER}__at", CHUNK)
     if scale:
         cols = [c for c in scale_columns(parts["train"].columns) if c in parts["train"].columns]
         values = fit_scaler_values(parts["train"], cols)          # one row of parameters
         parts = {k: apply_scaler_values(v, values) for k, v in parts.items()}
     vocab = written(fit_vocab(parts["train"], list(dict.fromkeys(list(categorical) + list(cat_targets)))))
-    enc, vocab = build_event_log(parts, spec, categorical, numerical, cat_targets, num_targets,
-                                 vocab=vocab, hot_case_rows=T, hot=hot)
-    return {k: v.drop(CHUNK) for k, v in enc.items()}, vocab, sp.sep_us
+    enc, vocab = build_event_log(parts, spec, categorical, numerical, cat_targets, num_targets, vocab=vocab)
+    return enc, vocab, sep_us

@@ -228,8 +228,8 @@ def _positions_q(adapter):
         log, spec = load_log(spark, adapter, sf_dir)
         es = encoded_split(log, spec, ADAPTER_PARAMS[adapter])
         cols = ["case_id", "seq", "masked", "cur", "tgt"]
-        return (es.train.select(F.lit("train").alias("split"), *cols)
-                  .unionByName(es.test.select(F.lit("test").alias("split"), *cols)))
+        return es.keep(es.train.select(F.lit("train").alias("split"), *cols)
+                         .unionByName(es.test.select(F.lit("test").alias("split"), *cols)))
     q.__doc__ = f"T8 + E2/E7/E9: encoded train/test positions with masks and targets on {adapter}."
     return q
 
@@ -247,7 +247,9 @@ UNION ALL SELECT 'activity', '<EOS>', 2""")
 def vocab_events_day(spark, sf_dir):
     """Train-fitted activity vocabulary with the three specials."""
     log, spec = load_log(spark, "events_by_user_day", sf_dir)
-    return encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"]).vocab
+    es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
+    es.release()
+    return es.vocab
 
 
 _TF_COLS = ["accumulated_time", "remaining_time", "day_of_month", "day_of_week", "day_of_year",
@@ -1073,7 +1075,7 @@ from caseflow.operators import sequences as Q  # noqa: E402
 def _train_traces(spark, sf_dir):
     log, spec = load_log(spark, "events_by_user_day", sf_dir)
     es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
-    return Q.traces(es.train, es.spec, ["cur", "tgt", "masked"])
+    return Q.traces(es.keep(es.train), es.spec, ["cur", "tgt", "masked"])
 
 
 _TRACE_CTES = split_ctes("events_by_user_day") + """,
@@ -1092,7 +1094,7 @@ def prefix_suffix_events_day(spark, sf_dir):
     """Q7: prefix windows of encoded activities with their target suffixes (k = 4, pad 0)."""
     log, spec = load_log(spark, "events_by_user_day", sf_dir)
     es = encoded_split(log, spec, ADAPTER_PARAMS["events_by_user_day"])
-    ps = Q.case_prefix_suffix(es.train, es.spec, "cur", "tgt", 4, pad=0)
+    ps = Q.case_prefix_suffix(es.keep(es.train), es.spec, "cur", "tgt", 4, pad=0)
     return ps.select("case_id", "pair_idx", F.array_join("prefix", ",").alias("prefix_str"),
                      F.array_join("suffix", ",").alias("suffix_str"))
 
@@ -1167,12 +1169,8 @@ def best_by_log_scopes_runs(spark, sf_dir):
     e = A.best_val_step(runs, h).filter(F.col("best_val_loss").isNotNull())
     scopes = {"all": F.lit(True), "pretrained": F.col("model").startswith("gpt2"),
               "others": ~F.col("model").startswith("gpt2")}
-    out = None
-    for name, pred in scopes.items():
-        b = A.best_by_group(e.filter(pred), ["log"], "best_val_loss").select(
-            F.lit(name).alias("scope"), "log", "id", r("best_val_loss").alias("best_val_loss"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    best = A.best_by_scope(e, scopes, ["log"], "best_val_loss")
+    return best.select("scope", "log", "id", r("best_val_loss").alias("best_val_loss"))
 
 
 @register("test_at_best_val_runs", "WITH " + _EXP_CTES + """,
