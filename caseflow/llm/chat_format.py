@@ -10,9 +10,11 @@ the latest. Replies form threads, found by pointer jumping over the replies
 alone. The result is one row per message without its quotes, in reply order:
 conversation, first message of the thread, turn.
 
-"Latest earlier" is a running maximum per (conversation, unit), taken in stretches
-of ``STRETCH`` turns with the maxima of earlier stretches carried over, so a
-line that a long conversation repeats in every turn is no single task.
+"Latest earlier" is the last owner before a quote in the order of conversation, unit,
+turn and message. That order is cut into stretches of about ``STRETCH`` rows wherever
+they fall, and the last owner of each stretch (one row) is handed on to the next, so
+neither a long conversation that repeats a line nor rows without a conversation or
+turn are a single task.
 
 Defined results: null texts count as empty; null turns come first; rows with a
 null conversation form one conversation of their own; equal rows are one message
@@ -32,7 +34,8 @@ from pyspark.sql import types as T
 
 from caseflow.llm.common import small_batches, written
 
-STRETCH = 4096
+# Rows of one stretch: about what a task sorts.
+STRETCH = 500_000
 
 _MARKS = re.compile(r"((?:[ \t]*>)+)[ \t]?")
 _SPACES = re.compile(r"\s+")
@@ -122,25 +125,30 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
 
 def latest_before(own: DataFrame, asked: DataFrame, keys: list, stretch: int = STRETCH) -> DataFrame:
     """``asked`` with ``found`` = the largest (turn, mid) struct of ``own`` with the same
-    keys and a smaller (turn, mid); rows without one are dropped."""
+    keys and a smaller (turn, mid); rows without one are dropped.
+
+    Stretches are range partitions of ``stretch`` rows, written once; what a stretch hands
+    on is its last owner with its keys, which counts for the next one's first keys if
+    they are the same."""
     at = F.struct("turn", "mid")
-    part = F.floor(F.col("turn") / F.lit(stretch))
-    o = own.select(*keys, at.alias("at"), part.alias("part")).distinct()
-    rows = (o.select(*keys, "part", "at", F.lit(1).alias("is_own"), F.lit(None).cast(asked.select(F.struct("*")).schema[0].dataType).alias("row"))
-            .unionByName(asked.select(*keys, part.alias("part"), at.alias("at"), F.lit(0).alias("is_own"),
-                                      F.struct(*asked.columns).alias("row"))))
+    asking = F.struct(*asked.columns)
+    rows = written(own.select(*keys, at.alias("at"), F.lit(1).alias("is_own")).distinct()
+                   .withColumn("row", F.lit(None).cast(asked.select(asking).schema[0].dataType))
+                   .unionByName(asked.select(*keys, at.alias("at"), F.lit(0).alias("is_own"), asking.alias("row"))))
+    parts = max(1, -(-rows.count() // stretch))
     # at one place the asking row comes first: it does not find itself
-    w = Window.partitionBy(*keys, "part").orderBy("at", "is_own").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("near", F.max(F.when(F.col("is_own") == 1, F.col("at"))).over(w)).filter("is_own = 0")
-    tops = o.groupBy(*keys, "part").agg(F.max("at").alias("top"))
-    marks = (tops.unionByName(asked.select(*keys, part.alias("part"), F.lit(None).cast(tops.schema["top"].dataType).alias("top")))
-             .groupBy(*keys, "part").agg(F.max("top").alias("top")))
-    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.withColumn("carried", F.max("top").over(before)).filter("carried is not null").select(*keys, "part", "carried")
-    cond = [near[k] == carried[k] for k in keys] + [near["part"].eqNullSafe(carried["part"])]
-    got = near.join(carried, cond, "left")
-    return (got.select("row.*", F.coalesce(near["near"], carried["carried"]).alias("found"))
-            .filter("found is not null"))
+    order = [*keys, "at", "is_own"]
+    cut = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                  .withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()))
+    owner = F.when(F.col("is_own") == 1, F.struct(F.struct(*keys).alias("of"), F.col("at").alias("at")))
+    w = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    near = cut.withColumn("near", F.last(owner, ignorenulls=True).over(w)).filter("is_own = 0")
+    # one row a stretch
+    ends = cut.groupBy("part").agg(F.max_by(owner, F.when(F.col("is_own") == 1, F.col("nth"))).alias("end"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select("part", F.last("end", ignorenulls=True).over(before).alias("handed"))
+    got = near.join(F.broadcast(handed), "part", "left").withColumn("last", F.coalesce("near", "handed"))
+    return got.filter(F.col("last.of") == F.struct(*keys)).select("row.*", F.col("last.at").alias("found"))
 
 
 def replies(messages: DataFrame) -> DataFrame:

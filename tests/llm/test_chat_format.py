@@ -93,3 +93,28 @@ def test_table(spark):
     df = table(spark, SF01, "conversations")
     got = [tuple(r) for r in C.conversations(df).collect()]
     assert sorted(got, key=str) == sorted(brute([tuple(r) for r in df.collect()]), key=str)
+
+
+def test_stretches_cut_one_hot_line_at_rows(spark, monkeypatch):
+    """Messages without a conversation and turn that all own and quote one line: stretches
+    hold about as many rows each, and the answers are those of a scan."""
+    n = 3000
+    own = spark.range(n).select(F.lit("null").alias("cid"), F.lit(None).cast("long").alias("turn"),
+                                F.encode(F.lpad(F.col("id").cast("string"), 6, "0"), "utf-8").alias("mid"), F.lit(b"u").alias("unit"))
+    asked = own.filter("cast(cast(mid as string) as long) % 3 = 0").withColumn("tag", F.lit(1)).unionByName(
+        own.limit(5).withColumn("unit", F.lit(b"v")).withColumn("tag", F.lit(2)))
+    sizes, write = [], C.written
+
+    def spy(df):
+        out = write(df)
+        if "part" in df.columns:
+            sizes.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(C, "written", spy)
+    got = C.latest_before(own.union(own), asked, ["cid", "unit"], 500).collect()
+    assert len(sizes) == 9 and max(sizes) < 3 * sorted(sizes)[4]
+    assert {(int(r.mid), int(r.found.mid)) for r in got} == {(i, i - 1) for i in range(3, n, 3)}
+    assert all(r.tag == 1 and r.found.turn is None for r in got)
+    assert C.latest_before(own.limit(0), asked, ["cid", "unit"], 500).count() == 0
+    assert C.latest_before(own, asked.limit(0), ["cid", "unit"], 500).count() == 0
