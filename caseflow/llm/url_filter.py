@@ -40,6 +40,7 @@ SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gambling", "pills",
          "spam", "track", "viagra", "xxx")
 SEED_SHARE = 1 / 16  # of all words, added to each seed term: together they weigh as much, at every size
 STEM = 24            # substrings up to this length are looked up as they are, longer words by their first letters
+GATHERED = 100_000   # substrings with their parts held before they travel
 
 
 def host_of(url: Column) -> Column:
@@ -142,26 +143,32 @@ def _named(schema):
 
 
 def _pieces(batches):
-    """part_id with every substring of the part of at most ``STEM`` letters; a few may come twice."""
+    """Every substring of at most ``STEM`` letters with the parts (ids) that have it, gathered
+    over ``GATHERED`` of them, so a substring of very many parts travels as few rows; a part
+    may come twice."""
     import pyarrow as pa
 
+    held: dict[str, list[int]] = {}
+    many = 0
+
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())],
-                                          names=["part_id", "word"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()),
+                                           pa.array(list(held.values()), pa.list_(pa.int64()))], names=["word", "ids"])
 
-    ids, out = [], []
     for b in batches:
         for part, i in zip(b.column("part").to_pylist(), b.column("part_id").to_pylist()):
             seen: set[str] = set()
             for at in range(len(part)):
                 seen.update(part[at:end] for end in range(at + 1, min(len(part), at + STEM) + 1))
                 if len(seen) > 20_000 or at == len(part) - 1:
-                    ids += [i] * len(seen)
-                    out += seen
+                    for w in seen:
+                        held.setdefault(w, []).append(i)
+                    many += len(seen)
                     seen.clear()
-                if len(out) > 20_000:
+                if many > GATHERED:
                     yield batch()
-                    ids, out = [], []
+                    held.clear()
+                    many = 0
     yield batch()
 
 
@@ -196,14 +203,16 @@ def split_names(names: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     least = counts.agg(F.min("n")).first()[0] or 1.0
     at = names.select("name_id", F.posexplode(F.split("name", " ")).alias("at", "part"))
     parts = written(at.select("part").distinct().withColumn("part_id", F.monotonically_increasing_id()))
-    pieces = (parts.mapInArrow(_pieces, "part_id long, word string")
-              .join(checked_broadcast(counts), "word").select("part_id", "word", "n"))
+    has = "word string, ids array<long>"
+    pieces = (parts.mapInArrow(_pieces, has)
+              .join(checked_broadcast(counts), "word").select(F.explode("ids").alias("part_id"), "word", "n"))
     long = counts.filter(F.length("word") > STEM)
     stems = written(long.groupBy(F.left("word", F.lit(STEM)).alias("stem"))
                     .agg(F.sort_array(F.collect_set(F.length("word"))).alias("lengths")))
     if stems.take(1):
-        starts = (parts.filter(F.length("part") > STEM).mapInArrow(_pieces, "part_id long, word string")
-                  .withColumnRenamed("word", "stem").join(stems, "stem").distinct())
+        starts = (parts.filter(F.length("part") > STEM).mapInArrow(_pieces, has)
+                  .withColumnRenamed("word", "stem").join(stems, "stem")
+                  .select(F.explode("ids").alias("part_id"), "stem", "lengths").distinct())
         pieces = pieces.unionByName(starts.join(parts, "part_id").select("part_id", "part", "stem", "lengths")
                                     .mapInArrow(_long_pieces, "part_id long, word string")
                                     .join(long, "word").select("part_id", "word", "n"))

@@ -122,3 +122,14 @@ def test_no_word_is_cut(spark, monkeypatch, broadcast):
     got = {r.page_id: (r.verdict, r.host_words) for r in U.judge_urls(df, rules=()).collect()}
     assert [got[i] for i in range(len(rows))] == brute(rows)
     assert got[60][0] == "block"
+
+
+def test_a_letter_of_all_parts_travels_as_few_rows(spark, monkeypatch):
+    import pyarrow as pa
+    parts = ["a" + "".join(c) for c in itertools.product("bcdf", repeat=4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(parts), pa.array(range(len(parts)), pa.int64())], names=["part", "part_id"])
+    monkeypatch.setattr(U, "GATHERED", 1000)
+    rows = [(r["word"], i) for b in U._pieces(iter([batch])) for r in b.to_pylist() for i in r["ids"]]
+    assert set(rows) == {(p[i:j], k) for k, p in enumerate(parts) for i in range(5) for j in range(i + 1, 6)}
+    sent = [b.column("word").to_pylist().count("a") for b in U._pieces(iter([batch]))]
+    assert len(rows) == len(set(rows)) and sum(sent) <= len(rows) // 1000 + 1
