@@ -90,18 +90,23 @@ def history_merge_lineitem(spark, sf_dir):
 def runs_inferred_orders(spark, sf_dir):
     """Runs flattened by inferred schemas: keys that look like types or hold blanks,
     a key of several kinds, nested objects and arrays, a key in two columns."""
-    runs = E.runs_from_orders(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice", "o_orderstatus",
-                                              F.month("o_orderdate").alias("m"))
-    by_status = (F.when(F.col("o_orderstatus") == "F", F.col("m").cast("string"))
-                 .when(F.col("o_orderstatus") == "O", F.concat(F.lit('"x'), "m", F.lit('"'))).otherwise(F.lit("null")))
-    more = F.concat(F.lit(',"AVOID":'), F.col("o_totalprice").cast("string"), F.lit(',"a b":'), by_status,
-                    F.lit(',"opt":{"VOID":'), "m", F.lit(',"name":"n'), "o_orderstatus", F.lit('","DECIMAL(1,0)":['), "m",
+    orders, joined = table(spark, sf_dir, "orders"), f"{_new_root(spark)}/orders"
+    o = orders.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"),
+                      F.month("o_orderdate").alias("m"))
+    # Narrow rows are joined, once; every pass makes its texts from them, so no text is shuffled.
+    # Both sides are one table, none of them the small one; the shuffle also spreads a single file.
+    write_table(orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice")
+                .join(o.hint("merge"), "o_orderkey"), joined)
+    runs = E.stored_runs(spark.read.parquet(joined), ("price", "status", "m"))
+    by_status = (F.when(F.col("status") == "F", F.col("m").cast("string"))
+                 .when(F.col("status") == "O", F.concat(F.lit('"x'), "m", F.lit('"'))).otherwise(F.lit("null")))
+    more = F.concat(F.lit(',"AVOID":'), F.col("price").cast("string"), F.lit(',"a b":'), by_status,
+                    F.lit(',"opt":{"VOID":'), "m", F.lit(',"name":"n'), "status", F.lit('","DECIMAL(1,0)":['), "m",
                     F.lit(',2]}}'))
-    last = F.when(F.col("o_orderstatus") == "O", F.lit(',"epochs":99}')).otherwise(F.lit("}"))
+    last = F.when(F.col("status") == "O", F.lit(',"epochs":99}')).otherwise(F.lit("}"))
     cut = lambda c: F.expr(f"substring({c}, 1, length({c}) - 1)")
-    runs = runs.join(o, "id").select("id", "name", F.concat(cut("config"), more).alias("config"),
-                                     F.concat(cut("summary"), last).alias("summary"), "metadata")
+    runs = runs.select("id", "name", F.concat(cut("config"), more).alias("config"),
+                       F.concat(cut("summary"), last).alias("summary"), "metadata")
     flat = E.flatten_runs(runs)
     opt = F.col("opt")
     return flat.select("id", r("AVOID").alias("avoid"), F.col("a b").alias("mixed"), opt["VOID"].alias("nested_number"),

@@ -3,7 +3,7 @@
 Stored form (one row per run): ``id, name, config, summary, metadata`` with
 JSON strings; history: ``run_id, step, metrics`` (JSON) plus an ingest order.
 Loading flattens the JSON into wide columns with a schema merged from the
-(path, kind) pairs of all records (distributed passes, one a depth).
+(path, kind) pairs of all records (distributed passes, one a depth for all columns).
 
 The driver tables contain no training runs, so ``runs_from_orders`` and
 ``history_from_lineitem`` derive stored-form tables from ``orders`` and
@@ -49,31 +49,31 @@ _NUMBERS = {"TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE"
 _ELEMENT = "[]"
 
 
-def json_kinds(df: DataFrame, col: str) -> dict:
-    """path -> kinds of value found there, over all records of a JSON-string column.
-    A path is a tuple of keys (with ``k`` before each) and ``[]`` for array elements.
+def json_kinds(df: DataFrame, cols: Iterable[str]) -> dict:
+    """column -> path -> kinds of value found there, over all records of JSON-string
+    columns.  A path is a tuple of keys (with ``k`` before each) and ``[]`` for array
+    elements.
 
-    One distributed pass a depth: the distinct (path, kind) pairs reach the driver,
-    as many as the schema has fields."""
+    One distributed pass a depth, over all columns that have values there: the distinct
+    (column, path, kind) triples reach the driver, as many as the schemas have fields."""
     kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z_]+", 0)
-    rows = df.select(F.array().cast("array<string>").alias("path"), F.explode(
-        F.from_json(col, "map<string,variant>")).alias("k", "v"))
-    rows = rows.select(F.concat("path", F.array(F.concat(F.lit("k"), "k"))).alias("path"), "v")
-    found: dict = {}
-    while True:
-        rows = rows.withColumn("kind", kind)
-        level = rows.select("path", "kind").distinct().collect()
+    below = lambda key: F.concat("path", F.array(key)).alias("path")
+    fields = F.transform(F.map_entries(F.col("v").cast("map<string,variant>")),
+                         lambda e: F.struct(below(F.concat(F.lit("k"), e["key"])), e["value"].alias("v")))
+    items = F.transform(F.col("v").cast("array<variant>"), lambda x: F.struct(below(F.lit(_ELEMENT)), x.alias("v")))
+    found: dict = {c: {} for c in cols}
+    nested, depth = set(found), 0
+    while nested:
+        texts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in sorted(nested)])
+        rows = df.select(F.inline(texts)).select("col", F.explode(F.from_json("text", "map<string,variant>")).alias("k", "v"))
+        rows = rows.select("col", F.array(F.concat(F.lit("k"), "k")).alias("path"), "v")
+        for _ in range(depth):
+            rows = rows.select("col", F.inline(F.when(kind == "OBJECT", fields).when(kind == "ARRAY", items)))
+        level = rows.select("col", "path", kind.alias("kind")).distinct().collect()
         for r in level:
-            found.setdefault(tuple(r["path"]), set()).add(r["kind"])
-        if not {"OBJECT", "ARRAY"} & {r["kind"] for r in level}:
-            return found
-        inside = rows.filter(F.col("kind") == "OBJECT").select(
-            "path", F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v")).select(
-            F.concat("path", F.array(F.concat(F.lit("k"), "k"))).alias("path"), "v")
-        items = rows.filter(F.col("kind") == "ARRAY").select(
-            F.concat("path", F.array(F.lit(_ELEMENT))).alias("path"),
-            F.explode(F.col("v").cast("array<variant>")).alias("v"))
-        rows = inside.unionByName(items)
+            found[r["col"]].setdefault(tuple(r["path"]), set()).add(r["kind"])
+        nested, depth = {r["col"] for r in level if r["kind"] in ("OBJECT", "ARRAY")}, depth + 1
+    return found
 
 
 def _type_at(kinds: dict, path: tuple) -> T.DataType:
@@ -94,11 +94,16 @@ def _fields_at(kinds: dict, path: tuple) -> list:
     return [T.StructField(n, _type_at(kinds, (*path, "k" + n))) for n in names]
 
 
+def infer_json_schemas(df: DataFrame, cols: Iterable[str]) -> dict:
+    """column -> schema of a JSON-string column over all its records, keys as they are,
+    in order.  Whole numbers are long, other numbers double, mixed kinds and keys that
+    are always null text.  No records: no fields."""
+    return {c: T.StructType(_fields_at(kinds, ())) for c, kinds in json_kinds(df, cols).items()}
+
+
 def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
-    """Schema of a JSON-string column over all its records, keys as they are, in order.
-    Whole numbers are long, other numbers double, mixed kinds and keys that are always
-    null text.  No records: no fields."""
-    return T.StructType(_fields_at(json_kinds(df, col), ()))
+    """``infer_json_schemas`` of one column."""
+    return infer_json_schemas(df, [col])[col]
 
 
 def _by_position(schema: T.StructType) -> T.StructType:
@@ -129,7 +134,7 @@ def flatten_runs(runs: DataFrame, schemas: Optional[dict] = None) -> DataFrame:
     the value of the last, null included, as has one named ``id`` or ``name``.
     ``created_at`` becomes a timestamp.
     """
-    schemas = schemas or {c: infer_json_schema(runs, c) for c in ("config", "summary", "metadata")}
+    schemas = schemas or infer_json_schemas(runs, ("config", "summary", "metadata"))
     parsed = runs.select("id", "name", *schemas, *[
         F.from_json(c, schemas[c]).cast(_by_position(schemas[c])).alias(f"__{c}") for c in schemas if schemas[c].fields])
     values = {c: [(None, F.col(c), parsed.schema[c].dataType)] for c in ("id", "name")}
@@ -232,7 +237,11 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine_tuning 'None' / null / 'last-2' for status F / O / P; hidden size =
     32 * month, layers = year - 1994, heads = day of month, total params =
     12 * hidden² * layers, trainable = 1000 * hidden * layers."""
-    o = spread(table(spark, sf_dir, "orders"))
+    return stored_runs(spread(table(spark, sf_dir, "orders")))
+
+
+def stored_runs(o: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
+    """``runs_from_orders`` of given orders, with the ``carry`` columns beside."""
     acc = F.col("o_totalprice") / F.lit(600000.0)
     lr = F.concat(F.lit("1e-"), (F.year("o_orderdate") - 1992).cast("string")).cast("double")
     hidden = (F.lit(32) * F.month("o_orderdate")).cast("long")
@@ -266,7 +275,7 @@ def runs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.lit(None).cast("long").alias("test_events")))
     return o.select(F.col("o_orderkey").cast("string").alias("id"),
                     F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("name"),
-                    config.alias("config"), summary.alias("summary"), metadata.alias("metadata"))
+                    config.alias("config"), summary.alias("summary"), metadata.alias("metadata"), *carry)
 
 
 # Flattened schemas of the derived tables (known, so no inference pass is needed).

@@ -1,5 +1,6 @@
 """Caches, the stored history, inferred JSON schemas, targets without a logit."""
 
+import datetime as dt
 import os
 import random
 import tempfile
@@ -150,3 +151,41 @@ def test_a_vocabulary_inferred_from_test_warns(spark):
         warnings.simplefilter("error", UserWarning)
         _, vocab = build_event_log({"train": df}, spec, ["activity"], [])
         build_event_log({"test": df}, spec, ["activity"], [], vocab=vocab)
+
+
+def test_json_schemas_read_the_records_once_a_depth(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    deep, flat = '{"a":[{"b":{"c":1}},[2.5]],"d":{"e":[]}}', '{"a":null,"d":{"e":[true]},"f":1}'
+    df = spark.createDataFrame([(deep, '{"a":"s"}'), (flat, None), (None, "[1]")], "config string, summary string").withColumn(
+        "config", seen.asNondeterministic()("config"))
+    schema = X.infer_json_schema(df, "config")
+    assert read.value == 3 * 4                                  # three records, four depths
+    assert [f.name for f in schema.fields] == ["a", "d", "f"]
+    kinds = X.json_kinds(df, ["config", "summary"])
+    assert read.value == 3 * 4 * 2
+    assert kinds["summary"] == {("ka",): {"STRING"}}
+    assert kinds["config"][("ka",)] == {"ARRAY", "VOID"} and kinds["config"][("ka", "[]", "kb", "kc")] == {"BIGINT"}
+    assert kinds["config"][("ka", "[]")] == {"OBJECT", "ARRAY"} and kinds["config"][("kd", "ke", "[]")] == {"BOOLEAN"}
+
+
+def test_inferred_runs_shuffle_narrow_rows_once(spark, tmp_path):
+    from caseflow.plans.registry import QUERIES
+    at = dt.datetime(1996, 5, 2)
+    rows = [(1, 7, "F", 10.5, at, "1-URGENT"), (2, 7, "O", 20.0, at, "2-HIGH"), (2, 7, "P", 30.0, at, "3-MEDIUM"),
+            (None, 7, "F", 40.0, at, "1-URGENT")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                                "o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["runs_inferred_orders"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan       # the texts stay where they are made
+    got = sorted(((r.id, r.avoid, r.mixed, r.nested_number, r.nested_text, r.list_sum, r.epochs, r.duration_sec, r.log)
+                  for r in df.collect()), key=str)
+    o, p = (20.0, "x5", 5, "nO", 7, 99), (30.0, None, 5, "nP", 7, 5)
+    assert got == sorted([("1", 10.5, "5", 5, "nF", 7, 5, 0.105, "1-URGENT"),
+                          *[("2", *x, d, log) for x in (o, p) for d, log in ((0.2, "2-HIGH"), (0.3, "3-MEDIUM"))]], key=str)
